@@ -67,3 +67,37 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], value_cols: Sequence[str
     out = out.select("*", *[(F.col(_OFF + v) + F.sum(v).over(w)).alias(v + suffix)
                             for v in value_cols])
     return out.drop(_PID, _MID, *[_OFF + v for v in value_cols])
+
+
+def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
+                    buckets: int = 32, salt_key: Column | None = None, rank_col: str = "rank") -> DataFrame:
+    """The first ``n`` rows of every group in ``order`` (which must be a total order).
+
+    Two phases keep a hot group from landing in one task: first the top ``n``
+    inside each (group, hash bucket) -- a large group is spread over
+    ``buckets`` tasks -- then the top ``n`` of those at most ``n * buckets``
+    candidates per group.  The result is exact because a group's top ``n``
+    is contained in the union of its buckets' top ``n``.
+    """
+    salt = F.pmod(F.xxhash64(salt_key if salt_key is not None else F.struct(*df.columns)), F.lit(buckets))
+    gcols = [F.col(g) for g in group]
+    w1 = Window.partitionBy(*gcols, F.col("_salt")).orderBy(*order)
+    cand = (df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
+            .filter(F.col("_r1") <= n).drop("_r1", "_salt"))
+    w2 = Window.partitionBy(*gcols).orderBy(*order)
+    return cand.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= n)
+
+
+def rank_within_groups(df: DataFrame, group: str, order: Sequence[Column], rank_col: str = "pos",
+                       num_partitions: int | None = None) -> DataFrame:
+    """1-based position of every row inside its group, for groups of any size.
+
+    A global rank over (group, order) is range-partitioned, so a hot group is
+    cut into many tasks; the group's first global position (one aggregate
+    row per group) turns it into a position within the group.
+    """
+    ranked = global_rank(df, [F.col(group), *order], "_grank", num_partitions)
+    starts = ranked.groupBy(group).agg(F.min("_grank").alias("_gstart"))
+    return (ranked.join(starts, group)
+            .withColumn(rank_col, F.col("_grank") - F.col("_gstart") + 1)
+            .drop("_grank", "_gstart"))

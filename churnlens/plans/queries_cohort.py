@@ -12,6 +12,7 @@ from ..operators import cleaning, cohort as C
 from ..sources.testdata import load_sources
 from ..sources.testdata_sql import with_views
 from . import extract
+from .stages import materialised
 from .oracle_cohort import SOURCE_VIEWS, WIDE_CTE, cohort_clean_cte, cohort_kept_cte, stage1
 from .registry import TESTDATA_PARAMS, register
 
@@ -30,9 +31,11 @@ def _m(spark, sf_dir):
 
 
 def cohort_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned stage-1 cohort on the test tables."""
-    wide = C.wide_customer_row(_src(spark, sf_dir))
-    return extract.clean_cohort(wide, **P)
+    """Cleaned stage-1 cohort on the test tables (materialised once per session)."""
+    def build():
+        wide = C.wide_customer_row(_src(spark, sf_dir))
+        return extract.clean_cohort(wide, **P)
+    return materialised(spark, sf_dir, "cohort", build)
 
 
 # --------------------------------------------------------------------- scans

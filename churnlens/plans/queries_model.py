@@ -1 +1,525 @@
-"""Queries (filled in below)."""
+"""Stage-2 queries: features, split, fitted statistics, scoring, evaluation, risk, inference."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import standardise_columns
+from ..operators import evaluation as EV
+from ..operators import features as FE
+from ..operators import inference as INF
+from ..operators import modeling as MO
+from ..operators.cleaning import q
+from ..operators.ranking import global_rank
+from .oracle_model import FEATURE_SQL, coefficient_score_sql, risk_sql, stage2
+from .queries_cohort import cohort_frame
+from .stages import materialised
+from .registry import TESTDATA_PARAMS, register
+
+LO, HI = TESTDATA_PARAMS["churn_range"]
+FEATS = FE.MODEL_FEATURES
+ACTIVATED = [f"{c} Activated" for c in FE.USAGE_COLUMNS]
+REASON_FLAGS = [f"{c} Flag" for c in FE.REASON_COLUMNS]
+
+
+# --------------------------------------------------------------------- pipeline pieces
+def enriched_and_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Enriched rows and model rows; the model rows keep the one-hot source columns for reports."""
+    memo: dict[str, DataFrame] = {}
+
+    def build(part: str):
+        def go():
+            if not memo:
+                std = standardise_columns(cohort_frame(spark, sf_dir))
+                memo["enriched"], memo["model"] = FE.engineer_features(
+                    std, churn_range=(LO, HI), keep_source=True)
+            return memo[part]
+        return go
+    return (materialised(spark, sf_dir, "enriched", build("enriched")),
+            materialised(spark, sf_dir, "model", build("model")))
+
+
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_id, the 13 features (double), extra flags, label, split and report columns."""
+    _, model = enriched_and_model(spark, sf_dir)
+    feats = FE.available_features(model)
+    extra = [c for c in ACTIVATED if c not in feats and c in model.columns]
+    out = model.select(
+        FE.ROW_ID, *[q(f).cast("double").alias(f) for f in feats], *[q(c) for c in extra],
+        F.col(FE.LABEL), q("Core Industry"), q("BundleType"),
+        q(FE.TENURE).cast("double").alias("tenure"), q("Lifetime Value").cast("double").alias("revenue"))
+    return MO.stratified_split(out, FE.ROW_ID)
+
+
+def coef_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model rows scored with the published coefficient table, plus the risk index."""
+    m = model_rows(spark, sf_dir)
+    s = m.withColumn("p_churn", INF.coefficient_probability(INF.PUBLISHED_COEFFICIENTS))
+    return s.withColumn("business_risk_index", MO.business_risk_index(s, "p_churn"))
+
+
+def _r(c, d: int = 9):
+    return F.round(c, d)
+
+
+def _rs(expr: str, d: int = 9) -> str:
+    return f"round({expr}, {d})"
+
+
+# --------------------------------------------------------------------- standardise + features
+_STD_PICK = ["Slug", "Finance Id", "Location Id", "Churn or Retain", "lifetime in Month",
+             "Week 1 Cases", "Inbound Sms Count", "Manual Messages Sms Count", "Reason Billing"]
+_STD_SRC = ["SLUG", "FINANCE_ID", "LOCATION_ID", "CHURN_OR_RETAIN", "LIFETIME_MONTHS",
+            "WEEK_1_CASES", "FIRST_INBOUND_SMS_COUNT", "FIRST_MISSED_TEXT_SMS_COUNT", "REASON_BILLING"]
+
+
+@register("standardise_columns", stage2("SELECT " + ", ".join(
+    f'{s} AS "{t}"' for s, t in zip(_STD_SRC, _STD_PICK)) + " FROM clean"))
+def q_standardise_columns(spark, sf_dir):
+    std = standardise_columns(cohort_frame(spark, sf_dir))
+    return std.select(*[q(c) for c in _STD_PICK])
+
+
+@register("feature_rows", stage2("""
+SELECT row_id, CHURN_OR_RETAIN AS "Churn or Retain", LIFETIME_MONTHS AS "lifetime in Month",
+       bundle_type AS "BundleType", pms_group AS "PMS_Group",
+       first_month_swat_cases AS "First Month SWAT Cases"
+FROM enr"""))
+def q_feature_rows(spark, sf_dir):
+    enr, _ = enriched_and_model(spark, sf_dir)
+    return enr.select(FE.ROW_ID, q("Churn or Retain"), q("lifetime in Month"), q("BundleType"),
+                      q("PMS_Group"), q("First Month SWAT Cases"))
+
+
+@register("activation_flags", stage2(
+    "SELECT row_id, " + ", ".join(f'{FEATURE_SQL[c]} AS "{c}"' for c in ACTIVATED) + " FROM enr"))
+def q_activation_flags(spark, sf_dir):
+    enr, _ = enriched_and_model(spark, sf_dir)
+    return enr.select(FE.ROW_ID, *[q(c) for c in ACTIVATED])
+
+
+@register("reason_flags", stage2(
+    "SELECT row_id, " + ", ".join(f'{FEATURE_SQL[c]} AS "{c}"' for c in REASON_FLAGS) + " FROM enr"))
+def q_reason_flags(spark, sf_dir):
+    enr, _ = enriched_and_model(spark, sf_dir)
+    return enr.select(FE.ROW_ID, *[q(c) for c in REASON_FLAGS])
+
+
+@register("feature_vector", stage2(
+    "SELECT row_id, " + ", ".join(f'"{f}"' for f in FEATS) + ", churn_flag FROM mdl"))
+def q_feature_vector(spark, sf_dir):
+    return model_rows(spark, sf_dir).select(FE.ROW_ID, *[q(f) for f in FEATS], FE.LABEL)
+
+
+# --------------------------------------------------------------------- split and fitted statistics
+@register("stratified_split", stage2("SELECT row_id, churn_flag, split FROM mdl"))
+def q_stratified_split(spark, sf_dir):
+    return model_rows(spark, sf_dir).select(FE.ROW_ID, FE.LABEL, "split")
+
+
+@register("class_balance", stage2("""
+SELECT split, churn_flag AS label, round(count(*) / sum(count(*)) OVER (PARTITION BY split), 3) AS share
+FROM mdl GROUP BY split, churn_flag"""))
+def q_class_balance(spark, sf_dir):
+    return EV.class_balance(model_rows(spark, sf_dir), "split", FE.LABEL)
+
+
+@register("nonnull_by_label", stage2(
+    "SELECT churn_flag, " + ", ".join(f'count("{f}") AS "{f}"' for f in FEATS)
+    + " FROM mdl GROUP BY churn_flag"))
+def q_nonnull_by_label(spark, sf_dir):
+    m = model_rows(spark, sf_dir)
+    return m.groupBy(FE.LABEL).agg(*[F.count(q(f)).alias(f) for f in FEATS])
+
+
+def _per_feature_sql(expr: str, alias: str, where: str = "split = 'train'") -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{f}' AS feature, {expr.format(c=chr(34) + f + chr(34))} AS {alias} FROM mdl WHERE {where}"
+        for f in FEATS)
+
+
+@register("median_impute", stage2(_per_feature_sql("CAST(median({c}) AS DOUBLE)", "median")))
+def q_median_impute(spark, sf_dir):
+    m = model_rows(spark, sf_dir).filter(F.col("split") == "train")
+    med = MO.fit_medians(m, FEATS)
+    return spark.createDataFrame([(f, med[f]) for f in FEATS], "feature STRING, median DOUBLE")
+
+
+@register("standardise", stage2("\nUNION ALL\n".join(
+    f"SELECT '{f}' AS feature, round(avg(\"{f}\"), 9) AS mean, "
+    f"round(CASE WHEN stddev_pop(\"{f}\") > 0 THEN stddev_pop(\"{f}\") ELSE 1.0 END, 9) AS std "
+    f"FROM mdl WHERE split = 'train'" for f in FEATS)))
+def q_standardise(spark, sf_dir):
+    m = model_rows(spark, sf_dir).filter(F.col("split") == "train")
+    st = MO.fit_scaler(m, FEATS)
+    df = spark.createDataFrame([(f, *st[f]) for f in FEATS], "feature STRING, mean DOUBLE, std DOUBLE")
+    return df.select("feature", _r("mean").alias("mean"), _r("std").alias("std"))
+
+
+@register("balanced_weights", stage2("""
+SELECT churn_flag, count(*) AS n, round(sum(count(*)) OVER () / (2.0 * count(*)), 9) AS weight
+FROM mdl WHERE split = 'train' GROUP BY churn_flag"""))
+def q_balanced_weights(spark, sf_dir):
+    m = model_rows(spark, sf_dir).filter(F.col("split") == "train")
+    counts = MO.class_counts(m)
+    w = MO.balanced_weights(counts)
+    return spark.createDataFrame([(k, counts[k], round(w[k], 9)) for k in sorted(counts)],
+                                 "churn_flag INT, n LONG, weight DOUBLE")
+
+
+# --------------------------------------------------------------------- published-coefficient scores
+P_SQL = coefficient_score_sql(INF.PUBLISHED_COEFFICIENTS)
+SCORED_CTE = f"""
+sc AS (
+  SELECT *, {P_SQL} AS p_churn FROM mdl
+),
+scr AS (
+  SELECT *, {risk_sql('p_churn')} AS business_risk_index FROM sc
+)"""
+
+
+def stage2s(body: str, *extra: str) -> str:
+    return stage2(body, SCORED_CTE, *extra)
+
+
+@register("coefficient_scores", stage2s(f"""
+SELECT row_id, split, churn_flag AS y_true, {_rs('p_churn')} AS p_churn,
+       {_rs('business_risk_index')} AS business_risk_index FROM scr"""))
+def q_coefficient_scores(spark, sf_dir):
+    s = coef_scored(spark, sf_dir)
+    return s.select(FE.ROW_ID, "split", F.col(FE.LABEL).alias("y_true"), _r("p_churn").alias("p_churn"),
+                    _r("business_risk_index").alias("business_risk_index"))
+
+
+PR_CTE = """
+g AS (
+  SELECT p_churn AS threshold, sum(churn_flag) AS pos, sum(1 - churn_flag) AS neg
+  FROM scr WHERE split = 'val' GROUP BY p_churn
+),
+cum AS (
+  SELECT threshold, pos, neg,
+         sum(pos) OVER (ORDER BY threshold DESC) AS tp, sum(neg) OVER (ORDER BY threshold DESC) AS fp,
+         sum(pos) OVER () AS total_pos
+  FROM g
+),
+pr AS (
+  SELECT *, tp / (tp + fp) AS precision,
+         CASE WHEN total_pos > 0 THEN tp / total_pos ELSE 1.0 END AS recall
+  FROM cum
+),
+prf AS (
+  SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1 FROM pr
+),
+best AS (
+  SELECT threshold FROM prf ORDER BY f1 DESC, threshold ASC LIMIT 1
+),
+tst AS (
+  SELECT churn_flag AS y, p_churn AS p, CAST(p_churn >= (SELECT threshold FROM best) AS INTEGER) AS yhat
+  FROM scr WHERE split = 'test'
+)"""
+
+
+def _val_pr(spark, sf_dir) -> DataFrame:
+    s = coef_scored(spark, sf_dir).filter(F.col("split") == "val")
+    return EV.pr_table(s, FE.LABEL, "p_churn")
+
+
+def _test_pred(spark, sf_dir) -> DataFrame:
+    s = coef_scored(spark, sf_dir)
+    pr = EV.pr_table(s.filter(F.col("split") == "val"), FE.LABEL, "p_churn")
+    thr = EV.best_threshold(pr).first()["threshold"]
+    return s.filter(F.col("split") == "test").select(
+        F.col(FE.LABEL).alias("y"), F.col("p_churn").alias("p"),
+        (F.col("p_churn") >= F.lit(thr)).cast("int").alias("yhat"))
+
+
+@register("pr_curve", stage2s(f"""
+SELECT {_rs('threshold')} AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       {_rs('precision')} AS precision, {_rs('recall')} AS recall, {_rs('f1')} AS f1
+FROM prf""", PR_CTE))
+def q_pr_curve(spark, sf_dir):
+    pr = _val_pr(spark, sf_dir)
+    return pr.select(_r("threshold").alias("threshold"), F.col("tp").cast("long").alias("tp"),
+                     F.col("fp").cast("long").alias("fp"), _r("precision").alias("precision"),
+                     _r("recall").alias("recall"), _r("f1").alias("f1"))
+
+
+@register("best_threshold", stage2s(f"""
+SELECT {_rs('threshold')} AS threshold, {_rs('precision')} AS precision, {_rs('recall')} AS recall,
+       {_rs('f1')} AS f1
+FROM prf ORDER BY f1 DESC, threshold ASC LIMIT 1""", PR_CTE))
+def q_best_threshold(spark, sf_dir):
+    b = EV.best_threshold(_val_pr(spark, sf_dir))
+    return b.select(_r("threshold").alias("threshold"), _r("precision").alias("precision"),
+                    _r("recall").alias("recall"), _r("f1").alias("f1"))
+
+
+def _safe(a: str, b: str) -> str:
+    return f"CASE WHEN ({b}) > 0 THEN ({a}) / ({b}) ELSE 0.0 END"
+
+
+@register("binary_metrics", stage2s(f"""
+SELECT {_rs(_safe('tp + tn', 'tp + tn + fp + fn'))} AS accuracy, {_rs(_safe('tp', 'tp + fp'))} AS precision,
+       {_rs(_safe('tp', 'tp + fn'))} AS recall, {_rs(_safe('2.0 * tp', '2 * tp + fp + fn'))} AS f1
+FROM (SELECT count_if(y = 1 AND yhat = 1) AS tp, count_if(y = 0 AND yhat = 1) AS fp,
+             count_if(y = 1 AND yhat = 0) AS fn, count_if(y = 0 AND yhat = 0) AS tn FROM tst) c""", PR_CTE))
+def q_binary_metrics(spark, sf_dir):
+    m = EV.binary_metrics(_test_pred(spark, sf_dir), "y", "yhat")
+    return m.select(*[_r(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@register("confusion_matrix", stage2s("""
+SELECT t.y_true, t.y_pred, count(tst.y) AS n
+FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(y_true, y_pred)
+LEFT JOIN tst ON tst.y = t.y_true AND tst.yhat = t.y_pred
+GROUP BY t.y_true, t.y_pred""", PR_CTE))
+def q_confusion_matrix(spark, sf_dir):
+    return EV.confusion_matrix(_test_pred(spark, sf_dir), "y", "yhat")
+
+
+CLS_CTE = """
+c AS (SELECT count_if(y = 1 AND yhat = 1) AS tp, count_if(y = 0 AND yhat = 1) AS fp,
+             count_if(y = 1 AND yhat = 0) AS fn, count_if(y = 0 AND yhat = 0) AS tn FROM tst),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p1,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r1,
+             CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0.0 END AS p0,
+             CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END AS r0,
+             tp + fp + fn + tn AS total FROM c),
+f AS (SELECT *, CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0.0 END AS f1,
+             CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0.0 END AS f0 FROM m)"""
+
+
+@register("classification_report", stage2s("""
+SELECT '0' AS class, round(p0, 4) AS precision, round(r0, 4) AS recall, round(f0, 4) AS f1_score,
+       CAST(tn + fp AS BIGINT) AS support FROM f
+UNION ALL SELECT '1', round(p1, 4), round(r1, 4), round(f1, 4), CAST(tp + fn AS BIGINT) FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round(CASE WHEN total > 0 THEN (tp + tn) / total ELSE 0.0 END, 4),
+       CAST(total AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 4), round((r0 + r1) / 2, 4), round((f0 + f1) / 2, 4),
+       CAST(total AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg',
+       round(CASE WHEN total > 0 THEN (p0 * (tn + fp) + p1 * (tp + fn)) / total ELSE 0.0 END, 4),
+       round(CASE WHEN total > 0 THEN (r0 * (tn + fp) + r1 * (tp + fn)) / total ELSE 0.0 END, 4),
+       round(CASE WHEN total > 0 THEN (f0 * (tn + fp) + f1 * (tp + fn)) / total ELSE 0.0 END, 4),
+       CAST(total AS BIGINT) FROM f""", PR_CTE, CLS_CTE))
+def q_classification_report(spark, sf_dir):
+    return EV.classification_report(_test_pred(spark, sf_dir), "y", "yhat")
+
+
+ROC_CTE = """
+tg AS (SELECT p AS threshold, sum(y) AS pos, sum(1 - y) AS neg FROM tst GROUP BY p),
+tc AS (SELECT *, sum(neg) OVER (ORDER BY threshold DESC) AS fp_cum,
+              sum(pos) OVER (ORDER BY threshold DESC) AS tp_cum,
+              sum(pos) OVER () AS tot_pos, sum(neg) OVER () AS tot_neg FROM tg)"""
+
+
+@register("roc_auc", stage2s(f"""
+SELECT {_rs('sum(pos * ((tot_neg - fp_cum) + 0.5 * neg)) / (max(tot_pos) * max(tot_neg))')} AS roc_auc
+FROM tc""", PR_CTE, ROC_CTE))
+def q_roc_auc(spark, sf_dir):
+    t = _test_pred(spark, sf_dir)
+    s = EV.curve_summary(EV.pr_table(t, "y", "p"))
+    return s.select(_r("roc_auc").alias("roc_auc"))
+
+
+@register("average_precision", stage2s(f"""
+SELECT {_rs('sum(pos * tp_cum / (tp_cum + fp_cum)) / max(tot_pos)')} AS average_precision
+FROM tc""", PR_CTE, ROC_CTE))
+def q_average_precision(spark, sf_dir):
+    t = _test_pred(spark, sf_dir)
+    s = EV.curve_summary(EV.pr_table(t, "y", "p"))
+    return s.select(_r("average_precision").alias("average_precision"))
+
+
+@register("probability_summary", stage2s("""
+SELECT CAST(count(p_churn) AS DOUBLE) AS count, round(avg(p_churn), 4) AS mean,
+       round(stddev_samp(p_churn), 4) AS std, round(min(p_churn), 4) AS min,
+       round(quantile_cont(p_churn, 0.1), 4) AS p10, round(quantile_cont(p_churn, 0.5), 4) AS p50,
+       round(quantile_cont(p_churn, 0.9), 4) AS p90, round(max(p_churn), 4) AS max
+FROM scr"""))
+def q_probability_summary(spark, sf_dir):
+    return EV.probability_summary(coef_scored(spark, sf_dir), "p_churn")
+
+
+# --------------------------------------------------------------------- risk ranking and risk page
+@register("risk_ranks", stage2s("""
+SELECT row_id, row_number() OVER (ORDER BY p_churn DESC, row_id) AS rank_by_p,
+       row_number() OVER (ORDER BY business_risk_index DESC, row_id) AS rank_by_bri
+FROM scr"""))
+def q_risk_ranks(spark, sf_dir):
+    s = coef_scored(spark, sf_dir).select(FE.ROW_ID, "p_churn", "business_risk_index")
+    s = global_rank(s, [F.col("p_churn").desc(), F.col(FE.ROW_ID)], "rank_by_p")
+    s = global_rank(s, [F.col("business_risk_index").desc(), F.col(FE.ROW_ID)], "rank_by_bri")
+    return s.select(FE.ROW_ID, "rank_by_p", "rank_by_bri")
+
+
+@register("risk_quantile", stage2s(
+    f"SELECT {_rs('quantile_cont(business_risk_index, 0.8)')} AS high_risk_threshold FROM scr"))
+def q_risk_quantile(spark, sf_dir):
+    s = coef_scored(spark, sf_dir)
+    return s.agg(_r(F.percentile("business_risk_index", 0.8)).alias("high_risk_threshold"))
+
+
+@register("high_risk_top20", stage2s(f"""
+SELECT row_id, "Core Industry", "BundleType", {_rs('p_churn')} AS p_churn,
+       {_rs('business_risk_index')} AS business_risk_index
+FROM scr WHERE business_risk_index >= (SELECT quantile_cont(business_risk_index, 0.8) FROM scr)
+ORDER BY business_risk_index DESC, row_id LIMIT 20"""))
+def q_high_risk_top20(spark, sf_dir):
+    from ..operators import reports as RP
+    s = coef_scored(spark, sf_dir)
+    top = RP.high_risk_top(s, "business_risk_index", FE.ROW_ID, 0.8, 20)
+    return top.select(FE.ROW_ID, q("Core Industry"), q("BundleType"), _r("p_churn").alias("p_churn"),
+                      _r("business_risk_index").alias("business_risk_index"))
+
+
+@register("risk_histogram", stage2s("""
+SELECT CAST(least(floor(business_risk_index * 50), 49) AS INTEGER) AS bin,
+       CAST(least(floor(business_risk_index * 50), 49) AS DOUBLE) / 50 AS bin_start, count(*) AS n
+FROM scr GROUP BY 1, 2"""))
+def q_risk_histogram(spark, sf_dir):
+    from ..operators import reports as RP
+    return RP.fixed_histogram(coef_scored(spark, sf_dir), "business_risk_index", 50, 0.0, 1.0)
+
+
+def _group_sql(col: str, risk: bool) -> str:
+    r = ", round(avg(business_risk_index), 3) AS Avg_Risk_Index" if risk else ""
+    return f"""
+SELECT "{col}", count(churn_flag) AS Total_Customers, CAST(sum(churn_flag) AS BIGINT) AS Churned_Customers,
+       round(avg(churn_flag), 3) AS Churn_Rate, round(avg(p_churn), 3) AS Avg_Churn_Prob{r}
+FROM scr WHERE "{col}" IS NOT NULL GROUP BY "{col}\""""
+
+
+@register("churn_by_industry", stage2s(_group_sql("Core Industry", True)))
+def q_churn_by_industry(spark, sf_dir):
+    from ..operators import reports as RP
+    return RP.churn_by_group(coef_scored(spark, sf_dir), "Core Industry", FE.LABEL)
+
+
+@register("churn_by_bundle", stage2s(_group_sql("BundleType", False)))
+def q_churn_by_bundle(spark, sf_dir):
+    from ..operators import reports as RP
+    return RP.churn_by_group(coef_scored(spark, sf_dir), "BundleType", FE.LABEL, risk=None)
+
+
+@register("confusion_revenue", stage2s("""
+SELECT y, yhat, round(sum(revenue), 2) AS revenue, count(*) AS n
+FROM (SELECT churn_flag AS y, CAST(p_churn >= 0.5 AS INTEGER) AS yhat, revenue FROM scr) t
+GROUP BY y, yhat"""))
+def q_confusion_revenue(spark, sf_dir):
+    s = coef_scored(spark, sf_dir)
+    return (s.select(F.col(FE.LABEL).alias("y"), (F.col("p_churn") >= 0.5).cast("int").alias("yhat"), "revenue")
+            .groupBy("y", "yhat").agg(F.round(F.sum("revenue"), 2).alias("revenue"),
+                                      F.count(F.lit(1)).alias("n")))
+
+
+# --------------------------------------------------------------------- fitted model (invariant checks)
+def fitted(spark, sf_dir):
+    m = model_rows(spark, sf_dir)
+    feats = FE.available_features(m)
+    return m, feats, MO.train_churn_model(m, feats)
+
+
+@register("balanced_logit_optimality", "SELECT 'all' AS term, 0.0 AS max_abs_gradient")
+def q_balanced_logit_optimality(spark, sf_dir):
+    """Max |gradient| of the balanced, L2 (C = 1) objective at the MLlib solution.
+
+    Computed as one distributed aggregate over the training rows; it is 0
+    (to 1e-4) exactly when the fit is the optimum of the original objective.
+    """
+    m, feats, model = fitted(spark, sf_dir)
+    train = m.filter(F.col("split") == "train")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin()))
+    w = MO.weight_column(FE.LABEL, model.weights)
+    r = w * (p - F.col(FE.LABEL))
+    grads = [F.sum(r).alias("g_const")]
+    for c, b in zip(feats, model.coefficients):
+        mean, std = model.scaler[c]
+        grads.append((F.sum(r * ((model.prepared(c) - F.lit(mean)) / F.lit(std))) + F.lit(b)).alias(f"g{len(grads)}"))
+    g = train.agg(*grads)
+    mx = F.greatest(*[F.abs(F.col(c)) for c in g.columns])
+    return g.select(F.lit("all").alias("term"), F.when(mx < 1e-4, F.lit(0.0)).otherwise(mx).alias("max_abs_gradient"))
+
+
+@register("scored_rows_all_splits")
+def q_scored_rows_all_splits(spark, sf_dir):
+    m, feats, model = fitted(spark, sf_dir)
+    return MO.score_rows(m, model, FE.LABEL, keep=[FE.ROW_ID, "split", *feats])
+
+
+@register("scored_dataset_with_risk")
+def q_scored_dataset_with_risk(spark, sf_dir):
+    """Every row (split = 'all'), calibrated probability, risk index and both ranks."""
+    m, feats, model = fitted(spark, sf_dir)
+    s = MO.score_rows(m, model, FE.LABEL, keep=[FE.ROW_ID, *feats])
+    s = s.withColumn("business_risk_index", MO.business_risk_index(s, "y_proba"))
+    s = global_rank(s, [F.col("y_proba").desc(), F.col(FE.ROW_ID)], "rank_by_p")
+    s = global_rank(s, [F.col("business_risk_index").desc(), F.col(FE.ROW_ID)], "rank_by_bri")
+    return s.select(FE.ROW_ID, F.lit("all").alias("split"), "y_true", "y_proba", "y_pred", "threshold_used",
+                    F.col("y_proba").alias("p_churn"), "business_risk_index", "rank_by_p", "rank_by_bri")
+
+
+@register("scored_rows_consistency", stage2s(
+    "SELECT count(*) AS n_rows, 0 AS bad_pred, 0 AS bad_risk, 0 AS bad_rank FROM scr"))
+def q_scored_rows_consistency(spark, sf_dir):
+    """Invariants of the fitted scoring: prediction rule, risk formula bounds, ranks a permutation."""
+    s = q_scored_dataset_with_risk(spark, sf_dir)
+    n = F.count(F.lit(1))
+    return s.agg(
+        n.alias("n_rows"),
+        F.count_if(F.col("y_pred") != (F.col("y_proba") >= F.col("threshold_used")).cast("int")).alias("bad_pred"),
+        F.count_if((F.col("business_risk_index") < 0) | (F.col("business_risk_index") > 1)
+                   | (F.col("y_proba") < 0) | (F.col("y_proba") > 1)).alias("bad_risk"),
+        (F.lit(0) + F.when((F.min("rank_by_p") == 1) & (F.max("rank_by_p") == n)
+                           & (F.count_distinct("rank_by_p") == n)
+                           & (F.count_distinct("rank_by_bri") == n), 0).otherwise(1)).alias("bad_rank"))
+
+
+@register("standardised_coefficients")
+def q_standardised_coefficients(spark, sf_dir):
+    _, _, model = fitted(spark, sf_dir)
+    return MO.coefficient_table(model)
+
+
+# --------------------------------------------------------------------- inference (GLR)
+@register("logit_coefficients")
+def q_logit_coefficients(spark, sf_dir):
+    m = model_rows(spark, sf_dir)
+    return INF.logit_inference(m, FE.available_features(m), FE.LABEL)
+
+
+_ONE = "Outbound Call Count Activated"
+
+
+ONE_CTE = f"""
+cells AS (
+  SELECT count_if("{_ONE}" = 0 AND churn_flag = 0) AS a, count_if("{_ONE}" = 0 AND churn_flag = 1) AS b,
+         count_if("{_ONE}" = 1 AND churn_flag = 0) AS c, count_if("{_ONE}" = 1 AND churn_flag = 1) AS d
+  FROM mdl)"""
+
+
+@register("logit_one_flag", stage2(f"""
+SELECT 'const' AS variable, round(ln(b / a), 6) AS coefficient, round(sqrt(1.0 / a + 1.0 / b), 6) AS std_err
+FROM cells
+UNION ALL
+SELECT '{_ONE}', round(ln((a * d) / (b * c)), 6), round(sqrt(1.0 / a + 1.0 / b + 1.0 / c + 1.0 / d), 6)
+FROM cells""", ONE_CTE))
+def q_logit_one_flag(spark, sf_dir):
+    """Closed-form check of the GLR table: one binary feature, log odds ratio and its SE."""
+    m = model_rows(spark, sf_dir)
+    t = INF.logit_inference(m, [_ONE], FE.LABEL, impute_median=False)
+    return t.select("variable", F.round("coefficient", 6).alias("coefficient"),
+                    F.round("std_err", 6).alias("std_err"))
+
+
+@register("linear_attributions")
+def q_linear_attributions(spark, sf_dir):
+    """Per-row contributions of each feature to the published model's margin (val rows)."""
+    m = model_rows(spark, sf_dir)
+    feats = [f for f in FE.available_features(m) if f in INF.PUBLISHED_COEFFICIENTS]
+    means = INF.background_means(m.filter(F.col("split") == "train"), feats)
+    val = m.filter(F.col("split") == "val")
+    return INF.linear_attributions(val, INF.PUBLISHED_COEFFICIENTS, means, keep=[FE.ROW_ID])

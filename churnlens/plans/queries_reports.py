@@ -1 +1,26 @@
-"""Queries (filled in below)."""
+"""Feature-importance page: the fitted inference table, sorted and interpreted."""
+
+from __future__ import annotations
+
+from ..operators import features as FE
+from ..operators import inference as INF
+from ..operators import reports as RP
+from .queries_model import model_rows
+from .registry import register
+
+
+def _inference(spark, sf_dir):
+    m = model_rows(spark, sf_dir)
+    return INF.logit_inference(m, FE.available_features(m), FE.LABEL)
+
+
+@register("coef_by_magnitude")
+def q_coef_by_magnitude(spark, sf_dir):
+    """Top-10 coefficients by absolute value with a sign interpretation."""
+    return RP.coefficient_view(_inference(spark, sf_dir).filter("coefficient IS NOT NULL"), True, 10)
+
+
+@register("coef_interpretation")
+def q_coef_interpretation(spark, sf_dir):
+    """All coefficients, ascending by magnitude (the chart order), with interpretation."""
+    return RP.coefficient_view(_inference(spark, sf_dir).filter("coefficient IS NOT NULL"), False, None)

@@ -1 +1,289 @@
-"""Queries (filled in below)."""
+"""Stage-3 queries (churn-reason segments) and the dashboard pages over churned rows."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import expressions as X
+from ..operators import reports as RP
+from ..operators import segments as SG
+from ..operators.cleaning import q
+from ..operators.features import add_row_id
+from ..sources import files
+from . import extract
+from .oracle_model import ROW_ID_SQL, stage2
+from .queries_cohort import cohort_frame
+from .registry import register
+from .stages import materialised
+
+ROW_KEY = ["LOCATION_ID", "CHURN_MONTH", "STARTING_BUNDLE", "END_BUNDLE", "SWAT_CASE_ID",
+           "FIRST_USAGE_REPORT_MONTH"]
+
+_strip = "regexp_replace(CAST({c} AS VARCHAR), '^\\s+|\\s+$', '', 'g')"
+_unknown = "CASE WHEN {s} IS NULL OR {s} IN ('', 'nan', 'None') THEN 'Unknown' ELSE {s} END"
+PROFILE_SQL = "concat_ws(' ', " + ", ".join(_unknown.format(s=_strip.format(c=c)) for c in SG.TEXT_FEATURES) + ")"
+REASON_SQL = _strip.format(c="SWAT_CANCEL_SUMMARY")
+
+SEG_CTE = f"""
+churn AS (
+  SELECT *, {ROW_ID_SQL} AS row_id FROM clean WHERE CHURN_OR_RETAIN = 'Churn'
+),
+seg_in AS (
+  SELECT * REPLACE ({REASON_SQL} AS SWAT_CANCEL_SUMMARY) FROM churn
+  WHERE {REASON_SQL} IS NOT NULL AND {REASON_SQL} <> ''
+)"""
+
+
+def seg_sql(body: str, *extra: str) -> str:
+    return stage2(body, SEG_CTE, *extra)
+
+
+# --------------------------------------------------------------------- stage pieces
+def churn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The churn-only stage-1 export with a stable row id."""
+    return add_row_id(extract.churn_cohort(cohort_frame(spark, sf_dir)), ROW_KEY)
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a cancel summary, their embedding and reason segment (materialised once)."""
+    def build():
+        emb = SG.embed(SG.segment_input(churn_rows(spark, sf_dir)))
+        out, centres = SG.cluster(emb)
+        labelled.centres[(sf_dir, spark.sparkContext.applicationId)] = centres
+        return out
+    df = materialised(spark, sf_dir, "segments", build)
+    return df
+
+
+labelled.centres = {}
+
+
+def _centres(spark, sf_dir):
+    labelled(spark, sf_dir)
+    return labelled.centres[(sf_dir, spark.sparkContext.applicationId)]
+
+
+def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All churn rows with their reason segment (null where there is no summary)."""
+    return SG.augment_with_segment(churn_rows(spark, sf_dir), labelled(spark, sf_dir))
+
+
+# --------------------------------------------------------------------- text preparation
+@register("segment_input", seg_sql(
+    "SELECT row_id, md5(SWAT_CANCEL_SUMMARY) AS summary_md5, length(SWAT_CANCEL_SUMMARY) AS summary_chars "
+    "FROM seg_in"))
+def q_segment_input(spark, sf_dir):
+    s = SG.segment_input(churn_rows(spark, sf_dir))
+    return s.select("row_id", F.md5(q(SG.REASON_COLUMN)).alias("summary_md5"),
+                    F.length(q(SG.REASON_COLUMN)).alias("summary_chars"))
+
+
+@register("compose_profile_text", seg_sql(f"SELECT row_id, {PROFILE_SQL} AS profile_text FROM seg_in"))
+def q_compose_profile_text(spark, sf_dir):
+    s = SG.segment_input(churn_rows(spark, sf_dir))
+    return s.select("row_id", SG.profile_text(s).alias("profile_text"))
+
+
+@register("normalise_text", seg_sql("SELECT row_id, " + ", ".join(
+    f"{_unknown.format(s=_strip.format(c=c))} AS {c}" for c in SG.TEXT_FEATURES) + " FROM churn"))
+def q_normalise_text(spark, sf_dir):
+    c = SG.normalise_text(churn_rows(spark, sf_dir))
+    return c.select("row_id", *SG.TEXT_FEATURES)
+
+
+# --------------------------------------------------------------------- embeddings, clusters, PCA
+@register("profile_embeddings")
+def q_profile_embeddings(spark, sf_dir):
+    lab = labelled(spark, sf_dir)
+    return lab.select("row_id", vector_to_array("embedding").alias("embedding"))
+
+
+@register("reason_segments", seg_sql(
+    "SELECT count(*) AS n_rows, least(3, count(*)) AS n_segments, 0 AS not_nearest FROM seg_in"))
+def q_reason_segments(spark, sf_dir):
+    """Invariants of the clustering: every row labelled, k segments, each row at its nearest centre."""
+    lab = labelled(spark, sf_dir)
+    centres = _centres(spark, sf_dir)
+    return lab.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(SG.SEGMENT).alias("n_segments"),
+                   SG.nearest_centre_violations(lab, centres).alias("not_nearest"))
+
+
+@register("segment_labels")
+def q_segment_labels(spark, sf_dir):
+    return labelled(spark, sf_dir).select("row_id", SG.SEGMENT)
+
+
+@register("segment_sizes")
+def q_segment_sizes(spark, sf_dir):
+    return RP.segment_sizes(labelled(spark, sf_dir), SG.SEGMENT)
+
+
+@register("segment_totals", seg_sql(
+    "SELECT least(3, count(*)) AS n_segments, count(*) AS total FROM seg_in"))
+def q_segment_totals(spark, sf_dir):
+    s = RP.segment_sizes(labelled(spark, sf_dir), SG.SEGMENT)
+    return s.groupBy("n_segments", "total").agg(F.sum("size").alias("_sum")).select(
+        "n_segments", F.when(F.col("_sum") == F.col("total"), F.col("total")).alias("total"))
+
+
+@register("pca_projection")
+def q_pca_projection(spark, sf_dir):
+    return SG.pca_2d(labelled(spark, sf_dir)).select("row_id", SG.SEGMENT, "pc1", "pc2")
+
+
+@register("pca_invariants", seg_sql(
+    "SELECT count(*) AS n_rows, 0.0 AS mean_pc1, 0.0 AS mean_pc2, true AS pc1_var_ge_pc2 FROM seg_in"))
+def q_pca_invariants(spark, sf_dir):
+    """Projections are centred and the first component carries the most variance."""
+    p = SG.pca_2d(labelled(spark, sf_dir))
+    return p.agg(F.count(F.lit(1)).alias("n_rows"),
+                 (F.round(F.avg("pc1"), 6) + 0.0).alias("mean_pc1"), (F.round(F.avg("pc2"), 6) + 0.0).alias("mean_pc2"),
+                 (F.var_pop("pc1") >= F.var_pop("pc2") - 1e-12).alias("pc1_var_ge_pc2"))
+
+
+@register("augment_with_segment", seg_sql(
+    "SELECT count(*) AS n_rows, (SELECT count(*) FROM seg_in) AS n_labelled FROM churn"))
+def q_augment_with_segment(spark, sf_dir):
+    a = augmented(spark, sf_dir)
+    return a.agg(F.count(F.lit(1)).alias("n_rows"), F.count(SG.SEGMENT).alias("n_labelled"))
+
+
+# --------------------------------------------------------------------- segment text tables
+@register("segment_markdown")
+def q_segment_markdown(spark, sf_dir):
+    return SG.markdown_lines(labelled(spark, sf_dir), SG.SEGMENT)
+
+
+_md_cells = " || ' | ' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in SG.SUMMARY_COLUMNS)
+_md_header = "| " + " | ".join(SG.SUMMARY_COLUMNS) + " |"
+_md_sep = "| " + " | ".join("-" * len(c) for c in SG.SUMMARY_COLUMNS) + " |"
+
+
+@register("industry_markdown", seg_sql(f"""
+SELECT CORE_INDUSTRY, line_no, md5(line) AS line_md5, length(line) AS line_chars FROM (
+  SELECT DISTINCT CORE_INDUSTRY, CAST(0 AS BIGINT) AS line_no, '{_md_header}' AS line FROM seg_in
+  UNION ALL SELECT DISTINCT CORE_INDUSTRY, 1, '{_md_sep}' FROM seg_in
+  UNION ALL SELECT CORE_INDUSTRY, row_number() OVER (PARTITION BY CORE_INDUSTRY ORDER BY row_id) + 1,
+         '| ' || {_md_cells} || ' |' FROM seg_in) t"""))
+def q_industry_markdown(spark, sf_dir):
+    """Markdown tables of the summary columns per industry (one row per line)."""
+    s = SG.segment_input(churn_rows(spark, sf_dir))
+    md = SG.markdown_lines(s, "CORE_INDUSTRY")
+    return md.select("CORE_INDUSTRY", "line_no", F.md5("line").alias("line_md5"),
+                     F.length("line").alias("line_chars"))
+
+
+@register("segment_examples")
+def q_segment_examples(spark, sf_dir):
+    return SG.segment_examples(augmented(spark, sf_dir).filter(F.col(SG.SEGMENT).isNotNull()), SG.SEGMENT)
+
+
+@register("industry_examples", seg_sql("""
+SELECT CORE_INDUSTRY, example, LOCATION_NAME, md5(substr(SWAT_CANCEL_SUMMARY, 1, 200)) AS excerpt_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY CORE_INDUSTRY ORDER BY row_id) AS example FROM churn) t
+WHERE example <= 3"""))
+def q_industry_examples(spark, sf_dir):
+    """First three churned rows per industry with a 200-character reason excerpt."""
+    ex = SG.segment_examples(churn_rows(spark, sf_dir), "CORE_INDUSTRY")
+    return ex.select("CORE_INDUSTRY", "example", "LOCATION_NAME", F.md5("reason_excerpt").alias("excerpt_md5"))
+
+
+# --------------------------------------------------------------------- dashboard pages over churned rows
+_TOP_COLS = ["CORE_INDUSTRY", "STARTING_BUNDLE", "PRACTICE_MANAGEMENT_SOFTWARE"]
+
+
+@register("top_values_pct", seg_sql("\nUNION ALL\n".join(f"""
+SELECT * FROM (SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS count,
+       round(count(*) * 100.0 / (SELECT count(*) FROM churn), 1) AS pct
+  FROM churn WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count DESC, value LIMIT 5)""" for c in _TOP_COLS)))
+def q_top_values_pct(spark, sf_dir):
+    a = augmented(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [RP.top_values_pct(a, c, 5) for c in _TOP_COLS])
+
+
+@register("tenure_revenue_summary", seg_sql("""
+SELECT avg(LIFETIME_MONTHS) AS avg_tenure, CAST(median(LIFETIME_MONTHS) AS DOUBLE) AS median_tenure,
+       round(avg(STARTING_MRR), 6) AS avg_revenue, sum(STARTING_MRR) AS total_revenue FROM churn"""))
+def q_tenure_revenue_summary(spark, sf_dir):
+    s = RP.tenure_revenue_summary(augmented(spark, sf_dir), "LIFETIME_MONTHS", "STARTING_MRR")
+    return s.select("avg_tenure", F.col("median_tenure").cast("double"),
+                    F.round(F.col("avg_revenue").cast("double"), 6).alias("avg_revenue"), "total_revenue")
+
+
+_theme_sql = "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS theme, count_if(" + " OR ".join(
+        f"contains(lower(SWAT_CANCEL_SUMMARY), '{w}')" for w in words) + ") AS customers FROM churn"
+    for name, words in RP.THEMES.items())
+
+
+@register("pain_point_themes", seg_sql(_theme_sql))
+def q_pain_point_themes(spark, sf_dir):
+    return RP.theme_counts(augmented(spark, sf_dir), "SWAT_CANCEL_SUMMARY")
+
+
+PROFILE_CTE = """
+top AS (SELECT CORE_INDUSTRY AS grp, count(*) AS customers FROM churn WHERE CORE_INDUSTRY IS NOT NULL
+        GROUP BY 1 ORDER BY customers DESC, grp LIMIT 4),
+base AS (SELECT * FROM churn WHERE CORE_INDUSTRY IN (SELECT grp FROM top))"""
+
+
+@register("industry_profiles", seg_sql("""
+SELECT grp AS industry, 'summary' AS kind, 0 AS rank,
+       printf('avg_mrr=%.2f avg_tenure=%.2f', avg_mrr, avg_tenure) AS value, customers AS count
+FROM top JOIN (SELECT CORE_INDUSTRY AS g, avg(STARTING_MRR) AS avg_mrr, avg(LIFETIME_MONTHS) AS avg_tenure
+               FROM base GROUP BY 1) s ON s.g = top.grp
+UNION ALL
+SELECT grp, 'pms', rank, value, count FROM (
+  SELECT CORE_INDUSTRY AS grp, PRACTICE_MANAGEMENT_SOFTWARE AS value, count(*) AS count,
+         row_number() OVER (PARTITION BY CORE_INDUSTRY ORDER BY count(*) DESC, PRACTICE_MANAGEMENT_SOFTWARE) AS rank
+  FROM base WHERE PRACTICE_MANAGEMENT_SOFTWARE IS NOT NULL GROUP BY 1, 2) t WHERE rank <= 3
+UNION ALL
+SELECT grp, 'bundle', rank, value, count FROM (
+  SELECT CORE_INDUSTRY AS grp, STARTING_BUNDLE AS value, count(*) AS count,
+         row_number() OVER (PARTITION BY CORE_INDUSTRY ORDER BY count(*) DESC, STARTING_BUNDLE) AS rank
+  FROM base WHERE STARTING_BUNDLE IS NOT NULL GROUP BY 1, 2) t WHERE rank <= 2""", PROFILE_CTE))
+def q_industry_profiles(spark, sf_dir):
+    return RP.industry_profiles(augmented(spark, sf_dir), "CORE_INDUSTRY", "PRACTICE_MANAGEMENT_SOFTWARE",
+                                "STARTING_BUNDLE", "STARTING_MRR", "LIFETIME_MONTHS")
+
+
+@register("segment_report")
+def q_segment_report(spark, sf_dir):
+    """The assistant context as a table: (section, key, value) rows from the page aggregates."""
+    a = augmented(spark, sf_dir)
+    sizes = RP.segment_sizes(labelled(spark, sf_dir), SG.SEGMENT).select(
+        F.lit("segment_size").alias("section"), F.col("segment").cast("string").alias("key"),
+        F.col("size").cast("string").alias("value"))
+    tops = reduce(DataFrame.unionByName, [RP.top_values_pct(a, c, 5) for c in _TOP_COLS]).select(
+        F.concat(F.lit("top_"), F.col("column")).alias("section"), F.col("value").alias("key"),
+        F.format_string("%d (%.1f%%)", "count", "pct").alias("value"))
+    themes = RP.theme_counts(a, "SWAT_CANCEL_SUMMARY").select(
+        F.lit("pain_point").alias("section"), F.col("theme").alias("key"), F.col("customers").cast("string").alias("value"))
+    ten = RP.tenure_revenue_summary(a, "LIFETIME_MONTHS", "STARTING_MRR")
+    tenure = ten.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("key"), F.format_number(F.col(k).cast("double"), 2).alias("value"))
+        for k in ("avg_tenure", "median_tenure", "avg_revenue", "total_revenue")])).alias("kv")).select(
+        F.lit("tenure_revenue").alias("section"), "kv.key", "kv.value")
+    return reduce(DataFrame.unionByName, [sizes, tops, themes, tenure])
+
+
+# --------------------------------------------------------------------- CSV sink and source
+@register("csv_roundtrip", seg_sql(
+    "SELECT row_id, md5(SWAT_CANCEL_SUMMARY) AS summary_md5 FROM seg_in"))
+def q_csv_roundtrip(spark, sf_dir):
+    """Labelled rows written as CSV (quoted multi-line text) to the shared folder, read back whole."""
+    lab = labelled(spark, sf_dir).select("row_id", SG.REASON_COLUMN, SG.SEGMENT)
+    path = files.export_path(spark, "segments_csv")
+    files.write_csv(lab, path)
+    back = files.read_csv(spark, path, "row_id STRING, SWAT_CANCEL_SUMMARY STRING, reason_segment INT")
+    return back.select("row_id", F.md5(SG.REASON_COLUMN).alias("summary_md5"))
+
+
+@register("column_catalog")
+def q_column_catalog(spark, sf_dir):
+    from ..functions.columns import column_catalog
+    return column_catalog(augmented(spark, sf_dir))

@@ -41,10 +41,12 @@ PRODUCT_NAME = ("CASE WHEN p_type = 'PROMO' THEN 'Core - ' || p_brand "
                 "ELSE 'Essentials - ' || p_brand END")
 PRODUCT_FAMILY = ("CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 'Core Products' "
                   "ELSE 'Add-ons' END")
-SUPPORT_PRIMARY = ("CASE event_type WHEN 'error' THEN 'Data Sync failure' "
-                   "WHEN 'purchase' THEN 'Billing question' "
-                   "WHEN 'signup' THEN 'Phone System setup' "
-                   "WHEN 'click' THEN 'General' END")
+# Only the costlier error / purchase events become data-sync / billing
+# cases, so the reason flags vary between locations.
+SUPPORT_PRIMARY = ("CASE WHEN event_type = 'error' AND value >= 100 THEN 'Data Sync failure' "
+                   "WHEN event_type = 'purchase' AND value >= 120 THEN 'Billing question' "
+                   "WHEN event_type = 'signup' THEN 'Phone System setup' "
+                   "WHEN event_type = 'click' THEN 'General' END")
 
 
 OPPORTUNITY_SEGMENT = ("CASE WHEN o_totalprice < 100000 THEN 'Single' "
