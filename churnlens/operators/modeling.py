@@ -188,13 +188,16 @@ def train_churn_model(model_rows: DataFrame, features: Sequence[str], label: str
     """
     features = list(features)
     train = model_rows.filter(q(split_col) == "train")
+    counts = class_counts(train, label)
+    if len(counts) < 2:
+        raise ValueError(f"the training split holds a single class {sorted(counts)}; cannot fit a classifier")
     medians = fit_medians(train, features)
     train_i = impute(train, medians)
     scaler = fit_scaler(train_i, features)
     scaled = standardise(train_i, scaler)
     weights: dict[int, float] = {}
     if balance == "class_weight":
-        weights = balanced_weights(class_counts(train, label))
+        weights = balanced_weights(counts)
         scaled = scaled.withColumn(WEIGHT, weight_column(label, weights))
     intercept, coefs = fit_logistic(scaled, features, label, WEIGHT if weights else None, C)
     model = ChurnModel(features, medians, scaler, intercept, coefs, weights=weights)

@@ -3,8 +3,8 @@ grouped aggregation over the scored or segmented rows.
 
 Top-k results use ``orderBy(...).limit(k)`` (a TakeOrderedAndProject: each
 task keeps k rows, so the driver receives k x tasks rows at most); per-group
-top-k uses ``row_number`` over a window partitioned by the group after the
-rows were reduced to one per (group, value) by an aggregate.
+top-k first reduces rows to one per (group, value) by an aggregate, then
+takes the top k in two salted phases (``ranking.top_n_per_group``).
 """
 
 from __future__ import annotations
@@ -98,7 +98,8 @@ def industry_profiles(df: DataFrame, industry: str, pms: str, bundle: str, mrr:
     bun_top = top_k_per_group(base, industry, bundle, n_bundles).withColumn("kind", F.lit("bundle"))
     summary = top.join(stats, "grp").select(
         "grp", F.lit("summary").alias("kind"), F.lit(0).alias("rank"),
-        F.format_string("avg_mrr=%.2f avg_tenure=%.2f", "avg_mrr", "avg_tenure").alias("value"),
+        F.format_string("avg_mrr=%.2f avg_tenure=%.2f", F.col("avg_mrr").cast("double"),
+                        F.col("avg_tenure").cast("double")).alias("value"),
         F.col("customers").alias("count"))
     parts = [summary, pms_top.select("grp", "kind", "rank", F.col("value").cast("string"), "count"),
              bun_top.select("grp", "kind", "rank", F.col("value").cast("string"), "count")]

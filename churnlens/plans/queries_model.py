@@ -356,6 +356,22 @@ def q_risk_ranks(spark, sf_dir):
     return s.select(FE.ROW_ID, "rank_by_p", "rank_by_bri")
 
 
+@register("risk_ranked_accounts", stage2s(f"""
+SELECT row_id, "Core Industry", "BundleType", churn_flag AS y_true, {_rs('p_churn')} AS p_churn,
+       {_rs('business_risk_index')} AS business_risk_index,
+       row_number() OVER (ORDER BY p_churn DESC, row_id) AS rank_by_p,
+       row_number() OVER (ORDER BY business_risk_index DESC, row_id) AS rank_by_bri
+FROM scr"""))
+def q_risk_ranked_accounts(spark, sf_dir):
+    """Flagship: every account's churn probability, risk index and both ranks (skew-safe global rank)."""
+    s = coef_scored(spark, sf_dir)
+    s = global_rank(s, [F.col("p_churn").desc(), F.col(FE.ROW_ID)], "rank_by_p")
+    s = global_rank(s, [F.col("business_risk_index").desc(), F.col(FE.ROW_ID)], "rank_by_bri")
+    return s.select(FE.ROW_ID, q("Core Industry"), q("BundleType"), F.col(FE.LABEL).alias("y_true"),
+                    _r("p_churn").alias("p_churn"), _r("business_risk_index").alias("business_risk_index"),
+                    "rank_by_p", "rank_by_bri")
+
+
 @register("risk_quantile", stage2s(
     f"SELECT {_rs('quantile_cont(business_risk_index, 0.8)')} AS high_risk_threshold FROM scr"))
 def q_risk_quantile(spark, sf_dir):

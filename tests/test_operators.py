@@ -73,7 +73,7 @@ def test_drop_missing_both_intent_and_parity(spark):
     df = spark.createDataFrame([(" ", None), ("x", None), (None, None)],
                                "`Practice Management Software` STRING, Integrations STRING")
     assert cleaning.drop_missing_both(df).count() == 1
-    assert cleaning.drop_missing_both(df, null_as_text=True).count() == 2
+    assert cleaning.drop_missing_both(df, null_as_text=True).count() == 3  # null -> "nan", never blank
 
 
 def test_standardise_columns_alias_and_tag(spark):
