@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cleaning import q
-from .ranking import prefix_sums
+from .ranking import exact_quantiles, prefix_sums
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -118,8 +118,9 @@ def classification_report(df: DataFrame, label: str, pred: str, digits: int = 4)
 def probability_summary(df: DataFrame, col: str, digits: int = 4, exact: bool = True) -> DataFrame:
     """count, mean, std, min, 10/50/90 % (linear interpolation), max."""
     x = q(col)
-    if exact:
-        pct = F.percentile(x, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    if exact:  # order statistics from a range-partitioned rank (no one-task value map)
+        vals = exact_quantiles(df, x, [0.1, 0.5, 0.9])
+        pct = F.array(*[F.lit(v).cast("double") for v in vals])
     else:
         pct = F.percentile_approx(x, [0.1, 0.5, 0.9], 10000)
     s = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),

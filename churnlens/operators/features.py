@@ -48,6 +48,8 @@ NOTEBOOK_FEATURES = [f for f in MODEL_FEATURES if f != "Reason Billing Flag"]
 ROW_KEY = ["Location Id", "Churn Month", "Starting Bundle", "End Bundle", "SWAT_CASE_ID",
            "First Usage Report Month"]
 ROW_ID = "row_id"
+# Id columns looked up, first present wins.
+ID_CANDIDATES = ["account_id", "customer_id", "location_id", "id", "AccountId", "CustomerId", "Location Id"]
 
 
 def add_row_id(df: DataFrame, keys: Sequence[str] = ROW_KEY, name: str = ROW_ID) -> DataFrame:

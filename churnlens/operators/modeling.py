@@ -262,3 +262,35 @@ def business_risk_index(df: DataFrame, proba: str = "y_proba") -> Column:
         v = (v == 1).cast("int") if c.startswith(("BundleType_", "PMS_Group_")) else v.cast("int")
         bri = bri * (F.lit(1.0) + F.lit(k) * v)
     return F.greatest(F.least(bri, F.lit(1.0)), F.lit(0.0))
+
+
+# --------------------------------------------------------------------------- persistence
+def save_model(model: ChurnModel, path: str) -> None:
+    """Parameters as one JSON row (parquet) plus the MLlib isotonic model, under ``path``."""
+    import json
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    params = {"features": model.features, "medians": model.medians,
+              "scaler": {k: list(v) for k, v in model.scaler.items()}, "intercept": model.intercept,
+              "coefficients": model.coefficients, "threshold": model.threshold,
+              "weights": {str(k): v for k, v in model.weights.items()}}
+    spark.createDataFrame([(json.dumps(params),)], "params STRING").write.parquet(f"{path}/params")
+    if model.iso is not None:
+        model.iso.save(f"{path}/isotonic")
+
+
+def load_model(path: str) -> ChurnModel:
+    import json
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    p = json.loads(spark.read.parquet(f"{path}/params").first()["params"])
+    m = ChurnModel(p["features"], p["medians"], {k: tuple(v) for k, v in p["scaler"].items()},
+                   p["intercept"], p["coefficients"], threshold=p["threshold"],
+                   weights={int(k): v for k, v in p["weights"].items()})
+    try:
+        m.iso = IsotonicRegressionModel.load(f"{path}/isotonic")
+        m.boundaries = [float(v) for v in m.iso.boundaries.toArray()]
+        m.predictions = [float(v) for v in m.iso.predictions.toArray()]
+    except Exception:  # noqa: BLE001 - an uncalibrated model has no isotonic part
+        m.iso = None
+    return m

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cleaning import q
-from .ranking import top_n_per_group
+from .ranking import exact_quantiles, top_n_per_group
 
 # Pain-point themes (any keyword, lower-cased substring; a row
 # may count under several themes).
@@ -106,14 +106,19 @@ def industry_profiles(df: DataFrame, industry: str, pms: str, bundle: str, mrr:
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("grp", "industry")
 
 
+def risk_threshold(df: DataFrame, risk: str, quantile: float = 0.8) -> float | None:
+    """Exact quantile of the risk column (linear interpolation), without a one-task value map."""
+    return exact_quantiles(df, q(risk), [quantile])[0]
+
+
 def high_risk_top(df: DataFrame, risk: str, key: str, quantile: float = 0.8, k: int = 20) -> DataFrame:
     """Rows at or above the risk quantile (linear interpolation), top k by risk then key."""
-    thr = df.agg(F.percentile(q(risk), quantile)).first()[0]
+    thr = risk_threshold(df, risk, quantile)
     return df.filter(q(risk) >= F.lit(thr)).orderBy(q(risk).desc(), q(key)).limit(k)
 
 
 def high_risk_count(df: DataFrame, risk: str, quantile: float = 0.8) -> DataFrame:
-    thr = df.agg(F.percentile(q(risk), quantile)).first()[0]
+    thr = risk_threshold(df, risk, quantile)
     return df.filter(q(risk) >= F.lit(thr)).agg(F.count(F.lit(1)).alias("high_risk_customers"),
                                                  F.lit(thr).alias("risk_threshold"))
 

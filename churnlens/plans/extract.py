@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import cleaning, cohort
+from ..session import cut_lineage
 
 ID_COLUMNS = ["SLUG", "FINANCE_ID", "LOCATION_ID", "LOCATION_NAME"]
 WEEK_COLUMNS = [f"WEEK_{k}_CASES" for k in range(1, 13)]
@@ -26,7 +27,8 @@ def clean_cohort(wide: DataFrame, retain_min: int = 12, churn_range: tuple[int,
     out = cohort.cohort_filter(wide, retain_min, churn_range, since)
     out = cleaning.complete_rows_ci(out, ID_COLUMNS)
     if drop_empty_columns:
-        out = cleaning.drop_all_null_columns(out)
+        # written once, so the column scan and the consumers read the same rows
+        out = cleaning.drop_all_null_columns(cut_lineage(out))
     out = cleaning.complete_rows_ci(out, WEEK_COLUMNS)
     return cleaning.complete_rows_ci(out, STAGE1_USAGE)
 

@@ -12,7 +12,7 @@ from ..operators import cleaning, cohort as C
 from ..sources.testdata import load_sources
 from ..sources.testdata_sql import with_views
 from . import extract
-from .stages import materialised
+from .stages import MaterialisedSources, materialised
 from .oracle_cohort import SOURCE_VIEWS, WIDE_CTE, cohort_clean_cte, cohort_kept_cte, stage1
 from .registry import TESTDATA_PARAMS, register
 
@@ -23,7 +23,7 @@ KEPT = cohort_kept_cte(P["retain_min"], LO, HI, P["since"])
 
 
 def _src(spark: SparkSession, sf_dir: str):
-    return load_sources(spark, sf_dir)
+    return MaterialisedSources(spark, sf_dir, load_sources(spark, sf_dir))
 
 
 def _m(spark, sf_dir):

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
 from ..functions.columns import standardise_columns
 from ..operators import evaluation as EV
 from ..operators import features as FE
@@ -14,6 +15,7 @@ from ..operators import inference as INF
 from ..operators import modeling as MO
 from ..operators.cleaning import q
 from ..operators.ranking import global_rank
+from .oracle_cohort import stage1
 from .oracle_model import FEATURE_SQL, coefficient_score_sql, risk_sql, stage2
 from .queries_cohort import cohort_frame
 from .stages import materialised
@@ -47,8 +49,10 @@ def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, model = enriched_and_model(spark, sf_dir)
     feats = FE.available_features(model)
     extra = [c for c in ACTIVATED if c not in feats and c in model.columns]
+    ids = FE.require_columns(model, FE.ID_CANDIDATES)[:1]  # first present id column
     out = model.select(
-        FE.ROW_ID, *[q(f).cast("double").alias(f) for f in feats], *[q(c) for c in extra],
+        FE.ROW_ID, *[q(c) for c in ids],
+        *[X.finite_or_null(q(f)).alias(f) for f in feats], *[q(c) for c in extra],
         F.col(FE.LABEL), q("Core Industry"), q("BundleType"),
         q(FE.TENURE).cast("double").alias("tenure"), q("Lifetime Value").cast("double").alias("revenue"))
     return MO.stratified_split(out, FE.ROW_ID)
@@ -375,8 +379,10 @@ def q_risk_ranked_accounts(spark, sf_dir):
 @register("risk_quantile", stage2s(
     f"SELECT {_rs('quantile_cont(business_risk_index, 0.8)')} AS high_risk_threshold FROM scr"))
 def q_risk_quantile(spark, sf_dir):
-    s = coef_scored(spark, sf_dir)
-    return s.agg(_r(F.percentile("business_risk_index", 0.8)).alias("high_risk_threshold"))
+    from ..operators import reports as RP
+    thr = RP.risk_threshold(coef_scored(spark, sf_dir), "business_risk_index", 0.8)
+    return spark.createDataFrame([(thr,)], "high_risk_threshold DOUBLE").select(
+        _r("high_risk_threshold").alias("high_risk_threshold"))
 
 
 @register("high_risk_top20", stage2s(f"""
@@ -475,7 +481,8 @@ def q_scored_dataset_with_risk(spark, sf_dir):
     s = global_rank(s, [F.col("y_proba").desc(), F.col(FE.ROW_ID)], "rank_by_p")
     s = global_rank(s, [F.col("business_risk_index").desc(), F.col(FE.ROW_ID)], "rank_by_bri")
     return s.select(FE.ROW_ID, F.lit("all").alias("split"), "y_true", "y_proba", "y_pred", "threshold_used",
-                    F.col("y_proba").alias("p_churn"), "business_risk_index", "rank_by_p", "rank_by_bri")
+                    F.col("y_proba").alias("p_churn"), "business_risk_index", "rank_by_p", "rank_by_bri"
+                    ).orderBy("rank_by_bri")  # the risk table is written most-at-risk first
 
 
 @register("scored_rows_consistency", stage2s(
@@ -539,3 +546,45 @@ def q_linear_attributions(spark, sf_dir):
     means = INF.background_means(m.filter(F.col("split") == "train"), feats)
     val = m.filter(F.col("split") == "val")
     return INF.linear_attributions(val, INF.PUBLISHED_COEFFICIENTS, means, keep=[FE.ROW_ID])
+
+
+@register("saved_model_scores", stage2("SELECT count(*) AS n_rows, 0.0 AS max_abs_diff FROM mdl"))
+def q_saved_model_scores(spark, sf_dir):
+    """Out-of-time use: the fitted model is saved to the shared store, loaded back and
+    applied to every row; the scores must equal the in-memory model's."""
+    from ..sources.files import export_path
+    m, feats, model = fitted(spark, sf_dir)
+    path = export_path(spark, "churn_model")
+    MO.save_model(model, path)
+    loaded = MO.load_model(path)
+    a = MO.score_rows(m, model, FE.LABEL, keep=[FE.ROW_ID]).withColumnRenamed("y_proba", "p_mem")
+    b = MO.score_rows(m, loaded, FE.LABEL, keep=[FE.ROW_ID]).select(FE.ROW_ID, F.col("y_proba").alias("p_disk"))
+    j = a.join(b, FE.ROW_ID, "full")
+    return j.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.coalesce(F.max(F.abs(F.col("p_mem") - F.col("p_disk"))), F.lit(0.0)).alias("max_abs_diff"))
+
+
+@register("write_counts", stage2("SELECT count(*) AS rows_written FROM mdl"))
+def q_write_counts(spark, sf_dir):
+    """Rows written by the scored-rows sink, observed during the write."""
+    from ..sources.files import export_path, write_counted
+    n = write_counted(coef_scored(spark, sf_dir), export_path(spark, "scored_rows"))
+    return spark.createDataFrame([(n,)], "rows_written LONG")
+
+
+@register("lifetime_stats_sql", stage1("SELECT * FROM life"))
+def q_lifetime_stats_sql(spark, sf_dir):
+    """The lifetime CTE as SQL text through ``spark.sql`` over the source views."""
+    from ..sources.files import run_query
+    from .queries_cohort import _src
+    src = _src(spark, sf_dir)
+    sql = """
+    WITH hist AS (
+      SELECT customer_id, month_ending, total_mrr FROM (
+        SELECT *, max(CASE WHEN is_new THEN month_ending END) OVER (PARTITION BY customer_id) AS restart
+        FROM mrr_by_location) x
+      WHERE month_ending >= restart)
+    SELECT customer_id, CAST(sum(total_mrr) AS DECIMAL(38,2)) AS lifetime_value,
+           count(*) AS lifetime_months, min(month_ending) AS first_month
+    FROM hist GROUP BY customer_id"""
+    return run_query(spark, sql, {"mrr_by_location": src["mrr_by_location"]})

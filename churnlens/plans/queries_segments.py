@@ -19,6 +19,7 @@ from .oracle_model import ROW_ID_SQL, stage2
 from .queries_cohort import cohort_frame
 from .registry import register
 from .stages import materialised
+from ..session import cut_lineage
 
 ROW_KEY = ["LOCATION_ID", "CHURN_MONTH", "STARTING_BUNDLE", "END_BUNDLE", "SWAT_CASE_ID",
            "FIRST_USAGE_REPORT_MONTH"]
@@ -51,7 +52,8 @@ def churn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a cancel summary, their embedding and reason segment (materialised once)."""
     def build():
-        emb = SG.embed(SG.segment_input(churn_rows(spark, sf_dir)))
+        # written once: KMeans passes over its input every iteration
+        emb = cut_lineage(SG.embed(SG.segment_input(churn_rows(spark, sf_dir))))
         out, centres = SG.cluster(emb)
         labelled.centres[(sf_dir, spark.sparkContext.applicationId)] = centres
         return out
@@ -287,3 +289,31 @@ def q_csv_roundtrip(spark, sf_dir):
 def q_column_catalog(spark, sf_dir):
     from ..functions.columns import column_catalog
     return column_catalog(augmented(spark, sf_dir))
+
+
+# Display columns of the segment detail page.
+DETAIL_COLUMNS = ["LOCATION_NAME", "CORE_INDUSTRY", "PRACTICE_MANAGEMENT_SOFTWARE", "STARTING_BUNDLE",
+                  "LIFETIME_MONTHS", "STARTING_MRR", "SWAT_CANCEL_SUMMARY", "reason_segment"]
+
+
+def segment_detail(df: DataFrame, segment: int | None = None) -> DataFrame:
+    """Rows of one segment (``None`` = all segments) with the display columns that exist."""
+    out = df if segment is None else df.filter(F.col(SG.SEGMENT) == segment)
+    present = set(out.columns)
+    return out.select(*[c for c in DETAIL_COLUMNS if c in present])
+
+
+@register("segment_detail", seg_sql(
+    "SELECT LOCATION_NAME, CORE_INDUSTRY, PRACTICE_MANAGEMENT_SOFTWARE, STARTING_BUNDLE, LIFETIME_MONTHS, "
+    "md5(SWAT_CANCEL_SUMMARY) AS summary_md5 FROM churn"))
+def q_segment_detail(spark, sf_dir):
+    """'All Segments' view of the detail page (every churned row)."""
+    d = segment_detail(augmented(spark, sf_dir))
+    return d.select("LOCATION_NAME", "CORE_INDUSTRY", "PRACTICE_MANAGEMENT_SOFTWARE", "STARTING_BUNDLE",
+                    "LIFETIME_MONTHS", F.md5("SWAT_CANCEL_SUMMARY").alias("summary_md5"))
+
+
+@register("segment_detail_one")
+def q_segment_detail_one(spark, sf_dir):
+    """Detail rows of segment 1 (the largest)."""
+    return segment_detail(augmented(spark, sf_dir), 1)

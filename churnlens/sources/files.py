@@ -43,3 +43,23 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def write_counted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> int:
+    """Write ``df`` and return its row count, observed during the write (no extra pass)."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    obs = Observation("rows_written")
+    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    if fmt == "csv":
+        write_csv(observed, path, mode)
+    else:
+        observed.write.mode(mode).format(fmt).save(path)
+    return int(obs.get["rows"])
+
+
+def run_query(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run SQL text over named DataFrames (registered as temporary views); lazy."""
+    for name, frame in (views or {}).items():
+        frame.createOrReplaceTempView(name)
+    return spark.sql(sql)

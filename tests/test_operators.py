@@ -240,3 +240,13 @@ def test_fixed_histogram_top_edge_in_last_bin(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (0.5,)], "r DOUBLE")
     got = {r["bin"]: r["n"] for r in RP.fixed_histogram(df, "r", 50).collect()}
     assert got == {0: 1, 25: 1, 49: 1}
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from churnlens.operators.ranking import exact_quantiles
+    rnd = random.Random(5)
+    vals = [rnd.choice([0.1, 0.25, 0.25, 0.7]) if i % 3 else rnd.random() for i in range(997)] + [None]
+    df = spark.createDataFrame([(v,) for v in vals], "v DOUBLE")
+    got = exact_quantiles(df, F.col("v"), [0.0, 0.1, 0.5, 0.8, 1.0], num_partitions=5)
+    exp = df.agg(F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 0.1, 0.5, 0.8, 1.0)]))).first()[0]
+    assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(got, exp))
