@@ -152,7 +152,7 @@ class ChurnModel:
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str = LABEL,
                  weight: str | None = WEIGHT, C: float = 1.0, max_iter: int = 500,
-                 tol: float = 1e-10) -> tuple[float, list[float]]:
+                 tol: float = 1e-8) -> tuple[float, list[float]]:
     """L2-penalised logistic regression with the objective C * sum(w * loss) + |b|^2 / 2.
 
     MLlib minimises sum(w * loss) / sum(w) + regParam * |b|^2 / 2, so the
@@ -193,6 +193,9 @@ def train_churn_model(model_rows: DataFrame, features: Sequence[str], label: str
         raise ValueError(f"the training split holds a single class {sorted(counts)}; cannot fit a classifier")
     medians = fit_medians(train, features)
     train_i = impute(train, medians)
+    if balance == "smote":  # oversample after imputing, before scaling (train rows only)
+        from .smote import smote
+        train_i = smote(train_i, features, label)
     scaler = fit_scaler(train_i, features)
     scaled = standardise(train_i, scaler)
     weights: dict[int, float] = {}

@@ -250,3 +250,40 @@ def test_exact_quantiles_match_percentile(spark):
     got = exact_quantiles(df, F.col("v"), [0.0, 0.1, 0.5, 0.8, 1.0], num_partitions=5)
     exp = df.agg(F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 0.1, 0.5, 0.8, 1.0)]))).first()[0]
     assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(got, exp))
+
+
+def test_smote_balances_and_interpolates_true_neighbours(spark):
+    """Every synthetic row lies between its base row and one of the base's k exact nearest
+    minority neighbours (brute force), and the classes end up equal."""
+    import numpy as np
+    from churnlens.operators.smote import smote
+    rnd = random.Random(1)
+    rows = []
+    for i in range(40):  # minority, with duplicated vectors
+        v = (float(rnd.randint(0, 3)), float(rnd.randint(0, 1)), round(rnd.random(), 2) if i % 4 else 0.5)
+        rows.append((f"m{i}", *v, 1))
+    for i in range(130):
+        rows.append((f"M{i}", rnd.random() * 5, rnd.random(), rnd.random(), 0))
+    df = spark.createDataFrame(rows, "row_id STRING, a DOUBLE, b DOUBLE, c DOUBLE, churn_flag INT")
+    out = smote(df, ["a", "b", "c"], "churn_flag", k=5)
+    got = out.collect()
+    assert sum(r["churn_flag"] == 1 for r in got) == 130 and sum(r["churn_flag"] == 0 for r in got) == 130
+    mino = {r[0]: np.array(r[1:4]) for r in rows if r[4] == 1}
+    for r in got:
+        if r["synthetic"] != 1:
+            continue
+        b = r["row_id"].split("#s")[0]
+        xb, xn = mino[b], np.array([r["a"], r["b"], r["c"]])
+        others = sorted(np.linalg.norm(v - xb) for kk, v in mino.items() if kk != b)
+        kth = others[4]
+        ok = False
+        for kk, v in mino.items():
+            if kk == b or np.linalg.norm(v - xb) > kth + 1e-12:
+                continue
+            d = v - xb
+            if np.allclose(d, 0):
+                ok = ok or np.allclose(xn, xb)
+                continue
+            g = float(np.dot(xn - xb, d) / np.dot(d, d))
+            ok = ok or (-1e-9 <= g <= 1 + 1e-9 and np.allclose(xb + g * d, xn))
+        assert ok, r
