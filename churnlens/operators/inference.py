@@ -107,8 +107,9 @@ def background_means(df: DataFrame, features: Sequence[str], n: int = 1000, seed
     The sample is the ``n`` rows with the smallest seeded hash of the row key
     (a top-n, merged map-side), so it is reproducible and bounded.
     """
-    h = F.xxhash64(q(key), F.lit(seed))
-    bg = df.select(*[q(c).cast("double").alias(c) for c in features], h.alias("_h")).orderBy("_h").limit(n)
+    h = F.md5(F.concat_ws("|", q(key).cast("string"), F.lit(str(seed))))
+    bg = (df.select(*[q(c).cast("double").alias(c) for c in features], h.alias("_h"), q(key).alias("_k"))
+          .orderBy("_h", "_k").limit(n))
     row = bg.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
     return {c: float(row[f"m{i}"]) for i, c in enumerate(features)}
 

@@ -538,14 +538,29 @@ def q_logit_one_flag(spark, sf_dir):
                     F.round("std_err", 6).alias("std_err"))
 
 
-@register("linear_attributions")
+def _attr_sql() -> str:
+    coefs = INF.PUBLISHED_COEFFICIENTS
+    feats = [f for f in FEATS if f in coefs]
+    means = ", ".join(f'avg("{f}") AS "m_{f}"' for f in feats)
+    phis = ", ".join(f'{_rs(f"({coefs[f]!r}) * (v.\"{f}\" - bg.\"m_{f}\")")} AS "phi_{f}"' for f in feats)
+    base = " + ".join([repr(coefs["const"])] + [f'({coefs[f]!r}) * bg."m_{f}"' for f in feats])
+    margin = " + ".join([repr(coefs["const"])] + [f'({coefs[f]!r}) * v."{f}"' for f in feats])
+    return stage2(f"""
+SELECT v.row_id, {phis}, {_rs(base)} AS base_value, {_rs(margin)} AS margin
+FROM mdl v, (SELECT {means} FROM (SELECT * FROM mdl WHERE split = 'train'
+                                 ORDER BY md5(row_id || '|42'), row_id LIMIT 1000) s) bg
+WHERE v.split = 'val'""")
+
+
+@register("linear_attributions", _attr_sql())
 def q_linear_attributions(spark, sf_dir):
     """Per-row contributions of each feature to the published model's margin (val rows)."""
     m = model_rows(spark, sf_dir)
     feats = [f for f in FE.available_features(m) if f in INF.PUBLISHED_COEFFICIENTS]
     means = INF.background_means(m.filter(F.col("split") == "train"), feats)
     val = m.filter(F.col("split") == "val")
-    return INF.linear_attributions(val, INF.PUBLISHED_COEFFICIENTS, means, keep=[FE.ROW_ID])
+    out = INF.linear_attributions(val, INF.PUBLISHED_COEFFICIENTS, means, keep=[FE.ROW_ID])
+    return out.select(FE.ROW_ID, *[_r(c).alias(c) for c in out.columns if c != FE.ROW_ID])
 
 
 @register("saved_model_scores", stage2("SELECT count(*) AS n_rows, 0.0 AS max_abs_diff FROM mdl"))
