@@ -3,11 +3,13 @@
 ``Window.orderBy(...)`` with no partition key moves every row into one task.
 Here the frame is range-partitioned on the order key (ties split by the
 unique id, so a hot value is spread over many partitions), sorted inside each
-partition and materialised once with a reliable checkpoint, so the count pass
+partition and written once to the shared checkpoint folder, so the count pass
 and the numbering pass see the same partitions even after executor loss.
 Per-partition counts/totals form a table with one row per partition -- its
 size is bounded by the partition count, not the data -- and are turned into
-offsets that are broadcast back.
+offsets that are broadcast back.  A frame whose row count is measured to
+be small (``SMALL_ROWS``) is ranked by one ordered window instead, which
+skips the write.
 """
 
 from __future__ import annotations
@@ -44,10 +46,23 @@ def _offsets(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
                                    for k in totals])
 
 
+# Below this many rows a frame is ranked by one ordered window (one task);
+# the row count is measured first, so the one-task path only ever sees a
+# proven-small frame.  Larger frames take the range-partitioned path.
+SMALL_ROWS = 100_000
+
+
+def _is_small(df: DataFrame, small_rows: int | None) -> bool:
+    limit = SMALL_ROWS if small_rows is None else small_rows
+    return limit > 0 and df.limit(limit + 1).count() <= limit
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, small_rows: int | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order`` (which must be unique,
     i.e. end with a tie-breaking id), like a 'first'-method rank."""
+    if num_partitions is None and _is_small(df, small_rows):
+        return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
     ranged = _ranged(df, order, num_partitions)
     offsets = _offsets(ranged, {"n": F.count(F.lit(1))})
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
@@ -57,8 +72,12 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
 
 
 def prefix_sums(df: DataFrame, order: Sequence[Column], value_cols: Sequence[str],
-                suffix: str = "_cum", num_partitions: int | None = None) -> DataFrame:
+                suffix: str = "_cum", num_partitions: int | None = None,
+                small_rows: int | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` along the total order ``order``."""
+    if num_partitions is None and _is_small(df, small_rows):
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(v).over(w).alias(v + suffix) for v in value_cols])
     ranged = _ranged(df, order, num_partitions)
     offsets = _offsets(ranged, {v: F.sum(v) for v in value_cols})
     w = (Window.partitionBy(_PID).orderBy(_MID)

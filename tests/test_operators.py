@@ -287,3 +287,16 @@ def test_smote_balances_and_interpolates_true_neighbours(spark):
             g = float(np.dot(xn - xb, d) / np.dot(d, d))
             ok = ok or (-1e-9 <= g <= 1 + 1e-9 and np.allclose(xb + g * d, xn))
         assert ok, r
+
+
+def test_small_and_distributed_rank_paths_agree(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice([1.0, 2.0, 3.0])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id INT, s DOUBLE")
+    order = [F.col("s").desc(), F.col("id")]
+    small = {r["id"]: r["rank"] for r in global_rank(df, order, "rank").collect()}
+    big = {r["id"]: r["rank"] for r in global_rank(df, order, "rank", small_rows=0).collect()}
+    assert small == big
+    ps_small = {r["id"]: r["s_cum"] for r in prefix_sums(df, [F.col("id")], ["s"]).collect()}
+    ps_big = {r["id"]: r["s_cum"] for r in prefix_sums(df, [F.col("id")], ["s"], small_rows=0).collect()}
+    assert ps_small == ps_big
