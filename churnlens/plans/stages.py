@@ -42,19 +42,3 @@ def forget(spark: SparkSession | None = None) -> None:
     for k in [k for k in _MEMO if k[0] == app]:
         del _MEMO[k]
 
-
-class MaterialisedSources(dict):
-    """Mapping of logical source tables that writes each one on first use.
-
-    The test adapter derives the nine source tables from the driver tables;
-    a warehouse would hold them as tables.  Writing each once keeps every
-    consumer plan a scan of the source instead of a re-derivation.
-    """
-
-    def __init__(self, spark: SparkSession, sf_dir: str, lazy: dict[str, DataFrame]):
-        super().__init__(lazy)
-        self._spark, self._dir = spark, sf_dir
-
-    def __getitem__(self, name: str) -> DataFrame:
-        raw = dict.__getitem__(self, name)
-        return materialised(self._spark, self._dir, "src:" + name, lambda: raw)
