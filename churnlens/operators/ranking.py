@@ -89,15 +89,19 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], value_cols: Sequence[str
 
 
 def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
-                    buckets: int = 32, salt_key: Column | None = None, rank_col: str = "rank") -> DataFrame:
+                    buckets: int | None = None, salt_key: Column | None = None,
+                    rank_col: str = "rank") -> DataFrame:
     """The first ``n`` rows of every group in ``order`` (which must be a total order).
 
     Two phases keep a hot group from landing in one task: first the top ``n``
     inside each (group, hash bucket) -- a large group is spread over
     ``buckets`` tasks -- then the top ``n`` of those at most ``n * buckets``
     candidates per group.  The result is exact because a group's top ``n``
-    is contained in the union of its buckets' top ``n``.
+    is contained in the union of its buckets' top ``n``.  ``buckets`` defaults
+    to the session's shuffle partition count, so a cluster sized for its data
+    also sizes the split of a hot group.
     """
+    buckets = buckets or _num_partitions(df, None)
     salt = F.pmod(F.xxhash64(salt_key if salt_key is not None else F.struct(*df.columns)), F.lit(buckets))
     gcols = [F.col(g) for g in group]
     w1 = Window.partitionBy(*gcols, F.col("_salt")).orderBy(*order)

@@ -603,3 +603,13 @@ def q_lifetime_stats_sql(spark, sf_dir):
            count(*) AS lifetime_months, min(month_ending) AS first_month
     FROM hist GROUP BY customer_id"""
     return run_query(spark, sql, {"mrr_by_location": src["mrr_by_location"]})
+
+
+@register("best_threshold_precision_rule", stage2s(f"""
+SELECT {_rs('threshold')} AS threshold, {_rs('precision')} AS precision, {_rs('recall')} AS recall
+FROM prf WHERE precision >= 0.30 ORDER BY recall DESC, threshold ASC LIMIT 1""", PR_CTE))
+def q_best_threshold_precision_rule(spark, sf_dir):
+    """Alternative rule: the highest-recall threshold whose precision reaches 0.30."""
+    b = EV.best_threshold(_val_pr(spark, sf_dir), rule="precision", min_precision=0.30)
+    return b.select(_r("threshold").alias("threshold"), _r("precision").alias("precision"),
+                    _r("recall").alias("recall"))

@@ -317,3 +317,17 @@ def q_segment_detail(spark, sf_dir):
 def q_segment_detail_one(spark, sf_dir):
     """Detail rows of segment 1 (the largest)."""
     return segment_detail(augmented(spark, sf_dir), 1)
+
+
+@register("csv_strings", seg_sql(
+    "SELECT row_id, LOCATION_NAME, CORE_INDUSTRY, CAST(LIFETIME_MONTHS AS VARCHAR) AS LIFETIME_MONTHS, "
+    "md5(SWAT_CANCEL_SUMMARY) AS summary_md5 FROM seg_in"))
+def q_csv_strings(spark, sf_dir):
+    """A CSV export read back with every column as a string (no type inference pass)."""
+    cols = ["row_id", "LOCATION_NAME", "CORE_INDUSTRY", "LIFETIME_MONTHS", SG.REASON_COLUMN]
+    src = SG.segment_input(churn_rows(spark, sf_dir)).select(*cols)
+    path = files.export_path(spark, "churn_csv")
+    files.write_csv(src, path)
+    back = files.read_csv(spark, path)
+    return back.select("row_id", "LOCATION_NAME", "CORE_INDUSTRY", "LIFETIME_MONTHS",
+                       F.md5(SG.REASON_COLUMN).alias("summary_md5"))

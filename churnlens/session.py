@@ -46,6 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share "
+                             "(stage hand-offs and ranks are written there)")
         # Local runs and tests only: a cluster names a shared folder here.
         configured = tempfile.mkdtemp(prefix="churnlens-ckpt-")
     sc.setCheckpointDir(configured)
