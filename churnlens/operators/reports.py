@@ -83,6 +83,11 @@ def top_k_per_group(df: DataFrame, group: str, value: str, k: int) -> DataFrame:
                            salt_key=F.col("value"), rank_col="rank")
 
 
+def _money(x):
+    """Two-decimal text of a number: round the double half-up, then print as a plain decimal."""
+    return F.round(x.cast("double"), 2).cast("decimal(38,2)").cast("string")
+
+
 def industry_profiles(df: DataFrame, industry: str, pms: str, bundle: str, mrr: str, tenure: str,
                       n_industries: int = 4, n_pms: int = 3, n_bundles: int = 2) -> DataFrame:
     """Per top industry: size, average revenue and tenure, and its top PMS / bundle values.
@@ -98,8 +103,8 @@ def industry_profiles(df: DataFrame, industry: str, pms: str, bundle: str, mrr:
     bun_top = top_k_per_group(base, industry, bundle, n_bundles).withColumn("kind", F.lit("bundle"))
     summary = top.join(stats, "grp").select(
         "grp", F.lit("summary").alias("kind"), F.lit(0).alias("rank"),
-        F.format_string("avg_mrr=%.2f avg_tenure=%.2f", F.col("avg_mrr").cast("double"),
-                        F.col("avg_tenure").cast("double")).alias("value"),
+        F.concat(F.lit("avg_mrr="), _money(F.col("avg_mrr")),
+                 F.lit(" avg_tenure="), _money(F.col("avg_tenure"))).alias("value"),
         F.col("customers").alias("count"))
     parts = [summary, pms_top.select("grp", "kind", "rank", F.col("value").cast("string"), "count"),
              bun_top.select("grp", "kind", "rank", F.col("value").cast("string"), "count")]
@@ -125,11 +130,12 @@ def high_risk_count(df: DataFrame, risk: str, quantile: float = 0.8) -> DataFram
 
 def fixed_histogram(df: DataFrame, col: str, bins: int = 50, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """Counts in ``bins`` equal-width bins over [lo, hi] (the top edge falls in the last bin)."""
-    width = (hi - lo) / bins
-    b = F.least(F.floor((q(col) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    span = float(hi - lo)
+    b = F.least(F.floor((q(col) - F.lit(float(lo))) * F.lit(bins) / F.lit(span)), F.lit(bins - 1)).cast("int")
+    start = F.lit(float(lo)) + F.col("bin").cast("double") * F.lit(span) / F.lit(bins)
     return (df.filter(q(col).isNotNull()).groupBy(b.alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .select("bin", (F.lit(lo) + F.col("bin").cast("double") * F.lit(width)).alias("bin_start"), "n"))
+            .select("bin", start.alias("bin_start"), "n"))
 
 
 def churn_by_group(df: DataFrame, group: str, label: str, proba: str = "p_churn",

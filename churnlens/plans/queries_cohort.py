@@ -41,7 +41,9 @@ def cohort_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         wide = C.wide_customer_row(_src(spark, sf_dir))
         return extract.clean_cohort(wide, **P)
-    return materialised(spark, sf_dir, "cohort", build)
+    # clean_cohort writes the filtered rows before its column scan; what
+    # follows is row filters on that table, so no second write
+    return materialised(spark, sf_dir, "cohort", build, write=False)
 
 
 # --------------------------------------------------------------------- scans

@@ -439,13 +439,21 @@ def q_confusion_revenue(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- fitted model (invariant checks)
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
 def fitted(spark, sf_dir):
-    m = model_rows(spark, sf_dir)
-    feats = FE.available_features(m)
-    return m, feats, MO.train_churn_model(m, feats)
+    """Model rows, features and the fitted model (fitted once per session and folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _FITTED:
+        m = model_rows(spark, sf_dir)
+        feats = FE.available_features(m)
+        _FITTED[key] = (m, feats, MO.train_churn_model(m, feats))
+    return _FITTED[key]
 
 
-@register("balanced_logit_optimality", "SELECT 'all' AS term, 0.0 AS max_abs_gradient")
+@register("balanced_logit_optimality", stage2(
+    "SELECT count(*) AS n_train, CAST(0.0 AS DOUBLE) AS max_abs_gradient FROM mdl WHERE split = 'train'"))
 def q_balanced_logit_optimality(spark, sf_dir):
     """Max |gradient| of the balanced, L2 (C = 1) objective at the MLlib solution.
 
@@ -463,7 +471,9 @@ def q_balanced_logit_optimality(spark, sf_dir):
         grads.append((F.sum(r * ((model.prepared(c) - F.lit(mean)) / F.lit(std))) + F.lit(b)).alias(f"g{len(grads)}"))
     g = train.agg(*grads)
     mx = F.greatest(*[F.abs(F.col(c)) for c in g.columns])
-    return g.select(F.lit("all").alias("term"), F.when(mx < 1e-4, F.lit(0.0)).otherwise(mx).alias("max_abs_gradient"))
+    n = train.count()
+    return g.select(F.lit(n).cast("long").alias("n_train"),
+                    F.when(mx < 1e-4, F.lit(0.0)).otherwise(mx).alias("max_abs_gradient"))
 
 
 @register("scored_rows_all_splits")
@@ -486,7 +496,8 @@ def q_scored_dataset_with_risk(spark, sf_dir):
 
 
 @register("scored_rows_consistency", stage2s(
-    "SELECT count(*) AS n_rows, 0 AS bad_pred, 0 AS bad_risk, 0 AS bad_rank FROM scr"))
+    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS bad_pred, CAST(0 AS BIGINT) AS bad_risk, "
+    "0 AS bad_rank FROM scr"))
 def q_scored_rows_consistency(spark, sf_dir):
     """Invariants of the fitted scoring: prediction rule, risk formula bounds, ranks a permutation."""
     s = q_scored_dataset_with_risk(spark, sf_dir)
@@ -508,10 +519,21 @@ def q_standardised_coefficients(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- inference (GLR)
+_INFERENCE: dict[tuple[str, str], DataFrame] = {}
+
+
+def inference_table(spark, sf_dir) -> DataFrame:
+    """The GLR coefficient table of all model rows (fitted once per session and folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _INFERENCE:
+        m = model_rows(spark, sf_dir)
+        _INFERENCE[key] = INF.logit_inference(m, FE.available_features(m), FE.LABEL)
+    return _INFERENCE[key]
+
+
 @register("logit_coefficients")
 def q_logit_coefficients(spark, sf_dir):
-    m = model_rows(spark, sf_dir)
-    return INF.logit_inference(m, FE.available_features(m), FE.LABEL)
+    return inference_table(spark, sf_dir)
 
 
 _ONE = "Outbound Call Count Activated"
@@ -563,7 +585,7 @@ def q_linear_attributions(spark, sf_dir):
     return out.select(FE.ROW_ID, *[_r(c).alias(c) for c in out.columns if c != FE.ROW_ID])
 
 
-@register("saved_model_scores", stage2("SELECT count(*) AS n_rows, 0.0 AS max_abs_diff FROM mdl"))
+@register("saved_model_scores", stage2("SELECT count(*) AS n_rows, CAST(0.0 AS DOUBLE) AS max_abs_diff FROM mdl"))
 def q_saved_model_scores(spark, sf_dir):
     """Out-of-time use: the fitted model is saved to the shared store, loaded back and
     applied to every row; the scores must equal the in-memory model's."""

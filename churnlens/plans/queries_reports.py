@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators import features as FE
-from ..operators import inference as INF
 from ..operators import reports as RP
-from .queries_model import model_rows
+from .queries_model import inference_table
 from .registry import register
 
 
 def _inference(spark, sf_dir):
-    m = model_rows(spark, sf_dir)
-    return INF.logit_inference(m, FE.available_features(m), FE.LABEL)
+    return inference_table(spark, sf_dir)
 
 
 @register("coef_by_magnitude")

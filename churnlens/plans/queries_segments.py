@@ -81,7 +81,7 @@ def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_segment_input(spark, sf_dir):
     s = SG.segment_input(churn_rows(spark, sf_dir))
     return s.select("row_id", F.md5(q(SG.REASON_COLUMN)).alias("summary_md5"),
-                    F.length(q(SG.REASON_COLUMN)).alias("summary_chars"))
+                    F.length(q(SG.REASON_COLUMN)).cast("long").alias("summary_chars"))
 
 
 @register("compose_profile_text", seg_sql(f"SELECT row_id, {PROFILE_SQL} AS profile_text FROM seg_in"))
@@ -105,7 +105,7 @@ def q_profile_embeddings(spark, sf_dir):
 
 
 @register("reason_segments", seg_sql(
-    "SELECT count(*) AS n_rows, least(3, count(*)) AS n_segments, 0 AS not_nearest FROM seg_in"))
+    "SELECT count(*) AS n_rows, least(3, count(*)) AS n_segments, CAST(0 AS BIGINT) AS not_nearest FROM seg_in"))
 def q_reason_segments(spark, sf_dir):
     """Invariants of the clustering: every row labelled, k segments, each row at its nearest centre."""
     lab = labelled(spark, sf_dir)
@@ -129,7 +129,8 @@ def q_segment_sizes(spark, sf_dir):
 def q_segment_totals(spark, sf_dir):
     s = RP.segment_sizes(labelled(spark, sf_dir), SG.SEGMENT)
     return s.groupBy("n_segments", "total").agg(F.sum("size").alias("_sum")).select(
-        "n_segments", F.when(F.col("_sum") == F.col("total"), F.col("total")).alias("total"))
+        F.col("n_segments").cast("long").alias("n_segments"),
+        F.when(F.col("_sum") == F.col("total"), F.col("total")).cast("long").alias("total"))
 
 
 @register("pca_projection")
@@ -138,7 +139,8 @@ def q_pca_projection(spark, sf_dir):
 
 
 @register("pca_invariants", seg_sql(
-    "SELECT count(*) AS n_rows, 0.0 AS mean_pc1, 0.0 AS mean_pc2, true AS pc1_var_ge_pc2 FROM seg_in"))
+    "SELECT count(*) AS n_rows, CAST(0.0 AS DOUBLE) AS mean_pc1, CAST(0.0 AS DOUBLE) AS mean_pc2, "
+    "true AS pc1_var_ge_pc2 FROM seg_in"))
 def q_pca_invariants(spark, sf_dir):
     """Projections are centred and the first component carries the most variance."""
     p = SG.pca_2d(labelled(spark, sf_dir))
@@ -175,8 +177,8 @@ def q_industry_markdown(spark, sf_dir):
     """Markdown tables of the summary columns per industry (one row per line)."""
     s = SG.segment_input(churn_rows(spark, sf_dir))
     md = SG.markdown_lines(s, "CORE_INDUSTRY")
-    return md.select("CORE_INDUSTRY", "line_no", F.md5("line").alias("line_md5"),
-                     F.length("line").alias("line_chars"))
+    return md.select("CORE_INDUSTRY", F.col("line_no").cast("long").alias("line_no"),
+                     F.md5("line").alias("line_md5"), F.length("line").cast("long").alias("line_chars"))
 
 
 @register("segment_examples")
@@ -191,7 +193,8 @@ WHERE example <= 3"""))
 def q_industry_examples(spark, sf_dir):
     """First three churned rows per industry with a 200-character reason excerpt."""
     ex = SG.segment_examples(churn_rows(spark, sf_dir), "CORE_INDUSTRY")
-    return ex.select("CORE_INDUSTRY", "example", "LOCATION_NAME", F.md5("reason_excerpt").alias("excerpt_md5"))
+    return ex.select("CORE_INDUSTRY", F.col("example").cast("long").alias("example"), "LOCATION_NAME",
+                     F.md5("reason_excerpt").alias("excerpt_md5"))
 
 
 # --------------------------------------------------------------------- dashboard pages over churned rows
@@ -217,8 +220,8 @@ def q_tenure_revenue_summary(spark, sf_dir):
 
 
 _theme_sql = "\nUNION ALL\n".join(
-    f"SELECT '{name}' AS theme, count_if(" + " OR ".join(
-        f"contains(lower(SWAT_CANCEL_SUMMARY), '{w}')" for w in words) + ") AS customers FROM churn"
+    f"SELECT '{name}' AS theme, CAST(count_if(" + " OR ".join(
+        f"contains(lower(SWAT_CANCEL_SUMMARY), '{w}')" for w in words) + ") AS BIGINT) AS customers FROM churn"
     for name, words in RP.THEMES.items())
 
 
@@ -235,7 +238,9 @@ base AS (SELECT * FROM churn WHERE CORE_INDUSTRY IN (SELECT grp FROM top))"""
 
 @register("industry_profiles", seg_sql("""
 SELECT grp AS industry, 'summary' AS kind, 0 AS rank,
-       printf('avg_mrr=%.2f avg_tenure=%.2f', avg_mrr, avg_tenure) AS value, customers AS count
+       'avg_mrr=' || CAST(CAST(round(CAST(avg_mrr AS DOUBLE), 2) AS DECIMAL(38,2)) AS VARCHAR)
+         || ' avg_tenure=' || CAST(CAST(round(CAST(avg_tenure AS DOUBLE), 2) AS DECIMAL(38,2)) AS VARCHAR) AS value,
+       customers AS count
 FROM top JOIN (SELECT CORE_INDUSTRY AS g, avg(STARTING_MRR) AS avg_mrr, avg(LIFETIME_MONTHS) AS avg_tenure
                FROM base GROUP BY 1) s ON s.g = top.grp
 UNION ALL
@@ -249,8 +254,9 @@ SELECT grp, 'bundle', rank, value, count FROM (
          row_number() OVER (PARTITION BY CORE_INDUSTRY ORDER BY count(*) DESC, STARTING_BUNDLE) AS rank
   FROM base WHERE STARTING_BUNDLE IS NOT NULL GROUP BY 1, 2) t WHERE rank <= 2""", PROFILE_CTE))
 def q_industry_profiles(spark, sf_dir):
-    return RP.industry_profiles(augmented(spark, sf_dir), "CORE_INDUSTRY", "PRACTICE_MANAGEMENT_SOFTWARE",
-                                "STARTING_BUNDLE", "STARTING_MRR", "LIFETIME_MONTHS")
+    p = RP.industry_profiles(augmented(spark, sf_dir), "CORE_INDUSTRY", "PRACTICE_MANAGEMENT_SOFTWARE",
+                             "STARTING_BUNDLE", "STARTING_MRR", "LIFETIME_MONTHS")
+    return p.withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("segment_report")

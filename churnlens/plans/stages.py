@@ -24,11 +24,18 @@ def _session_key(spark: SparkSession) -> str:
 
 
 def materialised(spark: SparkSession, sf_dir: str, name: str,
-                 build: Callable[[], DataFrame]) -> DataFrame:
+                 build: Callable[[], DataFrame], write: bool = True) -> DataFrame:
+    """The stage ``name`` for this session and folder, built once.
+
+    ``write=False`` is for builders that already end in a written table
+    followed only by cheap row filters, so a second write would buy nothing.
+    """
     key = (_session_key(spark), sf_dir.rstrip("/"), name)
     df = _MEMO.get(key)
     if df is None:
-        df = cut_lineage(build())
+        df = build()
+        if write:
+            df = cut_lineage(df)
         _MEMO[key] = df
     return df
 
