@@ -193,9 +193,13 @@ def _prefixed(df: DataFrame, key_map: Mapping[str, str], prefix: str) -> DataFra
 
 
 def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases: bool = False,
-                      dedupe_bundles: bool = False) -> DataFrame:
+                      dedupe_bundles: bool = False, zero_fill_cases: bool = False) -> DataFrame:
     """The 56-column per-location row (left joins onto the location spine).
 
+    ``zero_fill_cases=True`` gives locations without any support case weekly
+    counts of 0 instead of null (the original leaves null, so such locations
+    later fail the complete-weeks filter).
+
     Joins are grouped by key (slug, then finance id, then location id) so each
     group shares one shuffle of the spine; dimension sides are pre-aggregated
     to (at most) a few rows per key before they are shuffled.
@@ -247,7 +251,8 @@ def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases:
         c("acc_onboarding_handoff"), c("sbun_product_name"), c("cbun_product_name"),
         X.churn_status("churn_is_lost"), c("churn_month_ending"),
         X.tenure_months("churn_is_lost", "life_lifetime_months"),
-        *[c(f"wk_week_{k}_cases") for k in CASE_WEEKS],
+        *[(F.coalesce(c(f"wk_week_{k}_cases"), F.lit(0).cast("long")) if zero_fill_cases
+           else c(f"wk_week_{k}_cases")) for k in CASE_WEEKS],
         *[c(f"wk_{n}") for n in X.REASON_PATTERNS],
         c("use_report_month"),
         *[c("use_" + u) for u in ("inbound_sms_count", "outbound_sms_count", "inbound_call_count",

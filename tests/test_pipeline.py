@@ -39,3 +39,15 @@ def test_single_class_training_split_raises(spark):
     df = spark.createDataFrame([(str(i), 1.0, 1) for i in range(50)], "row_id STRING, x DOUBLE, churn_flag INT")
     with pytest.raises(ValueError, match="single class"):
         MO.train_churn_model(MO.stratified_split(df), ["x"])
+
+
+def test_zero_fill_cases_option(spark):
+    """Q3: without cases a location keeps null week counts by default, 0 with the option."""
+    from pyspark.sql import functions as F
+    from churnlens.operators import cohort as C
+    from churnlens.sources.testdata import load_sources
+    src = load_sources(spark, SF)
+    plain = C.wide_customer_row(src).filter(F.col("WEEK_1_CASES").isNull()).count()
+    filled = C.wide_customer_row(src, zero_fill_cases=True)
+    assert filled.filter(F.col("WEEK_1_CASES").isNull()).count() == 0
+    assert plain > 0  # some sf0.001 locations have no support case at all
