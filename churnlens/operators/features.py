@@ -124,7 +124,7 @@ def engineer_features(df: DataFrame, churn_range: tuple[int, int] = (1, 6),
                       pms_source: str = "lookup", skip_null_weeks: bool = True,
                       levels: dict[str, list[str]] | None = None,
                       drop_empty_columns: bool = True,
-                      keep_source: bool = False) -> tuple[DataFrame, DataFrame]:
+                      keep_source: bool = False, with_model: bool = True) -> tuple[DataFrame, DataFrame]:
     """Return (enriched rows, model rows) from a standardised cohort frame.
 
     ``pms_source='pms'`` and ``require_pms=True`` and ``skip_null_weeks=False``
@@ -162,10 +162,15 @@ def engineer_features(df: DataFrame, churn_range: tuple[int, int] = (1, 6),
     }
     derived.update({f"{c} Flag": X.positive_flag(q(c)) for c in require_columns(df, REASON_COLUMNS)})
     enriched = df.withColumns(derived)
+    # with_model=False: the caller writes the enriched rows first and derives the model rows from them
+    return enriched, (model_frame(enriched, levels, keep_source) if with_model else None)
 
+
+def model_frame(enriched: DataFrame, levels: dict[str, list[str]] | None = None,
+                keep_source: bool = False) -> DataFrame:
+    """One-hot columns and the 0/1 label over enriched rows (rows without a label dropped)."""
     model = one_hot(enriched, DUMMY_COLUMNS, levels, keep_source)
-    model = model.withColumn(LABEL, X.churn_label(q(STATUS))).filter(q(LABEL).isNotNull())
-    return enriched, model
+    return model.withColumn(LABEL, X.churn_label(q(STATUS))).filter(q(LABEL).isNotNull())
 
 
 def available_features(df: DataFrame, wanted: Sequence[str] = MODEL_FEATURES) -> list[str]:

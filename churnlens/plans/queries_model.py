@@ -29,19 +29,16 @@ REASON_FLAGS = [f"{c} Flag" for c in FE.REASON_COLUMNS]
 
 # --------------------------------------------------------------------- pipeline pieces
 def enriched_and_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Enriched rows and model rows; the model rows keep the one-hot source columns for reports."""
-    memo: dict[str, DataFrame] = {}
-
-    def build(part: str):
-        def go():
-            if not memo:
-                std = standardise_columns(cohort_frame(spark, sf_dir))
-                memo["enriched"], memo["model"] = FE.engineer_features(
-                    std, churn_range=(LO, HI), keep_source=True)
-            return memo[part]
-        return go
-    return (materialised(spark, sf_dir, "enriched", build("enriched")),
-            materialised(spark, sf_dir, "model", build("model")))
+    """Enriched rows (written once) and model rows (one-hot + label expressions over them;
+    the model rows keep the one-hot source columns for reports)."""
+    def build_enriched():
+        std = standardise_columns(cohort_frame(spark, sf_dir))
+        enriched, _ = FE.engineer_features(std, churn_range=(LO, HI), with_model=False)
+        return enriched
+    enriched = materialised(spark, sf_dir, "enriched", build_enriched)
+    model = materialised(spark, sf_dir, "model", lambda: FE.model_frame(enriched, keep_source=True),
+                         write=False)
+    return enriched, model
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
