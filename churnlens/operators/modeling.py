@@ -10,8 +10,10 @@ fitted parameters and stays inside whole-stage codegen.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .cleaning import q
 from .evaluation import best_threshold, pr_table
+from .ranking import rank_within_groups
 
 SPLIT, LABEL, WEIGHT = "split", "churn_flag", "class_weight"
 SPLIT_SALT = "split-42"
@@ -36,18 +39,41 @@ def hash_unit(key: str | Column, salt: str = SPLIT_SALT) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(TWO32)
 
 
-def stratified_split(df: DataFrame, key: str = "row_id", test_size: float = 0.20,
-                     val_size: float = 0.25, salt: str = SPLIT_SALT, col: str = SPLIT) -> DataFrame:
-    """Label rows train / val / test with a deterministic hash of the row key.
+def split_sizes(n: int, test_size: float = 0.20, val_size: float = 0.25) -> tuple[int, int]:
+    """(test, val) row counts of one class: round(test_size * n), then round(val_size * rest),
+    halves rounded up, computed in exact arithmetic."""
+    half = Fraction(1, 2)
+    n_test = math.floor(Fraction(str(test_size)) * n + half)
+    n_val = math.floor(Fraction(str(val_size)) * (n - n_test) + half)
+    return n_test, n_val
+
 
-    ``test_size`` of all rows go to test, then ``val_size`` of the rest to
-    validation.  The hash is independent of the label, so every class is cut
-    in the same proportions (in expectation), and the assignment never
-    depends on partitioning, recomputation or a shuffle.
+def stratified_split(df: DataFrame, key: str = "row_id", test_size: float = 0.20,
+                     val_size: float = 0.25, salt: str = SPLIT_SALT, col: str = SPLIT,
+                     label: str | None = LABEL) -> DataFrame:
+    """Label rows train / val / test, stratified by ``label`` with exact per-class sizes.
+
+    Inside each class rows are ordered by a seeded md5 of the key (then the
+    key); the first ``round(test_size * n_c)`` go to test, the next
+    ``round(val_size * rest)`` to validation.  Positions come from the
+    range-partitioned ``rank_within_groups``, so a class holding most rows is
+    still cut across many tasks; only the class counts (one row per class)
+    reach the driver.  The result does not depend on partitioning.  Without a
+    label column the split falls back to fixed cuts of a uniform hash.
     """
-    u = hash_unit(key, salt)
-    cut_val = test_size + (1.0 - test_size) * val_size
-    return df.withColumn(col, F.when(u < test_size, "test").when(u < cut_val, "val").otherwise("train"))
+    if label is None or label not in df.columns:
+        u = hash_unit(key, salt)
+        cut_val = test_size + (1.0 - test_size) * val_size
+        return df.withColumn(col, F.when(u < test_size, "test").when(u < cut_val, "val").otherwise("train"))
+    counts = {r[0]: int(r[1]) for r in df.groupBy(q(label)).count().collect() if r[0] is not None}
+    sizes = {c: split_sizes(n, test_size, val_size) for c, n in counts.items()}
+    n_test = F.create_map(*[F.lit(x) for c, (t, _) in sizes.items() for x in (c, t)])
+    n_tv = F.create_map(*[F.lit(x) for c, (t, v) in sizes.items() for x in (c, t + v)])
+    h = F.md5(F.concat_ws("|", q(key).cast("string"), F.lit(salt)))
+    ranked = rank_within_groups(df.withColumn("_split_h", h), label, [F.col("_split_h"), q(key)], "_split_pos")
+    pos = F.col("_split_pos")
+    split = (F.when(pos <= n_test[q(label)], "test").when(pos <= n_tv[q(label)], "val").otherwise("train"))
+    return ranked.withColumn(col, split).drop("_split_h", "_split_pos")
 
 
 # --------------------------------------------------------------------------- fitted statistics

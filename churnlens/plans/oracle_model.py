@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions import expressions as X
 from ..operators.features import MODEL_FEATURES
-from ..operators.modeling import RISK_MULTIPLIERS, SPLIT_SALT, TWO32
+from ..operators.modeling import RISK_MULTIPLIERS, SPLIT_SALT
 from .oracle_cohort import WIDE_CTE, cohort_clean_cte, stage1
 from .registry import TESTDATA_PARAMS
 
@@ -65,18 +65,26 @@ FEATURE_SQL = _feature_sql
 _mdl_cols = ",\n    ".join(f'CAST({_feature_sql[f]} AS DOUBLE) AS "{f}"' for f in MODEL_FEATURES)
 _extra = ",\n    ".join(f'{e} AS "{n}"' for n, e in _act.items()
                        if n not in MODEL_FEATURES)
-_u = f"(('0x' || substr(md5(row_id || '|{SPLIT_SALT}'), 1, 8))::BIGINT / {TWO32})"
 
+# Per class: test = round(0.2 n), val = round(0.25 (n - test)), halves up, in integers.
 MODEL_CTE = f"""
-mdl AS (
+mdl0 AS (
   SELECT row_id,
     {_mdl_cols},
     {_extra},
     CASE CHURN_OR_RETAIN WHEN 'Churn' THEN 1 WHEN 'Retain' THEN 0 END AS churn_flag,
-    CASE WHEN {_u} < 0.2 THEN 'test' WHEN {_u} < 0.4 THEN 'val' ELSE 'train' END AS split,
     CORE_INDUSTRY AS "Core Industry", bundle_type AS "BundleType",
-    CAST(LIFETIME_MONTHS AS DOUBLE) AS tenure, CAST(LIFETIME_VALUE AS DOUBLE) AS revenue
+    CAST(LIFETIME_MONTHS AS DOUBLE) AS tenure, CAST(LIFETIME_VALUE AS DOUBLE) AS revenue,
+    md5(row_id || '|{SPLIT_SALT}') AS _sh
   FROM enr
+),
+mdl AS (
+  SELECT * EXCLUDE (_sh, _rn, _nc, _nt),
+    CASE WHEN _rn <= _nt THEN 'test' WHEN _rn <= _nt + (2 * (_nc - _nt) + 4) // 8 THEN 'val'
+         ELSE 'train' END AS split
+  FROM (SELECT *, (2 * _nc + 5) // 10 AS _nt
+        FROM (SELECT *, row_number() OVER (PARTITION BY churn_flag ORDER BY _sh, row_id) AS _rn,
+                     count(*) OVER (PARTITION BY churn_flag) AS _nc FROM mdl0) a) b
 )"""
 
 

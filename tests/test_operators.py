@@ -300,3 +300,16 @@ def test_small_and_distributed_rank_paths_agree(spark):
     ps_small = {r["id"]: r["s_cum"] for r in prefix_sums(df, [F.col("id")], ["s"]).collect()}
     ps_big = {r["id"]: r["s_cum"] for r in prefix_sums(df, [F.col("id")], ["s"], small_rows=0).collect()}
     assert ps_small == ps_big
+
+
+def test_stratified_split_exact_per_class_sizes(spark):
+    rows = [(f"r{i}", 1 if i % 9 == 0 else 0) for i in range(1003)]
+    df = spark.createDataFrame(rows, "row_id STRING, churn_flag INT")
+    got = {(r[0], r[1]): r[2] for r in MO.stratified_split(df).groupBy("churn_flag", "split").count().collect()}
+    for c in (0, 1):
+        n = sum(1 for _, y in rows if y == c)
+        t, v = MO.split_sizes(n)
+        assert got[(c, "test")] == t and got[(c, "val")] == v and got[(c, "train")] == n - t - v
+    assert MO.split_sizes(5) == (1, 1) and MO.split_sizes(12) == (2, 3)  # halves round up
+    again = MO.stratified_split(df.repartition(5)).select("row_id", "split").orderBy("row_id").collect()
+    assert again == MO.stratified_split(df).select("row_id", "split").orderBy("row_id").collect()
