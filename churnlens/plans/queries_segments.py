@@ -8,7 +8,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import expressions as X
 from ..operators import reports as RP
 from ..operators import segments as SG
 from ..operators.cleaning import q
