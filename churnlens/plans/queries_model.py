@@ -41,17 +41,23 @@ def enriched_and_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, the 13 features (double), extra flags, label, split and report columns."""
-    _, model = enriched_and_model(spark, sf_dir)
-    feats = FE.available_features(model)
-    extra = [c for c in ACTIVATED if c not in feats and c in model.columns]
-    ids = FE.require_columns(model, FE.ID_CANDIDATES)[:1]  # first present id column
-    out = model.select(
-        FE.ROW_ID, *[q(c) for c in ids],
-        *[X.finite_or_null(q(f)).alias(f) for f in feats], *[q(c) for c in extra],
-        F.col(FE.LABEL), q("Core Industry"), q("BundleType"),
-        q(FE.TENURE).cast("double").alias("tenure"), q("Lifetime Value").cast("double").alias("revenue"))
-    return MO.stratified_split(out, FE.ROW_ID)
+    """row_id, the 13 features (double), extra flags, label, split and report columns.
+
+    Written once per session and folder: the stratified split ranks rows
+    within each class, and every later stage reads the same assignment.
+    """
+    def build():
+        _, model = enriched_and_model(spark, sf_dir)
+        feats = FE.available_features(model)
+        extra = [c for c in ACTIVATED if c not in feats and c in model.columns]
+        ids = FE.require_columns(model, FE.ID_CANDIDATES)[:1]  # first present id column
+        out = model.select(
+            FE.ROW_ID, *[q(c) for c in ids],
+            *[X.finite_or_null(q(f)).alias(f) for f in feats], *[q(c) for c in extra],
+            F.col(FE.LABEL), q("Core Industry"), q("BundleType"),
+            q(FE.TENURE).cast("double").alias("tenure"), q("Lifetime Value").cast("double").alias("revenue"))
+        return MO.stratified_split(out, FE.ROW_ID)
+    return materialised(spark, sf_dir, "model_rows", build)
 
 
 def coef_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
