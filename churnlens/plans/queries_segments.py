@@ -49,15 +49,21 @@ def churn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with a cancel summary, their embedding and reason segment (materialised once)."""
+    """Rows with a cancel summary, their embedding and reason segment.
+
+    Only (row_id, embedding) is written before KMeans (it passes over its
+    input every iteration) and only (row_id, embedding, segment) after it;
+    the row's other columns, whole texts included, are joined back from the
+    written cohort by key instead of being written again.
+    """
     def build():
-        # written once: KMeans passes over its input every iteration
-        emb = cut_lineage(SG.embed(SG.segment_input(churn_rows(spark, sf_dir))))
+        base = SG.segment_input(churn_rows(spark, sf_dir))
+        emb = cut_lineage(SG.embed(base).select("row_id", "embedding"))
         out, centres = SG.cluster(emb)
         labelled.centres[(sf_dir, spark.sparkContext.applicationId)] = centres
         return out
-    df = materialised(spark, sf_dir, "segments", build)
-    return df
+    labels = materialised(spark, sf_dir, "segments", build)
+    return SG.segment_input(churn_rows(spark, sf_dir)).join(labels, "row_id")
 
 
 labelled.centres = {}
