@@ -39,10 +39,10 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 
 # --------------------------------------------------------------------------- text
-def segment_input(df: DataFrame, reason: str = REASON_COLUMN) -> DataFrame:
+def segment_input(df: DataFrame, reason: str = REASON_COLUMN, check_empty: bool = True) -> DataFrame:
     """Rows with a non-blank cancellation summary (stripped); raises on an empty result."""
     out = df.withColumn(reason, X.blank_to_null(q(reason))).filter(q(reason).isNotNull())
-    if out.isEmpty():
+    if check_empty and out.isEmpty():
         raise ValueError("All rows are missing cancel summaries; nothing to cluster.")
     return out
 

@@ -62,8 +62,15 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         out, centres = SG.cluster(emb)
         labelled.centres[(sf_dir, spark.sparkContext.applicationId)] = centres
         return out
-    labels = materialised(spark, sf_dir, "segments", build)
-    return SG.segment_input(churn_rows(spark, sf_dir)).join(labels, "row_id")
+    labels = segment_labels(spark, sf_dir, build)
+    return SG.segment_input(churn_rows(spark, sf_dir), check_empty=False).join(labels, "row_id")
+
+
+def segment_labels(spark: SparkSession, sf_dir: str, build=None) -> DataFrame:
+    """The written (row_id, embedding, reason_segment) table."""
+    if build is None:
+        labelled(spark, sf_dir)  # builds and memoises it
+    return materialised(spark, sf_dir, "segments", build)
 
 
 labelled.centres = {}
@@ -76,7 +83,7 @@ def _centres(spark, sf_dir):
 
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All churn rows with their reason segment (null where there is no summary)."""
-    return SG.augment_with_segment(churn_rows(spark, sf_dir), labelled(spark, sf_dir))
+    return SG.augment_with_segment(churn_rows(spark, sf_dir), segment_labels(spark, sf_dir))
 
 
 # --------------------------------------------------------------------- text preparation
