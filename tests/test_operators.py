@@ -313,3 +313,34 @@ def test_stratified_split_exact_per_class_sizes(spark):
     assert MO.split_sizes(5) == (1, 1) and MO.split_sizes(12) == (2, 3)  # halves round up
     again = MO.stratified_split(df.repartition(5)).select("row_id", "split").orderBy("row_id").collect()
     assert again == MO.stratified_split(df).select("row_id", "split").orderBy("row_id").collect()
+
+
+def test_exact_quantiles_small_path(spark):
+    from churnlens.operators.ranking import exact_quantiles
+    df = spark.createDataFrame([(float(v),) for v in [5, 1, 3, 2, 4, 4]], "v DOUBLE")
+    assert exact_quantiles(df, F.col("v"), [0.5, 0.8]) == [3.5, 4.0]
+
+
+def test_markdown_lines_table_shape(spark):
+    from churnlens.operators.segments import markdown_lines
+    df = spark.createDataFrame([("a", "r2", "x", None), ("a", "r1", "y", 3), ("b", "r3", "z", 1)],
+                               "g STRING, row_id STRING, c1 STRING, c2 INT")
+    got = sorted((r["g"], r["line_no"], r["line"]) for r in markdown_lines(df, "g", ["c1", "c2"]).collect())
+    assert got == [("a", 0, "| c1 | c2 |"), ("a", 1, "| -- | -- |"), ("a", 2, "| y | 3 |"), ("a", 3, "| x |  |"),
+                   ("b", 0, "| c1 | c2 |"), ("b", 1, "| -- | -- |"), ("b", 2, "| z | 1 |")]
+
+
+def test_embedding_dims_norm_and_cluster_relabel(spark):
+    from pyspark.ml.functions import vector_to_array
+    from churnlens.operators import segments as SG
+    rows = [(f"r{i}", "Dental" if i % 3 else "Medical", f"reason {'price cost' if i % 2 else 'sync error'} {i}")
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id STRING, CORE_INDUSTRY STRING, SWAT_CANCEL_SUMMARY STRING")
+    emb = SG.embed(df)
+    vecs = [r[0] for r in emb.select(vector_to_array("embedding")).collect()]
+    assert all(len(v) == 36 for v in vecs)
+    assert all(abs(sum(x * x for x in v[:12]) - 1) < 1e-9 and abs(sum(x * x for x in v[12:]) - 1) < 1e-9 for v in vecs)
+    out, centres = SG.cluster(emb, k=3)
+    sizes = [r["count"] for r in out.groupBy(SG.SEGMENT).count().orderBy(SG.SEGMENT).collect()]
+    assert sizes == sorted(sizes, reverse=True) and sum(sizes) == 60 and len(centres) == 3
+    assert out.agg(SG.nearest_centre_violations(out, centres)).first()[0] == 0
