@@ -70,12 +70,26 @@ def first_month_bundles(products: DataFrame, life: DataFrame, family: str = CORE
     return cp.join(keys, on, "left_semi").select("month_ending", "finance_id", "product_name")
 
 
-def starting_bundle(bundles: DataFrame) -> DataFrame:
-    return keep_extreme(bundles, ["finance_id"], "month_ending", "min")
+def bundle_month_bounds(bundles: DataFrame) -> DataFrame:
+    """First and last bundle month per customer, from one aggregate."""
+    return bundles.groupBy("finance_id").agg(F.min("month_ending").alias("first_m"),
+                                             F.max("month_ending").alias("last_m"))
 
 
-def current_bundle(bundles: DataFrame) -> DataFrame:
-    return keep_extreme(bundles, ["finance_id"], "month_ending", "max")
+def starting_bundle(bundles: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Bundle rows of the customer's first bundle month (ties kept)."""
+    if bounds is None:
+        return keep_extreme(bundles, ["finance_id"], "month_ending", "min")
+    return bundles.join(bounds.select("finance_id", F.col("first_m").alias("month_ending")),
+                        ["finance_id", "month_ending"], "left_semi")
+
+
+def current_bundle(bundles: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Bundle rows of the customer's last bundle month (ties kept)."""
+    if bounds is None:
+        return keep_extreme(bundles, ["finance_id"], "month_ending", "max")
+    return bundles.join(bounds.select("finance_id", F.col("last_m").alias("month_ending")),
+                        ["finance_id", "month_ending"], "left_semi")
 
 
 def churn_list(m: DataFrame) -> DataFrame:
@@ -219,8 +233,9 @@ def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases:
     acc = _prefixed(account.drop("location_id", "finance_number"), {"slug": "slug"}, "acc_")
     smrr = _prefixed(starting_mrr(mrr, life).select("customer_id", "total_mrr"), fin, "smrr_")
     lf = _prefixed(life, fin, "life_")
-    sbun = _prefixed(starting_bundle(bundles).select("finance_id", "product_name"), fin, "sbun_")
-    cbun = _prefixed(current_bundle(bundles).select("finance_id", "product_name"), fin, "cbun_")
+    bounds = bundle_month_bounds(bundles)  # one aggregate serves both bundle ends
+    sbun = _prefixed(starting_bundle(bundles, bounds).select("finance_id", "product_name"), fin, "sbun_")
+    cbun = _prefixed(current_bundle(bundles, bounds).select("finance_id", "product_name"), fin, "cbun_")
     churn = _prefixed(churn_list(m), fin, "churn_")
     counts = _prefixed(support_case_counts(weeks), loc_key, "wk_")
     integ = _prefixed(sources["stg_location_integrations"].select("location_id", "integrations"),
