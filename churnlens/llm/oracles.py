@@ -1,5 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express (null texts count as empty)."""
 
+from .license_scan import TEMPLATES
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -34,3 +36,32 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hits.n_hit, 0) AS
        hits.n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
 """
+
+
+def _license_sql() -> str:
+    words = lambda w: "[" + ", ".join(f"'{x}'" for x in w) + "]"
+    rows = []
+    for number, t in enumerate(TEMPLATES):
+        (_, one), (at2, two) = (t.placed() * 2)[:2]
+        rows.append(f"({number}, '{t.label}', {t.base}, {words(one)}, {at2}, {words(two)}, {words(t.passage.split())})")
+    return f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+t(number, label, base, one, at2, two, passage) AS (VALUES {", ".join(rows)}),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),
+found AS (
+  SELECT doc_id, i - 1 AS start, label, base,
+         len(list_filter(generate_series(1, len(passage)), lambda k: w[i + k - 1] = passage[k])) / len(passage) AS score
+  FROM p JOIN t ON p.w[p.i] = t.one[1]
+  WHERE w[i:i + len(one) - 1] = one AND w[i + at2:i + at2 + len(two) - 1] = two),
+g AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
+         max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM found WHERE score >= 0.6 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(g.n_base, 0) AS n_base, g.first_word, g.last_word,
+       coalesce(g.base_labels, '') AS base_labels, coalesce(g.labels, '') AS labels, coalesce(g.score, 0.0) AS score
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+SQL["op1_license_scan"] = _license_sql()

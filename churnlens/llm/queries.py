@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .license_scan import scan_licences
 from .oracles import SQL
 
 QUERIES = {}
@@ -19,6 +20,11 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 @_query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
