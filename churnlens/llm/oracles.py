@@ -65,3 +65,39 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 
 
 SQL["op1_license_scan"] = _license_sql()
+
+SQL["op2_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, len(regexp_extract_all(text, '[0-9A-Za-z]+|[^0-9A-Za-z\x00-\x20]')) + 4 AS tok,
+    length(regexp_replace(replace(text, '\', '\\'), '(<)(\||/?s>|</?SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g'))
+    + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '<\n>'), '(<)(\||/?s>|</?SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g'))
+    + length('<|im_start|>') + length('<|im_end|>') + 2 AS chars
+  FROM c),
+o AS (
+  SELECT *, row_number() OVER w - 1 AS idx, sum(tok) OVER w - tok AS before, first_value(role) OVER w AS role0,
+    first_value(tok) OVER w AS tok0, first_value(chars) OVER w AS chars0, max(tok) OVER (PARTITION BY conv_id) AS most
+  FROM e
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (
+  SELECT *, before // greatest(1024 - 192 - CASE WHEN role0 = 'system' THEN tok0 ELSE 0 END - least(most, 512), 256) AS span FROM o),
+sp AS (
+  SELECT conv_id, span, min(idx) AS first, lead(min(idx)) OVER n AS next_first, lead(min(before)) OVER n AS next_start,
+    max(CASE WHEN role0 = 'system' THEN chars0 END) AS sys_chars
+  FROM s GROUP BY conv_id, span WINDOW n AS (PARTITION BY conv_id ORDER BY span)),
+extra AS (
+  SELECT s.conv_id, sum(s.chars) AS chars FROM s JOIN sp ON s.conv_id = sp.conv_id AND s.span = sp.span
+  WHERE sp.next_start - s.before <= 192 AND sp.next_first - s.idx <= 2 AND NOT (s.idx = 0 AND sp.sys_chars IS NOT NULL)
+  GROUP BY s.conv_id),
+again AS (SELECT conv_id, sum(sys_chars) AS chars FROM sp WHERE first > 0 AND sys_chars IS NOT NULL GROUP BY conv_id),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY idx) FILTER (role = 'assistant'), '') AS target, sum(chars) AS chars
+  FROM s GROUP BY conv_id)
+SELECT g.conv_id, g.n_turns, g.turns_sha256, length(g.target) AS loss_chars, sha256(g.target) AS loss_sha256,
+  CAST(g.chars + coalesce(extra.chars, 0) + coalesce(again.chars, 0) AS BIGINT) AS formatted_chars
+FROM g LEFT JOIN extra ON g.conv_id = extra.conv_id LEFT JOIN again ON g.conv_id = again.conv_id
+"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .chat_format import conversation_digests, format_windows
+from .common import as_struct_rows, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .license_scan import scan_licences
@@ -25,6 +26,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+@_query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    extra = as_struct_rows(spark, [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"),
+                                            F.lit(role).alias("role"), F.lit(own).alias("text"))
+                                   for turn, role in enumerate(("user", "assistant"))])
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return conversation_digests(format_windows(rows))
+
+
 @_query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
