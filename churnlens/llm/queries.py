@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .license_scan import scan_licences
 from .oracles import SQL
+from .source_mix import label_domains, mix_rates
 
 QUERIES = {}
 ORACLES = dict(SQL)
@@ -36,6 +37,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_windows(rows))
 
 
+@_query
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels"))).drop("text_key")
+
+
 @_query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
