@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .license_scan import scan_licences
 from .oracles import SQL
+from .simhash_dedup import near_duplicates
 from .source_mix import label_domains, mix_rates
 
 QUERIES = {}
@@ -49,6 +50,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@_query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @_query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
