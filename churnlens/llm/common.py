@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 # fixed values: characters between words (after lower-casing), and alphabets
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,8 +32,12 @@ def words_of(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """``size(words_of(text))`` without building the words."""
-    return F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long")
+    return F.size(words_of(text)).cast("long")
+
+
+def chars_in(text: Column, chars: str) -> Column:
+    """How many characters of a text are in the regex class ``chars``."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{chars}+", ""))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,3 +63,24 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_co
 def as_struct_rows(spark: SparkSession, rows: list[Column]) -> DataFrame:
     """A small fixed table from struct literals, built on the JVM."""
     return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def fold(doc_id: Column, folds: int = 5) -> Column:
+    """crc32 of the id's text, modulo ``folds``; null ids are in no fold (null)."""
+    return F.crc32(doc_id.cast("string")) % folds
+
+
+def bounded_share(rows: DataFrame, key: Column, most: int, by: str | None = None) -> DataFrame:
+    """About ``most`` rows (of each value of ``by``), chosen by a hash of ``key``; all if there are no more.
+
+    One count gives the share to keep, so nothing is sorted or gathered.
+    """
+    place = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / float(1 << 30)
+    if by is None:
+        n = rows.count()
+        return rows if n <= most else rows.where(place < most / n)
+    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    if not counts:
+        return rows
+    share = F.create_map(*[F.lit(x) for v, n in sorted(counts.items()) for x in (v, min(1.0, most / n))])
+    return rows.where(place < F.element_at(share, F.col(by)))

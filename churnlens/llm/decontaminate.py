@@ -23,6 +23,7 @@ from .common import keyed, left_join_on_key, without, word_count, words_of
 
 WINDOW = 10
 SHINGLE = 3
+BROADCAST_ROWS = 200_000  # index rows of about 100 bytes
 
 
 def _shingle_key(words: Column, at: Column, k: int) -> Column:
@@ -66,24 +67,48 @@ def doc_shingles(rows: DataFrame, k: int) -> DataFrame:
             .withColumn("key", _shingle_key(F.col("words"), F.col("at"), k)))
 
 
-def find_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, start, n, win): every occurrence of every window."""
+def _starts_in(words: Column, start: Column, n: Column, win: Column) -> Column:
+    """Whether the window's words stand at ``start``: bounds first, then word for word."""
+    inside = (start >= 0) & (start + n <= F.size(words))
+    return inside & (F.concat_ws(" ", F.slice(words, F.greatest(start, F.lit(0)) + 1, n)) == win)
+
+
+def find_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, text_key, start, n, win): every occurrence of every window.
+
+    An index of at most ``broadcast_rows`` shingles goes to every task, and words
+    are compared where they are.  A larger one is joined by shuffles of narrow
+    rows (id, place, shingle hash), and candidates go back to their documents.
+    """
     rows = keyed(docs, id_col, text_col)
     index = cut_lineage(window_shingles(windows))
-    sizes = sorted(r["k"] for r in index.select("k").distinct().collect())  # at most SHINGLE values
+    sizes = {r["k"]: r["count"] for r in index.groupBy("k").count().collect()}  # at most SHINGLE rows
     found = None
-    for k in sizes:
+    for k, size in sorted(sizes.items()):
+        small = size <= broadcast_rows
+        placed = doc_shingles(rows, k)
         own = index.where(F.col("k") == k)
-        counts = (doc_shingles(rows, k).join(own.select("key").distinct(), "key").groupBy("key")
-                  .agg(F.count(F.lit(1)).alias("held")))
+        if small:
+            counts = placed.join(F.broadcast(own.select("key").distinct()), "key").groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+        else:
+            counts = placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
         # rarest shingle of each window; windows with an absent one are gone
         ranked = own.join(counts, "key", "left").withColumn("held", F.coalesce("held", F.lit(0)))
         prefix = cut_lineage(ranked.groupBy("win", "n").agg(F.min(F.struct("held", "key", "at")).alias("p"))
                              .where("p.held > 0").select("win", "n", F.col("p.key").alias("key"), F.col("p.at").alias("offset")))
-        hit = doc_shingles(rows, k).join(prefix, "key").withColumn("start", F.col("at") - F.col("offset"))
-        hit = (hit.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("words")))
-               .where(F.concat_ws(" ", F.slice("words", F.greatest(F.col("start") + 1, F.lit(1)), F.col("n"))) == F.col("win"))
-               .select("doc_id", "text_key", "start", "n", "win"))
+        start = (F.col("at") - F.col("offset")).alias("start")
+        here = ("doc_id", "text_key", "start", "n", "win")
+        if small:
+            hit = placed.join(F.broadcast(prefix), "key").select("doc_id", "text_key", "words", start, "n", "win")
+        else:
+            near = placed.select("doc_id", "text_key", "at", "key").join(prefix, "key").select("doc_id", "text_key", start, "n", "win")
+            # candidates of a document are fewer than its words times the windows of one shingle
+            per_doc = near.where("start >= 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n", "win")).alias("near"))
+            hit = (left_join_on_key(rows, per_doc).where("near IS NOT NULL")
+                   .select("doc_id", "text_key", words_of(F.col("text")).alias("words"), F.explode("near").alias("c"))
+                   .select("doc_id", "text_key", "words", "c.*"))
+        hit = hit.where(_starts_in(F.col("words"), F.col("start"), F.col("n"), F.col("win"))).select(*here)
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         found = rows.select("doc_id", "text_key", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("win")).limit(0)

@@ -9,8 +9,10 @@ from .chat_format import conversation_digests, format_windows
 from .common import as_struct_rows, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .license_scan import scan_licences
 from .oracles import SQL
+from .quality import score_quality
 from .simhash_dedup import near_duplicates
 from .source_mix import label_domains, mix_rates
 
@@ -43,6 +45,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels"))).drop("text_key")
 
 
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
 @_query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -50,6 +57,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
 @_query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import keyed, words_of
+from .common import bounded_share, chars_in, keyed, words_of
 
 SAMPLE, FEATURES, STEPS = 8000, 192, 40
 TARGETS = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
@@ -50,8 +50,8 @@ def with_features(rows: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "text_key", F.size("words").cast("long").alias("n_tokens"),
                        F.array_distinct("words").alias("distinct"),
                        F.greatest(F.length("text"), F.lit(1)).alias("chars"),
-                       F.regexp_count("text", F.lit("[A-Z]")).alias("upper"),
-                       F.regexp_count("text", F.lit(r"[!-/:-@\[-`{-~]")).alias("marks"))
+                       chars_in(F.col("text"), "[A-Z]").alias("upper"),
+                       chars_in(F.col("text"), r"[!-/:-@\[-`{-~]").alias("marks"))
     binned = lambda name, value, step: F.concat(F.lit(f"~{name}:"), F.floor(value / step).cast("string"))
     n = F.greatest("n_tokens", F.lit(1))
     bins = F.array(binned("upper", F.col("upper") / F.col("chars"), 0.05), binned("marks", F.col("marks") / F.col("chars"), 0.02),
@@ -93,15 +93,15 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, l2: float = 1.0, st
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> DomainModel:
-    """Fit on at most ``sample`` labelled documents (smallest id hash) and ``features`` features.
+    """Fit on about ``sample`` labelled documents (chosen by id hash) and ``features`` features.
 
     Features are chosen by how far the domains of the documents that have one
     differ from all; only the sample's chosen features reach the driver.
     """
-    chosen = (labelled.select(F.col("doc_id").alias("__id"), "domain").distinct()
-              .orderBy(F.xxhash64("__id"), "__id", "domain").limit(sample))
+    chosen = (bounded_share(labelled.select(F.col("doc_id").alias("__id"), "domain").distinct(), F.col("__id"), sample)
+              .orderBy(F.xxhash64("__id"), "__id", "domain").limit(2 * sample))
     rows = keyed(docs)
-    # the broadcast side holds at most ``sample`` rows of two short values
+    # the broadcast side holds at most 2 * ``sample`` rows of two short values
     rows = rows.join(F.broadcast(chosen), rows["doc_id"] == F.col("__id"))
     rows = cut_lineage(with_features(rows).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
                        .select("domain", "features"))
