@@ -90,19 +90,20 @@ def licence_word_counts(rows: DataFrame, templates: tuple[Template, ...] = TEMPL
 
 
 def _postings(templates: tuple[Template, ...], counts: dict[str, int]) -> list[Column]:
-    """One struct per template: its rarest mandatory word with place, the second one, the phrases and the passage."""
-    out = []
+    """One struct per template: its rarest mandatory word with place, the second one, the passage and the phrases."""
+    out, most = [], max(len(t.phrases) for t in templates)
     for number, t in enumerate(templates):
         placed = sorted((counts.get(w, 0), w, at + i) for at, words in t.placed() for i, w in enumerate(words))
         (held, word, at), (_, word2, at2) = placed[0], placed[1]
         if held == 0:  # no document has the word, so none has the template
             continue
-        phrases = F.array(*[F.struct(F.lit(a).alias("at"), F.array(*map(F.lit, words)).alias("words"))
-                            for a, words in t.placed()])
+        phrases = t.placed()  # shorter lists repeat their last phrase
         out.append(F.struct(
             F.lit(number).alias("template"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"),
             F.lit(word).alias("word"), F.lit(at).alias("at"), F.lit(word2).alias("word2"), F.lit(at2).alias("at2"),
-            phrases.alias("phrases"), F.array(*map(F.lit, t.passage.split())).alias("passage")))
+            F.array(*map(F.lit, t.passage.split())).alias("passage"),
+            *[c for j in range(most) for a, words in [phrases[min(j, len(phrases) - 1)]] for c in (
+                F.lit(a).alias(f"at_{j}"), F.lit(len(words)).alias(f"n_{j}"), F.lit(" ".join(words)).alias(f"phrase_{j}"))]))
     return out
 
 
@@ -123,9 +124,14 @@ def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = placed.withColumn("start", F.col("i") - F.col("at")).where("start >= 0")
     placed = placed.where(F.get("words", F.col("start") + F.col("at2")) == F.col("word2"))
     at = F.greatest(F.col("start"), F.lit(0)) + 1
-    placed = placed.where(F.forall("phrases", lambda p: F.slice("words", at + p["at"], F.size(p["words"])) == p["words"]))
-    same = F.size(F.filter(F.arrays_zip(F.slice("words", at, F.size("passage")).alias("a"), F.col("passage").alias("b")),
-                           lambda z: z["a"] == z["b"]))
+    # no lambda up to here: it would end code generation and copy all words with every place
+    for j in range(max(len(t.phrases) for t in templates)):
+        stands = F.concat_ws(" ", F.slice("words", at + F.col(f"at_{j}"), F.col(f"n_{j}")))
+        placed = placed.where(stands == F.col(f"phrase_{j}"))
+    # a generator, so that the score below is not pulled into the join
+    placed = placed.select("doc_id", "text_key", "template", "label", "base", "start", "passage",
+                           F.explode(F.array(F.slice("words", at, F.size("passage")))).alias("here"))
+    same = F.size(F.filter(F.arrays_zip(F.col("here").alias("a"), F.col("passage").alias("b")), lambda z: z["a"] == z["b"]))
     return (placed.withColumn("score", same / F.size("passage")).where(F.col("score") >= min_score)
             .select("doc_id", "text_key", "template", "label", "base", "start", "score").distinct())
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_share, fold, keyed
 
 SAMPLE, BINS, THRESHOLD = 8000, 12, 0.3
-STEPS, L2 = 500, 1e-4
+STEPS, L2 = 1000, 1e-5
 NAMES = ("chars", "letters", "upper", "digits", "marks", "spaces", "distinct words", "word length", "same as next",
          "distinct lines", "line length", "bare marks", "shouted words", "marked words")
 # character classes of UTF-8 bytes; bytes above 127 belong to letters
@@ -68,7 +68,7 @@ def _design(stats: np.ndarray, cuts: tuple[np.ndarray, ...]) -> np.ndarray:
     return np.hstack([*parts, np.ones((len(stats), 1))])
 
 
-def _descend(slope, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
+def _descend(slope, size: int, steps: int, rate: float = 0.2) -> np.ndarray:
     """Adam from zero."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for k in range(1, steps + 1):
