@@ -11,8 +11,10 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .license_scan import scan_licences
+from .lm_score import score_texts
 from .oracles import SQL
 from .quality import score_quality
+from .secret_scan import count_kind, find_secrets, span_list
 from .simhash_dedup import near_duplicates
 from .source_mix import label_domains, mix_rates
 
@@ -45,6 +47,19 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels"))).drop("text_key")
 
 
+@_query
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@_query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    kinds = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *kinds, F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
+                        span_list(F.col("spans")).alias("spans"))
+
+
 @_query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
