@@ -9,8 +9,9 @@
    mass matrix M, so a step is x <- max(0, x - p.g) with g = M^-1 (A x - target).
    A step needs D sums over the corpus and sends D numbers back; the rates of all
    steps are one expression over a narrow table, so nothing is rewritten.
-3. The total is ``headroom`` times the least at which no domain in ``whole`` is
-   thinned out, so that documents of mixed membership keep a rate above one too.
+3. Documents likeliest in a domain of ``whole`` are drawn once at least: their
+   rates are projected onto x >= 1.  The total is ``headroom`` times the least at
+   which those domains need no thinning, so the bound leaves room for the targets.
 4. ``copies`` rounds the rate up or down by a hash of the id, with the right mean.
 
 Null text counts as empty, null labels as no label, label rows without a document
@@ -133,19 +134,28 @@ def domain_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     return scored.select("doc_id", "text_key", "n_tokens", F.transform("odds", lambda x: x / total).alias("p"))
 
 
-def _rate(p: Column, steps: list[np.ndarray]) -> Column:
-    """The rate after the given steps, starting from one copy of each document."""
+def _best(p: Column, names: list) -> Column:
+    """The entry of ``names`` at the first largest value of ``p``."""
+    return F.get(F.array(*map(F.lit, names)), (F.array_position(p, F.array_max(p)) - 1).cast("int"))
+
+
+def _rate(p: Column, steps: list[np.ndarray], least: list[float]) -> Column:
+    """The rate after the given steps, starting from one copy of each document.
+
+    ``least`` has the lower bound of each domain, for documents likeliest in it.
+    """
     if not steps:
         return F.lit(1.0)
     taken = F.array(*[F.array(*[F.lit(float(v)) for v in g]) for g in steps])
     move = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(taken, F.lit(1.0), lambda x, g: F.greatest(F.lit(0.0), x - move(g)))
+    return F.aggregate(taken, F.lit(1.0), lambda x, g: F.greatest(_best(p, least), x - move(g)))
 
 
 def fit_rates(members: DataFrame, targets: list[float], whole: list[int], headroom: float = HEADROOM,
               steps: int = STEPS, tolerance: float = 1e-9) -> list[np.ndarray]:
-    """Projected-gradient steps for (n_tokens, p); ``targets`` are weights, ``whole`` domains that keep all tokens."""
+    """Projected-gradient steps for (n_tokens, p); ``targets`` are weights, ``whole`` domains that keep every document."""
     size = len(targets)
+    least = [float(d in whole) for d in range(size)]
     sums = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[a] * F.col("p")[b]).alias(f"m{a}_{b}")
                          for a in range(size) for b in range(size)],
                        *[F.sum(F.col("n_tokens") * F.col("p")[a]).alias(f"t{a}") for a in range(size)]).first()
@@ -158,7 +168,7 @@ def fit_rates(members: DataFrame, targets: list[float], whole: list[int], headro
     last = math.inf
     for _ in range(steps):
         if taken:
-            x = _rate(F.col("p"), taken)
+            x = _rate(F.col("p"), taken, least)
             row = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[a] * x).alias(f"t{a}") for a in range(size)]).first()
             held = np.array([row[f"t{a}"] or 0.0 for a in range(size)])
         off = float(np.abs(held - wanted).max()) / max(total, 1.0)
@@ -175,10 +185,10 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] =
     model = fit_domains(docs, labelled.where(F.col("domain").isin(*targets)), sample)
     members = cut_lineage(domain_posteriors(docs, model))
     taken = fit_rates(members, [targets[d] for d in model.domains], [i for i, d in enumerate(model.domains) if d in whole])
-    best = F.get(F.array(*[F.lit(d) for d in model.domains]), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
+    rate = _rate(F.col("p"), taken, [float(d in whole) for d in model.domains])
     p = {d: F.col("p")[i] for i, d in enumerate(model.domains)}
-    out = members.select("doc_id", "text_key", "n_tokens", best.alias("domain"),
-                         *[p.get(d, F.lit(0.0)).alias(f"p_{d}") for d in targets], _rate(F.col("p"), taken).alias("rate"))
+    out = members.select("doc_id", "text_key", "n_tokens", _best(F.col("p"), list(model.domains)).alias("domain"),
+                         *[p.get(d, F.lit(0.0)).alias(f"p_{d}") for d in targets], rate.alias("rate"))
     draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "text_key"), F.lit(1 << 31)) / float(1 << 31)
     return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("long"))
 
