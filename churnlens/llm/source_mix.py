@@ -18,7 +18,8 @@ Null text counts as empty, null labels as no label, label rows without a documen
 as absent.  Repeated rows get the same result each; documents without words keep
 the rate of their posterior and add no tokens.  A target domain that no document
 can reach leaves a residual; the others are met as closely as they can be.  With
-an empty table the result is empty; other columns are ignored.
+an empty table the result is empty; without a labelled document every rate is 1 and
+no domain is named.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, feat
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()}
     domains, total = tuple(sizes), sum(sizes.values())
     if not domains:
-        raise ValueError("no labelled document to fit the domain classifier on")
+        return DomainModel((), (), {})
     held = rows.select("domain", F.explode("features").alias("f")).groupBy("f").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)])
     gain = sum(((F.col(f"n{i}") + sizes[d] / total) * F.log((F.col(f"n{i}") + sizes[d] / total) / ((F.col("n") + 1) * sizes[d] / total))
@@ -171,11 +172,12 @@ def fit_rates(members: DataFrame, targets: list[float], whole: list[int], headro
             x = _rate(F.col("p"), taken, least)
             row = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[a] * x).alias(f"t{a}") for a in range(size)]).first()
             held = np.array([row[f"t{a}"] or 0.0 for a in range(size)])
-        off = float(np.abs(held - wanted).max()) / max(total, 1.0)
-        if off < tolerance or off >= last * (1 - 1e-6):
+        off = held - wanted
+        loss = float(off @ inverse @ off) / max(total, 1.0)  # what the steps minimise
+        if loss < tolerance ** 2 or loss >= last * (1 - 1e-4):
             break
-        last = off
-        taken.append(inverse @ (held - wanted))
+        last = loss
+        taken.append(inverse @ off)
     return taken
 
 
@@ -183,6 +185,10 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] =
               sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, text_key, n_tokens, domain (likeliest), p_<domain> for each target, rate, copies."""
     model = fit_domains(docs, labelled.where(F.col("domain").isin(*targets)), sample)
+    if not model.domains:  # nothing to learn from: no membership, one copy each
+        rows = with_features(keyed(docs)).select("doc_id", "text_key", "n_tokens")
+        return rows.select("*", F.lit(None).cast("string").alias("domain"), *[F.lit(0.0).alias(f"p_{d}") for d in targets],
+                           F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
     members = cut_lineage(domain_posteriors(docs, model))
     taken = fit_rates(members, [targets[d] for d in model.domains], [i for i, d in enumerate(model.domains) if d in whole])
     rate = _rate(F.col("p"), taken, [float(d in whole) for d in model.domains])
