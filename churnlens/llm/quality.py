@@ -127,8 +127,9 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: in
     trusted = bounded_share(trusted, F.col("__id"), sample)
     texts = {"p": training.join(trusted, training["doc_id"] == F.col("__id"), "left_semi"),
              "u": bounded_share(training, F.col("doc_id"), sample)}
-    found = {k: np.array([r["s"] for r in t.select("doc_id", "text_key", statistics_of("text").alias("s"))
-                          .orderBy("doc_id", "text_key").collect()]) for k, t in texts.items()}
+    found = {k: np.array(sorted(r["s"] for r in t.select(statistics_of("text").alias("s")).collect())) for k, t in texts.items()}
+    rng = np.random.default_rng(0)  # a fixed order, whatever the partitions
+    found = {k: rng.permutation(x) for k, x in found.items()}
     return fit(found["p"], found["u"]) if len(found["p"]) and len(found["u"]) else None
 
 
