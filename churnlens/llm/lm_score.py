@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,8 @@ BITS_PER_LEVEL = 8
 LEVELS = 40
 HEAD = 1 << 20
 VOCABULARY = 1 << 19  # tokens a task remembers between documents
-CHUNK = 1 << 21  # tokens counted or scored at a time
+COUNT_CHUNK = 1 << 21  # tokens counted at a time
+SCORE_CHUNK = 1 << 18  # tokens scored at a time
 BIGRAM_SHARE = 0.7
 
 _U = np.uint64
@@ -78,18 +80,18 @@ class Vocabulary(dict):
         return number
 
 
-def _numbered(texts: Iterable[str], vocabulary: Vocabulary) -> Iterator[tuple[list[np.ndarray], int]]:
-    """Lists of documents' token numbers, about CHUNK tokens at a time (a document is never split)."""
+def _numbered(texts: Iterable[str], vocabulary: Vocabulary, chunk: int) -> Iterator[list[np.ndarray]]:
+    """Lists of documents' token numbers, about ``chunk`` tokens at a time (a document is never split)."""
     held, size = [], 0
     for text in texts:
         words = tokens_of(text)
         held.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
         size += len(words)
-        if size >= CHUNK:
-            yield held, size
+        if size >= chunk:
+            yield held
             held, size = [], 0
     if held:
-        yield held, size
+        yield held
 
 
 def _hashes(words: Iterable[bytes]) -> np.ndarray:
@@ -150,7 +152,7 @@ def count_ngrams(training: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
-        for docs, _ in _numbered(_texts(batches), vocabulary):
+        for docs in _numbered(_texts(batches), vocabulary, COUNT_CHUNK):
             h = _hashes(vocabulary)
             found = []
             for number in docs:
@@ -254,6 +256,39 @@ def head_cut(counts: DataFrame, most: int) -> int:
     return cut
 
 
+class _TokenFacts:
+    """What a task knows of the tokens it has met, by their number."""
+
+    def __init__(self, bits: np.ndarray, check: np.ndarray, crc: np.ndarray, known: np.ndarray, whole: float):
+        self.bits, self.check, self.crc, self.known, self.whole = bits, check, crc, known, whole
+        self.vocabulary, self.words = Vocabulary(), []
+        self.h, self.single, self.there, self.logs = (np.zeros(0, dtype=t) for t in (np.uint64, float, bool, float))
+
+    def learn(self) -> None:
+        """Hash, quantised count, whether in the head, and base log probability (0 outside the head) of new tokens."""
+        new = list(islice(self.vocabulary, len(self.words), None))
+        if not new:
+            return
+        h, own = _hashes(new), np.fromiter(map(zlib.crc32, new), np.uint32, len(new))
+        there, exact = np.zeros(len(new), dtype=bool), np.zeros(len(new))
+        if len(self.check):
+            place = np.minimum(np.searchsorted(self.check, h), len(self.check) - 1)
+            there = (self.check[place] == h) & (self.crc[place] == own)
+            exact = np.where(there, self.known[place], 0)
+        self.words += new
+        self.h = np.concatenate((self.h, h))
+        self.single = np.concatenate((self.single, probe(self.bits, unigram_keys(h))))
+        self.there = np.concatenate((self.there, there))
+        self.logs = np.concatenate((self.logs, np.where(there, np.log10((exact + 0.5) / self.whole), 0.0)))
+
+    def tails(self, numbers: np.ndarray, docs: np.ndarray, n_docs: int) -> pa.ListArray:
+        """(token, n) lists, one for each document, of the tokens outside the head."""
+        pairs, n = np.unique(docs.astype(np.int64) << 32 | numbers, return_counts=True)
+        tokens = pa.array([self.words[i] for i in (pairs & 0xFFFFFFFF).tolist()], pa.binary())
+        offsets = np.searchsorted(pairs >> 32, np.arange(n_docs + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([tokens, pa.array(n.astype(np.int64))], ["token", "n"]))
+
+
 def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD) -> DataFrame:
     """doc_id, text_key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = keyed(docs)
@@ -283,46 +318,36 @@ def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD) -> Da
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, check, crc, known = model.value
-        vocabulary, row = Vocabulary(), TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
+        facts = _TokenFacts(bits, check, crc, known, whole)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(2)
             at = 0
-            for docs, _ in _numbered((t.as_py() for t in texts), vocabulary):
-                words = list(vocabulary)
-                h = _hashes(words)
-                own = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-                single = probe(bits, unigram_keys(h))  # once a distinct token
-                place = np.minimum(np.searchsorted(check, h), max(len(check) - 1, 0))
-                there = (check[place] == h) & (crc[place] == own) if len(check) else np.zeros(len(h), dtype=bool)
-                exact = np.where(there, known[place] if len(check) else 0, 0)
-                logs = np.log10((exact + 0.5) / whole)
-                flat = np.concatenate(docs)
-                sizes = np.array([len(d) for d in docs])
+            for docs in _numbered((t.as_py() for t in batch.column(2)), facts.vocabulary, SCORE_CHUNK):
+                facts.learn()
+                flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
                 first = np.cumsum(sizes) - sizes
                 before = np.concatenate(([0], flat[:-1]))
-                h_before, c_before = h[before], single[before]
-                h_before[first], c_before[first] = 0, 0
-                pair = probe(bits, bigram_keys(h_before, h[flat]))
-                alone = (single[flat] + 0.5) / whole
+                h_before, c_before = facts.h[before], facts.single[before]
+                h_before[first] = 0
+                pair = probe(bits, bigram_keys(h_before, facts.h[flat]))
+                alone = (facts.single[flat] + 0.5) / whole
                 c_before = np.maximum(c_before, pair)
+                c_before[first] = 0  # a text's first token has no token before it
                 chain = np.divide(pair, c_before, out=np.zeros(len(pair)), where=c_before > 0)
-                chain[first] = 0
                 p = np.where(c_before > 0, BIGRAM_SHARE * chain + (1 - BIGRAM_SHARE) * alone, alone)
-                p[first] = alone[first]
-                in_head = there[flat]
-                tails = [Counter(d[~there[d]].tolist()) for d in docs]
-                part = slice(at, at + len(docs))
-                at += len(docs)
+                in_head = facts.there[flat]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + len(docs))), ids[part], batch.column(1)[part], pa.array(sizes.astype(np.int64)),
-                    pa.array(np.add.reduceat(in_head.astype(np.int64), first)),
-                    pa.array(np.add.reduceat(np.where(in_head, logs[flat], 0.0), first)),
+                    pa.array(np.arange(row, row + len(docs))), batch.column(0)[at:at + len(docs)], batch.column(1)[at:at + len(docs)],
+                    pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat(in_head.astype(np.int64), first)),
+                    pa.array(np.add.reduceat(facts.logs[flat], first)),
                     pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), first)),
-                    pa.array([[{"token": words[t], "n": n} for t, n in c.items()] for c in tails],
-                             pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))],
+                    facts.tails(flat[~in_head], np.repeat(np.arange(len(docs)), sizes)[~in_head], len(docs))],
                     names=["row", "doc_id", "text_key", "n_tokens", "n_head", "base", "score", "tail"])
+                at += len(docs)
                 row += len(docs)
-                vocabulary.clear()
+                if len(facts.vocabulary) > VOCABULARY:
+                    facts = _TokenFacts(bits, check, crc, known, whole)
+                # else the next documents reuse what is known of their tokens
 
     scored = cut_lineage(rows.mapInArrow(score, schema))
     rest = scored.select("row", F.inline("tail")).join(counts.where(F.col("n") < cut).select("token", F.col("n").alias("c")), "token", "left")
