@@ -26,14 +26,6 @@ REASON_PATTERNS = {
 }
 UNKNOWN = "Unknown"
 MISSING_TEXT = ("", "nan", "None")
-RISK_MULTIPLIERS = {  # feature column -> relative change of the churn probability
-    "BundleType_core bundle": 0.30,
-    "PMS_Group_EOD pms": 0.15,
-    "Outbound Sms Count Activated": 0.15,
-    "Outbound Call Count Activated": -0.25,
-    "Inbound Sms Count Activated": -0.35,
-    "Inbound Call Count Activated": -0.33,
-}
 # Product-family tokens are deployment data (the vendor's bundle names), so
 # they are parameters; these neutral defaults match any "...Core" / "...Plus".
 DEFAULT_CORE_TOKEN, DEFAULT_PLUS_TOKEN = "Core", "Plus"
@@ -135,10 +127,6 @@ def finite_or_null(x: str | Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None).cast("double")).otherwise(x)
 
 
-def clip01(x: str | Column) -> Column:
-    return F.greatest(F.least(_c(x), F.lit(1.0)), F.lit(0.0))
-
-
 def strip_ws(text: str | Column) -> Column:
     """Strip leading/trailing whitespace of every kind (SQL trim only strips spaces)."""
     return F.regexp_replace(_c(text), r"^\s+|\s+$", "")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import expressions as X
 from ..functions.columns import case_insensitive_lookup, require_columns
 
 
@@ -64,12 +63,3 @@ def drop_missing_both(df: DataFrame, pms: str = "Practice Management Software",
         return F.coalesce(is_blank, F.lit(not null_as_text))
 
     return df.filter(~(blank(pms) & blank(integrations)))
-
-
-def replace_non_finite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """+/-inf and NaN -> null in the given numeric columns."""
-    return df.withColumns({c: X.finite_or_null(q(c)) for c in cols})
-
-
-def drop_null_labels(df: DataFrame, label: str) -> DataFrame:
-    return df.filter(q(label).isNotNull())

@@ -1,10 +1,11 @@
 """Stage 1: one wide row per location from revenue, product, support, usage and case history.
 
-Every operator is ``DataFrame -> DataFrame`` and lazy.  Patterns of the form
-"keep rows whose value equals the max/min over the key" are written as a
-partial aggregate plus a semi-join instead of a window: the aggregate is
-combined map-side, and a key holding a large share of the rows is split by
-AQE's skew-join handling, which a window partition cannot do.
+Patterns of the form "keep rows whose value equals the max/min over the key"
+are a partial aggregate plus a semi-join instead of a window, so the aggregate
+is combined map-side.  Where such a key can hold a large share of the rows, the
+aggregate is written first (``cut_lineage``): the join then has a shuffle stage
+on both sides, which is what AQE's skew handling needs to split a hot key.  An
+aggregate joined directly has no shuffle of its own and could not be split.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..session import cut_lineage
 
 CORE_FAMILY = "Core Products"  # fixed value: product family kept for bundles
 CASE_WEEKS = tuple(range(1, 13))
@@ -36,8 +38,8 @@ def keep_extreme(df: DataFrame, keys: Sequence[str], col: str, how: str = "max")
 def active_history(mrr: DataFrame, customer: str = "customer_id", month: str = "month_ending",
                    new_flag: str = "is_new") -> DataFrame:
     """History from each customer's last (re)start month on; never-new customers drop out."""
-    last_new = (mrr.filter(F.col(new_flag)).groupBy(customer)
-                .agg(F.max(month).alias("last_new_month")))
+    last_new = cut_lineage(mrr.filter(F.col(new_flag)).groupBy(customer)
+                           .agg(F.max(month).alias("last_new_month")))
     return (mrr.join(last_new, customer)
             .filter(F.col(month) >= F.col("last_new_month"))
             .select(customer, month, "total_mrr", "is_lost", "last_new_month"))
@@ -150,8 +152,8 @@ def first_month_usage(usage: DataFrame, account: DataFrame, m: DataFrame,
     """
     restart = m.select("customer_id", "last_new_month").distinct()
     acct = account.select("location_id", F.col("finance_number").alias("customer_id"))
-    stage = usage.join(acct, "location_id").join(restart, "customer_id")
-    first = stage.groupBy("customer_id").agg(F.min("report_month").alias("first_usage_month"))
+    stage = cut_lineage(usage.join(acct, "location_id").join(restart, "customer_id"))  # read twice below
+    first = cut_lineage(stage.groupBy("customer_id").agg(F.min("report_month").alias("first_usage_month")))
     return (
         stage.join(first, "customer_id")
         .filter((F.col("report_month") == F.col("first_usage_month"))
@@ -175,11 +177,18 @@ def distinct_segments(opportunities: DataFrame) -> DataFrame:
     return opportunities.select("account_id", "business_segment_by_hierarchy").dropDuplicates()
 
 
-def latest_case(cases: DataFrame) -> DataFrame:
-    """Cancellation case(s) with the latest created date per location; ties kept."""
+def latest_case(cases: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """Cancellation case(s) with the latest created date per location; ties kept.
+
+    With ``locations`` (a ``location_id`` column) only their cases are kept.  The
+    dates are settled on narrow rows first; texts take part in one semi-join.
+    """
     cols = ["location_id", "case_id", "case_status", "created_date", "cancel_summary",
             "cancellation_reason", "cancellation_subreason"]
-    return keep_extreme(cases.select(*cols), ["location_id"], "created_date", "max")
+    latest = cases.groupBy("location_id").agg(F.max("created_date").alias("created_date"))
+    if locations is not None:
+        latest = latest.join(locations.select("location_id").distinct(), "location_id", "left_semi")
+    return cases.select(*cols).join(cut_lineage(latest), ["location_id", "created_date"], "left_semi")
 
 
 # --------------------------------------------------------------------------- wide row
@@ -206,6 +215,38 @@ def _prefixed(df: DataFrame, key_map: Mapping[str, str], prefix: str) -> DataFra
     return df.select(*[F.col(c).alias(key_map.get(c, prefix + c)) for c in df.columns])
 
 
+def _customer_side(spine: DataFrame, m: DataFrame, products: DataFrame, dedupe_bundles: bool) -> DataFrame:
+    """Per finance id of the spine: lifetime, first-month revenue, bundles and loss (several rows where a part has)."""
+    fin = {"customer_id": "finance_id", "finance_id": "finance_id"}
+    life = lifetime_stats(m)
+    bundles = first_month_bundles(products, life)
+    if dedupe_bundles:
+        bundles = bundles.groupBy("finance_id", "month_ending").agg(F.min("product_name").alias("product_name"))
+    bundles = cut_lineage(bundles)
+    bounds = bundle_month_bounds(bundles)  # one aggregate serves both bundle ends
+    # the first month's revenue rows are in the history, which begins with that month
+    parts = [_prefixed(starting_mrr(m, life).select("customer_id", "total_mrr"), fin, "smrr_"), _prefixed(life, fin, "life_"),
+             _prefixed(starting_bundle(bundles, bounds).select("finance_id", "product_name"), fin, "sbun_"),
+             _prefixed(current_bundle(bundles, bounds).select("finance_id", "product_name"), fin, "cbun_"),
+             _prefixed(churn_list(m), fin, "churn_")]
+    side = spine.select("finance_id").distinct()
+    for part in parts:
+        side = side.join(part, "finance_id", "left")
+    return side
+
+
+def _location_side(spine: DataFrame, weeks: DataFrame, integrations: DataFrame, usage: DataFrame, account: DataFrame) -> DataFrame:
+    """Per location id of the spine: case counts, integration, first usage and size tiers."""
+    key = {"location_id": "location_id"}
+    parts = [_prefixed(support_case_counts(weeks), key, "wk_"),
+             _prefixed(integrations.select("location_id", "integrations"), key, "int_"),
+             _prefixed(usage.drop("customer_id"), key, "use_"), _prefixed(business_segments(account), key, "bs_")]
+    side = spine.select("location_id").distinct()
+    for part in parts:
+        side = side.join(part, "location_id", "left")
+    return side
+
+
 def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases: bool = False,
                       dedupe_bundles: bool = False, zero_fill_cases: bool = False) -> DataFrame:
     """The 56-column per-location row (left joins onto the location spine).
@@ -214,44 +255,23 @@ def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases:
     counts of 0 instead of null (the original leaves null, so such locations
     later fail the complete-weeks filter).
 
-    Joins are grouped by key (slug, then finance id, then location id) so each
-    group shares one shuffle of the spine; dimension sides are pre-aggregated
-    to (at most) a few rows per key before they are shuffled.
+    The revenue history is written once and serves every per-customer part.  The
+    parts of a key are first brought together per customer and per location
+    (those joins share one partitioning) and written narrow, so the location
+    spine is joined once per key, with a shuffle stage on both sides.
     """
-    mrr = sources["mrr_by_location"]
     account = sources["account_v2"]
-    m = active_history(mrr)
-    life = lifetime_stats(m)
-    bundles = first_month_bundles(sources["churn_by_product"], life)
-    if dedupe_bundles:
-        bundles = bundles.groupBy("finance_id", "month_ending").agg(F.min("product_name").alias("product_name"))
-    weeks = support_case_weeks(sources["support_interaction_v3"],
-                               account if account_join_for_cases else None)
-
-    fin = {"customer_id": "finance_id", "finance_id": "finance_id"}
-    loc_key = {"location_id": "location_id"}
+    spine = sources["location"]
+    m = cut_lineage(active_history(sources["mrr_by_location"]))
+    by_customer = cut_lineage(_customer_side(spine, m, sources["churn_by_product"], dedupe_bundles))
+    weeks = support_case_weeks(sources["support_interaction_v3"], account if account_join_for_cases else None)
+    usage = first_month_usage(sources["location_feature_access_and_usage_by_month"], account, m)
+    by_location = cut_lineage(_location_side(spine, weeks, sources["stg_location_integrations"], usage, account))
+    lost_locations = spine.join(by_customer.filter("churn_is_lost").select("finance_id").distinct(), "finance_id", "left_semi")
+    sw = _prefixed(latest_case(sources["swat_case"], lost_locations), {}, "sw_")
     acc = _prefixed(account.drop("location_id", "finance_number"), {"slug": "slug"}, "acc_")
-    smrr = _prefixed(starting_mrr(mrr, life).select("customer_id", "total_mrr"), fin, "smrr_")
-    lf = _prefixed(life, fin, "life_")
-    bounds = bundle_month_bounds(bundles)  # one aggregate serves both bundle ends
-    sbun = _prefixed(starting_bundle(bundles, bounds).select("finance_id", "product_name"), fin, "sbun_")
-    cbun = _prefixed(current_bundle(bundles, bounds).select("finance_id", "product_name"), fin, "cbun_")
-    churn = _prefixed(churn_list(m), fin, "churn_")
-    counts = _prefixed(support_case_counts(weeks), loc_key, "wk_")
-    integ = _prefixed(sources["stg_location_integrations"].select("location_id", "integrations"),
-                      loc_key, "int_")
-    use = _prefixed(first_month_usage(sources["location_feature_access_and_usage_by_month"],
-                                      account, m).drop("customer_id"), loc_key, "use_")
-    seg = _prefixed(business_segments(account), loc_key, "bs_")
-    sw = _prefixed(latest_case(sources["swat_case"]), {}, "sw_")
-
-    row = (sources["location"]
-           .join(acc, "slug", "left")
-           .join(smrr, "finance_id", "left").join(lf, "finance_id", "left")
-           .join(sbun, "finance_id", "left").join(cbun, "finance_id", "left")
-           .join(churn, "finance_id", "left")
-           .join(counts, "location_id", "left").join(integ, "location_id", "left")
-           .join(use, "location_id", "left").join(seg, "location_id", "left"))
+
+    row = spine.join(acc, "slug", "left").join(by_customer, "finance_id", "left").join(by_location, "location_id", "left")
     lost = F.coalesce(F.col("churn_is_lost"), F.lit(False))
     row = row.join(sw, (row.location_id == sw.sw_location_id) & lost, "left")
 

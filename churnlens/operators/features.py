@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -53,14 +53,21 @@ ID_CANDIDATES = ["account_id", "customer_id", "location_id", "id", "AccountId",
 
 
 def add_row_id(df: DataFrame, keys: Sequence[str] = ROW_KEY, name: str = ROW_ID) -> DataFrame:
-    """Stable row identity (md5 of the row's business key), carried end to end.
+    """Unique row identity, carried end to end in place of the original's positional index.
 
-    It replaces the positional index the original used to line predictions up
-    with rows; it does not depend on partitioning or recomputation.
+    md5 of the business key, an absent or null part counting as empty; the
+    second and later rows of one key get ``-2``, ``-3`` ... after it, in the
+    order of a hash of the whole row, so equal keys never share an id.  It is
+    assigned once, before the cohort is written, and never recomputed.
     """
-    present = require_columns(df, keys)
-    parts = [F.coalesce(q(k).cast("string"), F.lit("")) for k in present]
-    return df.withColumn(name, F.md5(F.concat_ws("|", *parts)))
+    present = set(df.columns)
+    parts = [F.coalesce(q(k).cast("string"), F.lit("")) if k in present else F.lit("") for k in keys]
+    tagged = df.withColumn("_key", F.md5(F.concat_ws("|", *parts))).withColumn(
+        "_order", F.xxhash64(*[q(c) for c in df.columns]))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_order"))  # rows of one business key
+    return (tagged.withColumn("_n", number)
+            .withColumn(name, F.when(F.col("_n") == 1, F.col("_key")).otherwise(F.concat_ws("-", "_key", "_n")))
+            .drop("_key", "_order", "_n"))
 
 
 def single_location_filter(df: DataFrame, col: str = SEGMENT_COLUMN) -> DataFrame:
@@ -86,20 +93,18 @@ def first_month_cases(df: DataFrame, skip_null: bool = True):
     return total
 
 
-def one_hot_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list[str]]:
+def one_hot_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
     """Sorted distinct non-null levels per column, from one distributed distinct.
 
-    At most ``max_levels + 1`` rows reach the driver; more levels raise instead
-    of silently truncating.
+    Every level becomes a column of the result, so its names reach the driver;
+    there is no bound on their number besides what a schema can hold.
     """
     if not cols:
         return {}
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), q(c).cast("string").alias("v"))
                                 for i, c in enumerate(cols)]))
     rows = (df.select(pairs.alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
-            .distinct().limit(max_levels + 1).collect())
-    if len(rows) > max_levels:
-        raise ValueError(f"more than {max_levels} one-hot levels in {list(cols)}")
+            .distinct().collect())
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         out[cols[r["k"]]].append(r["v"])

@@ -75,10 +75,14 @@ def logit_inference(df: DataFrame, features: Sequence[str], label: str,
     features = [c for i, c in enumerate(wanted) if spread[f"d{i}"]]
     dropped = [c for c in wanted if c not in features]
     vec = VectorAssembler(inputCols=features, outputCol="_x").transform(data).select("_x", "_y")
+    classes = {r[0] for r in vec.groupBy("_y").count().collect() if r[0] is not None}
+    if classes != {0.0, 1.0}:
+        raise ValueError(f"the logit needs labels 0 and 1, got {sorted(classes)}")
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y",
                                       fitIntercept=True, regParam=0.0, maxIter=max_iter, tol=1e-10)
     m = glr.fit(vec)
     s = m.summary
+    check_fit(m.transform(vec), s.numIterations, max_iter)
     ses, zs = list(s.coefficientStandardErrors), list(s.tValues)
     # MLlib lists the intercept last; the table lists it first.
     names = ["const", *features]
@@ -93,6 +97,18 @@ def logit_inference(df: DataFrame, features: Sequence[str], label: str,
     return inference_columns(t)
 
 
+def check_fit(fitted: DataFrame, iterations: int, max_iter: int, edge: float = 1e-8) -> None:
+    """Raise if the fit did not settle or the classes are separated.
+
+    Under separation the likelihood has no maximum: some fitted probabilities
+    run to 0 or 1 and the standard errors mean nothing.
+    """
+    low, high = fitted.agg(F.min("prediction"), F.max("prediction")).first()
+    if iterations >= max_iter or low < edge or high > 1 - edge:
+        raise ValueError("the logit has no finite estimate: a combination of features separates the classes "
+                         f"(fitted probabilities from {low:.3g} to {high:.3g} after {iterations} iterations)")
+
+
 def inference_columns(t: DataFrame) -> DataFrame:
     """CI, odds ratio and percent change from (coefficient, std_err)."""
     b, se = F.col("coefficient"), F.col("std_err")
@@ -100,16 +116,17 @@ def inference_columns(t: DataFrame) -> DataFrame:
                     F.exp(b).alias("odds_ratio"), ((F.exp(b) - 1.0) * 100.0).alias("pct_odds_change_per_unit"))
 
 
-def background_means(df: DataFrame, features: Sequence[str], n: int = 1000, seed: int = 42,
+def background_means(df: DataFrame, features: Sequence[str], n: int | None = None, seed: int = 42,
                      key: str = "row_id") -> dict[str, float]:
-    """Feature means over a background sample of at most ``n`` rows.
+    """Feature means over all rows, or over a background sample of ``n`` rows if one is asked for.
 
-    The sample is the ``n`` rows with the smallest seeded hash of the row key
-    (a top-n, merged map-side), so it is reproducible and bounded.
+    The sample (a sampling option of the original) is the ``n`` rows with the
+    smallest seeded hash of the row key, so it is reproducible.
     """
     h = F.md5(F.concat_ws("|", q(key).cast("string"), F.lit(str(seed))))
-    bg = (df.select(*[q(c).cast("double").alias(c) for c in features], h.alias("_h"), q(key).alias("_k"))
-          .orderBy("_h", "_k").limit(n))
+    bg = df.select(*[q(c).cast("double").alias(c) for c in features], h.alias("_h"), q(key).alias("_k"))
+    if n is not None:
+        bg = bg.orderBy("_h", "_k").limit(n)
     row = bg.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
     return {c: float(row[f"m{i}"]) for i, c in enumerate(features)}
 

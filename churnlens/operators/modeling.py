@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .cleaning import q
 from .evaluation import best_threshold, pr_table
-from .ranking import rank_within_groups
+from .ranking import exact_quantiles, rank_within_groups
 
 SPLIT, LABEL, WEIGHT = "split", "churn_flag", "class_weight"
 SPLIT_SALT = "split-42"
@@ -55,39 +55,41 @@ def stratified_split(df: DataFrame, key: str = "row_id", test_size: float = 0.20
     Inside each class rows are ordered by a seeded md5 of the key (then the
     key); the first ``round(test_size * n_c)`` go to test, the next
     ``round(val_size * rest)`` to validation.  Positions come from the
-    range-partitioned ``rank_within_groups``, so a class holding most rows is
-    still cut across many tasks; only the class counts (one row per class)
-    reach the driver.  The result does not depend on partitioning.  Without a
-    label column the split falls back to fixed cuts of a uniform hash.
+    range-partitioned ``rank_within_groups`` over (key, label, hash) rows, so a
+    class holding most rows is still cut across many tasks; only the class
+    counts (one row per class) reach the driver.  Rows without a label are a
+    class of their own.  The key must be unique.  Without a label column the
+    split falls back to fixed cuts of a uniform hash.
     """
     if label is None or label not in df.columns:
         u = hash_unit(key, salt)
         cut_val = test_size + (1.0 - test_size) * val_size
         return df.withColumn(col, F.when(u < test_size, "test").when(u < cut_val, "val").otherwise("train"))
-    counts = {r[0]: int(r[1]) for r in df.groupBy(q(label)).count().collect() if r[0] is not None}
-    sizes = {c: split_sizes(n, test_size, val_size) for c, n in counts.items()}
-    n_test = F.create_map(*[F.lit(x) for c, (t, _) in sizes.items() for x in (c, t)])
-    n_tv = F.create_map(*[F.lit(x) for c, (t, v) in sizes.items() for x in (c, t + v)])
     h = F.md5(F.concat_ws("|", q(key).cast("string"), F.lit(salt)))
-    ranked = rank_within_groups(df.withColumn("_split_h", h), label, [F.col("_split_h"), q(key)], "_split_pos")
-    pos = F.col("_split_pos")
-    split = (F.when(pos <= n_test[q(label)], "test").when(pos <= n_tv[q(label)], "val").otherwise("train"))
-    return ranked.withColumn(col, split).drop("_split_h", "_split_pos")
+    narrow = df.select(q(key).alias("_split_k"), q(label).alias("_split_y"), h.alias("_split_h"))
+    split = F.lit("train")
+    for r in narrow.groupBy("_split_y").count().collect():
+        n_test, n_val = split_sizes(int(r["count"]), test_size, val_size)
+        own, pos = F.col("_split_y").eqNullSafe(F.lit(r["_split_y"])), F.col("_split_pos")
+        split = F.when(own & (pos <= n_test), "test").when(own & (pos <= n_test + n_val), "val").otherwise(split)
+    ranked = rank_within_groups(narrow, "_split_y", [F.col("_split_h"), F.col("_split_k")], "_split_pos")
+    return df.join(ranked.select("_split_k", split.alias(col)), q(key) == F.col("_split_k")).drop("_split_k")
 
 
 # --------------------------------------------------------------------------- fitted statistics
-def fit_medians(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict[str, float]:
-    """Per-column median of non-null values (linear interpolation), one aggregate job.
+def fit_medians(df: DataFrame, cols: Sequence[str], continuous: Sequence[str] = ()) -> dict[str, float]:
+    """Per-column median of non-null values (linear interpolation).
 
-    ``exact=False`` uses ``percentile_approx`` for continuous, high-cardinality
-    columns where the exact value->count map would grow with the data.
+    Flags and counts are one aggregate job, whose value->count map stays small.
+    Columns listed in ``continuous`` have a value per row, so their median comes
+    from the range-partitioned ``exact_quantiles`` instead.
     """
-    if not cols:
-        return {}
-    aggs = [(F.median(q(c)) if exact else F.percentile_approx(q(c), 0.5, 10000)).alias(f"m{i}")
-            for i, c in enumerate(cols)]
-    row = df.agg(*aggs).first()
-    return {c: (None if row[f"m{i}"] is None else float(row[f"m{i}"])) for i, c in enumerate(cols)}
+    few = [c for c in cols if c not in continuous]
+    out: dict[str, float] = {c: exact_quantiles(df, q(c), [0.5])[0] for c in cols if c in continuous}
+    if few:
+        row = df.agg(*[F.median(q(c)).alias(f"m{i}") for i, c in enumerate(few)]).first()
+        out |= {c: (None if row[f"m{i}"] is None else float(row[f"m{i}"])) for i, c in enumerate(few)}
+    return {c: out[c] for c in cols}
 
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -301,6 +303,7 @@ def save_model(model: ChurnModel, path: str) -> None:
     params = {"features": model.features, "medians": model.medians,
               "scaler": {k: list(v) for k, v in model.scaler.items()}, "intercept": model.intercept,
               "coefficients": model.coefficients, "threshold": model.threshold,
+              "calibrated": model.iso is not None,
               "weights": {str(k): v for k, v in model.weights.items()}}
     spark.createDataFrame([(json.dumps(params),)], "params STRING").write.parquet(f"{path}/params")
     if model.iso is not None:
@@ -315,10 +318,8 @@ def load_model(path: str) -> ChurnModel:
     m = ChurnModel(p["features"], p["medians"], {k: tuple(v) for k, v in p["scaler"].items()},
                    p["intercept"], p["coefficients"], threshold=p["threshold"],
                    weights={int(k): v for k, v in p["weights"].items()})
-    try:
+    if p["calibrated"]:
         m.iso = IsotonicRegressionModel.load(f"{path}/isotonic")
         m.boundaries = [float(v) for v in m.iso.boundaries.toArray()]
         m.predictions = [float(v) for v in m.iso.predictions.toArray()]
-    except Exception:  # noqa: BLE001 - an uncalibrated model has no isotonic part
-        m.iso = None
     return m

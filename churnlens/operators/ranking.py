@@ -7,9 +7,11 @@ partition and written once to the shared checkpoint folder, so the count pass
 and the numbering pass see the same partitions even after executor loss.
 Per-partition counts/totals form a table with one row per partition -- its
 size is bounded by the partition count, not the data -- and are turned into
-offsets that are broadcast back.  A frame whose row count is measured to
-be small (``SMALL_ROWS``) is ranked by one ordered window instead, which
-skips the write.
+offsets that are broadcast back.
+
+Every frame takes this path, whatever its size.  The written rows are the
+order columns and what the caller keeps, so callers rank narrow (id, key) rows
+and join wide columns or texts back by id.
 """
 
 from __future__ import annotations
@@ -46,23 +48,10 @@ def _offsets(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
                                    for k in totals])
 
 
-# Below this many rows a frame is ranked by one ordered window (one task);
-# the row count is measured first, so the one-task path only ever sees a
-# proven-small frame.  Larger frames take the range-partitioned path.
-SMALL_ROWS = 100_000
-
-
-def _is_small(df: DataFrame, small_rows: int | None) -> bool:
-    limit = SMALL_ROWS if small_rows is None else small_rows
-    return limit > 0 and df.limit(limit + 1).count() <= limit
-
-
 def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
-                num_partitions: int | None = None, small_rows: int | None = None) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order`` (which must be unique,
     i.e. end with a tie-breaking id), like a 'first'-method rank."""
-    if num_partitions is None and _is_small(df, small_rows):
-        return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
     ranged = _ranged(df, order, num_partitions)
     offsets = _offsets(ranged, {"n": F.count(F.lit(1))})
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
@@ -72,12 +61,8 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
 
 
 def prefix_sums(df: DataFrame, order: Sequence[Column], value_cols: Sequence[str],
-                suffix: str = "_cum", num_partitions: int | None = None,
-                small_rows: int | None = None) -> DataFrame:
+                suffix: str = "_cum", num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` along the total order ``order``."""
-    if num_partitions is None and _is_small(df, small_rows):
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(v).over(w).alias(v + suffix) for v in value_cols])
     ranged = _ranged(df, order, num_partitions)
     offsets = _offsets(ranged, {v: F.sum(v) for v in value_cols})
     w = (Window.partitionBy(_PID).orderBy(_MID)
@@ -113,17 +98,31 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
 
 def rank_within_groups(df: DataFrame, group: str, order: Sequence[Column], rank_col: str = "pos",
                        num_partitions: int | None = None) -> DataFrame:
-    """1-based position of every row inside its group, for groups of any size.
+    """1-based position of every row inside its group, for groups of any size, null group included.
 
-    A global rank over (group, order) is range-partitioned, so a hot group is
-    cut into many tasks; the group's first global position (one aggregate
-    row per group) turns it into a position within the group.
+    The rows are range-partitioned on (group, order), so a hot group is cut into
+    many tasks and only a partition's first group can have begun before it.  A
+    row's position is its place among its group's rows in the partition, plus,
+    for that first group, the rows it has in the partitions before: a table of
+    one row per partition.  No join on the group is needed.
     """
-    ranked = global_rank(df, [F.col(group), *order], "_grank", num_partitions)
-    starts = ranked.groupBy(group).agg(F.min("_grank").alias("_gstart"))
-    return (ranked.join(starts, group)
-            .withColumn(rank_col, F.col("_grank") - F.col("_gstart") + 1)
-            .drop("_grank", "_gstart"))
+    g = f"`{group}`"
+    ranged = _ranged(df, [F.col(g), *order], num_partitions)
+    parts = ranged.groupBy(_PID, F.col(g).alias("_g")).agg(F.count(F.lit(1)).alias("n"), F.min(_MID).alias("at"))
+    parts = parts.groupBy(_PID).agg(F.min(F.struct("at", "_g")).alias("first"), F.max(F.struct("at", "_g", "n")).alias("last"))
+    by_part = Window.orderBy(_PID)
+    of_group = Window.partitionBy("last._g").orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = (parts.withColumn("_run", F.sum("last.n").over(of_group))
+              .withColumn("_seen", F.lag("_run").over(by_part)).withColumn("_prev", F.lag("last").over(by_part)))
+    goes_on = F.col("_prev").isNotNull() & F.col("first._g").eqNullSafe(F.col("_prev._g"))
+    offsets = before.select(_PID, F.col("first._g").alias("_first"),
+                            F.when(goes_on, F.col("_seen")).otherwise(0).alias(_OFF))
+    own = Window.partitionBy(_PID, F.col(g))  # at most one partition's rows
+    local = F.col(_MID) - F.min(_MID).over(own)
+    carried = F.when(F.col(g).eqNullSafe(F.col("_first")), F.col(_OFF)).otherwise(0)
+    return (ranged.join(F.broadcast(offsets), _PID)
+            .withColumn(rank_col, (local + carried + 1).cast("long"))
+            .drop(_PID, _MID, _OFF, "_first"))
 
 
 def exact_quantiles(df: DataFrame, col: Column, qs: Sequence[float],
@@ -137,13 +136,13 @@ def exact_quantiles(df: DataFrame, col: Column, qs: Sequence[float],
     statistics around each quantile position reach the driver.
     """
     x = df.select(col.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    n = x.count()
+    x = x.withColumn("_id", F.monotonically_increasing_id())
+    ranked = global_rank(x, [F.col("_v"), F.col("_id")], "_r", num_partitions)
+    n = ranked.count()
     if n == 0:
         return [None for _ in qs]
     pos = {qv: qv * (n - 1) for qv in qs}
     need = sorted({int(p // 1) for p in pos.values()} | {int(-(-p // 1)) for p in pos.values()})
-    x = x.withColumn("_id", F.monotonically_increasing_id())
-    ranked = global_rank(x, [F.col("_v"), F.col("_id")], "_r", num_partitions)
     at = {r["_r"] - 1: r["_v"] for r in ranked.filter(F.col("_r").isin(*[k + 1 for k in need])).collect()}
     out = []
     for qv in qs:

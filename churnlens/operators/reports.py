@@ -9,7 +9,7 @@ takes the top k in two salted phases (``ranking.top_n_per_group``).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence  # noqa: F401
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -33,12 +33,19 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.filter(q(col).isNotNull()).groupBy(q(col).alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def top_values_pct(df: DataFrame, col: str, k: int = 5, digits: int = 1) -> DataFrame:
-    """Top-k values by count (ties by value) with their percentage of all rows."""
-    total = df.agg(F.count(F.lit(1))).first()[0]
-    vc = value_counts(df, col).orderBy(F.col("count").desc(), F.col("value")).limit(k)
-    return vc.select(F.lit(col).alias("column"), F.col("value").cast("string").alias("value"), "count",
-                     F.round(F.col("count") * 100.0 / F.lit(max(total, 1)), digits).alias("pct"))
+def top_values_pct(df: DataFrame, cols: Sequence[str], k: int = 5, digits: int = 1) -> DataFrame:
+    """Top-k values by count (ties by value) of each column, with their percentage of all rows.
+
+    One pass over the rows counts (column, value) pairs, nulls included, so the
+    counts of a column also add up to the number of rows.
+    """
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in cols]))
+    counts = (df.select(pair.alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("count")))
+    totals = counts.groupBy(F.col("column").alias("_c")).agg(F.sum("count").alias("_total"))  # a row per column
+    top = top_n_per_group(counts.where(F.col("value").isNotNull()), ["column"], [F.col("count").desc(), F.col("value")],
+                          k, salt_key=F.col("value"), rank_col="_rank")
+    return top.join(F.broadcast(totals), F.col("column") == F.col("_c")).select(
+        "column", "value", "count", F.round(F.col("count") * 100.0 / F.col("_total"), digits).alias("pct"))
 
 
 def tenure_revenue_summary(df: DataFrame, tenure: str, revenue: str) -> DataFrame:
@@ -48,14 +55,14 @@ def tenure_revenue_summary(df: DataFrame, tenure: str, revenue: str) -> DataFram
 
 
 def segment_sizes(df: DataFrame, segment: str) -> DataFrame:
-    """Size of each segment (sorted by segment), with the segment count, total and average size.
+    """Size of each segment, sorted by segment, with the segment count, total and average size.
 
     The grouped table has one row per segment; its totals come back as one row.
     """
     g = df.groupBy(q(segment).alias("segment")).agg(F.count(F.lit(1)).alias("size"))
     t = g.agg(F.count(F.lit(1)), F.sum("size"), F.avg("size")).first()
     return g.select("segment", "size", F.lit(t[0]).alias("n_segments"), F.lit(t[1]).alias("total"),
-                    F.lit(t[2]).alias("avg_size"))
+                    F.lit(t[2]).alias("avg_size")).orderBy("segment")
 
 
 def theme_counts(df: DataFrame, text: str, themes: Mapping[str, Sequence[str]] = THEMES) -> DataFrame:
@@ -122,12 +129,6 @@ def high_risk_top(df: DataFrame, risk: str, key: str, quantile: float = 0.8, k:
     return df.filter(q(risk) >= F.lit(thr)).orderBy(q(risk).desc(), q(key)).limit(k)
 
 
-def high_risk_count(df: DataFrame, risk: str, quantile: float = 0.8) -> DataFrame:
-    thr = risk_threshold(df, risk, quantile)
-    return df.filter(q(risk) >= F.lit(thr)).agg(F.count(F.lit(1)).alias("high_risk_customers"),
-                                                 F.lit(thr).alias("risk_threshold"))
-
-
 def fixed_histogram(df: DataFrame, col: str, bins: int = 50, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """Counts in ``bins`` equal-width bins over [lo, hi] (the top edge falls in the last bin)."""
     span = float(hi - lo)

@@ -142,9 +142,11 @@ def pca_2d(df: DataFrame, features: str = "embedding", k: int = 2) -> DataFrame:
     """Centre the vectors, then project on the top-``k`` principal components.
 
     MLlib's PCA projects uncentred data, so centring is an explicit
-    StandardScaler(withMean=True, withStd=False) step.  Skipped (no rows
-    added) when there are fewer than 2 rows, like the original.
+    StandardScaler(withMean=True, withStd=False) step.  Fewer than 2 rows have
+    no direction of variance: their components are null.
     """
+    if df.limit(2).count() < 2:
+        return df.select("*", *[F.lit(None).cast("double").alias(f"pc{i + 1}") for i in range(k)])
     centred = StandardScaler(inputCol=features, outputCol="_centred", withMean=True, withStd=False)
     c = centred.fit(df).transform(df)
     p = PCA(k=k, inputCol="_centred", outputCol="_pc").fit(c).transform(c)
@@ -164,18 +166,22 @@ def markdown_lines(df: DataFrame, group: str, columns: Sequence[str] = SUMMARY_C
     """Markdown table of every group's rows, one output row per table line.
 
     (group, line_no, line): line 0 is the header, 1 the separator, then one
-    line per input row in ``order``; a null cell is blank.  Rows are never
-    concatenated into one value and line numbers come from a range-partitioned
-    rank, so a group of any size stays spread over many tasks; writing the
-    lines ordered by (group, line_no) yields each table's text.
+    line per input row in ``order`` (which must be unique); a null cell is
+    blank and the null group has a table too.  Rows are never concatenated into
+    one value.  Line numbers come from a range-partitioned rank of (group,
+    order) rows, so a group of any size stays spread over many tasks and whole
+    lines are only joined to their numbers; writing the lines ordered by
+    (group, line_no) yields each table's text.
     """
     header = "| " + " | ".join(columns) + " |"
     sep = "| " + " | ".join("-" * len(c) for c in columns) + " |"
     cells = [F.coalesce(q(c).cast("string"), F.lit("")) for c in columns]
     body_line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     rows = df.select(q(group).alias("grp"), *[q(o) for o in order], body_line.alias("line"))
-    ranked = rank_within_groups(rows, "grp", [F.col(o) for o in order], "pos")
-    body = ranked.select("grp", (F.col("pos") + 1).alias("line_no"), "line")
+    ranked = rank_within_groups(rows.drop("line"), "grp", [F.col(f"`{o}`") for o in order], "pos")
+    place = ranked.select((F.col("pos") + 1).alias("line_no"), *[F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate(order)])
+    same = [F.col(f"`{o}`").eqNullSafe(F.col(f"_o{i}")) for i, o in enumerate(order)]
+    body = rows.join(place, same).select("grp", "line_no", "line")
     heads = rows.select("grp").distinct()
     top = heads.select("grp", F.lit(0).cast("long").alias("line_no"), F.lit(header).alias("line")).unionByName(
         heads.select("grp", F.lit(1).cast("long").alias("line_no"), F.lit(sep).alias("line")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +34,3 @@ def clean_cohort(wide: DataFrame, retain_min: int = 12, churn_range: tuple[int,
 def churn_cohort(cohort_df: DataFrame) -> DataFrame:
     """Churn-only subset of the cleaned cohort."""
     return cohort_df.filter(F.col("CHURN_OR_RETAIN") == X.CHURN)
-
-
-def build_cohort(sources: Mapping[str, DataFrame], **params) -> tuple[DataFrame, DataFrame]:
-    wide = cohort.wide_customer_row(sources)
-    combined = clean_cohort(wide, **params)
-    return combined, churn_cohort(combined)

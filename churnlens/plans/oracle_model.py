@@ -75,6 +75,7 @@ mdl0 AS (
     CASE CHURN_OR_RETAIN WHEN 'Churn' THEN 1 WHEN 'Retain' THEN 0 END AS churn_flag,
     CORE_INDUSTRY AS "Core Industry", bundle_type AS "BundleType",
     CAST(LIFETIME_MONTHS AS DOUBLE) AS tenure, CAST(LIFETIME_VALUE AS DOUBLE) AS revenue,
+    CAST(STARTING_MRR AS DOUBLE) AS starting_mrr,
     md5(row_id || '|{SPLIT_SALT}') AS _sh
   FROM enr
 ),

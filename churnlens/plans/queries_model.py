@@ -17,7 +17,7 @@ from ..operators.ranking import global_rank
 from .oracle_cohort import stage1
 from .oracle_model import FEATURE_SQL, coefficient_score_sql, risk_sql, stage2
 from .queries_cohort import cohort_frame
-from .stages import materialised
+from .stages import materialised, remembered
 from .registry import TESTDATA_PARAMS, register
 
 LO, HI = TESTDATA_PARAMS["churn_range"]
@@ -54,8 +54,8 @@ def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = model.select(
             FE.ROW_ID, *[q(c) for c in ids],
             *[X.finite_or_null(q(f)).alias(f) for f in feats], *[q(c) for c in extra],
-            F.col(FE.LABEL), q("Core Industry"), q("BundleType"),
-            q(FE.TENURE).cast("double").alias("tenure"), q("Lifetime Value").cast("double").alias("revenue"))
+            F.col(FE.LABEL), q("Core Industry"), q("BundleType"), q(FE.TENURE).cast("double").alias("tenure"),
+            q("Lifetime Value").cast("double").alias("revenue"), q("Starting Mrr").cast("double").alias("starting_mrr"))
         return MO.stratified_split(out, FE.ROW_ID)
     return materialised(spark, sf_dir, "model_rows", build)
 
@@ -67,6 +67,14 @@ def coef_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("business_risk_index", MO.business_risk_index(s, "p_churn"))
 
 
+def with_ranks(scored: DataFrame, proba: str) -> DataFrame:
+    """Ranks by probability and by risk index: narrow rows are ranked, then joined back by row id."""
+    narrow = scored.select(FE.ROW_ID, proba, "business_risk_index")
+    ranks = global_rank(narrow, [F.col(proba).desc(), F.col(FE.ROW_ID)], "rank_by_p")
+    ranks = global_rank(ranks, [F.col("business_risk_index").desc(), F.col(FE.ROW_ID)], "rank_by_bri")
+    return scored.join(ranks.select(FE.ROW_ID, "rank_by_p", "rank_by_bri"), FE.ROW_ID)
+
+
 def _r(c, d: int = 9):
     return F.round(c, d)
 
@@ -357,9 +365,7 @@ SELECT row_id, row_number() OVER (ORDER BY p_churn DESC, row_id) AS rank_by_p,
 FROM scr"""))
 def q_risk_ranks(spark, sf_dir):
     s = coef_scored(spark, sf_dir).select(FE.ROW_ID, "p_churn", "business_risk_index")
-    s = global_rank(s, [F.col("p_churn").desc(), F.col(FE.ROW_ID)], "rank_by_p")
-    s = global_rank(s, [F.col("business_risk_index").desc(), F.col(FE.ROW_ID)], "rank_by_bri")
-    return s.select(FE.ROW_ID, "rank_by_p", "rank_by_bri")
+    return with_ranks(s, "p_churn").select(FE.ROW_ID, "rank_by_p", "rank_by_bri")
 
 
 @register("risk_ranked_accounts", stage2s(f"""
@@ -370,9 +376,7 @@ SELECT row_id, "Core Industry", "BundleType", churn_flag AS y_true, {_rs('p_chur
 FROM scr"""))
 def q_risk_ranked_accounts(spark, sf_dir):
     """Flagship: every account's churn probability, risk index and both ranks (skew-safe global rank)."""
-    s = coef_scored(spark, sf_dir)
-    s = global_rank(s, [F.col("p_churn").desc(), F.col(FE.ROW_ID)], "rank_by_p")
-    s = global_rank(s, [F.col("business_risk_index").desc(), F.col(FE.ROW_ID)], "rank_by_bri")
+    s = with_ranks(coef_scored(spark, sf_dir), "p_churn")
     return s.select(FE.ROW_ID, q("Core Industry"), q("BundleType"), F.col(FE.LABEL).alias("y_true"),
                     _r("p_churn").alias("p_churn"), _r("business_risk_index").alias("business_risk_index"),
                     "rank_by_p", "rank_by_bri")
@@ -430,28 +434,26 @@ def q_churn_by_bundle(spark, sf_dir):
 
 
 @register("confusion_revenue", stage2s("""
-SELECT y, yhat, round(sum(revenue), 2) AS revenue, count(*) AS n
-FROM (SELECT churn_flag AS y, CAST(p_churn >= 0.5 AS INTEGER) AS yhat, revenue FROM scr) t
-GROUP BY y, yhat"""))
+SELECT y, yhat, round(sum(starting_mrr), 2) AS starting_mrr, count(*) AS n
+FROM (SELECT churn_flag AS y, CAST(p_churn >= (SELECT threshold FROM best) AS INTEGER) AS yhat, starting_mrr FROM scr) t
+GROUP BY y, yhat""", PR_CTE))
 def q_confusion_revenue(spark, sf_dir):
+    """Starting revenue by actual and predicted label, with the threshold tuned on the validation rows."""
     s = coef_scored(spark, sf_dir)
-    return (s.select(F.col(FE.LABEL).alias("y"), (F.col("p_churn") >= 0.5).cast("int").alias("yhat"), "revenue")
-            .groupBy("y", "yhat").agg(F.round(F.sum("revenue"), 2).alias("revenue"),
+    thr = EV.best_threshold(_val_pr(spark, sf_dir)).first()["threshold"]
+    return (s.select(F.col(FE.LABEL).alias("y"), (F.col("p_churn") >= F.lit(thr)).cast("int").alias("yhat"), "starting_mrr")
+            .groupBy("y", "yhat").agg(F.round(F.sum("starting_mrr"), 2).alias("starting_mrr"),
                                       F.count(F.lit(1)).alias("n")))
 
 
 # --------------------------------------------------------------------- fitted model (invariant checks)
-_FITTED: dict[tuple[str, str], tuple] = {}
-
-
 def fitted(spark, sf_dir):
     """Model rows, features and the fitted model (fitted once per session and folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _FITTED:
+    def build():
         m = model_rows(spark, sf_dir)
         feats = FE.available_features(m)
-        _FITTED[key] = (m, feats, MO.train_churn_model(m, feats))
-    return _FITTED[key]
+        return m, feats, MO.train_churn_model(m, feats)
+    return remembered(spark, sf_dir, "churn_model", build)
 
 
 @register("balanced_logit_optimality", stage2(
@@ -514,30 +516,7 @@ def q_scored_rows_consistency(spark, sf_dir):
                            & (F.count_distinct("rank_by_bri") == n), 0).otherwise(1)).alias("bad_rank"))
 
 
-@register("standardised_coefficients")
-def q_standardised_coefficients(spark, sf_dir):
-    _, _, model = fitted(spark, sf_dir)
-    return MO.coefficient_table(model)
-
-
 # --------------------------------------------------------------------- inference (GLR)
-_INFERENCE: dict[tuple[str, str], DataFrame] = {}
-
-
-def inference_table(spark, sf_dir) -> DataFrame:
-    """The GLR coefficient table of all model rows (fitted once per session and folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _INFERENCE:
-        m = model_rows(spark, sf_dir)
-        _INFERENCE[key] = INF.logit_inference(m, FE.available_features(m), FE.LABEL)
-    return _INFERENCE[key]
-
-
-@register("logit_coefficients")
-def q_logit_coefficients(spark, sf_dir):
-    return inference_table(spark, sf_dir)
-
-
 _ONE = "Outbound Call Count Activated"
 
 
@@ -571,8 +550,7 @@ def _attr_sql() -> str:
     margin = " + ".join([repr(coefs["const"])] + [f'({coefs[f]!r}) * v."{f}"' for f in feats])
     return stage2(f"""
 SELECT v.row_id, {phis}, {_rs(base)} AS base_value, {_rs(margin)} AS margin
-FROM mdl v, (SELECT {means} FROM (SELECT * FROM mdl WHERE split = 'train'
-                                 ORDER BY md5(row_id || '|42'), row_id LIMIT 1000) s) bg
+FROM mdl v, (SELECT {means} FROM mdl WHERE split = 'train') bg
 WHERE v.split = 'val'""")
 
 

@@ -11,18 +11,14 @@ from pyspark.sql import functions as F
 from ..operators import reports as RP
 from ..operators import segments as SG
 from ..operators.cleaning import q
-from ..operators.features import add_row_id
 from ..sources import files
 from . import extract
 from .oracle_model import ROW_ID_SQL, stage2
 from .queries_cohort import cohort_frame
 from .registry import register
-from .stages import materialised
+from .stages import remembered
 from ..session import cut_lineage
 
-ROW_KEY = ["LOCATION_ID", "CHURN_MONTH", "STARTING_BUNDLE", "END_BUNDLE", "SWAT_CASE_ID",
-           "FIRST_USAGE_REPORT_MONTH"]
-
 _strip = "regexp_replace(CAST({c} AS VARCHAR), '^\\s+|\\s+$', '', 'g')"
 _unknown = "CASE WHEN {s} IS NULL OR {s} IN ('', 'nan', 'None') THEN 'Unknown' ELSE {s} END"
 PROFILE_SQL = "concat_ws(' ', " + ", ".join(_unknown.format(s=_strip.format(c=c)) for c in SG.TEXT_FEATURES) + ")"
@@ -44,8 +40,8 @@ def seg_sql(body: str, *extra: str) -> str:
 
 # --------------------------------------------------------------------- stage pieces
 def churn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The churn-only stage-1 export with a stable row id."""
-    return add_row_id(extract.churn_cohort(cohort_frame(spark, sf_dir)), ROW_KEY)
+    """The churn-only stage-1 export, with the row id it was given there."""
+    return extract.churn_cohort(cohort_frame(spark, sf_dir))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,25 +56,20 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = SG.segment_input(churn_rows(spark, sf_dir))
         emb = cut_lineage(SG.embed(base).select("row_id", "embedding"))
         out, centres = SG.cluster(emb)
-        labelled.centres[(sf_dir, spark.sparkContext.applicationId)] = centres
-        return out
-    labels = segment_labels(spark, sf_dir, build)
+        return cut_lineage(out), centres
+    labels, _ = remembered(spark, sf_dir, "segments", build)
     return SG.segment_input(churn_rows(spark, sf_dir), check_empty=False).join(labels, "row_id")
 
 
-def segment_labels(spark: SparkSession, sf_dir: str, build=None) -> DataFrame:
+def segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written (row_id, embedding, reason_segment) table."""
-    if build is None:
-        labelled(spark, sf_dir)  # builds and memoises it
-    return materialised(spark, sf_dir, "segments", build)
-
-
-labelled.centres = {}
+    labelled(spark, sf_dir)  # builds and remembers it
+    return remembered(spark, sf_dir, "segments", lambda: None)[0]
 
 
 def _centres(spark, sf_dir):
     labelled(spark, sf_dir)
-    return labelled.centres[(sf_dir, spark.sparkContext.applicationId)]
+    return remembered(spark, sf_dir, "segments", lambda: None)[1]
 
 
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,8 +209,7 @@ SELECT * FROM (SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*)
        round(count(*) * 100.0 / (SELECT count(*) FROM churn), 1) AS pct
   FROM churn WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count DESC, value LIMIT 5)""" for c in _TOP_COLS)))
 def q_top_values_pct(spark, sf_dir):
-    a = augmented(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [RP.top_values_pct(a, c, 5) for c in _TOP_COLS])
+    return RP.top_values_pct(augmented(spark, sf_dir), _TOP_COLS, 5)
 
 
 @register("tenure_revenue_summary", seg_sql("""
@@ -278,7 +268,7 @@ def q_segment_report(spark, sf_dir):
     sizes = RP.segment_sizes(labelled(spark, sf_dir), SG.SEGMENT).select(
         F.lit("segment_size").alias("section"), F.col("segment").cast("string").alias("key"),
         F.col("size").cast("string").alias("value"))
-    tops = reduce(DataFrame.unionByName, [RP.top_values_pct(a, c, 5) for c in _TOP_COLS]).select(
+    tops = RP.top_values_pct(a, _TOP_COLS, 5).select(
         F.concat(F.lit("top_"), F.col("column")).alias("section"), F.col("value").alias("key"),
         F.format_string("%d (%.1f%%)", "count", "pct").alias("value"))
     themes = RP.theme_counts(a, "SWAT_CANCEL_SUMMARY").select(

@@ -35,6 +35,5 @@ def load_all() -> None:
     """Import every query module (they register on import)."""
     from . import queries_cohort  # noqa: F401
     from . import queries_model  # noqa: F401
-    from . import queries_eval  # noqa: F401
     from . import queries_segments  # noqa: F401
-    from . import queries_reports  # noqa: F401
+    from . import queries_labels  # noqa: F401

@@ -1,28 +1,37 @@
-"""Materialised stage outputs shared by the registered queries.
-
-The pipeline has three hand-off points (cohort rows, enriched/model rows,
-churn rows for segmentation).  Each is built once per session and input
-folder and cut from its lineage with a reliable checkpoint in the folder the
-session names in ``spark.checkpoint.dir``: later stages read the written
-rows instead of re-running the 12-join cohort plan, and a lost executor
-re-reads checkpoint files instead of recomputing the whole history.
+"""Stage outputs shared by the registered queries of a session.
+
+The pipeline has hand-off points (wide row, cohort rows, enriched/model rows,
+churn rows for segmentation).  Each is built once per session and input folder
+and cut from its lineage with a table in the folder the session names in
+``spark.checkpoint.dir``: later stages read the written rows instead of
+re-running the cohort plan, and a lost executor re-reads files instead of
+recomputing the whole history.  Fitted models are remembered the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut_lineage
 
-_MEMO: dict[tuple[str, str, str], DataFrame] = {}
+_MEMO: dict[tuple[str, str, str], Any] = {}
 
 
 def _session_key(spark: SparkSession) -> str:
     return spark.sparkContext.applicationId
 
 
+def remembered(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Any]) -> Any:
+    """``build()`` for this session and folder, called once."""
+    key = (_session_key(spark), sf_dir.rstrip("/"), name)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
 def materialised(spark: SparkSession, sf_dir: str, name: str,
                  build: Callable[[], DataFrame], write: bool = True) -> DataFrame:
     """The stage ``name`` for this session and folder, built once.
@@ -30,22 +39,14 @@ def materialised(spark: SparkSession, sf_dir: str, name: str,
     ``write=False`` is for builders that already end in a written table
     followed only by cheap row filters, so a second write would buy nothing.
     """
-    key = (_session_key(spark), sf_dir.rstrip("/"), name)
-    df = _MEMO.get(key)
-    if df is None:
-        df = build()
-        if write:
-            df = cut_lineage(df)
-        _MEMO[key] = df
-    return df
+    return remembered(spark, sf_dir, name, (lambda: cut_lineage(build())) if write else build)
 
 
 def forget(spark: SparkSession | None = None) -> None:
-    """Drop memoised stages (all, or those of one session)."""
+    """Drop everything remembered (of all sessions, or of one): stages, fitted models, centres."""
     if spark is None:
         _MEMO.clear()
         return
     app = _session_key(spark)
     for k in [k for k in _MEMO if k[0] == app]:
         del _MEMO[k]
-

@@ -7,7 +7,10 @@ does it create a scratch directory.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -46,15 +49,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share "
                              "(stage hand-offs and ranks are written there)")
         # Local runs and tests only: a cluster names a shared folder here.
         configured = tempfile.mkdtemp(prefix="churnlens-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return configured
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete the hand-off tables that ``cut_lineage`` wrote in this session.
+
+    For long-lived clusters: call it when no result that reads them is needed
+    any more.  (A scratch folder of a local session goes at exit by itself.)
+    """
+    sc = spark.sparkContext
+    for path in _WRITTEN.pop(sc.applicationId, []):
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -64,5 +83,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -29,7 +29,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     """Read CSV written by ``write_csv`` or a spreadsheet export (BOM tolerated).
 
     With a schema the types are fixed; without one every column is a string
-    (no inference pass over the data).
+    (no inference pass over the data).  Quoted line ends make a CSV file
+    unsplittable, so a file is read by one task: hand-offs inside the library
+    are parquet, CSV is for exports, which have one file per writing task.
     """
     reader = spark.read.options(**CSV_OPTIONS)
     if schema:
@@ -37,14 +39,6 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return reader.csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",
-                  partition_by: list[str] | None = None) -> None:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def write_counted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> int:
     """Write ``df`` and return its row count, observed during the write (no extra pass)."""
     from pyspark.sql import Observation

@@ -289,17 +289,43 @@ def test_smote_balances_and_interpolates_true_neighbours(spark):
         assert ok, r
 
 
-def test_small_and_distributed_rank_paths_agree(spark):
+def test_ranks_do_not_depend_on_partitions(spark):
     rnd = random.Random(9)
-    rows = [(i, rnd.choice([1.0, 2.0, 3.0])) for i in range(300)]
-    df = spark.createDataFrame(rows, "id INT, s DOUBLE")
+    rows = [(i, rnd.choice([1.0, 2.0, 3.0]), rnd.choice(["a", None, "b", "hot", "hot", "hot"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id INT, s DOUBLE, g STRING")
     order = [F.col("s").desc(), F.col("id")]
-    small = {r["id"]: r["rank"] for r in global_rank(df, order, "rank").collect()}
-    big = {r["id"]: r["rank"] for r in global_rank(df, order, "rank", small_rows=0).collect()}
-    assert small == big
-    ps_small = {r["id"]: r["s_cum"] for r in prefix_sums(df, [F.col("id")], ["s"]).collect()}
-    ps_big = {r["id"]: r["s_cum"] for r in prefix_sums(df, [F.col("id")], ["s"], small_rows=0).collect()}
-    assert ps_small == ps_big
+    results = []
+    for n in (1, 4, 200):
+        ranks = {r["id"]: r["rank"] for r in global_rank(df, order, "rank", n).collect()}
+        sums = {r["id"]: r["s_cum"] for r in prefix_sums(df, [F.col("id")], ["s"], num_partitions=n).collect()}
+        within = {r["id"]: r["pos"] for r in rank_within_groups(df, "g", order, num_partitions=n).collect()}
+        results.append((ranks, sums, within))
+    assert results[0] == results[1] == results[2]
+    expect = {}
+    for g in ("a", None, "b", "hot"):
+        own = sorted((r for r in rows if r[2] == g), key=lambda r: (-r[1], r[0]))
+        expect |= {r[0]: k + 1 for k, r in enumerate(own)}
+    assert results[0][2] == expect  # the null group is ranked like any other
+
+
+def test_row_ids_are_unique_and_cover_duplicates(spark):
+    rows = [("l1", "b", 1), ("l1", "b", 1), ("l1", "b", 2), ("l2", None, 1)]
+    df = spark.createDataFrame(rows, "`Location Id` STRING, `Starting Bundle` STRING, x INT")
+    ids = [r["row_id"] for r in FE.add_row_id(df).collect()]
+    assert len(set(ids)) == 4 and sorted(i[32:] for i in ids) == ["", "", "-2", "-3"]
+    from churnlens.operators.segments import augment_with_segment
+    full = FE.add_row_id(df)
+    assert augment_with_segment(full, full.withColumn("reason_segment", F.lit(1))).count() == 4
+
+
+def test_split_and_markdown_keep_null_groups(spark):
+    from churnlens.operators.segments import markdown_lines
+    df = spark.createDataFrame([(f"r{i}", [1, 0, None][i % 3], f"c{i}") for i in range(60)], "row_id STRING, churn_flag INT, c STRING")
+    split = MO.stratified_split(df).groupBy("churn_flag", "split").count().collect()
+    assert sum(r["count"] for r in split) == 60 and sum(r["count"] for r in split if r["churn_flag"] is None) == 20
+    lines = markdown_lines(df, "churn_flag", ["c"]).collect()
+    assert len(lines) == 60 + 3 * 2
+    assert sorted(r["line_no"] for r in lines if r["churn_flag"] is None) == list(range(22))
 
 
 def test_stratified_split_exact_per_class_sizes(spark):
@@ -315,7 +341,7 @@ def test_stratified_split_exact_per_class_sizes(spark):
     assert again == MO.stratified_split(df).select("row_id", "split").orderBy("row_id").collect()
 
 
-def test_exact_quantiles_small_path(spark):
+def test_exact_quantiles_of_few_values(spark):
     from churnlens.operators.ranking import exact_quantiles
     df = spark.createDataFrame([(float(v),) for v in [5, 1, 3, 2, 4, 4]], "v DOUBLE")
     assert exact_quantiles(df, F.col("v"), [0.5, 0.8]) == [3.5, 4.0]
@@ -344,3 +370,54 @@ def test_embedding_dims_norm_and_cluster_relabel(spark):
     sizes = [r["count"] for r in out.groupBy(SG.SEGMENT).count().orderBy(SG.SEGMENT).collect()]
     assert sizes == sorted(sizes, reverse=True) and sum(sizes) == 60 and len(centres) == 3
     assert out.agg(SG.nearest_centre_violations(out, centres)).first()[0] == 0
+
+
+def test_smote_blocks_agree_with_one_block(spark):
+    from churnlens.operators.smote import _vector_key, nearest_neighbours
+    rnd = random.Random(5)
+    rows = [(float(rnd.randint(0, 6)), rnd.random() * 3, float(rnd.randint(0, 1))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "a DOUBLE, b DOUBLE, c DOUBLE")
+    vecs = df.withColumn("_vk", _vector_key(["a", "b", "c"])).groupBy("_vk", "a", "b", "c").agg(F.count(F.lit(1)).alias("_mult"))
+    runs = [sorted(tuple(r) for r in nearest_neighbours(vecs, ["a", "b", "c"], 5, block=n).select("_vk", "_nr", "_nvk").collect())
+            for n in (16, 1000)]
+    assert runs[0] == runs[1] and len(runs[0]) == 5 * vecs.count()
+
+
+def test_logit_refuses_separated_or_single_class_rows(spark):
+    import pytest
+    from churnlens.operators import inference as INF
+    apart = spark.createDataFrame([(float(i), int(i > 20)) for i in range(40)], "x DOUBLE, y INT")
+    with pytest.raises(ValueError, match="no finite estimate"):
+        INF.logit_inference(apart, ["x"], "y")
+    with pytest.raises(ValueError, match="labels 0 and 1"):
+        INF.logit_inference(apart.withColumn("y", F.lit(1)), ["x"], "y")
+
+
+def test_inference_columns_match_the_committed_table(spark):
+    """Arithmetic of the published rows: z, CI, odds ratio and percent change from coefficient and error."""
+    from churnlens.operators import inference as INF
+    rows = [("const", -0.4915086983837309, 0.1038), ("Outbound Call Count Activated", -0.7873360037898745, 0.1)]
+    got = INF.inference_columns(spark.createDataFrame(rows, "variable STRING, coefficient DOUBLE, std_err DOUBLE")).collect()
+    for r, (_, b, se) in zip(got, rows):
+        assert math.isclose(r["odds_ratio"], math.exp(b)) and math.isclose(r["pct_odds_change_per_unit"], 100 * (math.exp(b) - 1))
+        assert math.isclose(r["ci_low"], b - 1.959963984540054 * se) and math.isclose(r["ci_high"], b + 1.959963984540054 * se)
+    assert round(math.exp(INF.PUBLISHED_COEFFICIENTS["Outbound Call Count Activated"]), 3) == 0.455
+    assert round(math.exp(INF.PUBLISHED_COEFFICIENTS["Reason Billing Flag"]), 3) == 1.711
+
+
+def test_pca_of_a_single_row_has_null_components(spark):
+    from pyspark.ml.linalg import Vectors
+    from churnlens.operators.segments import pca_2d
+    df = spark.createDataFrame([("r", Vectors.dense([1.0, 2.0]))], ["row_id", "embedding"])
+    assert [tuple(r) for r in pca_2d(df).select("pc1", "pc2").collect()] == [(None, None)]
+
+
+def test_saved_model_keeps_or_lacks_calibration(spark, tmp_path):
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(f"r{i}", rnd.random(), int(rnd.random() < 0.4)) for i in range(200)], "row_id STRING, x DOUBLE, churn_flag INT")
+    rows = MO.stratified_split(df)
+    for calibrate in (True, False):
+        model = MO.train_churn_model(rows, ["x"], calibrate=calibrate)
+        MO.save_model(model, str(tmp_path / str(calibrate)))
+        back = MO.load_model(str(tmp_path / str(calibrate)))
+        assert (back.iso is not None) == calibrate and back.threshold == model.threshold
