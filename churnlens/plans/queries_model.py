@@ -480,40 +480,92 @@ def q_balanced_logit_optimality(spark, sf_dir):
                     F.when(mx < 1e-4, F.lit(0.0)).otherwise(mx).alias("max_abs_gradient"))
 
 
+def with_enriched(spark, sf_dir, scored: DataFrame) -> DataFrame:
+    """Scores joined to every enriched column, as the original writes them: the id column comes first.
+
+    Score columns that an enriched column shares a name with win.
+    """
+    enriched, _ = enriched_and_model(spark, sf_dir)
+    ids = FE.require_columns(enriched, FE.ID_CANDIDATES)[:1]
+    taken = {FE.ROW_ID, *scored.columns, *ids}
+    rest = [c for c in enriched.columns if c not in taken]
+    out = scored.join(enriched.select(FE.ROW_ID, *[q(c) for c in [*ids, *rest]]), FE.ROW_ID)
+    return out.select(*[q(c) for c in [*ids, FE.ROW_ID, *rest]], *[q(c) for c in scored.columns if c != FE.ROW_ID])
+
+
 @register("scored_rows_all_splits")
 def q_scored_rows_all_splits(spark, sf_dir):
+    """Rows of all splits: id, every enriched column, split, true label, calibrated score, label, threshold."""
     m, feats, model = fitted(spark, sf_dir)
-    return MO.score_rows(m, model, FE.LABEL, keep=[FE.ROW_ID, "split", *feats])
+    s = MO.score_rows(m, model, FE.LABEL, keep=[FE.ROW_ID, "split"])
+    return with_enriched(spark, sf_dir, s.withColumnsRenamed(
+        {"y_true": "model_y_true", "y_proba": "pred_proba", "y_pred": "pred_label"}))
 
 
 @register("scored_dataset_with_risk")
 def q_scored_dataset_with_risk(spark, sf_dir):
-    """Every row (split = 'all'), calibrated probability, risk index and both ranks."""
+    """Every row (split = 'all') with id, all enriched columns, calibrated probability, risk index and both ranks."""
     m, feats, model = fitted(spark, sf_dir)
     s = MO.score_rows(m, model, FE.LABEL, keep=[FE.ROW_ID, *feats])
     s = s.withColumn("business_risk_index", MO.business_risk_index(s, "y_proba"))
-    s = global_rank(s, [F.col("y_proba").desc(), F.col(FE.ROW_ID)], "rank_by_p")
-    s = global_rank(s, [F.col("business_risk_index").desc(), F.col(FE.ROW_ID)], "rank_by_bri")
-    return s.select(FE.ROW_ID, F.lit("all").alias("split"), "y_true", "y_proba", "y_pred", "threshold_used",
-                    F.col("y_proba").alias("p_churn"), "business_risk_index", "rank_by_p", "rank_by_bri"
-                    ).orderBy("rank_by_bri")  # the risk table is written most-at-risk first
+    s = with_ranks(s, "y_proba").select(
+        FE.ROW_ID, F.lit("all").alias("split"), "y_true", "y_proba", "y_pred", "threshold_used",
+        F.col("y_proba").alias("p_churn"), "business_risk_index", "rank_by_p", "rank_by_bri")
+    return with_enriched(spark, sf_dir, s).orderBy("rank_by_bri")  # the risk table is written most-at-risk first
+
+
+_SCORED_ID = [("Location Id", "LOCATION_ID"), ("Slug", "SLUG"), ("Starting Mrr", "STARTING_MRR"), ("Lifetime Value", "LIFETIME_VALUE"),
+              ("lifetime in Month", "LIFETIME_MONTHS"), ("Churn or Retain", "CHURN_OR_RETAIN"), ("Starting Bundle", "STARTING_BUNDLE"),
+              ("Week 1 Cases", "WEEK_1_CASES"), ("Integrations", "INTEGRATIONS")]
+
+
+@register("scored_rows_enriched", stage2s(
+    "SELECT e.row_id, " + ", ".join(f'e.{c} AS "{n}"' for n, c in _SCORED_ID) + ", e.bundle_type AS \"BundleType\", "
+    "m.split, m.churn_flag AS model_y_true FROM enr e JOIN mdl m ON e.row_id = m.row_id"))
+def q_scored_rows_enriched(spark, sf_dir):
+    """The scored rows of all splits, on everything but the fitted numbers."""
+    s = q_scored_rows_all_splits(spark, sf_dir)
+    return s.select(FE.ROW_ID, *[q(n) for n, _ in _SCORED_ID], "BundleType", "split", "model_y_true")
 
 
 @register("scored_rows_consistency", stage2s(
-    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS bad_pred, CAST(0 AS BIGINT) AS bad_risk, "
-    "0 AS bad_rank FROM scr"))
+    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS bad_proba, CAST(0 AS BIGINT) AS bad_pred, CAST(0 AS BIGINT) AS bad_risk, "
+    "CAST(0 AS BIGINT) AS bad_rank FROM scr"))
 def q_scored_rows_consistency(spark, sf_dir):
-    """Invariants of the fitted scoring: prediction rule, risk formula bounds, ranks a permutation."""
-    s = q_scored_dataset_with_risk(spark, sf_dir)
-    n = F.count(F.lit(1))
-    return s.agg(
-        n.alias("n_rows"),
-        F.count_if(F.col("y_pred") != (F.col("y_proba") >= F.col("threshold_used")).cast("int")).alias("bad_pred"),
-        F.count_if((F.col("business_risk_index") < 0) | (F.col("business_risk_index") > 1)
-                   | (F.col("y_proba") < 0) | (F.col("y_proba") > 1)).alias("bad_risk"),
-        (F.lit(0) + F.when((F.min("rank_by_p") == 1) & (F.max("rank_by_p") == n)
-                           & (F.count_distinct("rank_by_p") == n)
-                           & (F.count_distinct("rank_by_bri") == n), 0).otherwise(1)).alias("bad_rank"))
+    """The fitted numbers against a second way to them.
+
+    Probabilities: the isotonic knots searched in SQL over the margin, itself
+    recomputed from the coefficients and the raw features.  Labels: the stored
+    probability against the F1-optimal threshold of the recomputed validation
+    scores.  Risk: the factors applied one by one.  Ranks: a permutation whose
+    equal probabilities stand together.
+    """
+    m, feats, model = fitted(spark, sf_dir)
+    z = F.lit(model.intercept)
+    for c, b in zip(feats, model.coefficients):
+        mean, std = model.scaler[c]
+        z = z + (F.coalesce(q(c).cast("double"), F.lit(model.medians[c])) - mean) * (b / std)
+    knots = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(p).alias("p")) for x, p in zip(model.boundaries, model.predictions)])
+    below, above = F.filter("knots", lambda k: k["x"] <= F.col("z")), F.filter("knots", lambda k: k["x"] >= F.col("z"))
+    lo, hi = F.element_at(below, -1), F.element_at(above, 1)
+    step = F.when(hi["x"] > lo["x"], (F.col("z") - lo["x"]) / (hi["x"] - lo["x"])).otherwise(0.0)
+    p = (F.when(F.size(below) == 0, F.element_at("knots", 1)["p"]).when(F.size(above) == 0, F.element_at("knots", -1)["p"])
+         .otherwise(lo["p"] + step * (hi["p"] - lo["p"])))
+    own = m.withColumn("z", z).withColumn("knots", knots).withColumn("p", p)
+    cut = EV.best_threshold(EV.pr_table(own.filter(F.col("split") == "val").select(FE.LABEL, "p"), FE.LABEL, "p")).first()["threshold"]
+    risk = F.col("p")
+    for c, k in MO.RISK_MULTIPLIERS:
+        if c in own.columns:
+            risk = F.when(q(c).cast("int") == 1, risk * (1 + k)).otherwise(risk)
+    own = own.select(F.col(FE.ROW_ID).alias("_id"), "p", F.least(F.greatest(risk, F.lit(0.0)), F.lit(1.0)).alias("risk"))
+    s = q_scored_dataset_with_risk(spark, sf_dir).select(FE.ROW_ID, "y_proba", "y_pred", "business_risk_index", "rank_by_p", "rank_by_bri")
+    j = s.join(own, F.col(FE.ROW_ID) == F.col("_id"))
+    order = j.groupBy("y_proba").agg(F.count(F.lit(1)).alias("n"), F.min("rank_by_p").alias("lo"), F.max("rank_by_p").alias("hi"))
+    gaps = order.filter(F.col("hi") - F.col("lo") + 1 != F.col("n")).count()
+    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(F.col("p") - F.col("y_proba")) > 1e-9).alias("bad_proba"),
+                 F.count_if(F.col("y_pred") != (F.col("y_proba") >= F.lit(cut) - 1e-12).cast("int")).alias("bad_pred"),
+                 F.count_if(F.abs(F.col("risk") - F.col("business_risk_index")) > 1e-9).alias("bad_risk"),
+                 (F.lit(gaps) + F.count(F.lit(1)) * 2 - F.count_distinct("rank_by_p") - F.count_distinct("rank_by_bri")).alias("bad_rank"))
 
 
 # --------------------------------------------------------------------- inference (GLR)
@@ -565,10 +617,57 @@ def q_linear_attributions(spark, sf_dir):
     return out.select(FE.ROW_ID, *[_r(c).alias(c) for c in out.columns if c != FE.ROW_ID])
 
 
+NEW_PERIOD = "1999-01-01"  # on the test tables: rows before it train the model, rows from it on are the new period
+
+
+def period_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Enriched rows that began before, and from, the new period on."""
+    enriched, _ = enriched_and_model(spark, sf_dir)
+    began = F.col("FIRST_MRR_MONTH") < F.lit(NEW_PERIOD).cast("date")
+    return enriched.filter(began), enriched.filter(~began)
+
+
+@register("score_new_period", stage2(f"""
+SELECT CASE CHURN_OR_RETAIN WHEN 'Churn' THEN 1 ELSE 0 END AS y_true, count(*) AS n,
+       round(sum(CAST(STARTING_MRR AS DOUBLE)), 2) AS starting_mrr, CAST(0 AS BIGINT) AS off_label
+FROM enr WHERE FIRST_MRR_MONTH >= DATE '{NEW_PERIOD}' GROUP BY 1"""))
+def q_score_new_period(spark, sf_dir):
+    """Out-of-time scoring: train before a date, save, load, score what began after it.
+
+    The new rows are encoded with the training levels, so a level they lack is 0
+    and one the training rows lacked adds no column.  Starting revenue is summed
+    by true and predicted label with the tuned threshold; the result adds both
+    predictions up (the fitted split of the sums has no oracle) and counts rows
+    whose label disagrees with the loaded parameters.
+    """
+    from ..sources.files import export_path
+
+    def fit():
+        before, _ = period_rows(spark, sf_dir)
+        levels = FE.one_hot_levels(before, FE.require_columns(before, FE.DUMMY_COLUMNS))
+        rows = FE.model_frame(before, levels)
+        feats = FE.available_features(rows)
+        model = MO.train_churn_model(MO.stratified_split(rows.select(FE.ROW_ID, FE.LABEL, *[X.finite_or_null(q(f)).alias(f) for f in feats])), feats)
+        path = export_path(spark, "period_model")
+        MO.save_model(model, path)
+        return path, levels
+    path, levels = remembered(spark, sf_dir, "period_model", fit)
+    model = MO.load_model(path)
+    _, after = period_rows(spark, sf_dir)
+    new = FE.model_frame(after, levels)
+    missing = {f: F.lit(0) for f in model.features if f not in new.columns}
+    scored = MO.score_rows(new.withColumns(missing) if missing else new, model, FE.LABEL, keep=["Starting Mrr"])
+    sums = scored.groupBy("y_true", "y_pred").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(q("Starting Mrr").cast("double")).alias("starting_mrr"),
+        F.count_if((F.col("y_proba") >= model.threshold).cast("int") != F.col("y_pred")).alias("off_label"))
+    return sums.groupBy("y_true").agg(F.sum("n").alias("n"), F.round(F.sum("starting_mrr"), 2).alias("starting_mrr"),
+                                      F.sum("off_label").alias("off_label"))
+
+
 @register("saved_model_scores", stage2("SELECT count(*) AS n_rows, CAST(0.0 AS DOUBLE) AS max_abs_diff FROM mdl"))
 def q_saved_model_scores(spark, sf_dir):
-    """Out-of-time use: the fitted model is saved to the shared store, loaded back and
-    applied to every row; the scores must equal the in-memory model's."""
+    """The fitted model is saved to the shared store, loaded back and applied to
+    every row; the scores must equal the in-memory model's."""
     from ..sources.files import export_path
     m, feats, model = fitted(spark, sf_dir)
     path = export_path(spark, "churn_model")
