@@ -690,19 +690,18 @@ def q_write_counts(spark, sf_dir):
 
 @register("lifetime_stats_sql", stage1("SELECT * FROM life"))
 def q_lifetime_stats_sql(spark, sf_dir):
-    """The lifetime CTE as SQL text through ``spark.sql`` over the source views."""
+    """Lifetime figures as SQL text through ``spark.sql``: a month counts if no restart comes after it."""
     from ..sources.files import run_query
     from .queries_cohort import _src
     src = _src(spark, sf_dir)
     sql = """
-    WITH hist AS (
-      SELECT customer_id, month_ending, total_mrr FROM (
-        SELECT *, max(CASE WHEN is_new THEN month_ending END) OVER (PARTITION BY customer_id) AS restart
-        FROM mrr_by_location) x
-      WHERE month_ending >= restart)
-    SELECT customer_id, CAST(sum(total_mrr) AS DECIMAL(38,2)) AS lifetime_value,
-           count(*) AS lifetime_months, min(month_ending) AS first_month
-    FROM hist GROUP BY customer_id"""
+    SELECT customer_id, CAST(sum(m.total_mrr) AS DECIMAL(38,2)) AS lifetime_value,
+           count(*) AS lifetime_months, min(m.month_ending) AS first_month
+    FROM mrr_by_location m
+    LEFT ANTI JOIN mrr_by_location later
+      ON later.customer_id = m.customer_id AND later.is_new AND later.month_ending > m.month_ending
+    WHERE m.customer_id IN (SELECT customer_id FROM mrr_by_location WHERE is_new)
+    GROUP BY customer_id"""
     return run_query(spark, sql, {"mrr_by_location": src["mrr_by_location"]})
 
 
