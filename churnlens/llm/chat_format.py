@@ -1,22 +1,25 @@
 r"""Chat formatting into budgeted, turn-aligned windows.
 
-1. Exclusive prefix sums of turn tokens are taken in two steps, inside blocks of
-   turn numbers and over block totals, so a conversation that holds a large part
-   of all rows is spread over many tasks.
+1. Places are settled on narrow rows, one for each (conversation, turn): token
+   counts, no texts.  Exclusive prefix sums are taken in two steps, inside blocks
+   of turn numbers and over block totals, so a conversation that holds a large
+   part of all rows is spread over many tasks.
 2. ``span = prefix // stride`` gives turn-aligned spans.  The stride is what the
    budget leaves after history, system turn and one largest turn, so a window
    keeps to the budget unless a single turn exceeds half of it.
 3. A window is: the system turn (retained in every window), the last few turns of
    the span before (limited history), the span's own turns.  Loss covers the own
    assistant texts only; repeated turns are masked.
+4. Texts move twice: to their place, and to their windows.
 
 Template: ``<|im_start|>role\ntext<|im_end|>\n``.  Texts are escaped reversibly: a
 backslash is doubled, and one backslash goes after the first character of a
 control string, so that no control string stands inside a text.
 
 Null text or role is empty.  Turns are ordered by (turn, role, text), nulls
-first; repeated rows are turns of their own.  Rows with a null conv_id form one
-conversation.  An empty table gives no windows; other columns are ignored.
+first; rows that share a turn number stay in one span, and repeated rows are
+turns of their own.  Rows with a null conv_id form one conversation.  An empty
+table gives no windows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 # fixed values: the template and the control strings of common templates
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = r"(<)(\||/?s>|</?SYS>>)|(\[)(/?INST\])"
@@ -55,58 +60,64 @@ def turn_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN)).cast("long") + TURN_TOKENS
 
 
-def placed_turns(conversations: DataFrame, budget: int, history_tokens: int, block: int) -> DataFrame:
-    """conv_id, idx, role, text, tokens, before (prefix sum), span, sys_text (of the conversation, if it has one)."""
-    rows = conversations.select(
+def _rows(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", turn_tokens(F.col("text"))).withColumn("block", F.floor(F.col("turn") / block))
-    blocks = rows.groupBy("conv_id", "block").agg(
-        F.sum("tokens").alias("sum"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("most"),
-        F.min(F.struct("turn", "role", "text", "tokens")).alias("head"))
+
+
+def turn_places(rows: DataFrame, budget: int, history_tokens: int, history_turns: int, block: int) -> DataFrame:
+    """(conv_id, turn, first, windows): for each turn number the index of its first row and, as (window, kind)
+    structs, the windows it stands in.  Kinds: 0 system, 1 history, 2 own."""
+    turns = rows.groupBy("conv_id", "turn").agg(F.sum(turn_tokens(F.col("text"))).alias("tokens"), F.count(F.lit(1)).alias("n"),
+                                                F.min("role").alias("role"))
+    turns = cut_lineage(turns.withColumn("block", F.floor(F.col("turn") / block)))
     conv = Window.partitionBy("conv_id")
     earlier = conv.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = turns.groupBy("conv_id", "block").agg(F.sum("tokens").alias("sum"), F.sum("n").alias("n"), F.max("tokens").alias("most"),
+                                                   F.min(F.struct("turn", "role", "n", "tokens")).alias("head"))
     head = F.min(F.struct("block", "head")).over(conv)["head"]
+    system = (head["role"] == "system") & (head["n"] == 1)
     blocks = blocks.select(
         F.col("conv_id").alias("__conv"), F.col("block").alias("__block"),
         F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base_n"),
-        F.max("most").over(conv).alias("most"),
-        F.when(head["role"] == "system", head["text"]).alias("sys_text"),
-        F.when(head["role"] == "system", head["tokens"]).otherwise(0).alias("sys_tokens"))
-    rows = rows.join(blocks, rows["conv_id"].eqNullSafe(blocks["__conv"]) & rows["block"].eqNullSafe(blocks["__block"]))
-    in_block = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+        F.max("most").over(conv).alias("most"), system.alias("system"), F.when(system, head["tokens"]).otherwise(0).alias("sys_tokens"))
+    turns = turns.join(blocks, turns["conv_id"].eqNullSafe(blocks["__conv"]) & turns["block"].eqNullSafe(blocks["__block"]))
+    upto = Window.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     room = budget - history_tokens - F.col("sys_tokens") - F.least("most", F.lit(budget // 2))
-    return rows.select(
-        "conv_id", "role", "text", "tokens", "sys_text",
-        (F.col("base_n") + F.row_number().over(in_block) - 1).alias("idx"),
-        (F.col("base") + F.sum("tokens").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).alias("before"),
-        F.greatest(room, F.lit(budget // 4)).alias("stride")).withColumn("span", F.floor(F.col("before") / F.col("stride")))
+    turns = cut_lineage(turns.select(
+        "conv_id", "turn", "system", (F.col("base_n") + F.sum("n").over(upto) - F.col("n")).alias("first"),
+        (F.col("base") + F.sum("tokens").over(upto) - F.col("tokens")).alias("before"),
+        F.greatest(room, F.lit(budget // 4)).alias("stride")).withColumn("span", F.floor(F.col("before") / F.col("stride"))))
+    spans = turns.groupBy("conv_id", "span").agg(F.min("before").alias("start"), F.min("first").alias("first"))
+    following = Window.partitionBy("conv_id").orderBy("span")
+    spans = cut_lineage(spans.select(
+        F.col("conv_id").alias("__conv"), F.col("span").alias("__span"), F.lead("span").over(following).alias("next"),
+        F.lead("start").over(following).alias("next_start"), F.lead("first").over(following).alias("next_first")))
+    turns = turns.join(spans, turns["conv_id"].eqNullSafe(spans["__conv"]) & (turns["span"] == spans["__span"]))
+    kind = lambda window, k: F.struct(window.alias("window"), F.lit(k).alias("kind"))
+    own, is_system = F.array(kind(F.col("span"), 2)), F.col("system") & (F.col("first") == 0)
+    recent = ((F.col("next_start") - F.col("before") <= history_tokens) & (F.col("next_first") - F.col("first") <= history_turns))
+    plain = turns.where(~is_system).select("conv_id", "turn", "first", F.when(
+        recent, F.concat(own, F.array(kind(F.col("next"), 1)))).otherwise(own).alias("windows"))
+    every = spans.groupBy(F.col("__conv").alias("__of")).agg(F.collect_list("__span").alias("all"))  # one number a window
+    heads = turns.where(is_system)
+    heads = heads.join(every, heads["conv_id"].eqNullSafe(every["__of"])).select("conv_id", "turn", "first", F.transform(
+        "all", lambda w: F.struct(w.alias("window"), F.when(w == F.col("span"), 2).otherwise(0).alias("kind"))).alias("windows"))
+    return cut_lineage(plain.unionByName(heads))
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS,
                    history_turns: int = HISTORY_TURNS, block: int = BLOCK) -> DataFrame:
     """conv_id, window, n_repeated (leading repeated turns), text, loss (array of start, end in code points), tokens."""
-    turns = placed_turns(conversations, budget, history_tokens, block)
-    spans = turns.groupBy("conv_id", "span").agg(F.min("before").alias("start"), F.min("idx").alias("first"),
-                                                 F.min("sys_text").alias("sys_text"))
-    following = Window.partitionBy("conv_id").orderBy("span")
-    spans = spans.select(F.col("conv_id").alias("__conv"), F.col("span").alias("__span"), "first", "sys_text",
-                         F.lead("span").over(following).alias("next"), F.lead("start").over(following).alias("next_start"),
-                         F.lead("first").over(following).alias("next_first"))
-    own = turns.select("conv_id", F.col("span").alias("window"), F.lit(2).alias("kind"), "idx", "role", "text", "tokens")
-    system = (spans.where("sys_text IS NOT NULL AND first > 0")
-              .select(F.col("__conv").alias("conv_id"), F.col("__span").alias("window"), F.lit(0).alias("kind"),
-                      F.lit(0).cast("long").alias("idx"), F.lit("system").alias("role"), F.col("sys_text").alias("text"),
-                      turn_tokens(F.col("sys_text")).alias("tokens")))
-    after = turns.drop("sys_text").join(
-        spans.where("next IS NOT NULL").select("__conv", "__span", "next", "next_start", "next_first", "sys_text"),
-        turns["conv_id"].eqNullSafe(F.col("__conv")) & (turns["span"] == F.col("__span")))
-    history = after.where((F.col("next_start") - F.col("before") <= history_tokens)
-                          & (F.col("next_first") - F.col("idx") <= history_turns)
-                          & ~((F.col("idx") == 0) & F.col("sys_text").isNotNull()))
-    history = history.select("conv_id", F.col("next").alias("window"), F.lit(1).alias("kind"), "idx", "role", "text", "tokens")
-    whole = own.unionByName(history).unionByName(system).groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "idx", "role", "text"))).alias("turns"), F.sum("tokens").alias("tokens"))
+    rows = _rows(conversations)
+    places = turn_places(rows, budget, history_tokens, history_turns, block).withColumnsRenamed({"conv_id": "__conv", "turn": "__turn"})
+    rows = rows.join(places, rows["conv_id"].eqNullSafe(F.col("__conv")) & rows["turn"].eqNullSafe(F.col("__turn")))
+    tied = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = rows.select("conv_id", "role", "text", (F.col("first") + F.row_number().over(tied) - 1).alias("idx"), F.inline("windows"))
+    whole = rows.groupBy("conv_id", "window").agg(
+        F.array_sort(F.collect_list(F.struct("kind", "idx", "role", "text"))).alias("turns"),
+        F.sum(turn_tokens(F.col("text"))).alias("tokens"))
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
     whole = whole.withColumn("parts", F.transform("turns", lambda t: F.struct(
         head(t).alias("head"), escape(t["text"]).alias("body"),
