@@ -262,6 +262,11 @@ class _TokenFacts:
     def __init__(self, bits: np.ndarray, check: np.ndarray, crc: np.ndarray, known: np.ndarray, whole: float):
         self.bits, self.check, self.crc, self.known, self.whole = bits, check, crc, known, whole
         self.vocabulary, self.words = Vocabulary(), []
+        self.forget()
+
+    def forget(self) -> None:
+        self.vocabulary.clear()
+        self.words.clear()
         self.h, self.single, self.there, self.logs = (np.zeros(0, dtype=t) for t in (np.uint64, float, bool, float))
 
     def learn(self) -> None:
@@ -345,9 +350,8 @@ def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD) -> Da
                     names=["row", "doc_id", "text_key", "n_tokens", "n_head", "base", "score", "tail"])
                 at += len(docs)
                 row += len(docs)
-                if len(facts.vocabulary) > VOCABULARY:
-                    facts = _TokenFacts(bits, check, crc, known, whole)
-                # else the next documents reuse what is known of their tokens
+                if len(facts.vocabulary) > VOCABULARY:  # else the next documents reuse what is known
+                    facts.forget()
 
     scored = cut_lineage(rows.mapInArrow(score, schema))
     rest = scored.select("row", F.inline("tail")).join(counts.where(F.col("n") < cut).select("token", F.col("n").alias("c")), "token", "left")

@@ -31,6 +31,16 @@ def test_base_matches_brute_force_with_any_head(spark, head):
     assert result(L.score_texts(docs, head=head)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_small_steps_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = sorted((r.doc_id, round(r.score, 6)) for r in L.score_texts(docs).collect())
+    for name, value in (("VOCABULARY", 50), ("SCORE_CHUNK", 100), ("COUNT_CHUNK", 100)):
+        monkeypatch.setattr(L, name, value)
+    steps = L.score_texts(docs)
+    assert result(steps) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted((r.doc_id, round(r.score, 6)) for r in steps.collect()) == whole
+
+
 def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert result(L.score_texts(odd_docs)) == brute([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert L.score_texts(no_docs).count() == 0
