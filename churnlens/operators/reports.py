@@ -118,6 +118,58 @@ def industry_profiles(df: DataFrame, industry: str, pms: str, bundle: str, mrr:
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("grp", "industry")
 
 
+def context_report(rows: DataFrame, labelled: DataFrame, segment: str, top_columns: Sequence[str],
+                   themes: Mapping[str, Sequence[str]] = THEMES) -> DataFrame:
+    """The report behind the assistant page as (section, key, value) lines.
+
+    ``rows`` are all churned rows, ``labelled`` those with a segment.  Sections:
+    overview, segment, tenure, revenue, example and reason (three rows a
+    segment), industry with averages, software and bundles (four largest),
+    top_<column>, pain_point.  Every part is a grouped aggregate or a top n.
+    """
+    from .segments import segment_examples
+
+    def lines(df: DataFrame, section: str, key, value) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+
+    def fixed(df: DataFrame, section: str, values: Mapping[str, object]) -> list[DataFrame]:
+        return [lines(df, section, F.lit(k), v) for k, v in values.items()]
+
+    money = lambda c, d: F.concat(F.lit("$"), F.format_string(f"%,.{d}f", F.round(c.cast("double"), d)))
+    plain = lambda c: F.concat(F.lit("$"), F.format_string("%.0f", F.round(c.cast("double"))))
+    months = lambda c: F.format_string("%.1f months", F.round(c.cast("double"), 1))
+    sizes = segment_sizes(labelled, segment)
+    overall = sizes.select("n_segments", "total", "avg_size").limit(1)
+    tenure = tenure_revenue_summary(rows, "LIFETIME_MONTHS", "STARTING_MRR")
+    examples = segment_examples(labelled, segment)
+    place = F.concat_ws(".", q(segment).cast("string"), F.col("example").cast("string"))
+    profiles = industry_profiles(rows, "CORE_INDUSTRY", "PRACTICE_MANAGEMENT_SOFTWARE", "STARTING_BUNDLE", "STARTING_MRR",
+                                 "LIFETIME_MONTHS").withColumn("name", F.upper("industry"))
+    shown = rows.join(F.broadcast(profiles.where("kind = 'summary'").select(F.col("industry").alias("_i"))),  # four rows
+                      F.col("CORE_INDUSTRY") == F.col("_i"))
+    averages = shown.groupBy("CORE_INDUSTRY").agg(F.avg(F.col("STARTING_MRR").cast("double")).alias("mrr"), F.avg("LIFETIME_MONTHS").alias("tenure"))
+    ranked = F.concat_ws(" ", "name", F.col("rank").cast("string"))
+    parts = [
+        *fixed(overall, "overview", {"segments": F.col("n_segments"), "customers": F.format_string("%,d", F.col("total").cast("long")),
+                                     "average size": F.format_string("%.0f", F.round("avg_size"))}),
+        lines(sizes, "segment", F.col("segment"), F.concat_ws(" ", F.col("size").cast("string"), F.lit("customers"))),
+        *fixed(tenure, "tenure", {"average": months(F.col("avg_tenure")), "median": months(F.col("median_tenure"))}),
+        *fixed(tenure, "revenue", {"average": money(F.col("avg_revenue"), 2), "total": money(F.col("total_revenue"), 2)}),
+        lines(examples, "example", place, F.concat(
+            "LOCATION_NAME", F.lit(" ("), "CORE_INDUSTRY", F.lit(") - "), plain(F.col("STARTING_MRR")), F.lit(" MRR, "),
+            F.col("LIFETIME_MONTHS").cast("string"), F.lit(" months, "), "PRACTICE_MANAGEMENT_SOFTWARE", F.lit(" PMS"))),
+        lines(examples, "reason", place, F.concat("reason_excerpt", F.lit("..."))),
+        lines(profiles.where("kind = 'summary'"), "industry", F.col("name"), F.concat_ws(" ", F.col("count").cast("string"), F.lit("customers"))),
+        lines(averages, "industry_average", F.upper("CORE_INDUSTRY"), F.concat(plain(F.col("mrr")), F.lit(" MRR, "), months(F.col("tenure")))),
+        lines(profiles.where("kind = 'pms'"), "industry_pms", ranked, F.format_string("%s (%d)", "value", "count")),
+        lines(profiles.where("kind = 'bundle'"), "industry_bundle", ranked, F.col("value")),
+        top_values_pct(rows, top_columns, 5).select(F.concat(F.lit("top_"), "column").alias("section"), F.col("value").alias("key"),
+                                                    F.format_string("%d customers (%.1f%%)", "count", "pct").alias("value")),
+        lines(theme_counts(rows, "SWAT_CANCEL_SUMMARY", themes), "pain_point", F.col("theme"),
+              F.concat_ws(" ", F.col("customers").cast("string"), F.lit("customers")))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def risk_threshold(df: DataFrame, risk: str, quantile: float = 0.8) -> float | None:
     """Exact quantile of the risk column (linear interpolation), without a one-task value map."""
     return exact_quantiles(df, q(risk), [quantile])[0]

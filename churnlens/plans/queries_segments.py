@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +14,9 @@ from ..operators.cleaning import q
 from ..sources import files
 from . import extract
 from .oracle_model import ROW_ID_SQL, stage2
-from .queries_cohort import cohort_frame
+from ..operators.cohort import WIDE_COLUMNS
+from .queries_cohort import cohort_frame, wide_frame
+from .queries_labels import label_rows, sql as label_sql
 from .registry import register
 from .stages import remembered
 from ..session import cut_lineage
@@ -77,6 +79,24 @@ def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SG.augment_with_segment(churn_rows(spark, sf_dir), segment_labels(spark, sf_dir))
 
 
+# Segment reports are checked on a segmentation that SQL can state: rows with a
+# cancel summary by tenure, 1, 2 and 3 or more months.
+GIVEN_CTE = f"""
+seg AS (SELECT *, CAST(CASE WHEN {REASON_SQL} <> '' THEN least(LIFETIME_MONTHS, 3) END AS INTEGER) AS reason_segment FROM churn),
+given AS (SELECT * REPLACE ({REASON_SQL} AS SWAT_CANCEL_SUMMARY) FROM seg WHERE reason_segment IS NOT NULL)"""
+
+
+def given_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a cancel summary and their tenure segment."""
+    rows = SG.segment_input(churn_rows(spark, sf_dir))
+    return rows.withColumn(SG.SEGMENT, F.least("LIFETIME_MONTHS", F.lit(3)).cast("int"))
+
+
+def given_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All churn rows with their tenure segment."""
+    return SG.augment_with_segment(churn_rows(spark, sf_dir), given_segments(spark, sf_dir))
+
+
 # --------------------------------------------------------------------- text preparation
 @register("segment_input", seg_sql(
     "SELECT row_id, md5(SWAT_CANCEL_SUMMARY) AS summary_md5, length(SWAT_CANCEL_SUMMARY) AS summary_chars "
@@ -122,18 +142,23 @@ def q_segment_labels(spark, sf_dir):
     return labelled(spark, sf_dir).select("row_id", SG.SEGMENT)
 
 
-@register("segment_sizes")
+@register("segment_sizes", seg_sql("""
+SELECT reason_segment AS segment, count(*) AS size, (SELECT count(DISTINCT reason_segment) FROM given) AS n_segments,
+       (SELECT count(*) FROM given) AS total,
+       CAST((SELECT count(*) FROM given) AS DOUBLE) / (SELECT count(DISTINCT reason_segment) FROM given) AS avg_size
+FROM given GROUP BY 1""", GIVEN_CTE))
 def q_segment_sizes(spark, sf_dir):
-    return RP.segment_sizes(labelled(spark, sf_dir), SG.SEGMENT)
+    return RP.segment_sizes(given_segments(spark, sf_dir), SG.SEGMENT).withColumns(
+        {"n_segments": F.col("n_segments").cast("long"), "total": F.col("total").cast("long")})
 
 
-@register("segment_totals", seg_sql(
-    "SELECT least(3, count(*)) AS n_segments, count(*) AS total FROM seg_in"))
+@register("segment_totals", seg_sql("""
+SELECT count(DISTINCT reason_segment) AS n_segments, count(*) AS total,
+       round(CAST(count(*) AS DOUBLE) / count(DISTINCT reason_segment), 6) AS avg_size FROM given""", GIVEN_CTE))
 def q_segment_totals(spark, sf_dir):
-    s = RP.segment_sizes(labelled(spark, sf_dir), SG.SEGMENT)
-    return s.groupBy("n_segments", "total").agg(F.sum("size").alias("_sum")).select(
-        F.col("n_segments").cast("long").alias("n_segments"),
-        F.when(F.col("_sum") == F.col("total"), F.col("total")).cast("long").alias("total"))
+    s = RP.segment_sizes(given_segments(spark, sf_dir), SG.SEGMENT)
+    return s.select(F.col("n_segments").cast("long").alias("n_segments"), F.col("total").cast("long").alias("total"),
+                    F.round("avg_size", 6).alias("avg_size")).distinct()
 
 
 @register("pca_projection")
@@ -152,19 +177,28 @@ def q_pca_invariants(spark, sf_dir):
                  (F.var_pop("pc1") >= F.var_pop("pc2") - 1e-12).alias("pc1_var_ge_pc2"))
 
 
-@register("augment_with_segment", seg_sql(
-    "SELECT count(*) AS n_rows, (SELECT count(*) FROM seg_in) AS n_labelled FROM churn"))
-def q_augment_with_segment(spark, sf_dir):
-    a = augmented(spark, sf_dir)
-    return a.agg(F.count(F.lit(1)).alias("n_rows"), F.count(SG.SEGMENT).alias("n_labelled"))
+_PLANE = "word_length * 10 AS x, n_lines AS y"
 
 
-# --------------------------------------------------------------------- segment text tables
-@register("segment_markdown")
-def q_segment_markdown(spark, sf_dir):
-    return SG.markdown_lines(labelled(spark, sf_dir), SG.SEGMENT)
+@register("pca_plane", label_sql("""
+SELECT row_id, round(abs(cos(th) * (x - mx) + sin(th) * (y - my)), 6) AS abs_pc1,
+       round(abs(cos(th) * (y - my) - sin(th) * (x - mx)), 6) AS abs_pc2
+FROM xy, (SELECT *, 0.5 * atan2(2 * cxy, vx - vy) AS th FROM (
+  SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cxy FROM xy) m) t""",
+          f"xy AS (SELECT row_id, {_PLANE} FROM v)"))
+def q_pca_plane(spark, sf_dir):
+    """Both components of plane vectors, up to sign, against the angle of the covariance ellipse."""
+    rows = label_rows(spark, sf_dir).select("row_id", array_to_vector(F.array(F.col("word_length") * 10, "n_lines")).alias("embedding"))
+    p = SG.pca_2d(rows)
+    return p.select("row_id", F.round(F.abs("pc1"), 6).alias("abs_pc1"), F.round(F.abs("pc2"), 6).alias("abs_pc2"))
 
 
+@register("augment_with_segment", seg_sql("SELECT row_id, reason_segment FROM seg", GIVEN_CTE))
+def q_augment_with_segment(spark, sf_dir):
+    return given_augmented(spark, sf_dir).select("row_id", SG.SEGMENT)
+
+
+# --------------------------------------------------------------------- segment text tables
 _md_cells = " || ' | ' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in SG.SUMMARY_COLUMNS)
 _md_header = "| " + " | ".join(SG.SUMMARY_COLUMNS) + " |"
 _md_sep = "| " + " | ".join("-" * len(c) for c in SG.SUMMARY_COLUMNS) + " |"
@@ -184,9 +218,27 @@ def q_industry_markdown(spark, sf_dir):
                      F.md5("line").alias("line_md5"), F.length("line").cast("long").alias("line_chars"))
 
 
-@register("segment_examples")
+@register("segment_markdown", seg_sql(f"""
+SELECT reason_segment, line_no, md5(line) AS line_md5 FROM (
+  SELECT DISTINCT reason_segment, CAST(0 AS BIGINT) AS line_no, '{_md_header}' AS line FROM given
+  UNION ALL SELECT DISTINCT reason_segment, 1, '{_md_sep}' FROM given
+  UNION ALL SELECT reason_segment, row_number() OVER (PARTITION BY reason_segment ORDER BY row_id) + 1,
+         '| ' || {_md_cells} || ' |' FROM given) t""", GIVEN_CTE))
+def q_segment_markdown(spark, sf_dir):
+    """The per-segment extract: one markdown table a segment, one row a line."""
+    md = SG.markdown_lines(given_segments(spark, sf_dir), SG.SEGMENT)
+    return md.select(SG.SEGMENT, F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line_md5"))
+
+
+@register("segment_examples", seg_sql("""
+SELECT reason_segment, example, LOCATION_NAME, CORE_INDUSTRY, STARTING_BUNDLE, LIFETIME_MONTHS, PRACTICE_MANAGEMENT_SOFTWARE,
+       md5(substr(SWAT_CANCEL_SUMMARY, 1, 200)) AS excerpt_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY reason_segment ORDER BY row_id) AS example FROM given) t WHERE example <= 3""",
+          GIVEN_CTE))
 def q_segment_examples(spark, sf_dir):
-    return SG.segment_examples(augmented(spark, sf_dir).filter(F.col(SG.SEGMENT).isNotNull()), SG.SEGMENT)
+    ex = SG.segment_examples(given_segments(spark, sf_dir), SG.SEGMENT)
+    return ex.select(SG.SEGMENT, F.col("example").cast("long").alias("example"), "LOCATION_NAME", "CORE_INDUSTRY", "STARTING_BUNDLE",
+                     "LIFETIME_MONTHS", "PRACTICE_MANAGEMENT_SOFTWARE", F.md5("reason_excerpt").alias("excerpt_md5"))
 
 
 @register("industry_examples", seg_sql("""
@@ -261,24 +313,45 @@ def q_industry_profiles(spark, sf_dir):
     return p.withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("segment_report")
+_top_sql = "\nUNION ALL\n".join(f"""
+SELECT * FROM (SELECT 'top_{c}', CAST({c} AS VARCHAR), format('{{}} customers ({{:.1f}}%)', count(*),
+       round(count(*) * 100.0 / (SELECT count(*) FROM seg), 1)) FROM seg WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 5)"""
+                                for c in _TOP_COLS)
+_pain_sql = "\nUNION ALL\n".join(
+    f"SELECT 'pain_point', '{name}', count_if(" + " OR ".join(f"contains(lower(SWAT_CANCEL_SUMMARY), '{w}')" for w in words)
+    + ") || ' customers' FROM seg" for name, words in RP.THEMES.items())
+
+
+@register("segment_report", seg_sql(f"""
+SELECT 'overview' AS section, 'segments' AS key, CAST(count(DISTINCT reason_segment) AS VARCHAR) AS value FROM given
+UNION ALL SELECT 'overview', 'customers', format('{{:,}}', count(*)) FROM given
+UNION ALL SELECT 'overview', 'average size', format('{{:.0f}}', round(CAST(count(*) AS DOUBLE) / count(DISTINCT reason_segment))) FROM given
+UNION ALL SELECT 'segment', CAST(reason_segment AS VARCHAR), count(*) || ' customers' FROM given GROUP BY reason_segment
+UNION ALL SELECT 'tenure', 'average', format('{{:.1f}} months', round(avg(LIFETIME_MONTHS), 1)) FROM seg
+UNION ALL SELECT 'tenure', 'median', format('{{:.1f}} months', round(median(LIFETIME_MONTHS), 1)) FROM seg
+UNION ALL SELECT 'revenue', 'average', format('${{:,.2f}}', round(avg(CAST(STARTING_MRR AS DOUBLE)), 2)) FROM seg
+UNION ALL SELECT 'revenue', 'total', format('${{:,.2f}}', CAST(sum(STARTING_MRR) AS DOUBLE)) FROM seg
+UNION ALL SELECT 'example', reason_segment || '.' || n, LOCATION_NAME || ' (' || CORE_INDUSTRY || ') - '
+    || format('${{:.0f}} MRR, ', round(CAST(STARTING_MRR AS DOUBLE))) || LIFETIME_MONTHS || ' months, ' || PRACTICE_MANAGEMENT_SOFTWARE || ' PMS'
+  FROM (SELECT *, row_number() OVER (PARTITION BY reason_segment ORDER BY row_id) AS n FROM given) t WHERE n <= 3
+UNION ALL SELECT 'reason', reason_segment || '.' || n, substr(SWAT_CANCEL_SUMMARY, 1, 200) || '...'
+  FROM (SELECT *, row_number() OVER (PARTITION BY reason_segment ORDER BY row_id) AS n FROM given) t WHERE n <= 3
+UNION ALL SELECT 'industry', upper(grp), customers || ' customers' FROM top
+UNION ALL SELECT 'industry_average', upper(CORE_INDUSTRY), format('${{:.0f}} MRR, {{:.1f}} months', round(avg(CAST(STARTING_MRR AS DOUBLE))),
+    round(avg(LIFETIME_MONTHS), 1)) FROM base GROUP BY CORE_INDUSTRY
+UNION ALL SELECT 'industry_pms', upper(grp) || ' ' || rank, value || ' (' || count || ')' FROM (
+  SELECT CORE_INDUSTRY AS grp, PRACTICE_MANAGEMENT_SOFTWARE AS value, count(*) AS count,
+         row_number() OVER (PARTITION BY CORE_INDUSTRY ORDER BY count(*) DESC, PRACTICE_MANAGEMENT_SOFTWARE) AS rank
+  FROM base WHERE PRACTICE_MANAGEMENT_SOFTWARE IS NOT NULL GROUP BY 1, 2) t WHERE rank <= 3
+UNION ALL SELECT 'industry_bundle', upper(grp) || ' ' || rank, value FROM (
+  SELECT CORE_INDUSTRY AS grp, STARTING_BUNDLE AS value,
+         row_number() OVER (PARTITION BY CORE_INDUSTRY ORDER BY count(*) DESC, STARTING_BUNDLE) AS rank
+  FROM base WHERE STARTING_BUNDLE IS NOT NULL GROUP BY 1, 2) t WHERE rank <= 2
+UNION ALL {_top_sql}
+UNION ALL {_pain_sql}""", GIVEN_CTE, PROFILE_CTE))
 def q_segment_report(spark, sf_dir):
-    """The assistant context as a table: (section, key, value) rows from the page aggregates."""
-    a = augmented(spark, sf_dir)
-    sizes = RP.segment_sizes(labelled(spark, sf_dir), SG.SEGMENT).select(
-        F.lit("segment_size").alias("section"), F.col("segment").cast("string").alias("key"),
-        F.col("size").cast("string").alias("value"))
-    tops = RP.top_values_pct(a, _TOP_COLS, 5).select(
-        F.concat(F.lit("top_"), F.col("column")).alias("section"), F.col("value").alias("key"),
-        F.format_string("%d (%.1f%%)", "count", "pct").alias("value"))
-    themes = RP.theme_counts(a, "SWAT_CANCEL_SUMMARY").select(
-        F.lit("pain_point").alias("section"), F.col("theme").alias("key"), F.col("customers").cast("string").alias("value"))
-    ten = RP.tenure_revenue_summary(a, "LIFETIME_MONTHS", "STARTING_MRR")
-    tenure = ten.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("key"), F.format_number(F.col(k).cast("double"), 2).alias("value"))
-        for k in ("avg_tenure", "median_tenure", "avg_revenue", "total_revenue")])).alias("kv")).select(
-        F.lit("tenure_revenue").alias("section"), "kv.key", "kv.value")
-    return reduce(DataFrame.unionByName, [sizes, tops, themes, tenure])
+    """The assistant context as a table: (section, key, value) lines of every part of the report."""
+    return RP.context_report(given_augmented(spark, sf_dir), given_segments(spark, sf_dir), SG.SEGMENT, _TOP_COLS)
 
 
 # --------------------------------------------------------------------- CSV sink and source
@@ -293,10 +366,15 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select("row_id", F.md5(SG.REASON_COLUMN).alias("summary_md5"))
 
 
-@register("column_catalog")
+@register("column_catalog", seg_sql("\nUNION ALL\n".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, count({c}) AS n_values FROM wide" for i, c in enumerate(WIDE_COLUMNS))))
 def q_column_catalog(spark, sf_dir):
+    """The column list of the wide row, with the values each column holds (one aggregate)."""
     from ..functions.columns import column_catalog
-    return column_catalog(augmented(spark, sf_dir))
+    wide = wide_frame(spark, sf_dir).drop("row_id")
+    held = wide.agg(*[F.count(F.col(c)).alias(c) for c in wide.columns])
+    held = held.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).alias("n_values")) for c in wide.columns])).alias("h")).select("h.*")
+    return column_catalog(wide).join(held, F.col("column_name") == F.col("_c")).select("position", "column_name", "n_values")
 
 
 # Display columns of the segment detail page.
@@ -321,10 +399,14 @@ def q_segment_detail(spark, sf_dir):
                     "LIFETIME_MONTHS", F.md5("SWAT_CANCEL_SUMMARY").alias("summary_md5"))
 
 
-@register("segment_detail_one")
+@register("segment_detail_one", seg_sql(
+    "SELECT LOCATION_NAME, CORE_INDUSTRY, PRACTICE_MANAGEMENT_SOFTWARE, STARTING_BUNDLE, LIFETIME_MONTHS, "
+    "CAST(STARTING_MRR AS DOUBLE) AS STARTING_MRR, reason_segment, md5(SWAT_CANCEL_SUMMARY) AS summary_md5 FROM seg "
+    "WHERE reason_segment = 1", GIVEN_CTE))
 def q_segment_detail_one(spark, sf_dir):
-    """Detail rows of segment 1 (the largest)."""
-    return segment_detail(augmented(spark, sf_dir), 1)
+    """Detail rows of one segment, all display columns."""
+    return segment_detail(given_augmented(spark, sf_dir), 1).withColumns(
+        {"STARTING_MRR": F.col("STARTING_MRR").cast("double"), "summary_md5": F.md5("SWAT_CANCEL_SUMMARY")}).drop("SWAT_CANCEL_SUMMARY")
 
 
 @register("csv_strings", seg_sql(
