@@ -36,4 +36,5 @@ def load_all() -> None:
     from . import queries_cohort  # noqa: F401
     from . import queries_model  # noqa: F401
     from . import queries_segments  # noqa: F401
+    from . import queries_features  # noqa: F401
     from . import queries_labels  # noqa: F401
