@@ -421,3 +421,63 @@ def test_saved_model_keeps_or_lacks_calibration(spark, tmp_path):
         MO.save_model(model, str(tmp_path / str(calibrate)))
         back = MO.load_model(str(tmp_path / str(calibrate)))
         assert (back.iso is not None) == calibrate and back.threshold == model.threshold
+
+
+def test_empty_reasons_and_bom_csv(spark, tmp_path):
+    import pytest
+    from churnlens.operators.segments import segment_input
+    from churnlens.sources.files import read_csv
+    df = spark.createDataFrame([("r1", "  "), ("r2", None)], "row_id STRING, SWAT_CANCEL_SUMMARY STRING")
+    with pytest.raises(ValueError, match="nothing to cluster"):
+        segment_input(df)
+    path = tmp_path / "export.csv"
+    path.write_bytes("﻿a,b\r\n1,\"x \"\"y\"\"\nz\"\r\n".encode("utf-8"))
+    back = read_csv(spark, str(path))
+    assert back.columns == ["a", "b"] and [tuple(r) for r in back.collect()] == [("1", 'x "y"\nz')]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        read_csv(spark, str(tmp_path / "absent.csv")).collect()
+
+
+def test_segment_sizes_are_sorted(spark):
+    df = spark.createDataFrame([(s,) for s in [3, 1, 2, 2, 3, 3]], "s INT")
+    rows = RP.segment_sizes(df, "s").collect()
+    assert [(r["segment"], r["size"], r["n_segments"], r["total"], r["avg_size"]) for r in rows] == [
+        (1, 1, 3, 6, 2.0), (2, 2, 3, 6, 2.0), (3, 3, 3, 6, 2.0)]
+
+
+def test_wide_row_keeps_duplicate_accounts_and_two_lost_months(spark):
+    """Q7: two account rows of a slug and two lost months give four rows, each with its own id."""
+    import datetime as dt
+    from churnlens.operators import cohort as C
+    d = lambda m: dt.date(2024, m, 28)
+    src = {
+        "mrr_by_location": spark.createDataFrame(
+            [("c", d(1), 10, True, False), ("c", d(2), 10, False, True), ("c", d(3), 10, False, True)],
+            "customer_id STRING, month_ending DATE, total_mrr INT, is_new BOOLEAN, is_lost BOOLEAN"),
+        "churn_by_product": spark.createDataFrame([(d(1), "c", "Core", "Core Products")],
+                                                  "month_ending DATE, finance_id STRING, product_name STRING, product_family STRING"),
+        "support_interaction_v3": spark.createDataFrame(
+            [], "created_at TIMESTAMP, interaction_number STRING, location_id STRING, billing_start_date TIMESTAMP, primary STRING, reason_topic STRING, subject STRING"),
+        "account_v2": spark.createDataFrame(
+            [("l", "c", "s", 1, 1, False, d(1), d(1))] * 2,
+            "location_id STRING, finance_number STRING, slug STRING, number_of_locations_in_hierarchy_active INT, "
+            "number_of_locations_in_hierarchy_total INT, is_parent_account BOOLEAN, billing_start_date DATE, onboarding_handoff DATE"),
+        "location_feature_access_and_usage_by_month": spark.createDataFrame(
+            [], "location_id STRING, report_month DATE, inbound_sms_count BIGINT, outbound_sms_count BIGINT, inbound_call_count BIGINT, "
+                "outbound_call_count BIGINT, missed_call_sms_count BIGINT, missed_text_sms_count BIGINT, automated_sms_sent_count BIGINT, "
+                "has_appointment_reminders BOOLEAN, has_missed_call_text BOOLEAN, has_missed_text_text BOOLEAN"),
+        "stg_location_integrations": spark.createDataFrame([], "location_id STRING, integrations STRING"),
+        "swat_case": spark.createDataFrame([("l", "k", "Open", d(3), "why", "r", "s"), ("l", "old", "Open", d(1), "x", "r", "s")],
+                                           "location_id STRING, case_id STRING, case_status STRING, created_date DATE, cancel_summary STRING, "
+                                           "cancellation_reason STRING, cancellation_subreason STRING"),
+        "location": spark.createDataFrame([("s", "c", "l", "n", "i", "i2", "sp", "t", "pms", False)],
+                                          "slug STRING, finance_id STRING, location_id STRING, location_name STRING, core_industry STRING, "
+                                          "core_sub_industry STRING, specialty STRING, location_type STRING, practice_management_software STRING, is_satellite BOOLEAN"),
+    }
+    wide = C.wide_customer_row(src)
+    rows = wide.collect()
+    # two account rows, each also doubling the business segment of the location, and two lost months
+    assert len(rows) == 8 and {r["SWAT_CASE_ID"] for r in rows} == {"k"} and {r["LIFETIME_MONTHS"] for r in rows} == {2}
+    ids = [r["row_id"] for r in FE.add_row_id(wide, ["LOCATION_ID", "CHURN_MONTH", "STARTING_BUNDLE", "END_BUNDLE", "SWAT_CASE_ID",
+                                                      "FIRST_USAGE_REPORT_MONTH"]).collect()]
+    assert len(set(ids)) == 8
