@@ -65,8 +65,8 @@ _WRITTEN: dict[str, list[str]] = {}
 def remove_tables(spark: SparkSession) -> None:
     """Delete the hand-off tables that ``cut_lineage`` wrote in this session.
 
-    For long-lived clusters: call it when no result that reads them is needed
-    any more.  (A scratch folder of a local session goes at exit by itself.)
+    Call it in a long-lived session when no result that reads them is needed any
+    more; it also runs when the driver program ends with the session still open.
     """
     sc = spark.sparkContext
     for path in _WRITTEN.pop(sc.applicationId, []):
@@ -74,6 +74,12 @@ def remove_tables(spark: SparkSession) -> None:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _remove_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        remove_tables(spark)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -83,6 +89,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.unregister(_remove_at_exit)
+        atexit.register(_remove_at_exit)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
