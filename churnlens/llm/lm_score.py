@@ -44,8 +44,8 @@ PROBES = 3
 BITS_PER_LEVEL = 8
 LEVELS = 40
 HEAD = 1 << 20
-VOCABULARY = 1 << 19  # tokens a task remembers between documents
-COUNT_CHUNK = 1 << 21  # tokens counted at a time
+VOCABULARY = 1 << 18  # tokens a task remembers between documents
+COUNT_CHUNK = 1 << 20  # tokens counted at a time
 SCORE_CHUNK = 1 << 18  # tokens scored at a time
 BIGRAM_SHARE = 0.7
 
