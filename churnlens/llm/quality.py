@@ -124,8 +124,9 @@ def learn(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: in
     training = keyed(docs).where(fold(F.col("doc_id")) != held_out_fold)
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("__id")).where(
         fold(F.col("__id")) != held_out_fold).distinct()
-    trusted = bounded_share(trusted, F.col("__id"), sample)
-    texts = {"p": training.join(trusted, training["doc_id"] == F.col("__id"), "left_semi"),
+    trusted = bounded_share(trusted, F.col("__id"), sample).orderBy(F.xxhash64("__id"), "__id").limit(2 * sample)
+    # the broadcast side holds at most 2 * ``sample`` ids
+    texts = {"p": training.join(F.broadcast(trusted), training["doc_id"] == F.col("__id"), "left_semi"),
              "u": bounded_share(training, F.col("doc_id"), sample)}
     found = {k: np.array(sorted(r["s"] for r in t.select(statistics_of("text").alias("s")).collect())) for k, t in texts.items()}
     rng = np.random.default_rng(0)  # a fixed order, whatever the partitions
