@@ -198,7 +198,7 @@ def q_label_curve_summary(spark, sf_dir):
 
 @register("smote_rows", sql("""
 SELECT y, 0 AS synthetic, count(*) AS n, CAST(0 AS BIGINT) AS off_segment FROM v GROUP BY y
-UNION ALL SELECT 0, 1, sum(y) - sum(1 - y), 0 FROM v"""))
+UNION ALL SELECT 0, 1, CAST(sum(y) - sum(1 - y) AS BIGINT), 0 FROM v"""))
 def q_smote_rows(spark, sf_dir):
     """Rows per class after oversampling, and synthetic rows off the segment from base row to neighbour."""
     rows = label_rows(spark, sf_dir).select("row_id", "y", *NUMERIC)
