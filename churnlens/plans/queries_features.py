@@ -102,11 +102,11 @@ def q_churn_label(spark, sf_dir):
     return wide_frame(spark, sf_dir).select("LOCATION_ID", X.churn_label("CHURN_OR_RETAIN").alias("label"))
 
 
-@register("business_risk_index", stage2(f"SELECT row_id, round({risk_sql('CAST(0.5 AS DOUBLE)')}, 9) AS risk_at_half FROM mdl"))
+@register("business_risk_index", stage2(f"SELECT row_id, round({risk_sql('CAST(0.5 AS DOUBLE)')}, 12) AS risk_at_half FROM mdl"))
 def q_business_risk_index(spark, sf_dir):
     """The risk factors alone: every row at probability one half."""
     m = model_rows(spark, sf_dir).withColumn("p", F.lit(0.5))
-    return m.select(FE.ROW_ID, F.round(MO.business_risk_index(m, "p"), 9).alias("risk_at_half"))
+    return m.select(FE.ROW_ID, F.round(MO.business_risk_index(m, "p"), 12).alias("risk_at_half"))
 
 
 @register("nonnull_of_every_column", stage2(
