@@ -3,15 +3,13 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+for path in (os.path.dirname(os.path.dirname(HERE)), HERE):
+    if path not in sys.path:
+        sys.path.insert(0, path)
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_key string, keep_id string, words int, score string"
 
-
-def make_docs(spark, texts, start=0, lang="en"):
-    """Documents with ids from ``start``; the extra columns clash with names used inside the operators."""
-    rows = [(start + i, t, lang, "s", 0, "x", "y", 3, "z") for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, SCHEMA)
+from corpus_docs import SCHEMA  # noqa: E402
 
 
 @pytest.fixture

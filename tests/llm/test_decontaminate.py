@@ -4,7 +4,7 @@ import re
 import pytest
 
 from churnlens.llm import decontaminate as D
-from conftest import make_docs
+from corpus_docs import make_docs
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from churnlens.llm import exact_dedup as D
-from conftest import make_docs
+from corpus_docs import make_docs
 
 
 def lower(t):

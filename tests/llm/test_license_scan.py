@@ -1,5 +1,5 @@
 from churnlens.llm import license_scan as L
-from conftest import make_docs
+from corpus_docs import make_docs
 
 MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
        "documentation files (the \"Software\"), to deal in the Software without restriction")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from churnlens.llm import lm_score as L
-from conftest import make_docs
+from corpus_docs import make_docs
 
 SF = "/root/testdata/sf0.001"
 

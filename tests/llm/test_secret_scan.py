@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from churnlens.llm import secret_scan as S
-from conftest import make_docs
+from corpus_docs import make_docs
 
 EITHER = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
 ASSIGN = re.compile("(%s)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)" % "|".join(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from churnlens.llm import simhash_dedup as S
 from churnlens.llm.components import connected_components
-from conftest import make_docs
+from corpus_docs import make_docs
 
 
 def plain_fingerprint(t):

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from churnlens.llm import source_mix as M
-from conftest import make_docs
+from corpus_docs import make_docs
 
 SF = "/root/testdata/sf0.01"
 
