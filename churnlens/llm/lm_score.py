@@ -3,11 +3,14 @@
 Model.  n-grams (one and two tokens) are counted over all training texts under
 48-bit hashes.  An n-gram of count c enters the filter with its levels
 0 .. floor(log2 c); a lookup probes level 0, 1, ... until a probe misses, and the
-levels that were there give the quantised count.  Filter and counts are dealt
-into ``BLOCKS`` blocks by hash, so a task builds a block from its own n-grams.
-The filter has a fixed size; if the levels of all n-grams would overfill it, the
-rarest counts are left out, by a cut-off read from the full histogram.  Bigram
-estimates are interpolated with add-half unigram estimates.
+levels that were there give the quantised count.  The filter is dealt into
+``BLOCKS`` blocks by hash, and every block is as large as its own levels need:
+all n-grams of all training texts are in the model, whatever the input's size.
+Texts go in chunks of about ``COUNT_CHUNK`` tokens; a chunk sends its distinct
+n-grams to their blocks once, with their training counts, and the levels come
+back to the chunk.  No task holds more than a block or a chunk, and nothing of
+the filter reaches the driver.  Bigram estimates are interpolated with add-half
+unigram estimates.
 
 Base.  The add-half unigram score uses exact counts: the ``HEAD`` most frequent
 tokens at most go to every task, the others meet their counts in a join.
@@ -37,15 +40,15 @@ from ..session import cut_lineage
 from .common import fold, keyed
 
 END = b"\n"  # no word has white space
-BLOCK_BITS = 16
+BLOCK_BITS = 16  # at least
 BLOCKS = 1 << 12
-FILTER_BITS = BLOCKS << BLOCK_BITS  # 32 MB
+FILTER_BITS = BLOCKS << BLOCK_BITS  # of ``build_filter``
 PROBES = 3
 BITS_PER_LEVEL = 8
 LEVELS = 40
 HEAD = 1 << 20
 VOCABULARY = 1 << 18  # tokens a task remembers between documents
-COUNT_CHUNK = 1 << 20  # tokens counted at a time
+COUNT_CHUNK = 1 << 20  # tokens of a chunk
 SCORE_CHUNK = 1 << 18  # tokens scored at a time
 BIGRAM_SHARE = 0.7
 
@@ -192,14 +195,50 @@ def count_ngrams(training: DataFrame) -> DataFrame:
             .mapInArrow(merge, "block int, keys binary, levels binary, histogram array<long>"))
 
 
-def _places(low: np.ndarray, level: int) -> list[np.ndarray]:
-    """The bits of a level within its block."""
+def _places(low: np.ndarray, level: int, bits: int = BLOCK_BITS) -> list[np.ndarray]:
+    """The bits of a level within its block of 2^``bits`` bits (at most 2^32)."""
     x = _mix(low * _U(0x9E3779B97F4A7C15) + _U((level + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
-    return [((x >> _U(16 * i)) & _U((1 << BLOCK_BITS) - 1)).astype(np.int64) for i in range(PROBES)]
+    step = (x >> _U(32)) | _U(1)
+    return [((x + _U(i) * step) & _U((1 << bits) - 1)).astype(np.int64) for i in range(PROBES)]
+
+
+def block_bits(events: int) -> int:
+    """log2 of a block's size: BITS_PER_LEVEL bits at least for each level of each of its n-grams."""
+    return max(BLOCK_BITS, (int(events) * BITS_PER_LEVEL - 1).bit_length())
+
+
+def _levels_of(n: np.ndarray) -> np.ndarray:
+    """The number of levels of each count: 0 for none, else 1 + floor(log2 count)."""
+    return np.where(n > 0, np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), LEVELS - 1) + 1, 0)
+
+
+def filtered_levels(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fill a block's filter with distinct keys of counts ``n``, and the levels it then gives for each of them."""
+    top = _levels_of(n)
+    size = block_bits(top.sum())
+    bits = np.zeros(1 << size, dtype=bool)
+    for level in range(int(top.max(initial=0))):
+        for place in _places(low[top > level], level, size):
+            bits[place] = True
+    levels, at = np.zeros(len(low), dtype=np.uint8), np.arange(len(low))
+    for level in range(LEVELS):
+        there = np.ones(len(at), dtype=bool)
+        for place in _places(low[at], level, size):
+            there &= bits[place]
+        at = at[there]
+        if not len(at):
+            break
+        levels[at] = level + 1
+    return levels
+
+
+def quantised(levels: np.ndarray) -> np.ndarray:
+    """The count that a number of levels stands for: 0, or the middle of [2^q, 2^(q+1)) for the highest level q."""
+    return np.where(levels > 0, np.maximum(1.5 * np.exp2(levels - 1.0) - 0.5, 1.0), 0.0)
 
 
 def build_filter(ngrams: DataFrame, least_level: int) -> np.ndarray:
-    """The filter's bytes, block by block; at most FILTER_BITS reach the driver."""
+    """The whole filter of a small table (FILTER_BITS in all) in one array; scoring itself never gathers it."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +273,7 @@ def probe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
         if not len(at):
             break
         levels[at] = level + 1
-    return np.where(levels > 0, np.maximum(1.5 * np.exp2(levels - 1.0) - 0.5, 1.0), 0.0)
+    return quantised(levels)
 
 
 def level_cut(histogram: np.ndarray, capacity: float) -> int:
@@ -259,18 +298,18 @@ def head_cut(counts: DataFrame, most: int) -> int:
 class _TokenFacts:
     """What a task knows of the tokens it has met, by their number."""
 
-    def __init__(self, bits: np.ndarray, check: np.ndarray, crc: np.ndarray, known: np.ndarray, whole: float):
-        self.bits, self.check, self.crc, self.known, self.whole = bits, check, crc, known, whole
+    def __init__(self, check: np.ndarray, crc: np.ndarray, known: np.ndarray, whole: float):
+        self.check, self.crc, self.known, self.whole = check, crc, known, whole
         self.vocabulary, self.words = Vocabulary(), []
         self.forget()
 
     def forget(self) -> None:
         self.vocabulary.clear()
         self.words.clear()
-        self.h, self.single, self.there, self.logs = (np.zeros(0, dtype=t) for t in (np.uint64, float, bool, float))
+        self.h, self.there, self.logs = (np.zeros(0, dtype=t) for t in (np.uint64, bool, float))
 
     def learn(self) -> None:
-        """Hash, quantised count, whether in the head, and base log probability (0 outside the head) of new tokens."""
+        """Hash, whether in the head, and base log probability (0 outside the head) of new tokens."""
         new = list(islice(self.vocabulary, len(self.words), None))
         if not new:
             return
@@ -282,7 +321,6 @@ class _TokenFacts:
             exact = np.where(there, self.known[place], 0)
         self.words += new
         self.h = np.concatenate((self.h, h))
-        self.single = np.concatenate((self.single, probe(self.bits, unigram_keys(h))))
         self.there = np.concatenate((self.there, there))
         self.logs = np.concatenate((self.logs, np.where(there, np.log10((exact + 0.5) / self.whole), 0.0)))
 
@@ -294,19 +332,122 @@ class _TokenFacts:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([tokens, pa.array(n.astype(np.int64))], ["token", "n"]))
 
 
+class _Chunk:
+    """The distinct n-grams of a chunk of documents, in the order of their keys."""
+
+    def __init__(self, hashes: bytes, numbers: bytes, sizes: list[int]):
+        h, self.sizes = np.frombuffer(hashes, dtype=np.uint64), np.array(sizes)
+        self.numbers = _from_planes(numbers)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.before = np.concatenate(([0], self.numbers[:-1]))
+        pairs = (self.before + 1) << 32 | self.numbers
+        pairs[self.first] = self.numbers[self.first]  # a text's first token has no token before it
+        pairs, self.pair = np.unique(pairs, return_inverse=True)
+        h_before = np.where(pairs >> 32 > 0, h[np.maximum((pairs >> 32) - 1, 0)], _U(0))
+        keys = np.concatenate((unigram_keys(h), bigram_keys(h_before, h[pairs & 0xFFFFFFFF])))
+        self.order, self.n_single = np.argsort(keys, kind="stable"), len(h)
+        self.keys = keys[self.order]
+
+    def counts(self, learn: list[bool]) -> np.ndarray:
+        """Occurrences of each n-gram in the documents to learn from."""
+        learned = np.repeat(np.array(learn, dtype=bool), self.sizes)
+        single = np.bincount(self.numbers[learned], minlength=self.n_single)
+        return np.concatenate((single, np.bincount(self.pair[learned], minlength=len(self.keys) - self.n_single)))[self.order]
+
+    def scores(self, levels: np.ndarray, whole: float) -> np.ndarray:
+        """The score of each document, from the filter's levels of the n-grams."""
+        count = np.empty(len(levels))
+        count[self.order] = quantised(levels)
+        single, pair = count[:self.n_single], count[self.n_single:][self.pair]
+        alone = (single[self.numbers] + 0.5) / whole
+        c_before = np.maximum(single[self.before], pair)
+        c_before[self.first] = 0
+        chain = np.divide(pair, c_before, out=np.zeros(len(pair)), where=c_before > 0)
+        p = np.where(c_before > 0, BIGRAM_SHARE * chain + (1 - BIGRAM_SHARE) * alone, alone)
+        return np.add.reduceat(np.log10(np.minimum(p, 1.0)), self.first)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 byte by byte, all lowest bytes first: the upper bytes, mostly 0, compress well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def filter_levels(chunks: DataFrame) -> DataFrame:
+    """(chunk, block, levels): the filter's levels of each chunk's n-grams, in the order of their keys."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, hashes, numbers, sizes, learn = (c[i].as_py() for c in batch.columns)
+                chunk = _Chunk(hashes, numbers, sizes)
+                for part in _packed(chunk.keys, chunk.counts(learn)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, number)), *part.columns], names=["chunk", *part.schema.names])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answered(block: int, chunks: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            low, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            n = np.bincount(where, weights=np.concatenate([p[1] for p in parts]))
+            data, ends = filtered_levels(low, n)[where].tobytes(), np.cumsum([len(p[0]) for p in parts]).tolist()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(chunks, pa.int64()), pa.array([block] * len(chunks), pa.int32()),
+                 pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary())], names=["chunk", "block", "levels"])
+
+        at, chunks, parts = None, [], []
+        for batch in batches:
+            for chunk, block, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != at and parts:
+                    yield answered(at, chunks, parts)
+                    chunks, parts = [], []
+                at = block
+                chunks.append(chunk)
+                parts.append(_unpacked(keys, counts))
+        if parts:
+            yield answered(at, chunks, parts)
+
+    return (chunks.select("chunk", "hashes", "numbers", "sizes", "learn").mapInArrow(send, "chunk long, block int, keys binary, counts binary")
+            .repartition("block").sortWithinPartitions("block")
+            .mapInArrow(answer, "chunk long, block int, levels binary"))
+
+
+def score_chunks(chunks: DataFrame, whole: float) -> DataFrame:
+    """(row, score): a chunk meets the levels of its n-grams, and each of its documents gets its score."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored(chunk: _Chunk, row: int, levels: list[bytes]) -> pa.RecordBatch:
+            found = chunk.scores(np.frombuffer(b"".join(levels), dtype=np.uint8), whole)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(found))), pa.array(found)], names=["row", "score"])
+
+        chunk, row, levels = None, 0, []
+        for batch in batches:
+            for i, (block, part) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if block >= 0:
+                    levels.append(part)
+                    continue
+                if chunk is not None:
+                    yield scored(chunk, row, levels)
+                row, hashes, numbers, sizes = (batch.column(c)[i].as_py() for c in (0, 3, 4, 5))
+                chunk, levels = _Chunk(hashes, numbers, sizes), []
+        if chunk is not None:
+            yield scored(chunk, row, levels)
+
+    none = F.lit(None)
+    own = chunks.select("chunk", F.lit(-1).alias("block"), none.cast("binary").alias("levels"), "hashes", "numbers", "sizes")
+    found = filter_levels(chunks).select("chunk", "block", "levels", none.cast("binary").alias("hashes"), none.cast("binary").alias("numbers"),
+                                         none.cast("array<int>").alias("sizes"))
+    return own.unionByName(found).repartition("chunk").sortWithinPartitions("chunk", "block").mapInArrow(score, "row long, score double")
+
+
 def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD) -> DataFrame:
     """doc_id, text_key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = keyed(docs)
     training = rows.where(fold(F.col("doc_id")) != held_out_fold)
     counts = cut_lineage(count_tokens(training))
-    ngrams = cut_lineage(count_ngrams(training))
     seen = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = seen["n"] or 0, seen["v"]
-    histogram = ngrams.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
-    held = np.zeros(LEVELS)
-    for r in histogram:
-        held[r["pos"]] = r["n"]
-    bits = build_filter(ngrams, level_cut(held, FILTER_BITS / BITS_PER_LEVEL))
     cut = head_cut(counts, head)
     frequent = counts.where(F.col("n") >= cut).select("token", "n").toArrow()  # at most ``head`` rows
     words = frequent.column("token").to_pylist()
@@ -316,49 +457,49 @@ def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD) -> Da
     crc = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))[order]
     del frequent, words
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((bits, check, crc, known))  # sizes bounded by FILTER_BITS and ``head``
+    model = spark.sparkContext.broadcast((check, crc, known))  # bounded by ``head``
     whole = total + 0.5 * (distinct + 1)
     id_type = dict(docs.dtypes)["doc_id"]
-    schema = f"row long, doc_id {id_type}, text_key long, n_tokens long, n_head long, base double, score double, tail array<struct<token: binary, n: long>>"
+    facts_type = f"struct<row: long, doc_id: {id_type}, text_key: long, n_tokens: long, n_head: long, base: double, tail: array<struct<token: binary, n: long>>>"
+    schema = f"chunk long, hashes binary, numbers binary, sizes array<int>, learn array<boolean>, docs array<{facts_type}>"
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, check, crc, known = model.value
-        row = TaskContext.get().partitionId() << 40
-        facts = _TokenFacts(bits, check, crc, known, whole)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        check, crc, known = model.value
+        row = TaskContext.get().partitionId() << 40  # a chunk has the number of its first row
+        facts = _TokenFacts(check, crc, known, whole)
         for batch in batches:
             at = 0
-            for docs in _numbered((t.as_py() for t in batch.column(2)), facts.vocabulary, SCORE_CHUNK):
+            for docs in _numbered((t.as_py() for t in batch.column(3)), facts.vocabulary, COUNT_CHUNK):
                 facts.learn()
                 flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
                 first = np.cumsum(sizes) - sizes
-                before = np.concatenate(([0], flat[:-1]))
-                h_before, c_before = facts.h[before], facts.single[before]
-                h_before[first] = 0
-                pair = probe(bits, bigram_keys(h_before, facts.h[flat]))
-                alone = (facts.single[flat] + 0.5) / whole
-                c_before = np.maximum(c_before, pair)
-                c_before[first] = 0  # a text's first token has no token before it
-                chain = np.divide(pair, c_before, out=np.zeros(len(pair)), where=c_before > 0)
-                p = np.where(c_before > 0, BIGRAM_SHARE * chain + (1 - BIGRAM_SHARE) * alone, alone)
+                there = np.bincount(flat, minlength=len(facts.h)) > 0
+                number = np.cumsum(there) - 1  # within the chunk
                 in_head = facts.there[flat]
-                yield pa.RecordBatch.from_arrays([
+                own = pa.StructArray.from_arrays([
                     pa.array(np.arange(row, row + len(docs))), batch.column(0)[at:at + len(docs)], batch.column(1)[at:at + len(docs)],
                     pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat(in_head.astype(np.int64), first)),
                     pa.array(np.add.reduceat(facts.logs[flat], first)),
-                    pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), first)),
                     facts.tails(flat[~in_head], np.repeat(np.arange(len(docs)), sizes)[~in_head], len(docs))],
-                    names=["row", "doc_id", "text_key", "n_tokens", "n_head", "base", "score", "tail"])
+                    ["row", "doc_id", "text_key", "n_tokens", "n_head", "base", "tail"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row]), pa.array([facts.h[there].tobytes()], pa.binary()), pa.array([_planes(number[flat])], pa.binary()),
+                    pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([batch.column(2)[at:at + len(docs)].to_pylist()], pa.list_(pa.bool_())),
+                    pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), own)],
+                    names=["chunk", "hashes", "numbers", "sizes", "learn", "docs"])
                 at += len(docs)
                 row += len(docs)
                 if len(facts.vocabulary) > VOCABULARY:  # else the next documents reuse what is known
                     facts.forget()
 
-    scored = cut_lineage(rows.mapInArrow(score, schema))
-    rest = scored.select("row", F.inline("tail")).join(counts.where(F.col("n") < cut).select("token", F.col("n").alias("c")), "token", "left")
+    learn = F.coalesce(fold(F.col("doc_id")) != held_out_fold, F.lit(False))
+    chunks = cut_lineage(rows.select("doc_id", "text_key", learn.alias("learn"), "text").mapInArrow(encode, schema))
+    own = chunks.select(F.inline("docs"))
+    rest = own.select("row", F.inline("tail")).join(counts.where(F.col("n") < cut).select("token", F.col("n").alias("c")), "token", "left")
     c = F.coalesce("c", F.lit(0))
     rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 0.5) / whole)).alias("rest"),
                                    F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_rest"))
-    out = scored.drop("tail").join(rest, "row", "left")
+    out = own.drop("tail").join(score_chunks(chunks, whole), "row").join(rest, "row", "left")
     return out.select(
         "doc_id", "text_key", F.coalesce(fold(F.col("doc_id")) == held_out_fold, F.lit(False)).alias("held_out"), "n_tokens",
         (F.col("n_head") + F.coalesce("n_rest", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

@@ -66,3 +66,23 @@ def test_filter_gives_quantised_counts(spark):
 
 def test_cuts():
     assert L.level_cut(np.array([10, 5, 1]), 100) == 0 and L.level_cut(np.array([10, 5, 1]), 13) == 1 and L.level_cut(np.array([10, 5, 1]), 3) == 2
+
+
+def test_no_ngram_is_lost_however_many_there_are(spark, monkeypatch):
+    """Far more n-grams than a filter of the least size holds: every one keeps its count."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(60)]
+    whole = {r.doc_id: r.score for r in L.score_texts(make_docs(spark, texts)).collect()}
+    for name, value in (("BLOCK_BITS", 3), ("FILTER_BITS", L.BLOCKS << 3)):
+        monkeypatch.setattr(L, name, value)
+    rows = L.score_texts(make_docs(spark, texts)).collect()
+    # a text without its n-grams falls by hundreds; a few false levels move it by about 0.4 each
+    assert all(abs(r.score - whole[r.doc_id]) < 20 for r in rows if not r.held_out) and {r.held_out for r in rows} == {True, False}
+
+
+def test_block_grows_with_its_levels():
+    r = np.random.default_rng(1)
+    low = np.unique(r.integers(0, 1 << 36, 200_000, dtype=np.uint64))
+    n = r.integers(0, 2, len(low)) * r.integers(1, 50, len(low))  # 0: not in the training texts
+    found, true = L.filtered_levels(low, n), L._levels_of(n)
+    assert (found >= true).all() and (found > true).mean() < 0.05
+    assert L.block_bits(1) == L.BLOCK_BITS and (1 << L.block_bits(true.sum())) >= L.BITS_PER_LEVEL * true.sum()
