@@ -70,8 +70,8 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def bounded_share(rows: DataFrame, key: Column, most: int, by: str | None = None, groups: int = 200) -> DataFrame:
-    """About ``most`` rows (of each of the ``groups`` most frequent values of ``by``), chosen by a hash of ``key``.
+def bounded_share(rows: DataFrame, key: Column, most: int, by: str | None = None) -> DataFrame:
+    """About ``most`` rows (of each value of ``by`` but null), chosen by a hash of ``key``.
 
     One count gives the share to keep, so no rows are sorted or gathered; all
     rows stay where there are no more.
@@ -80,8 +80,5 @@ def bounded_share(rows: DataFrame, key: Column, most: int, by: str | None = None
     if by is None:
         n = rows.count()
         return rows if n <= most else rows.where(place < most / n)
-    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(groups).collect()}
-    if not counts:
-        return rows
-    share = F.create_map(*[F.lit(x) for v, n in sorted(counts.items()) for x in (v, min(1.0, most / n))])
-    return rows.where(F.col(by).isin(*counts)).where(place < F.try_element_at(share, F.col(by)))
+    share = rows.groupBy(F.col(by).alias("__by")).agg(F.least(F.lit(1.0), most / F.count(F.lit(1))).alias("__share"))
+    return rows.join(F.broadcast(share), rows[by] == share["__by"]).where(place < F.col("__share")).drop("__by", "__share")
