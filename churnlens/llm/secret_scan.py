@@ -2,7 +2,10 @@
 
 Base spans are the matches of three patterns.  The method adds long runs of
 encoding characters that look random:
-1. The encoding (alphabet) of a run is inferred from its characters.
+1. Runs are cut at inner '=' and around base spans, and a piece that fits no
+   alphabet at the characters that keep it from the nearest one; all pieces of 16
+   or more characters are tested.  The encoding (alphabet) of a piece is inferred
+   from its characters.
 2. Chi-squared uniformity over the alphabet, a runs test about its middle and a
    lag-1 serial correlation test give p-values under randomness; Fisher's method
    combines them into one score, high for random strings.
@@ -36,6 +39,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+VALUE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+MIXED = (re.compile("[_-]"), re.compile("[+/]"))  # what keeps a piece from the one or the other widest alphabet
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 ASSIGN_CHARS = 12
@@ -121,19 +126,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, code) of the runs that touch no base span."""
-    found = []
+def pieces(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, str, int]]:
+    """(start, piece, alphabet) of the pieces of all runs that lie outside base spans."""
     for run in RUN.finditer(text):
         start, end = run.span()
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        part = run.group().strip("=")
-        if len(part) < LENGTHS[0] or (alphabet := alphabet_of(part)) is None:
-            continue
-        start += run.group().index(part)
-        found.append((start, start + len(part), _code(alphabet, _length_class(len(part)), _class(randomness(part, alphabet)))))
-    return found
+        free = start
+        for s, e in [*((s, e) for s, _, e in base if s < end and start < e), (end, end)]:  # by start
+            for value in VALUE.finditer(text, free, max(s, free)):
+                part = value.group()
+                if (alphabet := alphabet_of(part)) is not None:
+                    yield value.start(), part, alphabet
+                    continue
+                breaks = min(MIXED, key=lambda b: len(b.findall(part)))
+                at = 0
+                for stop in [*(m.start() for m in breaks.finditer(part)), len(part)]:
+                    if stop - at >= LENGTHS[0]:
+                        yield value.start() + at, part[at:stop], alphabet_of(part[at:stop])
+                    at = stop + 1
+            free = max(free, e)
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, code) of the pieces of runs outside base spans."""
+    return [(start, start + len(part), _code(alphabet, _length_class(len(part)), _class(randomness(part, alphabet))))
+            for start, part, alphabet in pieces(text, base)]
 
 
 def decoys(text: str, key: int) -> list[int]:

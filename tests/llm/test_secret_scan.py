@@ -68,3 +68,26 @@ def test_query_digest(spark, sf):
         listed = ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in own)
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(filter(None, listed.split(","))) <= set(r.spans.split(","))
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in own) for x in range(3))
+
+
+def test_every_part_of_a_run_is_tested():
+    r = random.Random(2)
+    key = "".join(r.choices(S.ALPHABETS[7], k=64))
+    for text, start in ((f"x AUTH_KEY={key} y", 11), (f"a=b={key}== y", 4), (f"sig={key}&k", 4), (f"up_to+{key} y", 6)):
+        assert any(s <= start and start + 64 <= e for s, e, _ in S.candidates(text, S.base_spans(text))), text
+    text = "AKIA" + "Z" * 16 + "_" + key
+    assert [(s, e) for s, e, _ in S.candidates(text, S.base_spans(text))] == [(20, 85)]
+    text = key[:20] + "+" + key[20:40] + "_" + key[40:]
+    assert [text[s:e] for s, e, _ in S.candidates(text, [])] == [key[:20] + "+" + key[20:40], key[40:]]
+
+
+def test_pieces_lie_in_runs_outside_base_spans():
+    r = random.Random(4)
+    parts = ["AKIA", "0123456789abcdef", "ABCDEFGHIJKLMNOP", "Zz9", "=", "+", "/", "-", "_", " ", "token=", "é"]
+    for _ in range(5000):
+        t = "".join(r.choices(parts, k=r.randrange(14)))
+        base, end = S.base_spans(t), 0
+        for at, part, alphabet in S.pieces(t, base):
+            assert at >= end and t[at:at + len(part)] == part and len(part) >= 16 and set(part) <= set(S.ALPHABETS[alphabet])
+            assert not any(s < at + len(part) and at < e for s, _, e in base)
+            end = at + len(part)
