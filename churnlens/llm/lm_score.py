@@ -6,7 +6,7 @@ Model.  n-grams (one and two tokens) are counted over all training texts under
 levels that were there give the quantised count.  The filter is dealt into
 ``BLOCKS`` blocks by hash, and every block is as large as its own levels need:
 all n-grams of all training texts are in the model, whatever the input's size.
-Texts go in chunks of about ``COUNT_CHUNK`` tokens; a chunk sends its distinct
+Texts go in chunks of about ``SCORE_CHUNK`` tokens; a chunk sends its distinct
 n-grams to their blocks once, with their training counts, and the levels come
 back to the chunk.  No task holds more than a block or a chunk, and nothing of
 the filter reaches the driver.  Bigram estimates are interpolated with add-half
@@ -48,8 +48,8 @@ BITS_PER_LEVEL = 8
 LEVELS = 40
 HEAD = 1 << 20
 VOCABULARY = 1 << 18  # tokens a task remembers between documents
-COUNT_CHUNK = 1 << 20  # tokens of a chunk
-SCORE_CHUNK = 1 << 18  # tokens scored at a time
+COUNT_CHUNK = 1 << 20  # tokens counted at a time
+SCORE_CHUNK = 1 << 19  # tokens of a chunk
 BIGRAM_SHARE = 0.7
 
 _U = np.uint64
@@ -368,16 +368,16 @@ class _Chunk:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32 byte by byte, all lowest bytes first: the upper bytes, mostly 0, compress well."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers below 2^32, compressed byte by byte, all lowest bytes first: the upper bytes are mostly 0."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def filter_levels(chunks: DataFrame) -> DataFrame:
-    """(chunk, block, levels): the filter's levels of each chunk's n-grams, in the order of their keys."""
+    """(chunk, block, levels): the filter's levels of each chunk's n-grams, in the order of their keys, compressed."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,7 +394,7 @@ def filter_levels(chunks: DataFrame) -> DataFrame:
             data, ends = filtered_levels(low, n)[where].tobytes(), np.cumsum([len(p[0]) for p in parts]).tolist()
             return pa.RecordBatch.from_arrays(
                 [pa.array(chunks, pa.int64()), pa.array([block] * len(chunks), pa.int32()),
-                 pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary())], names=["chunk", "block", "levels"])
+                 pa.array([zlib.compress(data[a:b], 1) for a, b in zip([0, *ends], ends)], pa.binary())], names=["chunk", "block", "levels"])
 
         at, chunks, parts = None, [], []
         for batch in batches:
@@ -418,7 +418,7 @@ def score_chunks(chunks: DataFrame, whole: float) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def scored(chunk: _Chunk, row: int, levels: list[bytes]) -> pa.RecordBatch:
-            found = chunk.scores(np.frombuffer(b"".join(levels), dtype=np.uint8), whole)
+            found = chunk.scores(np.frombuffer(b"".join(map(zlib.decompress, levels)), dtype=np.uint8), whole)
             return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(found))), pa.array(found)], names=["row", "score"])
 
         chunk, row, levels = None, 0, []
@@ -469,7 +469,7 @@ def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD) -> Da
         facts = _TokenFacts(check, crc, known, whole)
         for batch in batches:
             at = 0
-            for docs in _numbered((t.as_py() for t in batch.column(3)), facts.vocabulary, COUNT_CHUNK):
+            for docs in _numbered((t.as_py() for t in batch.column(3)), facts.vocabulary, SCORE_CHUNK):
                 facts.learn()
                 flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
                 first = np.cumsum(sizes) - sizes
