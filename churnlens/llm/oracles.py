@@ -101,3 +101,89 @@ SELECT g.conv_id, g.n_turns, g.turns_sha256, length(g.target) AS loss_chars, sha
   CAST(g.chars + coalesce(extra.chars, 0) + coalesce(again.chars, 0) AS BIGINT) AS formatted_chars
 FROM g LEFT JOIN extra ON g.conv_id = extra.conv_id LEFT JOIN again ON g.conv_id = again.conv_id
 """
+
+SQL["op11_source_audit"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM p GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (
+  SELECT g.lang, g.source, kept.term, count(p.term) AS n FROM g JOIN kept ON g.lang = kept.lang
+  LEFT JOIN p ON p.lang = g.lang AND p.source = g.source AND p.term = kept.term GROUP BY g.lang, g.source, kept.term),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+s AS (
+  SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000::HUGEINT * (c.n + 5)) // (t.total + 5 * v.v) AS p,
+    1 + (1000000000::HUGEINT * (kept.n + 5)) // (v.total + 5 * v.v) AS q
+  FROM c JOIN t ON c.lang = t.lang AND c.source = t.source JOIN v ON c.lang = v.lang
+  JOIN kept ON c.lang = kept.lang AND c.term = kept.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM s WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+# all labelled documents are the target: the bound of the labelled ids is beyond these tables
+SQL["op12_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT row, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS trusted FROM d),
+h AS (
+  SELECT row, i, CAST('0x' || left(md5(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 8) AS BIGINT) AS h
+  FROM (SELECT row, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM w)),
+grams AS (
+  SELECT row, h % 65536 AS b FROM h
+  UNION ALL SELECT x.row, (31 * x.h + y.h + 1) % 65536 FROM h x JOIN h y ON x.row = y.row AND y.i = x.i + 1),
+bucket AS (SELECT b, count(*) AS raw, count(*) FILTER (trusted) AS target FROM grams JOIN w ON grams.row = w.row GROUP BY b),
+sums AS (SELECT sum(raw) AS raw, sum(target) AS target FROM bucket),
+weight AS (
+  SELECT b, CASE WHEN sums.target = 0 THEN 0 ELSE CAST(floor(1000 * ln((bucket.target + 1.0::DOUBLE) / (bucket.raw + 1.0::DOUBLE)
+    * ((sums.raw + 65536.0::DOUBLE) / (sums.target + 65536.0::DOUBLE)))) AS BIGINT) END AS x
+  FROM bucket, sums),
+llr AS (SELECT row, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS llr FROM grams JOIN weight ON grams.b = weight.b GROUP BY row),
+tri AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM (
+    SELECT row, w[i:i + 2] AS g, i FROM (SELECT row, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w))),
+rep AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS place FROM tri WHERE n > 1) GROUP BY row),
+lines AS (
+  SELECT row, count(*) - count(DISTINCT line) AS n FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+m AS (
+  SELECT w.row, doc_id, trusted, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, llr.llr
+  FROM w LEFT JOIN lines ON w.row = lines.row LEFT JOIN rep ON w.row = rep.row LEFT JOIN llr ON w.row = llr.row),
+least AS (
+  SELECT min(llr) FILTER (place > floor(0.001::DOUBLE * n)) - 60 AS least_llr
+  FROM (SELECT llr, row_number() OVER (ORDER BY llr) AS place, count(*) OVER () AS n FROM m WHERE trusted AND n_words >= 50))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (least_llr IS NULL OR coalesce(llr >= least_llr, false)) AS kept, llr, least_llr
+FROM m, least
+"""
+
+SQL["op13_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+f AS (SELECT lang, k, w[i:i + k - 1] AS g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+inner_ AS (SELECT lang, g[1:k - 1] AS g, f FROM f WHERE k > 2 UNION SELECT lang, g[2:k] AS g, f FROM f WHERE k > 2),
+c AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM inner_ WHERE inner_.lang = f.lang AND inner_.g = f.g AND inner_.f = f.f)),
+cuts AS (SELECT lang, g, f AS a, k, unnest(generate_series(1, k - 1)) AS j FROM c),
+s AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, total.n, (1000::HUGEINT * a * total.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = cuts.g[1:j] JOIN f y ON y.lang = cuts.lang AND y.g = cuts.g[j + 1:cuts.k]
+  JOIN total ON total.lang = cuts.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best)
+SELECT lang, rank, array_to_string(g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""

@@ -13,9 +13,12 @@ from .language_id import identify
 from .license_scan import scan_licences
 from .lm_score import score_texts
 from .oracles import SQL
+from .phrase_mining import collocations
 from .quality import score_quality
+from .quality_rules import apply_rules
 from .secret_scan import count_kind, find_secrets, span_list
 from .simhash_dedup import near_duplicates
+from .source_audit import audit_sources
 from .source_mix import label_domains, mix_rates
 
 QUERIES = {}
@@ -86,3 +89,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@_query
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))

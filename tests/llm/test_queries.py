@@ -10,7 +10,8 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op2_chat_format", "op7_decontaminate", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op2_chat_format", "op7_decontaminate", "op10_exact_dedup", "op11_source_audit", "op12_quality_rules",
+                                  "op13_collocations"])
 def test_query_matches_oracle(spark, name):
     from churnlens.llm.queries import ORACLES, QUERIES
     from oracle_harness import compare, duck
