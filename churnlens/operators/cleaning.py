@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import case_insensitive_lookup, require_columns
+from ..functions.columns import ColumnPlan
 
 
 def q(name: str):
@@ -35,13 +35,13 @@ def drop_all_null_columns(df: DataFrame) -> DataFrame:
 
 def complete_rows(df: DataFrame, subset: Iterable[str]) -> DataFrame:
     """Drop rows with a null in any of the present ``subset`` columns."""
-    cols = require_columns(df, subset)
+    cols = ColumnPlan(df).present(subset)
     return df.na.drop(how="any", subset=cols) if cols else df
 
 
 def complete_rows_ci(df: DataFrame, subset: Iterable[str]) -> DataFrame:
     """``complete_rows`` with case-insensitive column names."""
-    return complete_rows(df, list(case_insensitive_lookup(df, subset).values()))
+    return complete_rows(df, list(ColumnPlan(df).any_case(subset).values()))
 
 
 def drop_missing_both(df: DataFrame, pms: str = "Practice Management Software",
@@ -51,7 +51,7 @@ def drop_missing_both(df: DataFrame, pms: str = "Practice Management Software",
     ``null_as_text=True`` reproduces the original, where a null becomes the
     text 'nan' and therefore never counts as blank.
     """
-    have = require_columns(df, [pms, integrations])
+    have = ColumnPlan(df).present([pms, integrations])
     if not have:
         return df
 

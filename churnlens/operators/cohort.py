@@ -306,8 +306,8 @@ def cohort_filter(wide: DataFrame, retain_min: int = 12, churn_range: tuple[int,
                   since: str | None = "2024-01-01") -> DataFrame:
     """Retain rows with tenure > retain_min plus Churn rows with tenure in churn_range,
     started on/after ``since`` (unparseable dates drop out)."""
-    from ..functions.columns import case_insensitive_lookup
-    names = case_insensitive_lookup(wide, ["CHURN_OR_RETAIN", "LIFETIME_MONTHS", "FIRST_MRR_MONTH"])
+    from ..functions.columns import ColumnPlan
+    names = ColumnPlan(wide).any_case(["CHURN_OR_RETAIN", "LIFETIME_MONTHS", "FIRST_MRR_MONTH"])
     status, months = F.col(names["CHURN_OR_RETAIN"]), F.col(names["LIFETIME_MONTHS"])
     keep = (((status == X.RETAIN) & (months > retain_min))
             | ((status == X.CHURN) & months.between(*churn_range)))

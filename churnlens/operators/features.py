@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..functions.columns import DROP_COLUMNS, require_columns
+from ..functions.columns import DROP_COLUMNS, ColumnPlan
 from . import cleaning
 from .cleaning import q
 
@@ -83,7 +83,7 @@ def label_filter(df: DataFrame, churn_range: tuple[int, int] = (1, 6)) -> DataFr
 
 
 def first_month_cases(df: DataFrame, skip_null: bool = True):
-    weeks = require_columns(df, FIRST_WEEKS)
+    weeks = ColumnPlan(df).present(FIRST_WEEKS)
     if not weeks:
         return F.lit(None).cast("bigint")
     terms = [F.coalesce(q(w), F.lit(0)) if skip_null else q(w) for w in weeks]
@@ -115,7 +115,7 @@ def one_hot(df: DataFrame, cols: Sequence[str], levels: dict[str, list[str]] | N
             keep_source: bool = False) -> DataFrame:
     """Replace each column by ``<col>_<level>`` 0/1 columns (null -> all zeros), appended
     after the remaining columns; pass ``levels`` to reuse a fitted encoding."""
-    cols = require_columns(df, cols)
+    cols = ColumnPlan(df).present(cols)
     levels = levels if levels is not None else one_hot_levels(df, cols)
     keep = [q(c) for c in df.columns if keep_source or c not in cols]
     dummies = [F.coalesce((q(c).cast("string") == v).cast("tinyint"), F.lit(0).cast("tinyint"))
@@ -140,14 +140,14 @@ def engineer_features(df: DataFrame, churn_range: tuple[int, int] = (1, 6),
     df = single_location_filter(df)
     df = df.filter(q(STATUS).isin(X.RETAIN, X.CHURN))
     df = label_filter(df, churn_range)
-    drop = require_columns(df, DROP_COLUMNS)
+    drop = ColumnPlan(df).present(DROP_COLUMNS)
     if drop:
         df = df.drop(*drop)
     df = cleaning.complete_rows(df, ID_COLUMNS)
     if drop_empty_columns:
         df = cleaning.drop_all_null_columns(df)
     df = cleaning.complete_rows(df, WEEK_COLUMNS)
-    usage = require_columns(df, USAGE_COLUMNS)
+    usage = ColumnPlan(df).present(USAGE_COLUMNS)
     df = cleaning.complete_rows(df, usage)
     df = df.withColumns({f"{c} Activated": X.activation_flag(q(c)) for c in usage})
     df = cleaning.complete_rows(df, ["Core Industry", "Starting Bundle"]
@@ -165,7 +165,7 @@ def engineer_features(df: DataFrame, churn_range: tuple[int, int] = (1, 6),
         "First Month SWAT Cases": first_month_cases(df, skip_null_weeks),
         "PMS_Group": X.pms_group(lookup),
     }
-    derived.update({f"{c} Flag": X.positive_flag(q(c)) for c in require_columns(df, REASON_COLUMNS)})
+    derived.update({f"{c} Flag": X.positive_flag(q(c)) for c in ColumnPlan(df).present(REASON_COLUMNS)})
     enriched = df.withColumns(derived)
     # with_model=False: the caller writes the enriched rows first and derives the model rows from them
     return enriched, (model_frame(enriched, levels, keep_source) if with_model else None)
@@ -179,7 +179,7 @@ def model_frame(enriched: DataFrame, levels: dict[str, list[str]] | None = None,
 
 
 def available_features(df: DataFrame, wanted: Sequence[str] = MODEL_FEATURES) -> list[str]:
-    feats = require_columns(df, wanted)
+    feats = ColumnPlan(df).present(wanted)
     if not feats:
         raise ValueError("No model features found in the dataset after preprocessing.")
     return feats

@@ -4,8 +4,9 @@ calibration, threshold choice and scoring.
 Fitting statistics (medians, means, class counts) are one aggregate job each
 and return one row bounded by the number of features.  The model fits are
 MLlib estimators (tree-aggregated gradients / normal equations), so no row
-data is collected to the driver.  Scoring is a column expression over the
-fitted parameters and stays inside whole-stage codegen.
+data is collected to the driver.  The margin is a column expression over the
+fitted parameters and stays inside whole-stage codegen; the calibration map is
+a table that scores meet in a range join (``isotonic``).
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from fractions import Fraction
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cleaning import q
 from .evaluation import best_threshold, pr_table
+from .isotonic import IsotonicFit, fit_isotonic
 from .ranking import exact_quantiles, rank_within_groups
 
 SPLIT, LABEL, WEIGHT = "split", "churn_flag", "class_weight"
@@ -143,11 +145,9 @@ class ChurnModel:
     scaler: dict[str, tuple[float, float]]
     intercept: float
     coefficients: list[float]
-    boundaries: list[float] = field(default_factory=list)
-    predictions: list[float] = field(default_factory=list)
     threshold: float = 0.5
     weights: dict[int, float] = field(default_factory=dict)
-    iso: IsotonicRegressionModel | None = None
+    iso: IsotonicFit | None = None
 
     # -- column expressions -------------------------------------------------
     def prepared(self, c: str) -> Column:
@@ -166,25 +166,46 @@ class ChurnModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin()))
 
     def calibrate(self, df: DataFrame, margin: str = "_margin", out: str = "y_proba") -> DataFrame:
-        """Add the calibrated probability of the ``margin`` column.
-
-        The isotonic map is MLlib's model: knots travel with the task and each
-        row is a binary search (linear interpolation, clamped at both ends).
-        """
+        """Add the calibrated probability of the ``margin`` column."""
         if self.iso is None:
             return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(margin))))
-        return (self.iso.copy().setFeaturesCol(margin).setPredictionCol(out)
-                .transform(df))
+        return self.iso.transform(df, margin, out)
+
+
+def _score_equations(train: DataFrame, features: Sequence[str], label: str, weight: str | None, C: float,
+                     beta: np.ndarray, curvature: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Gradient, and on request the Hessian, of C * sum(w * loss) + |b|^2 / 2 at ``beta`` (intercept first): one aggregate."""
+    x = [F.lit(1.0), *[q(c).cast("double") for c in features]]
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-sum((F.lit(float(b)) * c for b, c in zip(beta[1:], x[1:])), F.lit(float(beta[0])))))
+    w = F.lit(float(C)) * (q(weight) if weight else F.lit(1.0))
+    rows = train.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], (w * (p - q(label))).alias("r"), (w * p * (1 - p)).alias("v"))
+    n = len(x)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)] if curvature else []
+    row = rows.agg(*[F.sum(F.col(f"x{i}") * F.col("r")) for i in range(n)],
+                   *[F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("v")) for i, j in pairs]).first()
+    penalty = np.array([0.0] + [1.0] * (n - 1))  # the intercept is free
+    gradient = np.array([float(v or 0.0) for v in row[:n]]) + penalty * beta
+    if not curvature:
+        return gradient, None
+    hessian = np.zeros((n, n))
+    for (i, j), v in zip(pairs, row[n:]):
+        hessian[i, j] = hessian[j, i] = float(v or 0.0)
+    return gradient, hessian + np.diag(penalty)
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str = LABEL,
                  weight: str | None = WEIGHT, C: float = 1.0, max_iter: int = 500,
-                 tol: float = 1e-8) -> tuple[float, list[float]]:
+                 tol: float = 1e-6, optimality: float = 1e-8, newton_steps: int = 20) -> tuple[float, list[float]]:
     """L2-penalised logistic regression with the objective C * sum(w * loss) + |b|^2 / 2.
 
     MLlib minimises sum(w * loss) / sum(w) + regParam * |b|^2 / 2, so the
     same optimum is reached with regParam = 1 / (C * sum(w)).  The inputs are
     already standardised, hence ``standardization=False``.
+
+    The fit is accepted by the gradient of the stated objective: no component may
+    exceed ``optimality * C * sum(w)``.  Where the quasi-Newton search stops short
+    of that, Newton steps (one aggregate each) finish it; a fit that still falls
+    short raises.
     """
     vec = VectorAssembler(inputCols=list(features), outputCol="_features").transform(train)
     total_w = (vec.agg(F.sum(q(weight))).first()[0] if weight else vec.count())
@@ -194,15 +215,18 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str = LABEL,
     if weight:
         lr = lr.setWeightCol(weight)
     model = lr.fit(vec.select("_features", label, *([weight] if weight else [])))
-    return float(model.intercept), [float(v) for v in model.coefficients.toArray()]
-
-
-def fit_isotonic(scored_val: DataFrame, margin: str = "_margin", label: str = LABEL
-                 ) -> IsotonicRegressionModel:
-    """Isotonic (increasing) regression of the label on the margin (PAV in MLlib)."""
-    iso = IsotonicRegression(featuresCol=margin, labelCol=label, isotonic=True)
-    return iso.fit(scored_val.select(F.col(margin).cast("double").alias(margin),
-                                     q(label).cast("double").alias(label)))
+    beta = np.array([model.intercept, *model.coefficients.toArray()])
+    enough = optimality * C * float(total_w)
+    gradient, _ = _score_equations(train, features, label, weight, C, beta)
+    for _ in range(newton_steps):
+        if np.abs(gradient).max() <= enough:
+            break
+        gradient, hessian = _score_equations(train, features, label, weight, C, beta, curvature=True)
+        beta = beta - np.linalg.solve(hessian, gradient)
+        gradient, _ = _score_equations(train, features, label, weight, C, beta)
+    if not np.abs(gradient).max() <= enough:
+        raise ValueError(f"the logistic fit did not converge: a score equation is {np.abs(gradient).max():.3g}, allowed {enough:.3g}")
+    return float(beta[0]), [float(b) for b in beta[1:]]
 
 
 def train_churn_model(model_rows: DataFrame, features: Sequence[str], label: str = LABEL,
@@ -235,8 +259,6 @@ def train_churn_model(model_rows: DataFrame, features: Sequence[str], label: str
                                                           model.margin().alias("_margin"))
     if calibrate:
         model.iso = fit_isotonic(val, "_margin", label)
-        model.boundaries = [float(v) for v in model.iso.boundaries.toArray()]
-        model.predictions = [float(v) for v in model.iso.predictions.toArray()]
     val_scored = model.calibrate(val, "_margin", "score")
     best = best_threshold(pr_table(val_scored, label, "score"), threshold_rule).first()
     model.threshold = float(best["threshold"]) if best is not None else 0.5
@@ -296,7 +318,7 @@ def business_risk_index(df: DataFrame, proba: str = "y_proba") -> Column:
 
 # --------------------------------------------------------------------------- persistence
 def save_model(model: ChurnModel, path: str) -> None:
-    """Parameters as one JSON row (parquet) plus the MLlib isotonic model, under ``path``."""
+    """Parameters as one JSON row (parquet) plus the calibration table, under ``path``."""
     import json
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
@@ -319,7 +341,5 @@ def load_model(path: str) -> ChurnModel:
                    p["intercept"], p["coefficients"], threshold=p["threshold"],
                    weights={int(k): v for k, v in p["weights"].items()})
     if p["calibrated"]:
-        m.iso = IsotonicRegressionModel.load(f"{path}/isotonic")
-        m.boundaries = [float(v) for v in m.iso.boundaries.toArray()]
-        m.predictions = [float(v) for v in m.iso.predictions.toArray()]
+        m.iso = IsotonicFit.load(f"{path}/isotonic")
     return m

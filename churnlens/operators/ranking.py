@@ -125,6 +125,32 @@ def rank_within_groups(df: DataFrame, group: str, order: Sequence[Column], rank_
             .drop(_PID, _MID, _OFF, "_first"))
 
 
+def latest_mark(rows: DataFrame, key: Column, marks: DataFrame, at: str, take: Sequence[str], out: str,
+                num_partitions: int | None = None) -> DataFrame:
+    """``rows`` with the struct ``out``: columns ``take`` of the last mark whose ``at`` is not above ``key`` (null: none is).
+
+    A range join without comparing rows with ranges: rows and marks are put in
+    one order, cut into ranges (equal keys split by a running number, so a hot
+    key is many tasks' work) and written once; a row takes the last mark before
+    it in its partition, or else the last mark of the partitions before.  Marks
+    must have distinct ``at``; rows with a null key get null.
+    """
+    mark = F.struct(*[F.col(c) for c in take])
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    none = lambda c, df: F.lit(None).cast(df.select(c.alias("c")).schema["c"].dataType)
+    both = (marks.select(F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"), mark.alias("_mark"), none(row, rows).alias("_row"))
+            .unionByName(rows.select(key.alias("_at"), F.lit(1).alias("_kind"), F.monotonically_increasing_id().alias("_tie"),
+                                     none(mark, marks).alias("_mark"), row.alias("_row"))))
+    ranged = _ranged(both, [F.col("_at"), F.col("_kind"), F.col("_tie")], num_partitions)
+    last = ranged.where("_kind = 0").groupBy(_PID).agg(F.max_by("_mark", _MID).alias("_end"))
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    carried = ranged.groupBy(_PID).agg(F.lit(1)).select(_PID).join(last, _PID, "left").select(_PID, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = ranged.join(F.broadcast(carried), _PID).withColumn(out, F.coalesce(F.last("_mark", ignorenulls=True).over(inside), F.col("_carried")))
+    found = found.where("_kind = 1").withColumn(out, F.when(F.col("_at").isNotNull(), F.col(out)))
+    return found.select("_row.*", out)
+
+
 def exact_quantiles(df: DataFrame, col: Column, qs: Sequence[float],
                     num_partitions: int | None = None) -> list[float | None]:
     """Exact quantiles with linear interpolation (like ``percentile`` / ``quantile_cont``).

@@ -1,17 +1,8 @@
 """SMOTE oversampling of the minority class, exact and distributed.
 
 k nearest neighbours are searched among the *distinct* minority feature vectors
-(with multiplicities), so duplicates cost nothing.  The search is exact and works
-in blocks, without a bound on the number of vectors:
-
-1. Vectors are ordered by their projection on a unit vector and cut into blocks
-   of ``block`` rows (range-partitioned rank).  A projection never exceeds a
-   distance, so vectors outside a window of blocks are at least as far as the
-   window's edge.
-2. In each round the vectors still open compare with ``2 * reach + 1`` blocks,
-   one (block, block) pair per task group, and keep their k best.
-3. A vector whose k-th distance is within the window's edge is done; the others
-   go on with four times the reach.
+(with multiplicities), so duplicates cost nothing.  The search is exact and prunes
+by a metric partition (``neighbours``), without a bound on the number of vectors.
 
 Synthetic rows come from ``explode(sequence)`` per minority row: how many per row
 from a range-partitioned rank of a seeded hash (exact total), which neighbour and
@@ -23,13 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .cleaning import q
+from .neighbours import BLOCK, nearest_neighbours
 from .ranking import global_rank
 
 _TWO63 = 9223372036854775808.0
@@ -44,72 +34,8 @@ def _unit(*cols) -> F.Column:
     return (F.abs(F.xxhash64(*cols).cast("double")) / F.lit(_TWO63))
 
 
-def _block_best(k: int):
-    """Per (block, block) group: the k nearest candidates of each query, counting multiplicities."""
-    def best(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            return pd.DataFrame({"_vk": [], "_d": [], "_nvk": [], "_avail": []})
-        a, b = np.stack(queries["_x"].to_numpy()), np.stack(candidates["_cx"].to_numpy())
-        keys, mult = candidates["_cvk"].to_numpy(), candidates["_mult"].to_numpy()
-        parts = []
-        for vk, x in zip(queries["_vk"], a):
-            d = np.sqrt(((b - x) ** 2).sum(axis=1))
-            avail = np.where(keys == vk, mult - 1, mult)  # a row is not its own neighbour
-            order = np.lexsort((keys, d))
-            order = order[avail[order] > 0]
-            need = int(np.searchsorted(np.cumsum(avail[order]), k)) + 1
-            order = order[:need]
-            parts.append(pd.DataFrame({"_vk": vk, "_d": d[order], "_nvk": keys[order], "_avail": avail[order]}))
-        return pd.concat(parts)
-    return best
-
-
-def nearest_neighbours(vecs: DataFrame, features: Sequence[str], k: int, block: int = 512) -> DataFrame:
-    """(_vk, _nr, _nvk): the k nearest neighbours, with multiplicity, of every distinct vector.
-
-    ``vecs`` has _vk, _mult and the features; together the multiplicities must
-    exceed k.  Ties go to the smaller vector key.
-    """
-    spread = vecs.agg(*[F.coalesce(F.stddev_pop(q(c)), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(features)]).first()
-    axis = np.array([spread[f"s{i}"] for i in range(len(features))])
-    axis = axis / np.linalg.norm(axis) if axis.any() else np.ones(len(features)) / np.sqrt(len(features))
-    along = sum((F.lit(float(w)) * q(c) for w, c in zip(axis, features)), F.lit(0.0))
-    narrow = vecs.select("_vk", "_mult", F.array(*[q(c) for c in features]).alias("_x"), along.alias("_along"))
-    ranked = global_rank(narrow, [F.col("_along"), F.col("_vk")], "_pos")
-    rows = cut_lineage(ranked.withColumn("_block", F.floor((F.col("_pos") - 1) / block)).drop("_pos"))
-    edges = cut_lineage(rows.groupBy("_block").agg(F.min("_along").alias("_lo"), F.max("_along").alias("_hi")))
-    last = rows.agg(F.max("_block")).first()[0]
-    open_rows, done, reach = rows, None, 1
-    while True:
-        targets = F.explode(F.sequence(F.greatest(F.col("_block") - reach, F.lit(0)), F.least(F.col("_block") + reach, F.lit(last))))
-        pairs = open_rows.select("_vk", "_x", "_block", targets.alias("_other"))
-        wanted = pairs.select("_block", "_other").distinct()
-        offered = rows.select(F.col("_vk").alias("_cvk"), F.col("_x").alias("_cx"), "_mult", F.col("_block").alias("_other")
-                              ).join(wanted, "_other").withColumnsRenamed({"_block": "_cblock", "_other": "_cother"})
-        found = pairs.groupBy("_block", "_other").cogroup(offered.groupBy("_cblock", "_cother")).applyInPandas(
-            _block_best(k), "_vk string, _d double, _nvk string, _avail long")
-        # at most k entries for each block compared
-        nearest = found.groupBy("_vk").agg(F.array_sort(F.collect_list(F.struct("_d", "_nvk", "_avail"))).alias("_all"))
-        repeated = F.flatten(F.transform("_all", lambda s: F.array_repeat(F.struct(s["_d"], s["_nvk"]), F.least(s["_avail"], F.lit(k)).cast("int"))))
-        nearest = nearest.select("_vk", F.slice(repeated, 1, k).alias("_near"))
-        below, above = (edges.select((F.col("_block") + s * (reach + 1)).alias("_block"), F.col(c).alias(c)) for s, c in ((1, "_hi"), (-1, "_lo")))
-        state = (open_rows.join(nearest, "_vk", "left").join(below, "_block", "left").join(above, "_block", "left")
-                 .withColumn("_gap", F.least(F.coalesce(F.col("_along") - F.col("_hi"), F.lit(float("inf"))),
-                                             F.coalesce(F.col("_lo") - F.col("_along"), F.lit(float("inf"))))))
-        settled = (F.size("_near") == k) & (F.element_at("_near", -1)["_d"] < F.col("_gap"))
-        whole = reach >= last
-        state = cut_lineage(state.withColumn("_done", F.lit(True) if whole else F.coalesce(settled, F.lit(False))))
-        part = state.where("_done").select("_vk", F.posexplode("_near").alias("_nr", "_n")).select(
-            "_vk", (F.col("_nr") + 1).alias("_nr"), F.col("_n._nvk").alias("_nvk"))
-        done = part if done is None else done.unionByName(part)
-        open_rows = state.where(~F.col("_done")).select(*rows.columns)
-        if whole or open_rows.isEmpty():
-            return done
-        reach *= 4
-
-
 def smote(df: DataFrame, features: Sequence[str], label: str, key: str = "row_id", k: int = 5,
-          seed: int = 42, block: int = 512, trace: bool = False) -> DataFrame:
+          seed: int = 42, block: int = BLOCK, trace: bool = False) -> DataFrame:
     """Return ``df`` plus synthetic minority rows (``synthetic`` = 1) until the classes balance.
 
     Features must be imputed (no nulls).  Synthetic rows get key

@@ -168,7 +168,7 @@ def q_isotonic_calibration(spark, sf_dir):
     rows = label_rows(spark, sf_dir)
     model = remembered(spark, sf_dir, "label_isotonic", lambda: MO.fit_isotonic(rows, "word_length", "y"))
     scores = rows.select("word_length").distinct()
-    out = model.copy().setFeaturesCol("word_length").setPredictionCol("calibrated").transform(scores)
+    out = model.transform(scores, "word_length", "calibrated")
     return out.select(F.round("word_length", 9).alias("score"), F.round("calibrated", 9).alias("calibrated"))
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..functions.columns import standardise_columns
+from ..functions.columns import COLUMN_ALIASES, DROP_COLUMNS, USAGE_TAG, ColumnPlan, standardise_columns
 from ..operators import evaluation as EV
 from ..operators import features as FE
 from ..operators import inference as INF
 from ..operators import modeling as MO
 from ..operators.cleaning import q
 from ..operators.ranking import global_rank
+from ..sources.testdata import read_table
 from .oracle_cohort import stage1
 from .oracle_model import FEATURE_SQL, coefficient_score_sql, risk_sql, stage2
 from .queries_cohort import cohort_frame
@@ -50,7 +51,7 @@ def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _, model = enriched_and_model(spark, sf_dir)
         feats = FE.available_features(model)
         extra = [c for c in ACTIVATED if c not in feats and c in model.columns]
-        ids = FE.require_columns(model, FE.ID_CANDIDATES)[:1]  # first present id column
+        ids = ColumnPlan(model).present(FE.ID_CANDIDATES)[:1]  # first present id column
         out = model.select(
             FE.ROW_ID, *[q(c) for c in ids],
             *[X.finite_or_null(q(f)).alias(f) for f in feats], *[q(c) for c in extra],
@@ -97,6 +98,21 @@ def q_standardise_columns(spark, sf_dir):
     return std.select(*[q(c) for c in _STD_PICK])
 
 
+@register("tagged_columns", """
+SELECT c_custkey AS "Finance Id", c_name AS "Location Name", CAST(c_acctbal AS DOUBLE) AS "Inbound Sms Count", c_mktsegment AS filters,
+       CAST(11 AS INTEGER) AS n_dropped, CAST(34 AS INTEGER) AS n_absent
+FROM customer""")
+def q_tagged_columns(spark, sf_dir):
+    """An export with alias names, a tagged name and every unwanted column: names settled, the eleven gone, the absent counted."""
+    c = read_table(spark, sf_dir, "customer")
+    raw = c.select(F.col("c_custkey").alias("FINANCE_ID"), F.col("c_name").alias("LOCATION_NAME"),
+                   F.col("c_acctbal").cast("double").alias(f"Inbound  Sms {USAGE_TAG} Count"), F.col("c_mktsegment").alias("filters"),
+                   *[F.col("c_nationkey").alias(n) for n in DROP_COLUMNS])
+    plan = ColumnPlan(raw, COLUMN_ALIASES, USAGE_TAG, DROP_COLUMNS)
+    gone = len(raw.columns) - len(plan.renames())
+    return plan.apply(raw).select("*", F.lit(gone).alias("n_dropped"), F.lit(len(plan.absent())).alias("n_absent"))
+
+
 @register("feature_rows", stage2("""
 SELECT row_id, CHURN_OR_RETAIN AS "Churn or Retain", LIFETIME_MONTHS AS "lifetime in Month",
        bundle_type AS "BundleType", pms_group AS "PMS_Group",
@@ -486,7 +502,7 @@ def with_enriched(spark, sf_dir, scored: DataFrame) -> DataFrame:
     Score columns that an enriched column shares a name with win.
     """
     enriched, _ = enriched_and_model(spark, sf_dir)
-    ids = FE.require_columns(enriched, FE.ID_CANDIDATES)[:1]
+    ids = ColumnPlan(enriched).present(FE.ID_CANDIDATES)[:1]
     taken = {FE.ROW_ID, *scored.columns, *ids}
     rest = [c for c in enriched.columns if c not in taken]
     out = scored.join(enriched.select(FE.ROW_ID, *[q(c) for c in [*ids, *rest]]), FE.ROW_ID)
@@ -534,7 +550,7 @@ def q_scored_rows_enriched(spark, sf_dir):
 def q_scored_rows_consistency(spark, sf_dir):
     """The fitted numbers against a second way to them.
 
-    Probabilities: the isotonic knots searched in SQL over the margin, itself
+    Probabilities: MLlib's isotonic regression over the margin, itself
     recomputed from the coefficients and the raw features.  Labels: the stored
     probability against the F1-optimal threshold of the recomputed validation
     scores.  Risk: the factors applied one by one.  Ranks: a permutation whose
@@ -545,13 +561,10 @@ def q_scored_rows_consistency(spark, sf_dir):
     for c, b in zip(feats, model.coefficients):
         mean, std = model.scaler[c]
         z = z + (F.coalesce(q(c).cast("double"), F.lit(model.medians[c])) - mean) * (b / std)
-    knots = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(p).alias("p")) for x, p in zip(model.boundaries, model.predictions)])
-    below, above = F.filter("knots", lambda k: k["x"] <= F.col("z")), F.filter("knots", lambda k: k["x"] >= F.col("z"))
-    lo, hi = F.element_at(below, -1), F.element_at(above, 1)
-    step = F.when(hi["x"] > lo["x"], (F.col("z") - lo["x"]) / (hi["x"] - lo["x"])).otherwise(0.0)
-    p = (F.when(F.size(below) == 0, F.element_at("knots", 1)["p"]).when(F.size(above) == 0, F.element_at("knots", -1)["p"])
-         .otherwise(lo["p"] + step * (hi["p"] - lo["p"])))
-    own = m.withColumn("z", z).withColumn("knots", knots).withColumn("p", p)
+    own = m.withColumn("z", z)
+    val = own.filter(F.col("split") == "val").select("z", F.col(FE.LABEL).cast("double").alias("y"))
+    other = IsotonicRegression(featuresCol="z", labelCol="y", predictionCol="p").fit(val)
+    own = other.transform(own)
     cut = EV.best_threshold(EV.pr_table(own.filter(F.col("split") == "val").select(FE.LABEL, "p"), FE.LABEL, "p")).first()["threshold"]
     risk = F.col("p")
     for c, k in MO.RISK_MULTIPLIERS:
@@ -644,7 +657,7 @@ def q_score_new_period(spark, sf_dir):
 
     def fit():
         before, _ = period_rows(spark, sf_dir)
-        levels = FE.one_hot_levels(before, FE.require_columns(before, FE.DUMMY_COLUMNS))
+        levels = FE.one_hot_levels(before, ColumnPlan(before).present(FE.DUMMY_COLUMNS))
         rows = FE.model_frame(before, levels)
         feats = FE.available_features(rows)
         model = MO.train_churn_model(MO.stratified_split(rows.select(FE.ROW_ID, FE.LABEL, *[X.finite_or_null(q(f)).alias(f) for f in feats])), feats)

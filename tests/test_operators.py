@@ -3,10 +3,11 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from churnlens.functions import expressions as X
-from churnlens.functions.columns import case_insensitive_lookup, standardise_columns, strip_tag
+from churnlens.functions.columns import ColumnPlan, standardise_columns
 from churnlens.operators import cleaning, evaluation as EV, features as FE, modeling as MO, reports as RP
 from churnlens.operators.ranking import global_rank, prefix_sums, rank_within_groups, top_n_per_group
 
@@ -79,12 +80,17 @@ def test_drop_missing_both_intent_and_parity(spark):
 def test_standardise_columns_alias_and_tag(spark):
     df = spark.createDataFrame([(1, 2)], "LOCATION_ID INT, `Inbound  Sms (LOCATION_FEATURE_ACCESS_AND_USAGE_BY_MONTH)` INT")
     assert standardise_columns(df).columns == ["Location Id", "Inbound Sms"]
-    assert strip_tag("A (LOCATION_FEATURE_ACCESS_AND_USAGE_BY_MONTH)  B") == "A B"
+    plan = ColumnPlan(df, {"LOCATION_ID": "Location Id", "NOT_THERE": "x"}, "(T)", ["filter", "Location Id"])
+    assert plan.output_name("A (T)  B") == "A B" and plan.output_name("A  B") == "A  B"
+    assert list(plan.renames()) == [df.columns[1]] and plan.absent() == ["NOT_THERE", "filter", "Location Id"]
 
 
-def test_case_insensitive_lookup_rejects_ambiguous(spark):
-    df = spark.createDataFrame([(1,)], "Slug INT")
-    assert case_insensitive_lookup(df, ["SLUG"]) == {"SLUG": "Slug"}
+def test_column_plan_lookup_ignores_case_and_rejects_ambiguous(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "Slug INT, a INT, A INT")
+    assert ColumnPlan(df).any_case(["SLUG", "none"]) == {"SLUG": "Slug"}
+    assert ColumnPlan(df).present(["a", "slug", "Slug"]) == ["a", "Slug"] and ColumnPlan(df).absent(["slug", "A"]) == ["slug"]
+    with pytest.raises(ValueError, match="'a' could be any of"):
+        ColumnPlan(df).any_case(["a"])
 
 
 def test_one_hot_keeps_all_levels_null_all_zero(spark):
@@ -373,7 +379,8 @@ def test_embedding_dims_norm_and_cluster_relabel(spark):
 
 
 def test_smote_blocks_agree_with_one_block(spark):
-    from churnlens.operators.smote import _vector_key, nearest_neighbours
+    from churnlens.operators.neighbours import nearest_neighbours
+    from churnlens.operators.smote import _vector_key
     rnd = random.Random(5)
     rows = [(float(rnd.randint(0, 6)), rnd.random() * 3, float(rnd.randint(0, 1))) for _ in range(150)]
     df = spark.createDataFrame(rows, "a DOUBLE, b DOUBLE, c DOUBLE")
@@ -424,7 +431,6 @@ def test_saved_model_keeps_or_lacks_calibration(spark, tmp_path):
 
 
 def test_empty_reasons_and_bom_csv(spark, tmp_path):
-    import pytest
     from churnlens.operators.segments import segment_input
     from churnlens.sources.files import read_csv
     df = spark.createDataFrame([("r1", "  "), ("r2", None)], "row_id STRING, SWAT_CANCEL_SUMMARY STRING")
@@ -481,3 +487,27 @@ def test_wide_row_keeps_duplicate_accounts_and_two_lost_months(spark):
     ids = [r["row_id"] for r in FE.add_row_id(wide, ["LOCATION_ID", "CHURN_MONTH", "STARTING_BUNDLE", "END_BUNDLE", "SWAT_CASE_ID",
                                                       "FIRST_USAGE_REPORT_MONTH"]).collect()]
     assert len(set(ids)) == 8
+
+
+def _logit_rows(spark, n=400):
+    rng = random.Random(4)
+    xs = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(n)]
+    return spark.createDataFrame([(a, b, int(rng.random() < 1 / (1 + math.exp(-a - 0.5 * b))), 1.0 + (i % 3)) for i, (a, b) in enumerate(xs)],
+                                 "a DOUBLE, b DOUBLE, churn_flag INT, class_weight DOUBLE")
+
+
+def test_logistic_fit_is_finished_to_its_optimum(spark):
+    """A search that stops after two steps is completed; the score equations hold whatever MLlib did."""
+    import numpy as np
+    rows = _logit_rows(spark)
+    early = MO.fit_logistic(rows, ["a", "b"], max_iter=2)
+    late = MO.fit_logistic(rows, ["a", "b"])
+    for got in (early, late):
+        g, _ = MO._score_equations(rows, ["a", "b"], "churn_flag", "class_weight", 1.0, np.array([got[0], *got[1]]))
+        assert np.abs(g).max() < 1e-8 * 800
+    assert np.allclose([early[0], *early[1]], [late[0], *late[1]], atol=1e-7)
+
+
+def test_logistic_fit_that_falls_short_raises(spark):
+    with pytest.raises(ValueError, match="did not converge"):
+        MO.fit_logistic(_logit_rows(spark), ["a", "b"], max_iter=1, newton_steps=0)
