@@ -42,7 +42,7 @@ from ..session import cut_lineage
 MIN_COUNT, MOST_WORDS, TOP = 100, 5, 2000
 SHARE, SLACK = 8, 2.4  # one document in SHARE; standard deviations below the expected count
 MOST_SLOTS, BITS_A_PHRASE = 1 << 22, 16
-_CHUNK = 1 << 21  # words that are counted at once
+_CHUNK = 1 << 19  # words that are counted at once
 # fixed values: A-Z to a-z, tab to space, every character that ends a piece to a line feed
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 
