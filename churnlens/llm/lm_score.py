@@ -1,19 +1,25 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Model.  n-grams (one and two tokens) are counted over all training texts under
+Model.  n-grams (one and two tokens) are counted once over all training texts under
 48-bit hashes.  An n-gram of count c enters the filter with its levels
 0 .. floor(log2 c); a lookup probes level 0, 1, ... until a probe misses, and the
-levels that were there give the quantised count.  The filter is dealt into
-``BLOCKS`` blocks by hash, and every block is as large as its own levels need:
-all n-grams of all training texts are in the model, whatever the input's size.
-Texts go in chunks of about ``SCORE_CHUNK`` tokens; a chunk sends its distinct
-n-grams to their blocks once, with their training counts, and the levels come
-back to the chunk.  No task holds more than a block or a chunk, and nothing of
-the filter reaches the driver.  Bigram estimates are interpolated with add-half
-unigram estimates.
+levels that were there give the quantised count.  Bigram estimates are interpolated
+with add-half unigram estimates.
+
+The filter is a table of packed blocks.  An n-gram's block follows from its hash;
+the number of blocks grows with the training tokens, and a block has
+``BITS_PER_LEVEL`` bits for each level of each of its n-grams: whatever the input's
+size, no n-gram is left out and the rate of false levels stays the same.
+Scoring takes one of two ways to the same bits, by the filter's size:
+* up to ``FILTER_BYTES`` the packed filter is broadcast, and a task probes it for
+  the n-grams of its texts;
+* beyond, chunks of about ``SCORE_CHUNK`` tokens send the hashes of their distinct
+  n-grams to the blocks in a shuffle, the blocks are probed where they are, and the
+  levels come back to the chunk.  No task holds more than a block or a chunk.
 
 Base.  The add-half unigram score uses exact counts: the ``HEAD`` most frequent
-tokens at most go to every task, the others meet their counts in a join.
+tokens at most (and at most ``HEAD_BYTES`` of them) go to every task, the others
+meet their counts in a join.
 
 A text's tokens are its runs of characters other than white space, A-Z in lower
 case, and one end token.  Null texts are empty and have the end token only.  Rows
@@ -27,6 +33,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
@@ -40,13 +47,13 @@ from ..session import cut_lineage
 from .common import fold, keyed
 
 END = b"\n"  # no word has white space
-BLOCK_BITS = 16  # at least
-BLOCKS = 1 << 12
-FILTER_BITS = BLOCKS << BLOCK_BITS  # of ``build_filter``
+KEY_BITS = 48
+BLOCK_TOKENS, LEAST_BLOCKS, MOST_BLOCKS = 1 << 18, 1 << 6, 1 << 24
+FILTER_BYTES = 1 << 26
 PROBES = 3
 BITS_PER_LEVEL = 8
 LEVELS = 40
-HEAD = 1 << 20
+HEAD, HEAD_BYTES = 1 << 20, 1 << 25
 VOCABULARY = 1 << 18  # tokens a task remembers between documents
 COUNT_CHUNK = 1 << 20  # tokens counted at a time
 SCORE_CHUNK = 1 << 19  # tokens of a chunk
@@ -123,35 +130,79 @@ def count_tokens(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _packed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted keys with counts as (block, keys, counts) rows; 6 bytes a key, 4 bytes a count."""
-    block = (keys >> _U(36)).astype(np.int32)
+def block_number(tokens: int) -> int:
+    """How many blocks (a power of two) the n-grams of so many training tokens are dealt into."""
+    return min(max(1 << max(0, int(tokens) // BLOCK_TOKENS).bit_length(), LEAST_BLOCKS), MOST_BLOCKS)
+
+
+def _shift(blocks: int) -> int:
+    return KEY_BITS - (blocks.bit_length() - 1)
+
+
+def _width(blocks: int) -> int:
+    """Bytes of a key within its block."""
+    return (_shift(blocks) + 7) // 8
+
+
+def _low_bytes(low: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(low.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _from_low_bytes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _by_block(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, list[tuple[int, int]], list[bytes]]:
+    """Sorted keys as block numbers, their places among the keys, and their packed keys."""
+    block = (keys >> _U(_shift(blocks))).astype(np.int32)
     edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-    low = (keys & _U((1 << 36) - 1))
-    parts = np.empty((len(keys), 5), dtype=np.uint8)
-    for i in range(5):
-        parts[:, i] = (low >> _U(8 * i)).astype(np.uint8)
-    data, size = parts.tobytes(), np.minimum(n, 0xFFFFFFFF).astype("<u4")
-    few = size.max() < 256
-    size = size.astype(np.uint8) if few else size
-    rows = list(zip(edges[:-1], edges[1:]))
-    yield pa.RecordBatch.from_arrays([
-        pa.array(block[edges[:-1]]), pa.array([data[5 * a:5 * b] for a, b in rows], pa.binary()),
-        pa.array([size[a:b].tobytes() for a, b in rows], pa.binary())], names=["block", "keys", "counts"])
-
-
-def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The lower 36 bits of the keys, and the counts."""
-    parts = np.frombuffer(keys, dtype=np.uint8).reshape(-1, 5)
-    low = np.zeros(len(parts), dtype=np.uint64)
-    for i in range(5):
-        low |= parts[:, i].astype(np.uint64) << _U(8 * i)
-    kind = np.uint8 if len(counts) == len(parts) else np.dtype("<u4")
-    return low, np.frombuffer(counts, dtype=kind).astype(np.int64)
-
-
-def count_ngrams(training: DataFrame) -> DataFrame:
-    """(block, keys, levels, histogram): one row a block; level = floor(log2 count) of each n-gram."""
+    low = _low_bytes(keys & _U((1 << _shift(blocks)) - 1), _width(blocks))
+    places = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    return block[edges[:-1]], places, [low[a:b].tobytes() for a, b in places]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows in lists of equal first column (neighbours)."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != held[0][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _places(low: np.ndarray, level: int, bits: np.ndarray | int) -> list[np.ndarray]:
+    """The bits of a level within a block of ``bits`` bits (fewer than 2^32)."""
+    x = _mix(low * _U(0x9E3779B97F4A7C15) + _U((level + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
+    first, step, half = x >> _U(32), (x & _U(0xFFFFFFFF)) | _U(1), _U(0xFFFFFFFF)
+    size = np.asarray(bits).astype(np.uint64)
+    return [((((first + _U(i) * step) & half) * size) >> _U(32)).astype(np.int64) for i in range(PROBES)]
+
+
+def _levels_of(n: np.ndarray) -> np.ndarray:
+    """The number of levels of each count: 1 + floor(log2 count)."""
+    return np.minimum(np.log2(n).astype(np.int64), LEVELS - 1) + 1
+
+
+def filled_block(low: np.ndarray, n: np.ndarray) -> bytes:
+    """The packed bits of a block that holds distinct keys with counts ``n``."""
+    top = _levels_of(n)
+    size = -(-int(top.sum()) * BITS_PER_LEVEL // 64) * 64
+    bits = np.zeros(size, dtype=bool)
+    for level in range(int(top.max(initial=0))):
+        for place in _places(low[top > level], level, size):
+            bits[place] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def build_blocks(training: DataFrame, blocks: int) -> DataFrame:
+    """The filter: (block, bits) of every block that has n-grams."""
+    width = _width(blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
@@ -165,71 +216,55 @@ def count_ngrams(training: DataFrame) -> DataFrame:
             double, n2 = np.unique(np.concatenate(found), return_counts=True)
             keys, n = np.concatenate((unigram_keys(h[single]), double)), np.concatenate((n1, n2))
             order = np.argsort(keys, kind="stable")
-            yield from _packed(keys[order], n[order])
+            block, places, low = _by_block(keys[order], blocks)
+            size = n[order].astype("<u4")
+            counts = [(size[a:b].astype(np.uint8) if size[a:b].max() < 256 else size[a:b]).tobytes() for a, b in places]
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(low, pa.binary()), pa.array(counts, pa.binary())], names=["block", "keys", "counts"])
             vocabulary.clear()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(block: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            low, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(where, weights=np.concatenate([p[1] for p in parts]))
-            level = np.minimum(np.log2(n).astype(np.uint8), LEVELS - 1)
-            data = np.stack([(low >> _U(8 * i)).astype(np.uint8) for i in range(5)], axis=1).tobytes()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int32()), pa.array([data], pa.binary()), pa.array([level.tobytes()], pa.binary()),
-                 pa.array([np.bincount(level, minlength=LEVELS).tolist()], pa.list_(pa.int64()))],
-                names=["block", "keys", "levels", "histogram"])
-
-        at, parts = None, []
-        for batch in batches:
-            for block, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if block != at and parts:
-                    yield merged(at, parts)
-                    parts = []
-                at = block
-                parts.append(_unpacked(keys, counts))
-        if parts:
-            yield merged(at, parts)
+        for rows in _runs(batches):
+            low, where = np.unique(_from_low_bytes(b"".join(r[1] for r in rows), width), return_inverse=True)
+            counts = [np.frombuffer(c, dtype=np.uint8 if len(c) * width == len(k) else np.dtype("<u4")) for _, k, c in rows]
+            n = np.bincount(where, weights=np.concatenate(counts))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int32()), pa.array([filled_block(low, n)], pa.binary())], names=["block", "bits"])
 
     return (training.select("text").mapInArrow(count, "block int, keys binary, counts binary")
-            .repartition("block").sortWithinPartitions("block")
-            .mapInArrow(merge, "block int, keys binary, levels binary, histogram array<long>"))
-
-
-def _places(low: np.ndarray, level: int, bits: int = BLOCK_BITS) -> list[np.ndarray]:
-    """The bits of a level within its block of 2^``bits`` bits (at most 2^32)."""
-    x = _mix(low * _U(0x9E3779B97F4A7C15) + _U((level + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
-    step = (x >> _U(32)) | _U(1)
-    return [((x + _U(i) * step) & _U((1 << bits) - 1)).astype(np.int64) for i in range(PROBES)]
-
-
-def block_bits(events: int) -> int:
-    """log2 of a block's size: BITS_PER_LEVEL bits at least for each level of each of its n-grams."""
-    return max(BLOCK_BITS, (int(events) * BITS_PER_LEVEL - 1).bit_length())
-
-
-def _levels_of(n: np.ndarray) -> np.ndarray:
-    """The number of levels of each count: 0 for none, else 1 + floor(log2 count)."""
-    return np.where(n > 0, np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), LEVELS - 1) + 1, 0)
-
-
-def filtered_levels(low: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Fill a block's filter with distinct keys of counts ``n``, and the levels it then gives for each of them."""
-    top = _levels_of(n)
-    size = block_bits(top.sum())
-    bits = np.zeros(1 << size, dtype=bool)
-    for level in range(int(top.max(initial=0))):
-        for place in _places(low[top > level], level, size):
-            bits[place] = True
-    levels, at = np.zeros(len(low), dtype=np.uint8), np.arange(len(low))
-    for level in range(LEVELS):
-        there = np.ones(len(at), dtype=bool)
-        for place in _places(low[at], level, size):
-            there &= bits[place]
-        at = at[there]
-        if not len(at):
-            break
-        levels[at] = level + 1
-    return levels
+            .repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary"))
+
+
+@dataclass(frozen=True)
+class LogFrequencyFilter:
+    """Packed blocks in one array: block b has the bits ``start[b]`` to ``start[b] + size[b]``."""
+
+    start: np.ndarray
+    size: np.ndarray
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, blocks: int, rows: Iterable[tuple[int, bytes]]) -> LogFrequencyFilter:
+        size, parts = np.zeros(blocks, dtype=np.int64), dict(rows)
+        for block, data in parts.items():
+            size[block] = 8 * len(data)
+        joined = b"".join(parts[b] for b in sorted(parts))
+        return cls(np.cumsum(size) - size, size, np.frombuffer(joined, dtype=np.uint8))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """How many levels, from the lowest on, probing finds of each key."""
+        shift = _U(_shift(len(self.size)))
+        block, low = (keys >> shift).astype(np.int64), keys & ((_U(1) << shift) - _U(1))
+        found = np.zeros(len(keys), dtype=np.uint8)
+        at = np.flatnonzero(self.size[block])
+        for level in range(LEVELS):
+            there, b = np.ones(len(at), dtype=bool), block[at]
+            for place in _places(low[at], level, self.size[b]):
+                place = place + self.start[b]
+                there &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            at = at[there]
+            if not len(at):
+                break
+            found[at] = level + 1
+        return found
 
 
 def quantised(levels: np.ndarray) -> np.ndarray:
@@ -237,59 +272,15 @@ def quantised(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, np.maximum(1.5 * np.exp2(levels - 1.0) - 0.5, 1.0), 0.0)
 
 
-def build_filter(ngrams: DataFrame, least_level: int) -> np.ndarray:
-    """The whole filter of a small table (FILTER_BITS in all) in one array; scoring itself never gathers it."""
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, keys, levels in zip(*(c.to_pylist() for c in batch.columns)):
-                top = np.frombuffer(levels, dtype=np.uint8)
-                low, _ = _unpacked(keys, levels)
-                bits = np.zeros(1 << BLOCK_BITS, dtype=bool)
-                low, top = low[top >= least_level], top[top >= least_level]
-                for level in range(int(top.max(initial=0)) + 1 if len(top) else 0):
-                    for place in _places(low[top >= level], level):
-                        bits[place] = True
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
-                                                 names=["block", "bits"])
-
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    size = 1 << (BLOCK_BITS - 3)
-    for row in ngrams.select("block", "keys", "levels").mapInArrow(fill, "block int, bits binary").toLocalIterator():
-        out[row["block"] * size:(row["block"] + 1) * size] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return out
-
-
-def probe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Quantised count of each key: 0, or the middle of [2^q, 2^(q+1)) for its highest level q in a row."""
-    levels = np.zeros(len(keys), dtype=np.int8)
-    at = np.arange(len(keys))
-    low, base = keys & _U((1 << 36) - 1), (keys >> _U(36)).astype(np.int64) << (BLOCK_BITS - 3)
-    for level in range(LEVELS):
-        there = np.ones(len(at), dtype=bool)
-        for place in _places(low, level):
-            there &= (bits[base + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
-        at, low, base = at[there], low[there], base[there]
-        if not len(at):
-            break
-        levels[at] = level + 1
-    return quantised(levels)
-
-
-def level_cut(histogram: np.ndarray, capacity: float) -> int:
-    """The least level from which on all n-grams fit, each with all its levels."""
-    events = histogram * (np.arange(len(histogram)) + 1)
-    return int(np.argmax(np.cumsum(events[::-1])[::-1] <= capacity))
-
-
-def head_cut(counts: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` tokens reach (from a histogram of 16 steps an octave)."""
+def head_cut(counts: DataFrame, most: int, most_bytes: int = HEAD_BYTES) -> int:
+    """The least count that at most ``most`` tokens of ``most_bytes`` bytes reach (from a histogram of 16 steps an octave)."""
     step = F.floor(F.log2("n") * 16)
-    rows = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("tokens"), F.min("n").alias("least")).orderBy(F.desc("s")).collect()
-    total, cut = 0, 1 << 62
+    rows = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.octet_length("token")).alias("bytes"),
+                                               F.min("n").alias("least")).orderBy(F.desc("s")).collect()
+    total, size, cut = 0, 0, 1 << 62
     for r in rows:
-        total += r["tokens"]
-        if total > most:
+        total, size = total + r["tokens"], size + r["bytes"]
+        if total > most or size > most_bytes:
             break
         cut = r["least"]
     return cut
@@ -335,9 +326,8 @@ class _TokenFacts:
 class _Chunk:
     """The distinct n-grams of a chunk of documents, in the order of their keys."""
 
-    def __init__(self, hashes: bytes, numbers: bytes, sizes: list[int]):
-        h, self.sizes = np.frombuffer(hashes, dtype=np.uint64), np.array(sizes)
-        self.numbers = _from_planes(numbers)
+    def __init__(self, h: np.ndarray, numbers: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.numbers = sizes, numbers
         self.first = np.cumsum(self.sizes) - self.sizes
         self.before = np.concatenate(([0], self.numbers[:-1]))
         pairs = (self.before + 1) << 32 | self.numbers
@@ -348,11 +338,9 @@ class _Chunk:
         self.order, self.n_single = np.argsort(keys, kind="stable"), len(h)
         self.keys = keys[self.order]
 
-    def counts(self, learn: list[bool]) -> np.ndarray:
-        """Occurrences of each n-gram in the documents to learn from."""
-        learned = np.repeat(np.array(learn, dtype=bool), self.sizes)
-        single = np.bincount(self.numbers[learned], minlength=self.n_single)
-        return np.concatenate((single, np.bincount(self.pair[learned], minlength=len(self.keys) - self.n_single)))[self.order]
+    @classmethod
+    def read(cls, hashes: bytes, numbers: bytes, sizes: list[int]) -> _Chunk:
+        return cls(np.frombuffer(hashes, dtype=np.uint64), _from_planes(numbers), np.array(sizes))
 
     def scores(self, levels: np.ndarray, whole: float) -> np.ndarray:
         """The score of each document, from the filter's levels of the n-grams."""
@@ -376,44 +364,39 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def filter_levels(chunks: DataFrame) -> DataFrame:
+def filter_levels(chunks: DataFrame, filter_blocks: DataFrame, blocks: int) -> DataFrame:
     """(chunk, block, levels): the filter's levels of each chunk's n-grams, in the order of their keys, compressed."""
+    width = _width(blocks)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                number, hashes, numbers, sizes, learn = (c[i].as_py() for c in batch.columns)
-                chunk = _Chunk(hashes, numbers, sizes)
-                for part in _packed(chunk.keys, chunk.counts(learn)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, number)), *part.columns], names=["chunk", *part.schema.names])
+            for number, hashes, numbers, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                block, _, low = _by_block(_Chunk.read(hashes, numbers, sizes).keys, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.full(len(block), number)), pa.array(low, pa.binary())],
+                                                 names=["block", "chunk", "data"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answered(block: int, chunks: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            low, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(where, weights=np.concatenate([p[1] for p in parts]))
-            data, ends = filtered_levels(low, n)[where].tobytes(), np.cumsum([len(p[0]) for p in parts]).tolist()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(chunks, pa.int64()), pa.array([block] * len(chunks), pa.int32()),
-                 pa.array([zlib.compress(data[a:b], 1) for a, b in zip([0, *ends], ends)], pa.binary())], names=["chunk", "block", "levels"])
-
-        at, chunks, parts = None, [], []
-        for batch in batches:
-            for chunk, block, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if block != at and parts:
-                    yield answered(at, chunks, parts)
-                    chunks, parts = [], []
-                at = block
-                chunks.append(chunk)
-                parts.append(_unpacked(keys, counts))
-        if parts:
-            yield answered(at, chunks, parts)
-
-    return (chunks.select("chunk", "hashes", "numbers", "sizes", "learn").mapInArrow(send, "chunk long, block int, keys binary, counts binary")
-            .repartition("block").sortWithinPartitions("block")
+        at, own = None, None
+        for batch in batches:  # the block itself has chunk -1 and so comes before those that ask
+            out = []
+            for block, chunk, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != at:
+                    at, own = block, None
+                if chunk < 0:
+                    own = LogFrequencyFilter.of(1, [(0, data)])
+                    continue
+                low = _from_low_bytes(data, width)
+                out.append((chunk, block, zlib.compress((own.levels(low) if own else np.zeros(len(low), dtype=np.uint8)).tobytes(), 1)))
+            cols = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "block", "levels"])
+
+    asked = chunks.select("chunk", "hashes", "numbers", "sizes").mapInArrow(ask, "block int, chunk long, data binary")
+    held = filter_blocks.select("block", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data"))
+    return (asked.unionByName(held).repartition("block").sortWithinPartitions("block", "chunk")
             .mapInArrow(answer, "chunk long, block int, levels binary"))
 
 
-def score_chunks(chunks: DataFrame, whole: float) -> DataFrame:
+def score_chunks(chunks: DataFrame, filter_blocks: DataFrame, blocks: int, whole: float) -> DataFrame:
     """(row, score): a chunk meets the levels of its n-grams, and each of its documents gets its score."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,18 +413,18 @@ def score_chunks(chunks: DataFrame, whole: float) -> DataFrame:
                 if chunk is not None:
                     yield scored(chunk, row, levels)
                 row, hashes, numbers, sizes = (batch.column(c)[i].as_py() for c in (0, 3, 4, 5))
-                chunk, levels = _Chunk(hashes, numbers, sizes), []
+                chunk, levels = _Chunk.read(hashes, numbers, sizes), []
         if chunk is not None:
             yield scored(chunk, row, levels)
 
     none = F.lit(None)
     own = chunks.select("chunk", F.lit(-1).alias("block"), none.cast("binary").alias("levels"), "hashes", "numbers", "sizes")
-    found = filter_levels(chunks).select("chunk", "block", "levels", none.cast("binary").alias("hashes"), none.cast("binary").alias("numbers"),
+    found = filter_levels(chunks, filter_blocks, blocks).select("chunk", "block", "levels", none.cast("binary").alias("hashes"), none.cast("binary").alias("numbers"),
                                          none.cast("array<int>").alias("sizes"))
     return own.unionByName(found).repartition("chunk").sortWithinPartitions("chunk", "block").mapInArrow(score, "row long, score double")
 
 
-def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, text_key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = keyed(docs)
     training = rows.where(fold(F.col("doc_id")) != held_out_fold)
@@ -449,58 +432,78 @@ def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD) -> Da
     seen = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = seen["n"] or 0, seen["v"]
     cut = head_cut(counts, head)
-    frequent = counts.where(F.col("n") >= cut).select("token", "n").toArrow()  # at most ``head`` rows
+    frequent = counts.where(F.col("n") >= cut).select("token", "n").toArrow()  # at most ``head`` rows of ``HEAD_BYTES``
     words = frequent.column("token").to_pylist()
     check = _hashes(words)
     order = np.argsort(check)
     check, known = check[order], np.array(frequent.column("n").to_numpy())[order]
     crc = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))[order]
     del frequent, words
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((check, crc, known))  # bounded by ``head``
+    blocks = block_number(total)
+    filter_blocks = cut_lineage(build_blocks(training, blocks))
+    size = filter_blocks.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    sent_whole = size <= filter_bytes
+    whole_filter = LogFrequencyFilter.of(blocks, ((r["block"], r["bits"]) for r in filter_blocks.toLocalIterator())) if sent_whole else None
+    # the head is bounded by ``head`` and ``HEAD_BYTES``, the filter by ``filter_bytes``
+    model = docs.sparkSession.sparkContext.broadcast((check, crc, known, whole_filter))
+    del whole_filter
     whole = total + 0.5 * (distinct + 1)
     id_type = dict(docs.dtypes)["doc_id"]
-    facts_type = f"struct<row: long, doc_id: {id_type}, text_key: long, n_tokens: long, n_head: long, base: double, tail: array<struct<token: binary, n: long>>>"
-    schema = f"chunk long, hashes binary, numbers binary, sizes array<int>, learn array<boolean>, docs array<{facts_type}>"
+    facts_type = f"row long, doc_id {id_type}, text_key long, n_tokens long, n_head long, base double, tail array<struct<token: binary, n: long>>"
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        check, crc, known = model.value
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list]]:
+        """First row, token hashes, token numbers, sizes and the facts' columns of each chunk of documents."""
+        check, crc, known, _ = model.value
         row = TaskContext.get().partitionId() << 40  # a chunk has the number of its first row
         facts = _TokenFacts(check, crc, known, whole)
         for batch in batches:
             at = 0
-            for docs in _numbered((t.as_py() for t in batch.column(3)), facts.vocabulary, SCORE_CHUNK):
+            for docs in _numbered((t.as_py() for t in batch.column(2)), facts.vocabulary, SCORE_CHUNK):
                 facts.learn()
                 flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
                 first = np.cumsum(sizes) - sizes
                 there = np.bincount(flat, minlength=len(facts.h)) > 0
                 number = np.cumsum(there) - 1  # within the chunk
                 in_head = facts.there[flat]
-                own = pa.StructArray.from_arrays([
+                yield row, facts.h[there], number[flat], sizes, [
                     pa.array(np.arange(row, row + len(docs))), batch.column(0)[at:at + len(docs)], batch.column(1)[at:at + len(docs)],
                     pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat(in_head.astype(np.int64), first)),
                     pa.array(np.add.reduceat(facts.logs[flat], first)),
-                    facts.tails(flat[~in_head], np.repeat(np.arange(len(docs)), sizes)[~in_head], len(docs))],
-                    ["row", "doc_id", "text_key", "n_tokens", "n_head", "base", "tail"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row]), pa.array([facts.h[there].tobytes()], pa.binary()), pa.array([_planes(number[flat])], pa.binary()),
-                    pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([batch.column(2)[at:at + len(docs)].to_pylist()], pa.list_(pa.bool_())),
-                    pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), own)],
-                    names=["chunk", "hashes", "numbers", "sizes", "learn", "docs"])
+                    facts.tails(flat[~in_head], np.repeat(np.arange(len(docs)), sizes)[~in_head], len(docs))]
                 at += len(docs)
                 row += len(docs)
                 if len(facts.vocabulary) > VOCABULARY:  # else the next documents reuse what is known
                     facts.forget()
 
-    learn = F.coalesce(fold(F.col("doc_id")) != held_out_fold, F.lit(False))
-    chunks = cut_lineage(rows.select("doc_id", "text_key", learn.alias("learn"), "text").mapInArrow(encode, schema))
-    own = chunks.select(F.inline("docs"))
+    names = ["row", "doc_id", "text_key", "n_tokens", "n_head", "base", "tail"]
+
+    def score_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, numbers, sizes, facts in read(batches):
+            chunk = _Chunk(h, numbers, sizes)
+            yield pa.RecordBatch.from_arrays([*facts, pa.array(chunk.scores(model.value[3].levels(chunk.keys), whole))], names=[*names, "score"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, h, numbers, sizes, facts in read(batches):
+            yield pa.RecordBatch.from_arrays([
+                pa.array([row]), pa.array([h.tobytes()], pa.binary()), pa.array([_planes(numbers)], pa.binary()),
+                pa.array([sizes.tolist()], pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.StructArray.from_arrays(facts, names))],
+                names=["chunk", "hashes", "numbers", "sizes", "docs"])
+
+    texts = rows.select("doc_id", "text_key", "text")
+    if sent_whole:
+        own = cut_lineage(texts.mapInArrow(score_here, facts_type + ", score double"))
+        scored = own.drop("tail")
+    else:
+        chunks = cut_lineage(texts.mapInArrow(
+            encode, f"chunk long, hashes binary, numbers binary, sizes array<int>, docs array<struct<{facts_type}>>"))
+        own = chunks.select(F.inline("docs"))
+        scored = own.drop("tail").join(score_chunks(chunks, filter_blocks, blocks, whole), "row")
     rest = own.select("row", F.inline("tail")).join(counts.where(F.col("n") < cut).select("token", F.col("n").alias("c")), "token", "left")
     c = F.coalesce("c", F.lit(0))
     rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 0.5) / whole)).alias("rest"),
                                    F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_rest"))
-    out = own.drop("tail").join(score_chunks(chunks, whole), "row").join(rest, "row", "left")
-    return out.select(
+    return scored.join(rest, "row", "left").select(
         "doc_id", "text_key", F.coalesce(fold(F.col("doc_id")) == held_out_fold, F.lit(False)).alias("held_out"), "n_tokens",
         (F.col("n_head") + F.coalesce("n_rest", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")

@@ -53,36 +53,85 @@ def test_model_prefers_seen_order(spark):
     assert abs(seen.base_score - shuffled.base_score) < 1e-6 and seen.score > shuffled.score + 5
 
 
-def test_filter_gives_quantised_counts(spark):
+def test_filter_gives_quantised_counts(spark, monkeypatch):
+    monkeypatch.setattr(L, "BITS_PER_LEVEL", 4000)
     rows = [" ".join([f"w{i}"] * n) for i, n in enumerate([1, 2, 3, 8, 100, 1000])]
-    ngrams = L.count_ngrams(spark.createDataFrame([(t,) for t in rows], "text string"))
-    bits = L.build_filter(ngrams, 0)
-    h = L._hashes([f"w{i}".encode() for i in range(6)])
-    got = L.probe(bits, L.unigram_keys(h))
+    built = L.LogFrequencyFilter.of(64, [tuple(r) for r in L.build_blocks(spark.createDataFrame([(t,) for t in rows], "text string"), 64).collect()])
+    got = L.quantised(built.levels(L.unigram_keys(L._hashes([f"w{i}".encode() for i in range(6)]))))
     assert [math.floor(math.log2(x)) for x in got] == [0, 1, 1, 3, 6, 9]
-    absent = L.probe(bits, L.unigram_keys(L._hashes([f"none{i}".encode() for i in range(2000)])))
-    assert (absent > 0).mean() < 0.05
 
 
-def test_cuts():
-    assert L.level_cut(np.array([10, 5, 1]), 100) == 0 and L.level_cut(np.array([10, 5, 1]), 13) == 1 and L.level_cut(np.array([10, 5, 1]), 3) == 2
-
-
-def test_no_ngram_is_lost_however_many_there_are(spark, monkeypatch):
-    """Far more n-grams than a filter of the least size holds: every one keeps its count."""
-    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(60)]
-    whole = {r.doc_id: r.score for r in L.score_texts(make_docs(spark, texts)).collect()}
-    for name, value in (("BLOCK_BITS", 3), ("FILTER_BITS", L.BLOCKS << 3)):
-        monkeypatch.setattr(L, name, value)
-    rows = L.score_texts(make_docs(spark, texts)).collect()
-    # a text without its n-grams falls by hundreds; a few false levels move it by about 0.4 each
-    assert all(abs(r.score - whole[r.doc_id]) < 20 for r in rows if not r.held_out) and {r.held_out for r in rows} == {True, False}
-
-
-def test_block_grows_with_its_levels():
+def exact_scores(rows):
+    """The model's scores from exact counts, quantised, without any filter."""
+    level = lambda n: 1.5 * 2.0 ** math.floor(math.log2(n)) - 0.5 if n else 0.0
+    tokens = [(i, (t or "").encode().lower().split() + [b"\n"]) for i, t in rows]
+    learned = [ws for i, ws in tokens if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    one = Counter(w for ws in learned for w in ws)
+    two = Counter(p for ws in learned for p in zip([None, *ws], ws))
+    whole = sum(one.values()) + 0.5 * (len(one) + 1)
+    out = []
+    for i, ws in tokens:
+        score, before = 0.0, None
+        for w in ws:
+            alone, pair = (max(level(one[w]), 1.0 if one[w] else 0.0) + 0.5) / whole, max(level(two[before, w]), 1.0 if two[before, w] else 0.0)
+            c = max(max(level(one[before]), 1.0 if one[before] else 0.0), pair) if before is not None else 0.0
+            score += math.log10(min(1.0, L.BIGRAM_SHARE * pair / c + (1 - L.BIGRAM_SHARE) * alone if c > 0 else alone))
+            before = w
+        out.append((i, round(score, 6)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("most", [L.FILTER_BYTES, 0])
+def test_score_from_exact_quantised_counts(spark, monkeypatch, most):
+    """With so many bits that no level is false, both ways give the scores of exact quantised counts."""
+    monkeypatch.setattr(L, "BITS_PER_LEVEL", 4000)
+    monkeypatch.setattr(L, "PROBES", 5)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = L.score_texts(docs, filter_bytes=most * 64).collect()
+    assert sorted(((r.doc_id, round(r.score, 6)) for r in got), key=repr) == exact_scores(rows)
+
+
+def test_both_ways_probe_the_same_bits(spark, monkeypatch, odd_docs):
+    monkeypatch.setattr(L, "SCORE_CHUNK", 20_000)
+    for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd_docs):
+        sent, asked = ([(r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in L.score_texts(docs, filter_bytes=most).collect()]
+                       for most in (L.FILTER_BYTES, -1))
+        assert sorted(sent, key=repr) == sorted(asked, key=repr) and len(sent) == docs.count()
+
+
+def test_rate_of_false_levels_and_growth_of_the_filter():
     r = np.random.default_rng(1)
-    low = np.unique(r.integers(0, 1 << 36, 200_000, dtype=np.uint64))
-    n = r.integers(0, 2, len(low)) * r.integers(1, 50, len(low))  # 0: not in the training texts
-    found, true = L.filtered_levels(low, n), L._levels_of(n)
-    assert (found >= true).all() and (found > true).mean() < 0.05
-    assert L.block_bits(1) == L.BLOCK_BITS and (1 << L.block_bits(true.sum())) >= L.BITS_PER_LEVEL * true.sum()
+    low = np.unique(r.integers(0, 1 << 40, 200_000, dtype=np.uint64))
+    n = r.integers(1, 50, len(low))
+    absent = np.setdiff1d(r.integers(0, 1 << 40, 100_000, dtype=np.uint64), low)
+    block = L.filled_block(low, n)
+    events = L._levels_of(n).sum()
+    assert abs(8 * len(block) - L.BITS_PER_LEVEL * events) < 64
+    one = L.LogFrequencyFilter.of(1, [(0, block)])
+    found = one.levels(low)
+    assert (found >= L._levels_of(n)).all()
+    assert (found > L._levels_of(n)).mean() < 0.04 and (one.levels(absent) > 0).mean() < 0.04  # (1 - e^(-3/8))^3 = 0.031
+
+
+def test_blocks_grow_with_the_tokens():
+    assert L.block_number(0) == L.LEAST_BLOCKS and L.block_number(10 ** 9) == 4096 and L.block_number(10 ** 30) == L.MOST_BLOCKS
+    for blocks in (64, 4096, L.MOST_BLOCKS):
+        keys = np.sort(np.random.default_rng(2).integers(0, 1 << 48, 5000, dtype=np.uint64))
+        block, places, low = L._by_block(keys, blocks)
+        back = [(int(b) << L._shift(blocks)) | int(x) for b, data in zip(block, low) for x in L._from_low_bytes(data, L._width(blocks))]
+        assert back == keys.tolist() and places[-1][1] == len(keys)
+
+
+def test_head_is_bounded_in_rows_and_bytes(spark):
+    counts = spark.createDataFrame([(b"x" * 1000, 64), (b"a", 32), (b"b", 16), (b"c", 8)], "token binary, n long")
+    assert L.head_cut(counts, 2) == 32 and L.head_cut(counts, 9) == 8 and L.head_cut(counts, 9, 1001) == 32 and L.head_cut(counts, 9, 10) == 1 << 62
+
+
+def test_no_ngram_is_lost_however_many_there_are(spark):
+    """Every learned n-gram is found, at its level or (seldom) above."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(60)]
+    built = L.LogFrequencyFilter.of(64, [tuple(r) for r in L.build_blocks(spark.createDataFrame([(t,) for t in texts], "text string"), 64).collect()])
+    h = L._hashes([w for t in texts for w in t.encode().split()]).reshape(60, 200)
+    keys = np.concatenate([L.unigram_keys(h.ravel()), L.bigram_keys(h[:, :-1].ravel(), h[:, 1:].ravel())])
+    assert (built.levels(keys) >= 1).all()
