@@ -18,8 +18,8 @@ S travels as one bit field of at most ``MOST_SLOTS`` 64-bit slots, so what is
 broadcast is bounded however many phrases are frequent.  A phrase that the field
 holds by chance is only counted in vain: counts are exact, and failures are judged
 against the same field, so the result does not hang on field or sample.  Counts
-leave a task added up and are combined again before the shuffle, by (language,
-phrase); texts never move.
+leave a task added up over about ``_CHUNK`` words and meet by (language, phrase);
+a phrase sends one row a chunk however often it occurs, and texts never move.
 
 Null texts are empty, null languages ``und``.  Repeated rows count each.  Ids are
 not used; other columns are ignored.  An empty table gives an empty result.
@@ -42,7 +42,7 @@ from ..session import cut_lineage
 MIN_COUNT, MOST_WORDS, TOP = 100, 5, 2000
 SHARE, SLACK = 8, 2.4  # one document in SHARE; standard deviations below the expected count
 MOST_SLOTS, BITS_A_PHRASE = 1 << 22, 16
-_CHUNK = 1 << 19  # words that are counted at once
+_CHUNK = 1 << 20  # words that are counted at once
 # fixed values: A-Z to a-z, tab to space, every character that ends a piece to a line feed
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 
@@ -208,6 +208,7 @@ def frequent(texts: DataFrame, levels: range, field: np.ndarray | None, least: i
         return _count(batches, levels, *sent.value)
 
     return (texts.mapInArrow(counted, "lang string, words int, phrase string, n long")
+            .repartition("lang", "phrase")  # chunks are added up already: a second table of sums before the shuffle would only take memory
             .groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0)))
 
 
