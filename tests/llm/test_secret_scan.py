@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -91,3 +92,78 @@ def test_pieces_lie_in_runs_outside_base_spans():
             assert at >= end and t[at:at + len(part)] == part and len(part) >= 16 and set(part) <= set(S.ALPHABETS[alphabet])
             assert not any(s < at + len(part) and at < e for s, _, e in base)
             end = at + len(part)
+
+
+@pytest.mark.parametrize("n", [1, 2, 40, 100, 1000])
+def test_a_planted_string_is_found_in_a_table_of_any_size(spark, n):
+    r = random.Random(n)
+    words = ["the", "house", "on", "hill", "was", "empty", "for", "years", "until", "somebody", "came", "along"]
+    texts = [" ".join(r.choices(words, k=80)) + " " + "".join(r.choices(S.ALPHABETS[7], k=64)) + " " + " ".join(r.choices(words, k=20)) for _ in range(n)]
+    texts += [" ".join(r.choices(words, k=100)) + " internationalisationandthelike counterrevolutionarieswere" for _ in range(n)]
+    rows = {x.doc_id: [texts[x.doc_id][s.start:s.end] for s in x.spans if s.kind == 3] for x in S.find_secrets(make_docs(spark, texts)).collect()}
+    assert sum(any(len(f) == 64 for f in rows[i]) for i in range(n)) >= 0.97 * n
+    assert sum(bool(rows[n + i]) for i in range(n)) <= 0.05 * n
+
+
+def test_evidence_of_many_is_that_of_one():
+    r = random.Random(8)
+    for a, size in ((0, 16), (3, 24), (7, 64), (9, 48)):
+        chars = S.ALPHABETS[a]
+        strings = ["".join(r.choices(chars, k=size)) for _ in range(60)] + [chars[0] * size, (chars[:2] * size)[:size], "".join(r.choices(chars[:5], k=size))]
+        x = S._TABLES[a][[list(s.encode()) for s in strings]]
+        for s, v in zip(strings, S.evidence(x, len(chars))):
+            p = S.randomness(s, a)
+            assert p < 1e-290 or abs(-math.log10(p) - v) < 1e-6 * max(1, v), s
+
+
+def plain_battery(s, a):
+    """The three tests written out, without arrays."""
+    chars = S.ALPHABETS[a]
+    x, n, k = [chars.index(c) for c in s], len(s), len(chars)
+    chi = sum((x.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    upper = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    p1 = upper(((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1)))) if chi > 1e-9 else 1.0
+    side = [i >= k / 2 for i in x]
+    up, down = side.count(True), side.count(False)
+    if up and down:
+        mu = 1 + 2 * up * down / n
+        runs = 1 + sum(p != q for p, q in zip(side, side[1:]))
+        p2 = 2 * upper(abs(runs - mu) / math.sqrt(max((mu - 1) * (mu - 2) / (n - 1), 1e-9)))
+    else:
+        p2 = 2 * 0.5 ** n
+    mean = sum(x) / n
+    var = sum((i - mean) ** 2 for i in x)
+    p3 = 2 * upper(abs(sum((i - mean) * (j - mean) for i, j in zip(x, x[1:])) / var) * math.sqrt(n)) if var else 0.0
+    h = -sum(math.log(max(p, 1e-300)) for p in (p1, p2, p3))
+    return math.exp(-h) * (1 + h + h * h / 2)
+
+
+def test_battery_against_plain_formulas():
+    r = random.Random(12)
+    for a in range(len(S.ALPHABETS)):
+        for size in (16, 33, 64):
+            s = "".join(r.choices(S.ALPHABETS[a], k=size))
+            assert math.isclose(S.randomness(s, a), plain_battery(s, a), rel_tol=1e-9, abs_tol=1e-300)
+
+
+def test_benjamini_hochberg_against_its_definition():
+    r = random.Random(6)
+    for _ in range(30):
+        decoy = {S._code(a, c, k): r.randrange(1, 200) for a in (2, 7) for c in range(5) for k in r.sample(range(S.STEPS), 20)}
+        seen = {S._code(a, c, k): r.randrange(1, 5) for a in (2, 7) for c in range(5) for k in [*range(3), *r.sample(range(S.STEPS), 6)]}
+        p, want = S.p_values(decoy), set()
+        for a in (2, 7):
+            tests = sorted(p[divmod(code, S.STEPS)] for code, n in seen.items() for _ in range(n) if code // S.STEPS // 5 == a)
+            line = max([x for i, x in enumerate(tests, 1) if x <= S.RATE * i / len(tests)], default=-1)
+            want |= {code for code in seen if code // S.STEPS // 5 == a and p[divmod(code, S.STEPS)] <= line}
+        assert S.accepted_codes(seen, decoy) == want
+
+
+def test_decoys_cover_the_whole_text_whatever_the_others():
+    r = random.Random(4)
+    texts = [(k, "".join(r.choices("abc déF.", k=r.choice([5, 300, 9000]))).encode()) for k in range(20)]
+    alone = sorted(c for t in texts for c in S.decoys([t]).tolist())
+    assert alone == sorted(S.decoys(texts).tolist())
+    letters = sum(len(t.translate(None, S._NOT_LETTERS)) for _, t in texts)
+    used = sum(S.LENGTHS[c // S.STEPS % 5] for c in alone)
+    assert letters - 20 * 2 * 64 <= used <= letters
