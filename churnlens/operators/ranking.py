@@ -125,6 +125,33 @@ def rank_within_groups(df: DataFrame, group: str, order: Sequence[Column], rank_
             .drop(_PID, _MID, _OFF, "_first"))
 
 
+def totals_before(df: DataFrame, group: Sequence[str], order: Sequence[Column], value_cols: Sequence[str],
+                  suffix: str = "_before", num_partitions: int | None = None) -> DataFrame:
+    """``df`` with the sums of ``value_cols`` over the rows before each one in its group, for groups of any size.
+
+    ``order`` must be total inside a group; null group values are a group.  As in
+    ``rank_within_groups`` only a partition's first group can have begun before
+    it, and what it brings along comes from a table of one row per partition.
+    """
+    g = F.struct(*[F.col(f"`{c}`") for c in group])
+    ranged = _ranged(df, [*[F.col(f"`{c}`") for c in group], *order], num_partitions)
+    sums = [F.sum(f"`{v}`").alias(f"_s{i}") for i, v in enumerate(value_cols)]
+    totals = [f"_s{i}" for i in range(len(value_cols))]
+    parts = ranged.groupBy(_PID, g.alias("_g")).agg(F.min(_MID).alias("at"), *sums)
+    parts = parts.groupBy(_PID).agg(F.min(F.struct("at", "_g")).alias("first"), F.max(F.struct("at", "_g", *totals)).alias("last"))
+    by_part = Window.orderBy(_PID)  # one row per partition
+    of_group = Window.partitionBy("last._g").orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = parts.select("*", F.struct(*[F.sum(f"last.{t}").over(of_group).alias(t) for t in totals]).alias("_run"))
+    seen = run.select("*", F.lag("_run").over(by_part).alias("_seen"), F.lag("last").over(by_part).alias("_prev"))
+    goes_on = F.col("_prev").isNotNull() & F.col("first._g").eqNullSafe(F.col("_prev._g"))
+    offsets = seen.select(_PID, F.col("first._g").alias("_first"), F.when(goes_on, F.col("_seen")).alias("_seen"))
+    inside = Window.partitionBy(_PID, *[F.col(f"`{c}`") for c in group]).orderBy(_MID).rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda t: F.when(g.eqNullSafe(F.col("_first")), F.coalesce(F.col(f"_seen.{t}"), F.lit(0))).otherwise(0)
+    out = ranged.join(F.broadcast(offsets), _PID)
+    out = out.withColumns({v + suffix: F.coalesce(F.sum(f"`{v}`").over(inside), F.lit(0)) + carried(t) for v, t in zip(value_cols, totals)})
+    return out.drop(_PID, _MID, "_first", "_seen")
+
+
 def latest_mark(rows: DataFrame, key: Column, marks: DataFrame, at: str, take: Sequence[str], out: str,
                 num_partitions: int | None = None) -> DataFrame:
     """``rows`` with the struct ``out``: columns ``take`` of the last mark whose ``at`` is not above ``key`` (null: none is).

@@ -511,3 +511,16 @@ def test_logistic_fit_is_finished_to_its_optimum(spark):
 def test_logistic_fit_that_falls_short_raises(spark):
     with pytest.raises(ValueError, match="did not converge"):
         MO.fit_logistic(_logit_rows(spark), ["a", "b"], max_iter=1, newton_steps=0)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_totals_before_within_groups_of_any_size(spark, parts):
+    from churnlens.operators.ranking import totals_before
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([1, 2, None]), i, rng.randrange(10), rng.randrange(3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g STRING, h INT, o INT, x INT, y INT")
+    got = totals_before(df, ["g", "h"], [F.col("o")], ["x", "y"], num_partitions=parts).collect()
+    assert len(got) == 400
+    for r in got:
+        earlier = [t for t in rows if t[:2] == (r["g"], r["h"]) and t[2] < r["o"]]
+        assert (r["x_before"], r["y_before"]) == (sum(t[3] for t in earlier), sum(t[4] for t in earlier))
