@@ -1,24 +1,26 @@
 r"""Chat formatting into budgeted, turn-aligned windows.
 
-1. Places are settled on narrow rows, one for each (conversation, turn): token
-   counts, no texts.  Exclusive prefix sums are taken in two steps, inside blocks
-   of turn numbers and over block totals, so a conversation that holds a large
-   part of all rows is spread over many tasks.
+1. Places are settled on narrow rows, one for each distinct (conversation, turn,
+   role, text), with a digest in place of the text.  Exclusive prefix sums of the
+   tokens run over ranges of the order, and only one row for each range carries
+   them on, so a conversation that holds a large part of all rows is spread over
+   many tasks.  Rows that share a turn number are ranked by role and text first:
+   tied and null turns are placed one by one like any others.
 2. ``span = prefix // stride`` gives turn-aligned spans.  The stride is what the
    budget leaves after history, system turn and one largest turn, so a window
    keeps to the budget unless a single turn exceeds half of it.
 3. A window is: the system turn (retained in every window), the last few turns of
    the span before (limited history), the span's own turns.  Loss covers the own
    assistant texts only; repeated turns are masked.
-4. Texts move twice: to their place, and to their windows.
+4. Texts move twice: to their place, and to their windows.  A system turn is
+   repeated from one copy for each ``SALT`` windows.
 
 Template: ``<|im_start|>role\ntext<|im_end|>\n``.  Texts are escaped reversibly: a
 backslash is doubled, and one backslash goes after the first character of a
 control string, so that no control string stands inside a text.
 
 Null text or role is empty.  Turns are ordered by (turn, role, text), nulls
-first; rows that share a turn number stay in one span, and repeated rows are
-turns of their own.  Rows with a null conv_id form one conversation.  An empty
+first; repeated rows are turns of their own.  Rows with a null conv_id form one conversation.  An empty
 table gives no windows; other columns are ignored.
 """
 
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranking import rank_within_groups, totals_before
 from ..session import cut_lineage
 
 # fixed values: the template and the control strings of common templates
@@ -36,7 +39,7 @@ CONTROL = r"(<)(\||/?s>|</?SYS>>)|(\[)(/?INST\])"
 RUN, BLANK = "[0-9A-Za-z]+", r"[\x00-\x20]+"
 TURN_TOKENS = 4  # the markers of a turn
 
-BUDGET, HISTORY_TOKENS, HISTORY_TURNS, BLOCK = 1024, 192, 2, 64
+BUDGET, HISTORY_TOKENS, HISTORY_TURNS, SALT = 1024, 192, 2, 1024
 
 
 def escape(text: Column) -> Column:
@@ -64,58 +67,75 @@ def turn_tokens(text: Column) -> Column:
 def _rows(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
-def turn_places(rows: DataFrame, budget: int, history_tokens: int, history_turns: int, block: int) -> DataFrame:
-    """(conv_id, turn, first, windows): for each turn number the index of its first row and, as (window, kind)
-    structs, the windows it stands in.  Kinds: 0 system, 1 history, 2 own."""
-    turns = rows.groupBy("conv_id", "turn").agg(F.sum(turn_tokens(F.col("text"))).alias("tokens"), F.count(F.lit(1)).alias("n"),
-                                                F.min("role").alias("role"))
-    turns = cut_lineage(turns.withColumn("block", F.floor(F.col("turn") / block)))
-    conv = Window.partitionBy("conv_id")
-    earlier = conv.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = turns.groupBy("conv_id", "block").agg(F.sum("tokens").alias("sum"), F.sum("n").alias("n"), F.max("tokens").alias("most"),
-                                                   F.min(F.struct("turn", "role", "n", "tokens")).alias("head"))
-    head = F.min(F.struct("block", "head")).over(conv)["head"]
-    system = (head["role"] == "system") & (head["n"] == 1)
-    blocks = blocks.select(
-        F.col("conv_id").alias("__conv"), F.col("block").alias("__block"),
-        F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base_n"),
-        F.max("most").over(conv).alias("most"), system.alias("system"), F.when(system, head["tokens"]).otherwise(0).alias("sys_tokens"))
-    turns = turns.join(blocks, turns["conv_id"].eqNullSafe(blocks["__conv"]) & turns["block"].eqNullSafe(blocks["__block"]))
-    upto = Window.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    room = budget - history_tokens - F.col("sys_tokens") - F.least("most", F.lit(budget // 2))
-    turns = cut_lineage(turns.select(
-        "conv_id", "turn", "system", (F.col("base_n") + F.sum("n").over(upto) - F.col("n")).alias("first"),
-        (F.col("base") + F.sum("tokens").over(upto) - F.col("tokens")).alias("before"),
-        F.greatest(room, F.lit(budget // 4)).alias("stride")).withColumn("span", F.floor(F.col("before") / F.col("stride"))))
-    spans = turns.groupBy("conv_id", "span").agg(F.min("before").alias("start"), F.min("first").alias("first"))
-    following = Window.partitionBy("conv_id").orderBy("span")
-    spans = cut_lineage(spans.select(
-        F.col("conv_id").alias("__conv"), F.col("span").alias("__span"), F.lead("span").over(following).alias("next"),
-        F.lead("start").over(following).alias("next_start"), F.lead("first").over(following).alias("next_first")))
-    turns = turns.join(spans, turns["conv_id"].eqNullSafe(spans["__conv"]) & (turns["span"] == spans["__span"]))
-    kind = lambda window, k: F.struct(window.alias("window"), F.lit(k).alias("kind"))
-    own, is_system = F.array(kind(F.col("span"), 2)), F.col("system") & (F.col("first") == 0)
-    recent = ((F.col("next_start") - F.col("before") <= history_tokens) & (F.col("next_first") - F.col("first") <= history_turns))
-    plain = turns.where(~is_system).select("conv_id", "turn", "first", F.when(
-        recent, F.concat(own, F.array(kind(F.col("next"), 1)))).otherwise(own).alias("windows"))
-    every = spans.groupBy(F.col("__conv").alias("__of")).agg(F.collect_list("__span").alias("all"))  # one number a window
-    heads = turns.where(is_system)
-    heads = heads.join(every, heads["conv_id"].eqNullSafe(every["__of"])).select("conv_id", "turn", "first", F.transform(
-        "all", lambda w: F.struct(w.alias("window"), F.when(w == F.col("span"), 2).otherwise(0).alias("kind"))).alias("windows"))
-    return cut_lineage(plain.unionByName(heads))
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.md5("text"))
+
+
+_KEY = ["conv_id", "turn", "role", "mark"]
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, nulls equal; the key columns appear once."""
+    other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"__{k}" for k in keys])
+
+
+def _tie_ranks(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """``units`` with ``tie``: the place by (role, text) among the distinct rows of a turn number."""
+    tied = cut_lineage(units.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
+    if not tied.limit(1).count():
+        return units.withColumn("tie", F.lit(1).cast("long"))
+    texts = _on(rows, tied, ["conv_id", "turn"]).groupBy(*_KEY).agg(F.first("text").alias("text"))
+    ranked = rank_within_groups(texts.withColumn("at", F.struct("conv_id", "turn")), "at", [F.col("role"), F.col("text")], "tie").select(*_KEY, "tie")
+    return _on(units, ranked, _KEY, "left").withColumn("tie", F.coalesce("tie", F.lit(1)))
+
+
+def turn_places(rows: DataFrame, budget: int, history_tokens: int, history_turns: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Without texts: (conv_id, turn, role, mark, idx, window, kind) of every own (kind 2) and history (kind 1) turn;
+    (conv_id, turn, mark) of the system turns; (conv_id, span) of the windows."""
+    units = cut_lineage(rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.max(turn_tokens(F.col("text"))).alias("tokens")))
+    units = _tie_ranks(rows, units).withColumn("all", F.col("n") * F.col("tokens"))
+    convs = units.groupBy("conv_id").agg(F.max("tokens").alias("most"), F.min(F.struct("turn", "tie", "role", "tokens")).alias("head"))
+    system = F.col("head.role") == "system"
+    room = budget - history_tokens - F.when(system, F.col("head.tokens")).otherwise(0) - F.least("most", F.lit(budget // 2))
+    convs = convs.select("conv_id", system.alias("system"), F.greatest(room, F.lit(budget // 4)).alias("stride"))
+    placed = totals_before(units, ["conv_id"], [F.col("turn"), F.col("tie")], ["n", "all"])
+    copy = _on(placed, convs, ["conv_id"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    before = F.col("all_before") + F.col("copy") * F.col("tokens")
+    turns = cut_lineage(copy.select(*_KEY, "system", (F.col("n_before") + F.col("copy")).alias("idx"), before.alias("before"),
+                                    F.floor(before / F.col("stride")).alias("span")))
+    spans = cut_lineage(turns.groupBy("conv_id", "span").agg(F.min("before").alias("start"), F.min("idx").alias("first")))
+    own = turns.select(*_KEY, "idx", F.col("span").alias("window"), F.lit(2).alias("kind"))
+    head = F.col("system") & (F.col("idx") == 0)
+    if history_turns > 0:
+        # a window asks for the turns just before its first one; those of the last span before it are its history
+        asked = spans.where("first > 0").select("conv_id", F.col("span").alias("window"), "start",
+                                                F.explode(F.sequence(F.col("first") - history_turns, F.col("first") - 1)).alias("idx"))
+        near = _on(turns, asked, ["conv_id", "idx"])
+        last = F.max("span").over(Window.partitionBy("conv_id", "window"))  # at most ``history_turns`` rows
+        near = near.withColumn("last", last).where((F.col("span") == F.col("last")) & (F.col("start") - F.col("before") <= history_tokens) & ~head)
+        own = own.unionByName(near.select(*_KEY, "idx", "window", F.lit(1).alias("kind")))
+    return own, turns.where(head).select("conv_id", "turn", "mark", "span"), spans.select("conv_id", "span")
+
+
+def _system_rows(rows: DataFrame, heads: DataFrame, spans: DataFrame) -> DataFrame:
+    """The system turn of a conversation for each of its windows but the one it begins in."""
+    text = rows.where("role = 'system'").groupBy(*_KEY).agg(F.first("text").alias("text"))
+    heads = _on(_on(heads, text, ["conv_id", "turn", "mark"]), spans.groupBy("conv_id").agg(F.max("span").alias("end")), ["conv_id"])
+    copies = heads.select("conv_id", "text", F.col("span").alias("home"),
+                          F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / SALT))).alias("salt"))
+    windows = spans.withColumn("salt", F.floor(F.col("span") / SALT))
+    return _on(windows, copies, ["conv_id", "salt"]).where("span <> home").select(
+        "conv_id", F.lit("system").alias("role"), "text", F.lit(0).cast("long").alias("idx"), F.col("span").alias("window"), F.lit(0).alias("kind"))
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS,
-                   history_turns: int = HISTORY_TURNS, block: int = BLOCK) -> DataFrame:
+                   history_turns: int = HISTORY_TURNS) -> DataFrame:
     """conv_id, window, n_repeated (leading repeated turns), text, loss (array of start, end in code points), tokens."""
     rows = _rows(conversations)
-    places = turn_places(rows, budget, history_tokens, history_turns, block).withColumnsRenamed({"conv_id": "__conv", "turn": "__turn"})
-    rows = rows.join(places, rows["conv_id"].eqNullSafe(F.col("__conv")) & rows["turn"].eqNullSafe(F.col("__turn")))
-    tied = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = rows.select("conv_id", "role", "text", (F.col("first") + F.row_number().over(tied) - 1).alias("idx"), F.inline("windows"))
+    places, heads, spans = turn_places(rows, budget, history_tokens, history_turns)
+    texts = rows.groupBy(*_KEY).agg(F.first("text").alias("text"))
+    rows = _on(texts, places, _KEY).select("conv_id", "role", "text", "idx", "window", "kind").unionByName(_system_rows(rows, heads, spans))
     whole = rows.groupBy("conv_id", "window").agg(
         F.array_sort(F.collect_list(F.struct("kind", "idx", "role", "text"))).alias("turns"),
         F.sum(turn_tokens(F.col("text"))).alias("tokens"))
@@ -124,7 +144,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history_token
         head(t).alias("head"), escape(t["text"]).alias("body"),
         ((t["kind"] == 2) & (t["role"] == "assistant")).alias("loss"))))
     part_chars = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END) + 1
-    # windows are bounded by the budget, so summing the parts before each part is cheap
+    # a turn has four tokens at least, so the budget bounds the parts of a window, and summing those before each is cheap
     placed = F.transform("parts", lambda p, i: F.struct(
         p["loss"].alias("loss"),
         (F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda a, q: a + part_chars(q)) + F.length(p["head"])).alias("start"),

@@ -46,7 +46,7 @@ def test_round_trip_at_any_budget(spark):
     rows = conversations()
     one = check(spark, rows, budget=100_000)
     assert len(one) == len({r[0] for r in rows})
-    for parameters in ({"budget": 64, "history_tokens": 16, "block": 3}, {"budget": 200, "history_tokens": 60, "history_turns": 3, "block": 1}):
+    for parameters in ({"budget": 64, "history_tokens": 16}, {"budget": 200, "history_tokens": 60, "history_turns": 3}):
         many = check(spark, rows, **parameters)
         assert len(many) > len(one)
 
@@ -74,3 +74,28 @@ def test_ties_nulls_repeated_rows_and_empty_table(spark):
     frame = spark.createDataFrame([(None, 0, "user", "x"), (None, 1, "assistant", "y")], SCHEMA)
     assert C.conversation_digests(C.format_windows(frame)).first().n_turns == 2
     assert C.conversation_digests(C.format_windows(frame.limit(0))).count() == 0
+
+
+def test_tied_and_null_turns_keep_the_budget(spark):
+    """Rows without a turn number, or all on one, are split like any others."""
+    word = "abc def ghi " * 20
+    for turn in (None, 7):
+        rows = [(1, turn, ("user", "assistant")[k % 2], word + str(k % 50)) for k in range(400)]
+        windows = check(spark, rows)
+        assert len(windows) > 20 and all(w.tokens <= 1024 for w in windows)
+    same = check(spark, [(1, None, "user", word)] * 300)
+    assert len(same) > 15 and all(w.tokens <= 1024 for w in same)
+
+
+def test_many_windows_repeat_the_system_turn(spark, monkeypatch):
+    monkeypatch.setattr(C, "SALT", 4)
+    rows = [(1, 0, "system", "rules"), *[(1, k, "user", f"word{k} " * 20) for k in range(1, 120)], (2, 0, "system", "alone")]
+    windows = check(spark, rows, budget=64, history_tokens=8)
+    assert len(windows) > 30 and all(w.text.startswith("<|im_start|>system\n") for w in windows)
+    assert sorted(w.window for w in windows if w.conv_id == 1)[0] == 0
+
+
+def test_no_history(spark):
+    rows = [(1, k, "assistant", f"word{k} " * 20) for k in range(30)]
+    windows = check(spark, rows, budget=64, history_turns=0)
+    assert len(windows) > 5 and all(w.n_repeated == 0 for w in windows)
