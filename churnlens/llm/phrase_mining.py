@@ -18,8 +18,10 @@ S travels as one bit field of at most ``MOST_SLOTS`` 64-bit slots, so what is
 broadcast is bounded however many phrases are frequent.  A phrase that the field
 holds by chance is only counted in vain: counts are exact, and failures are judged
 against the same field, so the result does not hang on field or sample.  Counts
-leave a task added up over about ``_CHUNK`` words and meet by (language, phrase);
-a phrase sends one row a chunk however often it occurs, and texts never move.
+leave a task added up over about ``_CHUNK`` words, packed and compressed for each
+(language, bucket of phrases), and are merged there; the number of buckets grows
+with the words.  A phrase is sent once a chunk however often it occurs, and texts
+never move.
 
 Null texts are empty, null languages ``und``.  Repeated rows count each.  Ids are
 not used; other columns are ignored.  An empty table gives an empty result.
@@ -156,60 +158,131 @@ def _added_up(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return at[first], n
 
 
-def _count(batches: Iterator[pa.RecordBatch], levels: range, field: np.ndarray | None, before: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    for ids, words, langs in _chunks(batches, _CHUNK):
-        vocabulary, places = pa.array(words, pa.binary()).cast(pa.string()), pa.array(langs, pa.string())
-        real = ids >= 0
+def _phrases(chunk: tuple[np.ndarray, list[bytes], list[str]], levels: range, field: np.ndarray | None,
+             before: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, place of each distinct phrase of k words, its occurrences, its print), level by level."""
+    ids, words, langs = chunk
+    word_prints = np.array([_hash(w) for w in words], dtype=np.uint64)
+    of_lang = {x: _hash(x.encode()) for x in set(langs)}
+    begin = extend(np.array([of_lang[x] for x in langs], dtype=np.uint64), word_prints)
+    at = np.flatnonzero(ids >= 0)
+    if 1 in levels:
+        place, n = _added_up(ids, at, 1)
+        yield 1, place, n, begin[ids[place]]
+    if levels[-1] == 1:
+        return
+    known = holds(field, begin)[ids[at]]  # single words are looked up once each
+    old = holds(before, begin)[ids[at]] if before is not None else np.zeros(len(at), dtype=bool)
+    at, prints, old = at[known], begin[ids[at[known]]], old[known]
+    for k in range(2, levels[-1] + 1):
+        # both parts must be known: neighbours among the places whose k - 1 words are
+        pair = np.flatnonzero(at[1:] == at[:-1] + 1)
+        pair = pair[ids[at[pair] + k - 1] >= 0] if k > 2 else pair
+        fresh = ~(old[pair] & old[pair + 1])
+        at, prints = at[pair], extend(prints[pair], word_prints[ids[at[pair] + k - 1]])
+        if k in levels and fresh.any():
+            place, n = _added_up(ids, at[fresh], k)
+            yield k, place, n, prints[np.searchsorted(at, place)]
+        if k == levels[-1] or not len(at):
+            return
+        old = holds(before, prints) if before is not None else np.zeros(len(at), dtype=bool)
+        known = holds(field, prints)
+        if before is not None:  # an expansion: what is counted now is extended now
+            known |= fresh
+        at, prints, old = at[known], prints[known], old[known]
+
+
+def _count(batches: Iterator[pa.RecordBatch], levels: range, field: np.ndarray | None, before: np.ndarray | None, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each chunk's sums as (lang, bucket, phrases, size, counts): phrases end in a line feed, the total of words is the empty one."""
+    for chunk in _chunks(batches, _CHUNK):
+        ids, words, langs = chunk
+        if not words:
+            continue
+        vocabulary = pa.array(words, pa.binary())
+        places = pa.array(langs, pa.string()).dictionary_encode()
+        lang_of = np.asarray(places.indices)
+        texts, lang, prints, counts = [], [], [], []
         if 1 in levels:
-            n = np.bincount(ids[real], minlength=len(words))
-            yield pa.record_batch({"lang": places, "words": np.ones(len(words), dtype=np.int32), "phrase": vocabulary, "n": n})
-            own = places.dictionary_encode()
-            total = np.bincount(np.asarray(own.indices), weights=n, minlength=len(own.dictionary)).astype(np.int64)
-            yield pa.record_batch({"lang": own.dictionary, "words": np.zeros(len(total), dtype=np.int32),
-                                   "phrase": pa.array([""] * len(total), pa.string()), "n": total})
-        if levels[-1] == 1 or not words:
+            total = np.bincount(lang_of[ids[ids >= 0]], minlength=len(places.dictionary))
+            texts.append(pa.array([b"\n"] * len(total), pa.binary()))
+            lang.append(np.arange(len(total)))
+            prints.append(np.zeros(len(total), dtype=np.uint64))
+            counts.append(total)
+        for k, place, n, own in _phrases(chunk, levels, field, before):
+            parts = [vocabulary.take(pa.array(ids[place + j])) for j in range(k)]
+            phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
+            texts.append(pc.binary_join_element_wise(phrase, pa.scalar(b""), b"\n"))
+            lang.append(lang_of[ids[place]])
+            prints.append(own)
+            counts.append(n)
+        if not texts:
             continue
-        word_prints = np.array([_hash(w) for w in words], dtype=np.uint64)
-        of_lang = {x: _hash(x.encode()) for x in set(langs)}
-        begin = extend(np.array([of_lang[x] for x in langs], dtype=np.uint64), word_prints)
-        prints, whole = begin[ids], real
-        inside = holds(field, prints) & whole
-        earlier = holds(before, prints) & whole if before is not None else None
-        for k in range(2, levels[-1] + 1):
-            m = len(ids) - k + 1
-            if m <= 0:
-                break
-            whole = whole[:m] & real[k - 1:]
-            wanted = whole & inside[:m] & inside[1:]
-            if before is not None:
-                wanted &= ~(earlier[:m] & earlier[1:])
-            if k in levels and wanted.any():
-                place, n = _added_up(ids, np.flatnonzero(wanted), k)
-                for s in range(0, len(place), 1 << 16):
-                    part = place[s:s + (1 << 16)]
-                    phrase = pc.binary_join_element_wise(*[vocabulary.take(pa.array(ids[part + j])) for j in range(k)], " ")
-                    yield pa.record_batch({"lang": places.take(pa.array(ids[part])), "words": np.full(len(part), k, dtype=np.int32),
-                                           "phrase": phrase, "n": n[s:s + (1 << 16)]})
-            prints = extend(prints[:m], word_prints[ids[k - 1:]])
-            inside = holds(field, prints) & whole
-            if before is not None:  # an expansion: what is counted now is extended now
-                earlier, inside = holds(before, prints) & whole, inside | wanted
-
-
-def frequent(texts: DataFrame, levels: range, field: np.ndarray | None, least: int, before: np.ndarray | None = None) -> DataFrame:
+        lang, n = np.concatenate(lang), np.concatenate(counts).astype("<i8")
+        bucket = (np.concatenate(prints) >> np.uint64(7)) % np.uint64(buckets)
+        group = lang.astype(np.int64) * buckets + bucket.astype(np.int64)
+        order = np.argsort(group, kind="stable")  # phrases with the same first word stay together, which compresses
+        group, n = group[order], n[order]
+        text = pa.concat_arrays(texts).take(pa.array(order))
+        ends, data = np.frombuffer(text.buffers()[1], dtype=np.int32)[:len(text) + 1], text.buffers()[2]
+        edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        rows = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            raw = data.slice(int(ends[a]), int(ends[b] - ends[a]))
+            rows.append((places.dictionary[int(group[a] // buckets)].as_py(), int(group[a] % buckets), pa.compress(raw, "zstd", asbytes=True), len(raw),
+                         pa.compress(n[a:b].tobytes(), "zstd", asbytes=True), b - a))
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64()))],
+                              names=["lang", "bucket", "phrases", "size", "counts", "number"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The sums of a (lang, bucket) over all chunks, from ``least`` on; rows come in order."""
+    def merged(lang: str, rows: list[tuple]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(pa.decompress(p, size, "zstd", asbytes=True) for p, size, _, _ in rows), dtype=np.uint8)
+        n = np.concatenate([np.frombuffer(pa.decompress(c, 8 * k, "zstd", asbytes=True), dtype="<i8") for _, _, c, k in rows])
+        ends = np.concatenate(([0], np.flatnonzero(data == 10) + 1)).astype(np.int64)
+        phrase = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        sums = pa.table({"phrase": phrase, "n": n}).group_by("phrase").aggregate([("n", "sum")])
+        total = pc.equal(sums["phrase"], pa.scalar(b"\n", pa.large_binary()))
+        sums, total = (x.filter(pc.or_(pc.greater_equal(sums["n_sum"], least), total)) for x in (sums, total))
+        text = pc.utf8_rtrim(sums["phrase"].cast(pa.large_string()).cast(pa.string()), "\n").combine_chunks()
+        words = pc.add(pc.count_substring(text, " "), 1)
+        words = pc.if_else(total.combine_chunks(), 0, words).cast(pa.int32())
+        return pa.record_batch([pa.array([lang] * len(text), pa.string()), words, text, sums["n_sum"].combine_chunks()], names=["lang", "words", "phrase", "n"])
+
+    at, held = None, []
+    for batch in batches:
+        for lang, bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (lang, bucket) != at and held:
+                yield merged(at[0], held)
+                held = []
+            at = (lang, bucket)
+            held.append(row)
+    if held:
+        yield merged(at[0], held)
+
+
+def bucket_number(words: int) -> int:
+    """How many buckets (a power of two) the phrases of a language are dealt into, for so many words in all."""
+    return min(max(1 << (int(words) // _CHUNK).bit_length(), 16), 1 << 18)
+
+
+def frequent(texts: DataFrame, levels: range, field: np.ndarray | None, least: int, before: np.ndarray | None = None, buckets: int = 16) -> DataFrame:
     """(lang, words, phrase, n) from ``least`` occurrences on, of the phrases whose parts are in ``field``.
 
-    With ``before``, an expansion: only phrases with a part outside it, and parts may also be phrases counted here.  Level 1 counts every word and gives each language's total as the row of 0 words.
+    With ``before``, an expansion: only phrases with a part outside it, and parts may also be phrases counted here.  Level 1
+    counts every word and gives each language's total as the row of 0 words.
     """
-    sc = texts.sparkSession.sparkContext
-    sent = sc.broadcast((field, before))  # at most 2 * ``MOST_SLOTS`` slots
+    sent = texts.sparkSession.sparkContext.broadcast((field, before))  # at most 2 * ``MOST_SLOTS`` slots
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _count(batches, levels, *sent.value)
+        return _count(batches, levels, *sent.value, buckets)
 
-    return (texts.mapInArrow(counted, "lang string, words int, phrase string, n long")
-            .repartition("lang", "phrase")  # chunks are added up already: a second table of sums before the shuffle would only take memory
-            .groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0)))
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _merge(batches, least)
+
+    return (texts.mapInArrow(counted, "lang string, bucket int, phrases binary, size long, counts binary, number long")
+            .repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+            .mapInArrow(merged, "lang string, words int, phrase string, n long"))
 
 
 def outside(phrases: DataFrame, field: np.ndarray) -> DataFrame:
@@ -224,14 +297,16 @@ def outside(phrases: DataFrame, field: np.ndarray) -> DataFrame:
     return phrases.select("lang", "phrase").mapInArrow(missing, "lang string, phrase string")
 
 
-def propose(sample: DataFrame, least: int, most_words: int = MOST_WORDS) -> np.ndarray:
-    """The field of the sample's phrases of up to ``most_words`` - 1 words, mined level by level."""
-    found = cut_lineage(frequent(sample, range(1, 2), None, least).where("words = 1"))
+def propose(sample: DataFrame, least: int, most_words: int = MOST_WORDS) -> tuple[np.ndarray, int]:
+    """The field of the sample's phrases of up to ``most_words`` - 1 words, mined level by level, and the sample's number of buckets."""
+    found = cut_lineage(frequent(sample, range(1, 2), None, least))
+    buckets = bucket_number(found.where("words = 0").agg(F.sum("n")).first()[0] or 0)
+    found = found.where("words = 1")
     field = build_field(found)
     for k in range(2, most_words):
-        found = found.unionByName(cut_lineage(frequent(sample, range(k, k + 1), field, least)))
+        found = found.unionByName(cut_lineage(frequent(sample, range(k, k + 1), field, least, buckets=buckets)))
         field = build_field(found)
-    return field
+    return field, buckets
 
 
 def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, most_words: int = MOST_WORDS, share: int = SHARE,
@@ -243,14 +318,14 @@ def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, most_words: int =
                        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(share)).alias("part"))
     texts, expected = rows.select("lang", "text"), min_count / share
     least = max(2, int(expected - SLACK * expected ** 0.5))
-    field = propose(cut_lineage(rows.where("part = 0").select("lang", "text")), least, most_words)
-    found = cut_lineage(frequent(texts, range(1, most_words + 1), field, min_count))
+    field, buckets = propose(cut_lineage(rows.where("part = 0").select("lang", "text")), least, most_words)
+    found = cut_lineage(frequent(texts, range(1, most_words + 1), field, min_count, buckets=buckets * share))
     failed = cut_lineage(outside(found.where(F.col("words").between(1, most_words - 1)), field))
     if not failed.limit(1).count():
         return found
     # The expansion closes the set: a frequent phrase has frequent parts, and each of them is in the old field, a failure
     # (now in the wider field), or counted by the expansion itself, shorter ones first.
-    closed = frequent(texts, range(2, most_words + 1), build_field(failed, field), min_count, before=field)
+    closed = frequent(texts, range(2, most_words + 1), build_field(failed, field), min_count, before=field, buckets=buckets)
     return found.unionByName(cut_lineage(closed))
 
 

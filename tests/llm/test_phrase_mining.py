@@ -89,7 +89,7 @@ def test_border_failures_are_expanded(spark, monkeypatch):
     """A sample that proposes nothing: every frequent phrase is a failure, and the expansion finds all."""
     rows = texts()
     empty = np.zeros(1 << 10, dtype=np.uint64)
-    monkeypatch.setattr(P, "propose", lambda sample, least, most_words: empty)
+    monkeypatch.setattr(P, "propose", lambda sample, least, most_words: (empty, 16))
     passes, real = [], P.frequent
     monkeypatch.setattr(P, "frequent", lambda *a, **k: passes.append(k) or real(*a, **k))
     got = P.collocations(docs_of(spark, rows), min_count=25, top=40)
