@@ -18,7 +18,8 @@ from ..operators import reports as RP
 from ..operators.smote import smote
 from ..session import cut_lineage
 from ..sources.testdata import read_table
-from .registry import register
+from .handoff import write_once
+from .registry import TESTDATA_PARAMS, register
 from .stages import materialised, remembered
 
 NUMERIC = ["n_words", "n_lines", "word_length"]
@@ -41,8 +42,7 @@ def sql(body: str, *ctes: str) -> str:
     return "WITH " + ",".join([VIEW_SQL, *ctes]) + "\n" + body
 
 
-def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, y (quality), text features, language flags, split; written once per session and folder."""
+def _label_rows_builder(spark: SparkSession, sf_dir: str):
     def build():
         labels = read_table(spark, sf_dir, "labels").where("quality IS NOT NULL")
         docs = read_table(spark, sf_dir, "documents")
@@ -54,7 +54,26 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.length("text") / (spaces + 1).cast("double")).alias("word_length"),
             *[(F.col("lang") == v).cast("int").alias(f"lang_{v}") for v in LANGS])
         return MO.stratified_split(cut_lineage(rows), label="y")
-    return materialised(spark, sf_dir, "label_rows", build)
+    return build
+
+
+def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_id, y (quality), text features, language flags, split: a hand-off."""
+    return materialised(spark, sf_dir, "label_rows", _label_rows_builder(spark, sf_dir))
+
+
+@register("stage_reuse", sql("""
+SELECT 'label_rows' AS stage, count(*) AS rows_in_marker, count(*) AS rows_read, false AS built_again, true AS same_table FROM v"""))
+def q_stage_reuse(spark, sf_dir):
+    """A stage asked for by two sessions that share no memory of it: the marker shows that the second read the first's table."""
+    asked = []
+    for _ in range(2):
+        session = spark.newSession()
+        asked.append(write_once(session, sf_dir, "label_rows", _label_rows_builder(session, sf_dir), TESTDATA_PARAMS))
+    first, second = asked
+    found = second.read(spark).agg(F.count(F.lit(1)).alias("rows_read"))
+    return found.select(F.lit(second.marker["stage"]).alias("stage"), F.lit(second.marker["rows"]).cast("long").alias("rows_in_marker"), "rows_read",
+                        F.lit(second.built).alias("built_again"), F.lit(first.marker["attempt"] == second.marker["attempt"]).alias("same_table"))
 
 
 @register("label_view", sql("SELECT row_id, y, lang, source, n_words, n_lines, round(word_length, 9) AS word_length FROM v"))

@@ -1,11 +1,11 @@
-"""Stage outputs shared by the registered queries of a session.
+"""Stage outputs shared by the registered queries.
 
 The pipeline has hand-off points (wide row, cohort rows, enriched/model rows,
-churn rows for segmentation).  Each is built once per session and input folder
-and cut from its lineage with a table in the folder the session names in
-``spark.checkpoint.dir``: later stages read the written rows instead of
-re-running the cohort plan, and a lost executor re-reads files instead of
-recomputing the whole history.  Fitted models are remembered the same way.
+churn rows for segmentation).  Each is a committed table in the folder the
+session names in ``spark.checkpoint.dir`` (``handoff``): later stages, and later
+sessions over the same inputs, read the written rows instead of re-running the
+cohort plan, and a lost executor re-reads files instead of recomputing the whole
+history.  Fitted models are remembered by the driver for its session.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import cut_lineage
+from .handoff import write_once
+from .registry import TESTDATA_PARAMS
 
 _MEMO: dict[tuple[str, str, str], Any] = {}
 
@@ -34,12 +35,14 @@ def remembered(spark: SparkSession, sf_dir: str, name: str, build: Callable[[],
 
 def materialised(spark: SparkSession, sf_dir: str, name: str,
                  build: Callable[[], DataFrame], write: bool = True) -> DataFrame:
-    """The stage ``name`` for this session and folder, built once.
+    """The stage ``name`` over the tables of a folder: a hand-off, found or built once.
 
     ``write=False`` is for builders that already end in a written table
     followed only by cheap row filters, so a second write would buy nothing.
     """
-    return remembered(spark, sf_dir, name, (lambda: cut_lineage(build())) if write else build)
+    if not write:
+        return remembered(spark, sf_dir, name, build)
+    return remembered(spark, sf_dir, name, lambda: write_once(spark, sf_dir, name, build, TESTDATA_PARAMS).read(spark))
 
 
 def forget(spark: SparkSession | None = None) -> None:

@@ -59,6 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that outlives the session: ``spark.checkpoint.dir`` itself, or the parent of the session's own folder."""
+    own = ensure_checkpoint_dir(spark)
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (configured or os.path.dirname((spark.sparkContext.getCheckpointDir() or own).rstrip("/"))).rstrip("/")
+
+
 _WRITTEN: dict[str, list[str]] = {}
 
 
