@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cleaning import q
-from .ranking import exact_quantiles, prefix_sums
+from .ranking import prefix_sums
+from .selection import exact_quantiles
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -119,7 +120,7 @@ def probability_summary(df: DataFrame, col: str, digits: int = 4, exact: bool =
     """count, mean, std, min, 10/50/90 % (linear interpolation), max."""
     x = q(col)
     if exact:  # order statistics from a range-partitioned rank (no one-task value map)
-        vals = exact_quantiles(df, x, [0.1, 0.5, 0.9])
+        vals = exact_quantiles(df, {"x": (x, [0.1, 0.5, 0.9])})["x"]
         pct = F.array(*[F.lit(v).cast("double") for v in vals])
     else:
         pct = F.percentile_approx(x, [0.1, 0.5, 0.9], 10000)

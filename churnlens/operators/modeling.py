@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .cleaning import q
 from .evaluation import best_threshold, pr_table
+from .exact_sums import exact_moments
 from .isotonic import IsotonicFit, fit_isotonic
-from .ranking import exact_quantiles, rank_within_groups
+from .ranking import rank_within_groups
+from .selection import exact_quantiles
 
 SPLIT, LABEL, WEIGHT = "split", "churn_flag", "class_weight"
 SPLIT_SALT = "split-42"
@@ -79,19 +81,10 @@ def stratified_split(df: DataFrame, key: str = "row_id", test_size: float = 0.20
 
 
 # --------------------------------------------------------------------------- fitted statistics
-def fit_medians(df: DataFrame, cols: Sequence[str], continuous: Sequence[str] = ()) -> dict[str, float]:
-    """Per-column median of non-null values (linear interpolation).
-
-    Flags and counts are one aggregate job, whose value->count map stays small.
-    Columns listed in ``continuous`` have a value per row, so their median comes
-    from the range-partitioned ``exact_quantiles`` instead.
-    """
-    few = [c for c in cols if c not in continuous]
-    out: dict[str, float] = {c: exact_quantiles(df, q(c), [0.5])[0] for c in cols if c in continuous}
-    if few:
-        row = df.agg(*[F.median(q(c)).alias(f"m{i}") for i, c in enumerate(few)]).first()
-        out |= {c: (None if row[f"m{i}"] is None else float(row[f"m{i}"])) for i, c in enumerate(few)}
-    return {c: out[c] for c in cols}
+def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Per-column median of non-null values (linear interpolation), all columns together."""
+    found = exact_quantiles(df, {c: (q(c), [0.5]) for c in cols})
+    return {c: found[c][0] for c in cols}
 
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -101,16 +94,8 @@ def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """(mean, population std) per column; a zero std scales by 1, like the original."""
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.avg(q(c)).alias(f"a{i}"), F.stddev_pop(q(c)).alias(f"s{i}")]
-    row = df.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(cols):
-        s = row[f"s{i}"]
-        out[c] = (float(row[f"a{i}"]), float(s) if s else 1.0)
-    return out
+    """(mean, population std) per column, whatever the order of the rows; a zero std scales by 1, like the original."""
+    return {c: (mean, std or 1.0) for c, (_, mean, std) in exact_moments(df, {c: q(c) for c in cols}).items()}
 
 
 def standardise(df: DataFrame, stats: dict[str, tuple[float, float]], suffix: str = "") -> DataFrame:

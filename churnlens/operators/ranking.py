@@ -176,30 +176,3 @@ def latest_mark(rows: DataFrame, key: Column, marks: DataFrame, at: str, take: S
     found = ranged.join(F.broadcast(carried), _PID).withColumn(out, F.coalesce(F.last("_mark", ignorenulls=True).over(inside), F.col("_carried")))
     found = found.where("_kind = 1").withColumn(out, F.when(F.col("_at").isNotNull(), F.col(out)))
     return found.select("_row.*", out)
-
-
-def exact_quantiles(df: DataFrame, col: Column, qs: Sequence[float],
-                    num_partitions: int | None = None) -> list[float | None]:
-    """Exact quantiles with linear interpolation (like ``percentile`` / ``quantile_cont``).
-
-    ``percentile`` keeps a value -> count map that a global aggregate merges
-    in one task, which for a continuous column holds every distinct value.
-    Here the non-null values are counted, ranked with the range-partitioned
-    ``global_rank`` (ties split by a row id), and only the at most two order
-    statistics around each quantile position reach the driver.
-    """
-    x = df.select(col.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    x = x.withColumn("_id", F.monotonically_increasing_id())
-    ranked = global_rank(x, [F.col("_v"), F.col("_id")], "_r", num_partitions)
-    n = ranked.count()
-    if n == 0:
-        return [None for _ in qs]
-    pos = {qv: qv * (n - 1) for qv in qs}
-    need = sorted({int(p // 1) for p in pos.values()} | {int(-(-p // 1)) for p in pos.values()})
-    at = {r["_r"] - 1: r["_v"] for r in ranked.filter(F.col("_r").isin(*[k + 1 for k in need])).collect()}
-    out = []
-    for qv in qs:
-        p = pos[qv]
-        lo, hi = int(p // 1), int(-(-p // 1))
-        out.append(at[lo] + (p - lo) * (at[hi] - at[lo]))
-    return out

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cleaning import q
-from .ranking import exact_quantiles, top_n_per_group
+from .exact_sums import exact_sums
+from .ranking import top_n_per_group
+from .selection import exact_quantiles
 
 # Pain-point themes (any keyword, lower-cased substring; a row
 # may count under several themes).
@@ -49,9 +51,12 @@ def top_values_pct(df: DataFrame, cols: Sequence[str], k: int = 5, digits: int =
 
 
 def tenure_revenue_summary(df: DataFrame, tenure: str, revenue: str) -> DataFrame:
-    """Mean and median tenure, mean and total revenue (exact, interpolated median)."""
-    return df.agg(F.avg(q(tenure)).alias("avg_tenure"), F.median(q(tenure)).alias("median_tenure"),
-                  F.avg(q(revenue)).alias("avg_revenue"), F.sum(q(revenue)).alias("total_revenue"))
+    """Mean and median tenure, mean and total revenue: exact, interpolated median, sums in any order of the rows."""
+    median = exact_quantiles(df, {"t": (q(tenure), [0.5])})["t"][0]
+    sums = exact_sums(df, {"_t": q(tenure), "_r": q(revenue)}, _nt=F.count(q(tenure)), _nr=F.count(q(revenue)))
+    mean = lambda s, n: F.when(F.col(n) > 0, F.col(s) / F.col(n))
+    return sums.select(mean("_t", "_nt").alias("avg_tenure"), F.lit(median).cast("double").alias("median_tenure"),
+                       mean("_r", "_nr").alias("avg_revenue"), F.col("_r").alias("total_revenue"))
 
 
 def segment_sizes(df: DataFrame, segment: str) -> DataFrame:
@@ -172,7 +177,7 @@ def context_report(rows: DataFrame, labelled: DataFrame, segment: str, top_colum
 
 def risk_threshold(df: DataFrame, risk: str, quantile: float = 0.8) -> float | None:
     """Exact quantile of the risk column (linear interpolation), without a one-task value map."""
-    return exact_quantiles(df, q(risk), [quantile])[0]
+    return exact_quantiles(df, {"risk": (q(risk), [quantile])})["risk"][0]
 
 
 def high_risk_top(df: DataFrame, risk: str, key: str, quantile: float = 0.8, k: int = 20) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import features as FE
 from ..operators import inference as INF
 from ..operators import modeling as MO
 from ..operators.cleaning import q
+from ..operators.exact_sums import exact_sums
 from ..operators.ranking import global_rank
 from ..sources.testdata import read_table
 from .oracle_cohort import stage1
@@ -458,8 +459,8 @@ def q_confusion_revenue(spark, sf_dir):
     s = coef_scored(spark, sf_dir)
     thr = EV.best_threshold(_val_pr(spark, sf_dir)).first()["threshold"]
     return (s.select(F.col(FE.LABEL).alias("y"), (F.col("p_churn") >= F.lit(thr)).cast("int").alias("yhat"), "starting_mrr")
-            .groupBy("y", "yhat").agg(F.round(F.sum("starting_mrr"), 2).alias("starting_mrr"),
-                                      F.count(F.lit(1)).alias("n")))
+            .transform(lambda rows: exact_sums(rows, {"starting_mrr": F.col("starting_mrr")}, [F.col("y"), F.col("yhat")], n=F.count(F.lit(1))))
+            .withColumn("starting_mrr", F.round("starting_mrr", 2)))
 
 
 # --------------------------------------------------------------------- fitted model (invariant checks)

@@ -249,11 +249,11 @@ def test_fixed_histogram_top_edge_in_last_bin(spark):
 
 
 def test_exact_quantiles_match_percentile(spark):
-    from churnlens.operators.ranking import exact_quantiles
+    from churnlens.operators.selection import exact_quantiles
     rnd = random.Random(5)
     vals = [rnd.choice([0.1, 0.25, 0.25, 0.7]) if i % 3 else rnd.random() for i in range(997)] + [None]
     df = spark.createDataFrame([(v,) for v in vals], "v DOUBLE")
-    got = exact_quantiles(df, F.col("v"), [0.0, 0.1, 0.5, 0.8, 1.0], num_partitions=5)
+    got = exact_quantiles(df, {"v": (F.col("v"), [0.0, 0.1, 0.5, 0.8, 1.0])}, bins=7)["v"]
     exp = df.agg(F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 0.1, 0.5, 0.8, 1.0)]))).first()[0]
     assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(got, exp))
 
@@ -348,9 +348,9 @@ def test_stratified_split_exact_per_class_sizes(spark):
 
 
 def test_exact_quantiles_of_few_values(spark):
-    from churnlens.operators.ranking import exact_quantiles
+    from churnlens.operators.selection import exact_quantiles
     df = spark.createDataFrame([(float(v),) for v in [5, 1, 3, 2, 4, 4]], "v DOUBLE")
-    assert exact_quantiles(df, F.col("v"), [0.5, 0.8]) == [3.5, 4.0]
+    assert exact_quantiles(df, {"v": (F.col("v"), [0.5, 0.8])}) == {"v": [3.5, 4.0]}
 
 
 def test_markdown_lines_table_shape(spark):
