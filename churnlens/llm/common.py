@@ -74,11 +74,20 @@ def bounded_share(rows: DataFrame, key: Column, most: int, by: str | None = None
     """About ``most`` rows (of each value of ``by`` but null), chosen by a hash of ``key``.
 
     One count gives the share to keep, so no rows are sorted or gathered; all
-    rows stay where there are no more.
+    rows stay where there are no more.  Rows with one key stay or go together:
+    ``bounded_rows`` bounds what they amount to.
     """
     place = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / float(1 << 30)
     if by is None:
         n = rows.count()
         return rows if n <= most else rows.where(place < most / n)
     share = rows.groupBy(F.col(by).alias("__by")).agg(F.least(F.lit(1.0), most / F.count(F.lit(1))).alias("__share"))
-    return rows.join(F.broadcast(share), rows[by] == share["__by"]).where(place < F.col("__share")).drop("__by", "__share")
+    return rows.join(share, rows[by] == share["__by"]).where(place < F.col("__share")).drop("__by", "__share")
+
+
+def bounded_rows(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` distinct (doc_id, text_key) of ``rows``, the first by a hash of both, with their other columns.
+
+    Rows repeated in full count once, so an id or a text that holds any share of the rows keeps the bound.
+    """
+    return rows.dropDuplicates(["doc_id", "text_key"]).orderBy(F.xxhash64(F.lit("rows"), "doc_id", "text_key"), "doc_id", "text_key").limit(most)

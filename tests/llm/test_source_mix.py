@@ -7,38 +7,68 @@ from corpus_docs import make_docs
 SF = "/root/testdata/sf0.01"
 
 
-def test_rates_meet_targets_and_match_brute_force(spark):
-    rng = np.random.default_rng(0)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 400)
-    n = rng.integers(0, 500, 400)
-    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>")
-    targets = [0.45, 0.35, 0.2]
-    taken = M.fit_rates(members, targets, [0])
-    least = [1.0, 0.0, 0.0]
-    x = np.array([r[0] for r in members.select(M._rate(F.col("p"), taken, least)).collect()])
-    rows = np.array([[r.n_tokens, *r.p] for r in members.collect()])
-    n, p = rows[:, 0], rows[:, 1:]
-    brute = np.ones(len(n))
-    for g in taken:
-        brute = np.maximum(np.array(least)[p.argmax(axis=1)], brute - p @ g)
-    assert np.allclose(x, brute) and (x >= 0).all() and (x[p.argmax(axis=1) == 0] >= 1).all()
-    got = (n * x) @ p
-    assert np.allclose(got / got.sum(), targets, atol=1e-6)
-
-
-def test_unreachable_targets_end_at_the_constrained_optimum(spark):
-    rng = np.random.default_rng(0)
-    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(rng.integers(1, 500, 300), rng.dirichlet([0.3] * 3, 300))],
+def fitted(spark, seed, targets, whole, size=400, sharp=0.3):
+    rng = np.random.default_rng(seed)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(rng.integers(0, 500, size), rng.dirichlet([sharp] * 3, size))],
                                     "n_tokens long, p array<double>")
-    targets, least = [0.9, 0.09, 0.01], [1.0, 1.0, 0.0]
-    taken = M.fit_rates(members, targets, [0, 1], steps=40)
-    rows = np.array([[r.n_tokens, *r.p, r.x] for r in members.withColumn("x", M._rate(F.col("p"), taken, least)).collect()])
+    fit = M.fit_rates(members, targets, whole)
+    least = [float(d in whole) for d in range(3)]
+    rows = np.array([[r.n_tokens, *r.p, r.x] for r in members.withColumn("x", M._rate(F.col("p"), fit.g, least)).collect()])
     n, p, x = rows[:, 0], rows[:, 1:4], rows[:, 4]
     low = np.array(least)[p.argmax(axis=1)]
-    mass, held = (p * n[:, None]).T @ p, n @ p
-    total = M.HEADROOM * max(held.sum(), held[0] / 0.9, held[1] / 0.09)
-    slope = p @ np.linalg.inv(mass) @ ((n * x) @ p - total * np.array(targets))
-    assert (x >= low).all() and np.abs(x - np.maximum(low, x - slope)).max() < 0.1 * x.max()
+    assert (x >= low).all()
+    return fit, n, p, x, low
+
+
+def check_optimal(fit, n, p, x, low):
+    """The conditions of a convex optimum, from the rates alone: free documents have no slope, bound ones a slope into the bound."""
+    mass = (p * n[:, None]).T @ p
+    mu = np.linalg.solve(mass, (n * x) @ p - fit.wanted)
+    slope = M.RIDGE * (x - 1) + p @ mu
+    scale = M.RIDGE * np.abs(x).max()
+    assert np.abs(slope[(x > low) & (n > 0)]).max(initial=0) < 1e-2 * scale + 1e-9
+    assert (slope[x == low] > -1e-2 * scale - 1e-9).all()
+    assert fit.off <= M.OPTIMALITY
+
+
+def test_rates_meet_targets_as_near_to_one_copy_as_can_be(spark):
+    for seed in range(3):
+        fit, n, p, x, low = fitted(spark, seed, [0.45, 0.35, 0.2], [0])
+        got = (n * x) @ p
+        assert np.allclose(got / got.sum(), [0.45, 0.35, 0.2], atol=1e-6) and fit.residual < 1e-6
+        check_optimal(fit, n, p, x, low)
+        # any other rates that meet the targets are farther from one copy: random directions that keep the totals
+        rng, used = np.random.default_rng(seed), n > 0
+        for _ in range(20):
+            d = rng.normal(size=len(x)) * (x > low) * used
+            a = (p * n[:, None])[used].T
+            d[used] -= np.linalg.lstsq(a, a @ d[used], rcond=None)[0] * ((x > low)[used])
+            other = np.maximum(x + 0.05 * d, low)
+            if np.allclose((n * other) @ p, got, rtol=1e-6):
+                assert (n * (other - 1) ** 2).sum() > (n * (x - 1) ** 2).sum() - 1e-6
+
+
+def test_sharp_targets_end_at_the_constrained_optimum(spark):
+    """Targets that two whole domains make hard or impossible: optimal all the same, and the residual tells."""
+    for seed in range(6):
+        fit, n, p, x, low = fitted(spark, seed, [0.9, 0.09, 0.01], [0, 1], size=300)
+        check_optimal(fit, n, p, x, low)
+        got = (n * x) @ p
+        assert abs(fit.residual - np.abs(got / got.sum() - [0.9, 0.09, 0.01]).max()) < 1e-9
+
+
+def test_a_repeated_id_keeps_the_sample_bounded(spark):
+    """One labelled id on most rows, all texts different: the rows that are fitted on stay within twice the sample."""
+    docs = spark.range(6000).select(F.when(F.col("id") < 5000, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    labelled = spark.createDataFrame([(1, "good"), (5500, "toxic"), (5501, "toxic")], "doc_id long, domain string")
+    seen = []
+    real = M.bounded_rows
+    M.bounded_rows = lambda rows, most: seen.append(real(rows, most)) or seen[-1]
+    try:
+        model = M.fit_domains(docs, labelled, sample=50)
+    finally:
+        M.bounded_rows = real
+    assert seen[0].count() == 100 and model.domains
 
 
 def test_labelled_table_separates_domains(spark):
