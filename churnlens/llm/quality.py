@@ -1,16 +1,19 @@
 """Quality classifier learned from positive and unlabelled text (nnPU).
 
-Trusted positives are labelled rows of quality 1; unlabelled text is any document,
-whatever its label (labels of quality 0 are never read).  Both are bounded,
-hash-chosen shares of the training folds (``sample`` documents each).
-1. A first model separates positives from unlabelled text; the class prior is the
+Trusted positives are labelled rows of quality 1 (labels of quality 0 are never
+read), unlabelled text is any document, whatever its label.  Statistics of every
+text are taken once and kept in a narrow table.
+1. Their cuts are quantiles over all rows of the training folds.
+2. A first model separates positives from unlabelled text; the class prior is the
    best bin estimate: the least ratio of the shares of unlabelled and positive
-   documents above a score, on the half that the model has not seen.
-2. The classifier minimises the non-negative unbiased risk
-   prior * E+[l(f)] + max(0, Eu[l(-f)] - prior * E+[l(-f)]) with the logistic loss.
-
-Features are text statistics, cut at quantiles of the unlabelled sample; a score
-uses the text only.  Null and empty texts are scored like any other; without a
+   documents above a score.  It counts all training rows of the half that the model
+   has not seen.
+3. The classifier minimises the non-negative unbiased risk
+   prior * E+[l(f)] + max(0, Eu[l(-f)] - prior * E+[l(-f)]) with the logistic loss,
+   over samples of at most 2 * ``sample`` distinct (id, text) of each kind, chosen by
+   a hash.
+
+A score uses the text only.  Null and empty texts are scored like any other; without a
 trusted positive every score is the prior 0.5.  Rows are scored one by one, so
 repeated rows get equal scores; an empty table gives an empty result; other
 columns are ignored.
@@ -26,7 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_share, fold, keyed
+from ..operators.selection import exact_quantiles
+from ..session import cut_lineage
+from .common import bounded_rows, bounded_share, fold, keyed
 
 SAMPLE, BINS, THRESHOLD = 8000, 12, 0.3
 STEPS, L2 = 1000, 1e-5
@@ -82,27 +87,28 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """Best bin estimate from scores of positives and unlabelled documents."""
-    at = np.unique(positive)
-    above = lambda s: 1 - np.searchsorted(np.sort(s), at, side="left") / len(s)
-    p, u = above(positive), above(unlabelled)
-    slack = np.sqrt(np.log(4 / delta) / (2 * len(positive))) + np.sqrt(np.log(4 / delta) / (2 * len(unlabelled)))
+def class_prior(positive: np.ndarray, at: np.ndarray, above: np.ndarray, total: float, delta: float = 0.1) -> float:
+    """Best bin estimate from the positives' scores and how many of ``total`` unlabelled documents score ``at`` or more."""
+    p = 1 - np.searchsorted(np.sort(positive), at, side="left") / len(positive)
+    u = above / total
+    slack = np.sqrt(np.log(4 / delta) / (2 * len(positive))) + np.sqrt(np.log(4 / delta) / (2 * total))
     best = np.argmin((u + slack) / p)
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS, l2: float = L2) -> QualityModel:
-    """Fit on the statistics of both samples, in any fixed order."""
-    cuts = tuple(np.unique(np.quantile(unlabelled[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) for i in range(unlabelled.shape[1]))
-    xp, xu = _design(positive, cuts), _design(unlabelled, cuts)
-    a, b = xp[::2], xu[::2]
+def fit_apart(positive: np.ndarray, unlabelled: np.ndarray, cuts: tuple[np.ndarray, ...], steps: int = STEPS) -> np.ndarray:
+    """Weights that tell positives from unlabelled documents."""
+    a, b = _design(positive, cuts), _design(unlabelled, cuts)
 
-    def apart(w):  # positives against unlabelled
+    def apart(w):
         return a.T @ (_sigmoid(a @ w) - 1) / len(a) + b.T @ _sigmoid(b @ w) / len(b) + 1e-2 * w
 
-    first = _descend(apart, xp.shape[1], steps)
-    prior = class_prior(xp[1::2] @ first, xu[1::2] @ first) if len(xp) > 1 and len(xu) > 1 else 0.5
+    return _descend(apart, a.shape[1], steps)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, cuts: tuple[np.ndarray, ...], prior: float, steps: int = STEPS, l2: float = L2) -> QualityModel:
+    """Minimise the non-negative risk on the statistics of both samples, in any fixed order."""
+    xp, xu = _design(positive, cuts), _design(unlabelled, cuts)
 
     def risk(w):  # slope of the non-negative risk
         up, uu = _sigmoid(xp @ w), _sigmoid(xu @ w)
@@ -115,36 +121,70 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS, l2: fl
     return QualityModel(cuts, _descend(risk, xp.shape[1], steps), prior)
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int = SAMPLE) -> QualityModel | None:
-    """Fit on bounded shares of the rows outside the held-out fold; only their statistics reach the driver."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, s (the statistics): one pass over the texts, written."""
     @F.pandas_udf("array<double>")
     def statistics_of(texts: pd.Series) -> pd.Series:
         return texts.map(statistics)
 
-    training = keyed(docs).where(fold(F.col("doc_id")) != held_out_fold)
+    return cut_lineage(keyed(docs).select("doc_id", "text_key", statistics_of("text").alias("s")))
+
+
+def learn(rows: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int = SAMPLE) -> QualityModel | None:
+    """Fit on the measured rows outside the held-out fold; at most 2 * ``sample`` rows of either kind reach the driver."""
+    training = rows.where(fold(F.col("doc_id")) != held_out_fold)
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("__id")).where(
         fold(F.col("__id")) != held_out_fold).distinct()
     trusted = bounded_share(trusted, F.col("__id"), sample).orderBy(F.xxhash64("__id"), "__id").limit(2 * sample)
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id", "text_key"), F.lit(2))
     # the broadcast side holds at most 2 * ``sample`` ids
-    texts = {"p": training.join(F.broadcast(trusted), training["doc_id"] == F.col("__id"), "left_semi"),
-             "u": bounded_share(training, F.col("doc_id"), sample)}
-    found = {k: np.array(sorted(r["s"] for r in t.select(statistics_of("text").alias("s")).collect())) for k, t in texts.items()}
+    kinds = {"p": training.join(F.broadcast(trusted), training["doc_id"] == F.col("__id"), "left_semi"),
+             "u": bounded_share(training, F.xxhash64("doc_id", "text_key"), sample)}
+    found = {}
     rng = np.random.default_rng(0)  # a fixed order, whatever the partitions
-    found = {k: rng.permutation(x) for k, x in found.items()}
-    return fit(found["p"], found["u"]) if len(found["p"]) and len(found["u"]) else None
+    for k, t in kinds.items():
+        got = sorted((r["h"], r["s"]) for r in bounded_rows(t, 2 * sample).select(half.alias("h"), "s").collect())
+        order = rng.permutation(len(got))
+        found[k] = (np.array([got[i][0] for i in order]), np.array([got[i][1] for i in order]))
+    (hp, xp), (hu, xu) = found["p"], found["u"]
+    if not len(xp) or not len(xu):
+        return None
+    wanted = {str(i): (F.col("s")[i], np.linspace(0, 1, BINS + 1)[1:-1].tolist()) for i in range(len(NAMES))}
+    quantiles = exact_quantiles(training, wanted, bins=256)
+    cuts = tuple(np.unique(quantiles[str(i)]) for i in range(len(NAMES)))
+    prior = 0.5
+    if len(set(hp)) == 2 and (hu == 0).any():
+        first = fit_apart(xp[hp == 0], xu[hu == 0], cuts)
+        positive = _design(xp[hp == 1], cuts) @ first
+        at = np.unique(positive)  # at most 2 * ``sample`` scores
+
+        @F.pandas_udf("int")
+        def reached(stats: pd.Series) -> pd.Series:
+            if not len(stats):
+                return pd.Series([], dtype="int32")
+            return pd.Series(np.searchsorted(at, _design(np.stack(stats.to_numpy()), cuts) @ first, side="right").astype(np.int32))
+
+        counts = training.where(half == 1).select(reached("s").alias("k")).groupBy("k").count().collect()
+        seen = np.zeros(len(at) + 1)
+        for k, n in counts:
+            seen[k] = n
+        if seen.sum():
+            prior = class_prior(positive, at, np.cumsum(seen[::-1])[::-1][1:], seen.sum())
+    return fit(xp, xu, cuts, prior)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int = SAMPLE) -> DataFrame:
     """doc_id, text_key, held_out, score, predicted (1 from 0.3 on), prior (the estimated class prior)."""
-    model = learn(docs, labels, held_out_fold, sample)
+    rows = measured(docs)
+    model = learn(rows, labels, held_out_fold, sample)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        if model is None or not len(texts):
-            return pd.Series(np.full(len(texts), 0.5))
-        return pd.Series(model.score(np.array([statistics(t) for t in texts])))
+    def scored(stats: pd.Series) -> pd.Series:
+        if model is None or not len(stats):
+            return pd.Series(np.full(len(stats), 0.5))
+        return pd.Series(model.score(np.stack(stats.to_numpy())))
 
-    rows = keyed(docs).select("doc_id", "text_key", scored("text").alias("score"))
+    rows = rows.select("doc_id", "text_key", scored("s").alias("score"))
     return rows.select("doc_id", "text_key", F.coalesce(fold(F.col("doc_id")) == held_out_fold, F.lit(False)).alias("held_out"),
                        "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
                        F.lit(model.prior if model else 0.5).alias("prior"))
