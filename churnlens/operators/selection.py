@@ -3,8 +3,8 @@
 The values of a column between two bounds are counted in ``BINS`` equal bins; the
 bin that holds the wanted rank is known from the counts, and its least and
 greatest value are the next bounds.  A rank is settled once they are equal.  Each
-round is one narrow aggregate for all open ranks of all columns and brings at most
-``BINS`` rows for each to the driver.  Columns with fewer distinct values than bins
+round is one narrow aggregate over up to ``SPANS`` pairs of bounds, of any columns,
+and brings at most ``BINS`` rows for each to the driver.  Columns with fewer distinct values than bins
 settle in the first round; others narrow by ``BINS`` each round.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 2048
+BINS, SPANS = 2048, 64
 _MAX = 1.7976931348623157e308
 
 
@@ -36,7 +36,7 @@ def select_ranks(df: DataFrame, columns: Mapping[str, Column], ranks: Mapping[st
         open_ranks = {k: v for k, v in open_ranks.items() if k not in found}
         if not open_ranks:
             return found
-        spans = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_ranks.items()})
+        spans = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_ranks.items()})[:SPANS]  # the others wait for a later round
         parts = []
         for i, (c, lo, hi) in enumerate(spans):
             x, half = columns[c], 0.5 if math.isinf(hi - lo) else 1.0  # the difference may pass the largest double
@@ -49,6 +49,8 @@ def select_ranks(df: DataFrame, columns: Mapping[str, Column], ranks: Mapping[st
             histogram[r["span"]].append((r["bin"], r["n"], r["lo"], r["hi"]))
         number = {span: i for i, span in enumerate(spans)}
         for key, (lo, hi, rank) in open_ranks.items():
+            if (key[0], lo, hi) not in number:
+                continue
             for _, n, least, greatest in sorted(histogram[number[key[0], lo, hi]]):
                 if rank < n:
                     open_ranks[key] = (least, greatest, rank)
