@@ -150,7 +150,7 @@ def learn(rows: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: in
     if not len(xp) or not len(xu):
         return None
     wanted = {str(i): (F.col("s")[i], np.linspace(0, 1, BINS + 1)[1:-1].tolist()) for i in range(len(NAMES))}
-    quantiles = exact_quantiles(training, wanted, bins=256)
+    quantiles = exact_quantiles(training, wanted, bins=128)
     cuts = tuple(np.unique(quantiles[str(i)]) for i in range(len(NAMES)))
     prior = 0.5
     if len(set(hp)) == 2 and (hu == 0).any():
