@@ -1,11 +1,14 @@
 """Stage 3: cancellation-reason segments of churned customers.
 
-Text -> embedding -> KMeans -> PCA, all as MLlib transformers over
-DataFrames.  The default embedder is JVM-side (tokenise, feature hashing,
-L2 normalise), so no Python runs per row; a model-backed embedder can be
-plugged in and runs in Arrow batches through ``mapInPandas`` on the
-executors.  Cluster labels are renumbered by size, so they do not depend on
-MLlib's internal centre order.
+Text -> embedding -> k-means -> PCA over DataFrames.  The default embedder is
+JVM-side (tokenise, hash words into buckets, L2 normalise), so no Python runs
+per row; a model-backed embedder can be plugged in and runs in Arrow batches
+through ``mapInPandas`` on the executors.
+
+Clustering works on whole numbers.  Coordinates are fixed-point, so sums,
+centres and distances are exact: labels hang on the rows and the seed, not on
+partitions or the order of additions, and plain SQL gives the same.  Labels are
+renumbered by size.
 """
 
 from __future__ import annotations
@@ -14,8 +17,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +64,14 @@ def profile_text(df: DataFrame, columns: Sequence[str] = TEXT_FEATURES) -> Colum
 
 # --------------------------------------------------------------------------- embeddings
 def hashing_embedding(df: DataFrame, text: str, out: str, dim: int) -> DataFrame:
-    """Lower-cased word tokens hashed into ``dim`` buckets, L2-normalised (JVM only)."""
-    tok = RegexTokenizer(inputCol=text, outputCol=f"_{out}_tok", pattern=r"\W+", toLowercase=True)
-    tf = HashingTF(inputCol=f"_{out}_tok", outputCol=f"_{out}_tf", numFeatures=dim)
-    norm = Normalizer(inputCol=f"_{out}_tf", outputCol=out, p=2.0)
-    return norm.transform(tf.transform(tok.transform(df))).drop(f"_{out}_tok", f"_{out}_tf")
+    """Lower-cased word tokens hashed into ``dim`` buckets by their md5, L2-normalised (JVM only)."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(q(text).cast("string"), F.lit(""))), r"[^0-9A-Za-z_]+"), "")
+    bucket = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter("_buckets", lambda b: b == d)))
+    norm = F.sqrt(F.aggregate("_counts", F.lit(0).cast("bigint"), lambda a, n: a + n.cast("bigint") * n).cast("double"))
+    d = df.withColumn("_buckets", F.transform(words, bucket)).withColumn("_counts", counts).withColumn("_norm", norm)
+    unit = F.transform("_counts", lambda n: F.when(F.col("_norm") > 0, n / F.col("_norm")).otherwise(0.0))
+    return d.withColumn(out, array_to_vector(unit)).drop("_buckets", "_counts", "_norm")
 
 
 def model_embedding(df: DataFrame, text: str, out: str, dim: int, embedder: Embedder,
@@ -102,31 +107,75 @@ def embed(df: DataFrame, embedder: Embedder | None = None, profile_dim: int = PR
 
 
 # --------------------------------------------------------------------------- clustering
+FIXED = 1 << 20  # fixed-point units in 1
+MAX_ROUNDS = 100
+
+
+def _fixed(features: str) -> Column:
+    return F.transform(vector_to_array(F.col(features)), lambda v: F.floor(v * FIXED + 0.5))
+
+
+def _square_distance(x: str, centre: Sequence[int]) -> Column:
+    return sum(((F.col(x)[i] - F.lit(int(c))) * (F.col(x)[i] - F.lit(int(c))) for i, c in enumerate(centre)), F.lit(0).cast("bigint"))
+
+
+def _nearest(x: str, centres: Sequence[Sequence[int]]) -> Column:
+    """Number of the nearest centre, the first of equals."""
+    return F.array_min(F.array(*[F.struct(_square_distance(x, c).alias("d"), F.lit(i).alias("k")) for i, c in enumerate(centres)]))["k"]
+
+
+def seed_centres(rows: DataFrame, k: int, seed: int, key: str = "row_id", x: str = "_x") -> list[list[int]]:
+    """Up to ``k`` rows, each drawn with a weight of its squared distance from those before (k-means++).
+
+    Every row gets an exponential key: minus the logarithm of a hash in (0, 1],
+    over its weight.  The row with the least key is a draw with just these
+    weights, so a draw is one minimum over the rows in any order.
+    """
+    centres: list[list[int]] = []
+    for draw in range(k):
+        digest = F.md5(F.concat_ws("|", q(key).cast("string"), F.lit(str(seed)), F.lit(str(draw))))
+        unit = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") + 1) / F.lit(float(1 << 48))
+        weight = F.least(*[_square_distance(x, c) for c in centres], F.lit((1 << 62))) if centres else F.lit(1)
+        row = rows.select((-F.log(unit) / weight).alias("e"), q(key).alias("id"), F.col(x).alias("x"), weight.alias("w")).where("w > 0").agg(
+            F.min(F.struct("e", "id", "x")).alias("least")).first()["least"]
+        if row is None:  # every row is a centre already
+            break
+        centres.append([int(v) for v in row["x"]])
+    return centres
+
+
 def cluster(df: DataFrame, k: int = N_SEGMENTS, seed: int = SEED, features: str = "embedding",
-            out: str = SEGMENT) -> tuple[DataFrame, list[list[float]]]:
-    """KMeans with k clamped to the row count; labels 1..k ordered by segment size
-    (largest first, ties by centre).  Returns rows with labels and the centres
-    in label order."""
+            out: str = SEGMENT, key: str = "row_id") -> tuple[DataFrame, list[list[float]]]:
+    """k-means with k clamped to the number of distinct rows; labels 1..k ordered by segment size
+    (largest first, ties by centre).  Returns rows with labels and the centres in label order.
+
+    A round assigns rows to the nearest centre and moves every centre to the mean
+    of its rows, rounded down to fixed point, until no centre moves.  A centre
+    without rows goes.
+    """
     if k < 1:
         raise ValueError("n_clusters must be >= 1")
-    n = df.count()
-    if n == 0:
+    rows = df.withColumn("_x", _fixed(features))
+    centres = seed_centres(rows, k, seed, key)
+    if not centres:
         raise ValueError("No embeddings available for clustering.")
-    k = min(k, n)
-    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="_cluster").fit(df)
-    labelled = model.transform(df)
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    sizes = {r[0]: r[1] for r in labelled.groupBy("_cluster").count().collect()}  # <= k rows
+    for _ in range(MAX_ROUNDS):
+        sums = [F.sum(F.col("_x")[i]).alias(f"s{i}") for i in range(len(centres[0]))]
+        found = rows.groupBy(_nearest("_x", centres).alias("_k")).agg(F.count(F.lit(1)).alias("n"), *sums).orderBy("_k").collect()  # <= k rows
+        before, centres = centres, [[int(r[f"s{i}"]) // int(r["n"]) for i in range(len(sums))] for r in found]
+        if centres == before:
+            break
+    sizes = {r["_k"]: r["n"] for r in found}
+    if centres != before:  # the rounds ran out: sizes of the last assignment
+        sizes = {r[0]: r[1] for r in rows.groupBy(_nearest("_x", centres).alias("_k")).count().collect()}
     order = sorted(range(len(centres)), key=lambda i: (-sizes.get(i, 0), centres[i]))
-    relabel = {old: new + 1 for new, old in enumerate(order)}
-    mapping = F.create_map(*[F.lit(x) for kv in relabel.items() for x in kv])
-    return (labelled.withColumn(out, mapping[F.col("_cluster")]).drop("_cluster"),
-            [centres[i] for i in order])
+    label = F.array_position(F.array(*[F.lit(i) for i in order]), _nearest("_x", centres)).cast("int")
+    return rows.withColumn(out, label).drop("_x"), [[c / FIXED for c in centres[i]] for i in order]
 
 
 def nearest_centre_violations(df: DataFrame, centres: list[list[float]], features: str = "embedding",
                               label: str = SEGMENT) -> Column:
-    """Count of rows whose assigned centre is farther than another centre (tolerance 1e-9)."""
+    """Count of rows whose assigned centre is farther than another centre (by more than fixed point tells apart)."""
     x = vector_to_array(F.col(features))
 
     def sqdist(c: list[float]) -> Column:
@@ -135,7 +184,7 @@ def nearest_centre_violations(df: DataFrame, centres: list[list[float]], feature
     dists = [sqdist(c) for c in centres]
     best = F.least(*dists) if len(dists) > 1 else dists[0]
     own = F.element_at(F.array(*dists), F.col(label).cast("int"))
-    return F.count_if(own > best + F.lit(1e-9))
+    return F.count_if(own > best + F.lit(1e-4))
 
 
 def pca_2d(df: DataFrame, features: str = "embedding", k: int = 2) -> DataFrame:

@@ -137,7 +137,69 @@ def q_reason_segments(spark, sf_dir):
                    SG.nearest_centre_violations(lab, centres).alias("not_nearest"))
 
 
-@register("segment_labels")
+_DIMS = SG.PROFILE_DIM + SG.REASON_DIM
+_TOKENS = "list_filter(regexp_split_to_array(lower({t}), '[^0-9A-Za-z_]+'), lambda w: w <> '')"
+_BUCKET = "CAST('0x' || left(md5(w), 8) AS BIGINT) % {dim}"
+
+
+def _vector_sql(text: str, dim: int) -> str:
+    counts = f"list_transform(range(0, {dim}), lambda d: len(list_filter(list_transform({_TOKENS.format(t=text)}, lambda w: {_BUCKET.format(dim=dim)}), lambda b: b = d)))"
+    return counts
+
+
+EMB_CTE = f"""
+counted AS (
+  SELECT row_id, {_vector_sql(PROFILE_SQL, SG.PROFILE_DIM)} AS a, {_vector_sql('SWAT_CANCEL_SUMMARY', SG.REASON_DIM)} AS b FROM seg_in),
+unit AS (
+  SELECT row_id, list_concat(list_transform(a, lambda n: CASE WHEN na > 0 THEN n / na ELSE 0.0::DOUBLE END),
+                             list_transform(b, lambda n: CASE WHEN nb > 0 THEN n / nb ELSE 0.0::DOUBLE END)) AS v
+  FROM (SELECT *, sqrt(CAST(list_sum(list_transform(a, lambda n: n * n)) AS DOUBLE)) AS na,
+               sqrt(CAST(list_sum(list_transform(b, lambda n: n * n)) AS DOUBLE)) AS nb FROM counted) t)"""
+
+# the same seeds and rounds, one row a coordinate; 60 rounds are far beyond the last move
+LLOYD_CTE = f"""
+x AS (SELECT row_id, unnest(range(0, {_DIMS})) AS d, CAST(floor(unnest(v) * {SG.FIXED} + 0.5) AS BIGINT) AS v FROM unit),
+u AS (
+  SELECT row_id, j, (CAST('0x' || left(md5(row_id || '|{SG.SEED}|' || j), 12) AS BIGINT) + 1) / CAST({1 << 48} AS DOUBLE) AS u
+  FROM unit, (SELECT unnest([0, 1, 2]) AS j) t),
+s0 AS (SELECT row_id FROM u WHERE j = 0 ORDER BY -ln(u), row_id LIMIT 1),
+d0 AS (SELECT x.row_id, sum((x.v - c.v) * (x.v - c.v)) AS w FROM x JOIN x c ON x.d = c.d WHERE c.row_id = (SELECT row_id FROM s0) GROUP BY x.row_id),
+s1 AS (SELECT d0.row_id FROM d0 JOIN u ON u.row_id = d0.row_id AND j = 1 WHERE w > 0 ORDER BY -ln(u) / w, d0.row_id LIMIT 1),
+d1 AS (
+  SELECT x.row_id, least(max(d0.w), sum((x.v - c.v) * (x.v - c.v))) AS w FROM x JOIN x c ON x.d = c.d JOIN d0 ON d0.row_id = x.row_id
+  WHERE c.row_id = (SELECT row_id FROM s1) GROUP BY x.row_id),
+s2 AS (SELECT d1.row_id FROM d1 JOIN u ON u.row_id = d1.row_id AND j = 2 WHERE w > 0 ORDER BY -ln(u) / w, d1.row_id LIMIT 1),
+lloyd AS (
+  SELECT 0 AS step, k, x.d, x.v
+  FROM x JOIN (SELECT 0 AS k, row_id FROM s0 UNION ALL SELECT 1, row_id FROM s1 UNION ALL SELECT 2, row_id FROM s2) s ON s.row_id = x.row_id
+  UNION ALL
+  SELECT near.step + 1, near.k, x.d, CAST(sum(x.v) // count(*) AS BIGINT)
+  FROM (SELECT step, row_id, min(struct_pack(dist := dist, k := k)).k AS k
+        FROM (SELECT l.step, x.row_id, l.k, sum((x.v - l.v) * (x.v - l.v)) AS dist FROM x JOIN lloyd l ON x.d = l.d
+              WHERE l.step < 60 GROUP BY l.step, x.row_id, l.k) g GROUP BY step, row_id) near
+  JOIN x ON x.row_id = near.row_id GROUP BY near.step, near.k, x.d),
+final AS (SELECT k, d, v FROM lloyd WHERE step = (SELECT max(step) FROM lloyd)),
+own AS (
+  SELECT row_id, min(struct_pack(dist := dist, k := k)).k AS k
+  FROM (SELECT x.row_id, f.k, sum((x.v - f.v) * (x.v - f.v)) AS dist FROM x JOIN final f ON x.d = f.d GROUP BY x.row_id, f.k) g GROUP BY row_id),
+named AS (
+  SELECT k, CAST(row_number() OVER (ORDER BY n DESC, c) AS INTEGER) AS label
+  FROM (SELECT k, count(*) AS n FROM own GROUP BY k) a JOIN (SELECT k, list(v ORDER BY d) AS c FROM final GROUP BY k) b USING (k))"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("embedding_coordinates", seg_sql(
+    f"SELECT row_id, CAST(unnest(range(0, {_DIMS})) AS INTEGER) AS d, round(unnest(v), 9) AS v FROM unit", EMB_CTE))
+def q_embedding_coordinates(spark, sf_dir):
+    """Every coordinate of the default text vectors."""
+    lab = labelled(spark, sf_dir).select("row_id", F.posexplode(vector_to_array("embedding")).alias("d", "v"))
+    return lab.select("row_id", "d", F.round("v", 9).alias("v"))
+
+
+@register("segment_labels", _recursive(seg_sql("SELECT own.row_id, label AS reason_segment FROM own JOIN named USING (k)", EMB_CTE, LLOYD_CTE)))
 def q_segment_labels(spark, sf_dir):
     return labelled(spark, sf_dir).select("row_id", SG.SEGMENT)
 

@@ -524,3 +524,57 @@ def test_totals_before_within_groups_of_any_size(spark, parts):
     for r in got:
         earlier = [t for t in rows if t[:2] == (r["g"], r["h"]) and t[2] < r["o"]]
         assert (r["x_before"], r["y_before"]) == (sum(t[3] for t in earlier), sum(t[4] for t in earlier))
+
+
+def test_cluster_is_the_same_on_any_partitions_and_ends_at_a_fixed_point(spark):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from churnlens.operators import segments as SG
+    rng = random.Random(8)
+    at = [(0.1, 0.9, 0.2), (0.8, 0.1, 0.1), (0.4, 0.4, 0.9), (0.9, 0.9, 0.9)]
+    pts = [(f"r{i:03d}", [c + rng.gauss(0, 0.05) for c in at[i % 4]]) for i in range(200)]
+    df = spark.createDataFrame(pts, "row_id STRING, v ARRAY<DOUBLE>").withColumn("embedding", array_to_vector("v"))
+    seen = set()
+    for n in (1, 7, 40):
+        out, centres = SG.cluster(df.repartition(n), k=4, seed=5)
+        labels = {r["row_id"]: r[SG.SEGMENT] for r in out.collect()}
+        seen.add((tuple(sorted(labels.items())), tuple(map(tuple, centres))))
+    assert len(seen) == 1
+    fixed = {k: [math.floor(x * SG.FIXED + 0.5) for x in v] for k, v in pts}
+    for s in range(1, 5):
+        own = [fixed[k] for k, lab in labels.items() if lab == s]
+        assert [sum(c) // len(own) for c in zip(*own)] == [round(c * SG.FIXED) for c in centres[s - 1]]
+    near = lambda x: min(range(4), key=lambda i: sum((a - round(c * SG.FIXED)) ** 2 for a, c in zip(x, centres[i])))
+    assert all(near(fixed[k]) + 1 == lab for k, lab in labels.items())
+    assert len({labels[f"r{i:03d}"] for i in range(4)}) == 4
+
+
+def test_seeds_are_drawn_by_squared_distance(spark):
+    """Three far rows among many equal ones: the second and third seed are always far ones, and each comes up."""
+    from pyspark.ml.functions import array_to_vector
+    from churnlens.operators import segments as SG
+    pts = [(f"r{i}", [0.0, 0.0]) for i in range(50)] + [("a", [1.0, 0.0]), ("b", [0.0, 1.0])]
+    df = spark.createDataFrame(pts, "row_id STRING, v ARRAY<DOUBLE>").withColumn("embedding", array_to_vector("v")).withColumn("_x", SG._fixed("embedding"))
+    seconds = set()
+    for seed in range(12):
+        seeds = SG.seed_centres(df, 5, seed)
+        assert len(seeds) == 3 and len({tuple(s) for s in seeds}) == 3  # three distinct points
+        seconds.add(tuple(seeds[1]))
+    assert len(seconds) >= 2
+    out, centres = SG.cluster(df.drop("_x"), k=9)
+    assert len(centres) == 3 and out.where(F.col(SG.SEGMENT).isNull()).count() == 0
+
+
+def test_hashing_embedding_of_odd_texts(spark):
+    import hashlib
+    from pyspark.ml.functions import vector_to_array
+    from churnlens.operators import segments as SG
+    texts = [None, "", " .,; ", "One one ONE two_2", "naïve é", "a-b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    got = {r["i"]: r["v"] for r in SG.hashing_embedding(df, "t", "e", 7).select("i", vector_to_array("e").alias("v")).collect()}
+    import re
+    for i, t in enumerate(texts):
+        counts = [0] * 7
+        for w in filter(None, re.split(r"[^0-9A-Za-z_]+", (t or "").lower())):
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 7] += 1
+        norm = math.sqrt(sum(c * c for c in counts))
+        assert got[i] == [c / norm if norm else 0.0 for c in counts]
