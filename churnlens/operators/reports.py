@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cleaning import q
@@ -70,6 +70,16 @@ def segment_sizes(df: DataFrame, segment: str) -> DataFrame:
                     F.lit(t[2]).alias("avg_size")).orderBy("segment")
 
 
+def with_position(df: DataFrame, col: str = "position") -> DataFrame:
+    """A sorted result (a report of few rows) with each row's place, counted over its partitions in order."""
+    placed = df.withColumn("_id", F.monotonically_increasing_id())  # rises with the order of a sorted frame
+    sizes = placed.groupBy(F.shiftright("_id", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    joined = placed.withColumn("_p", F.shiftright("_id", 33)).join(F.broadcast(sizes), "_p")
+    return joined.withColumn(col, (F.col("_off") + F.col("_id") - F.shiftleft("_p", 33) + 1).cast("long")).drop("_id", "_p", "_off")
+
+
 def theme_counts(df: DataFrame, text: str, themes: Mapping[str, Sequence[str]] = THEMES) -> DataFrame:
     """Rows whose lower-cased text contains any keyword of each theme (non-exclusive)."""
     low = F.lower(q(text))
@@ -187,11 +197,11 @@ def high_risk_top(df: DataFrame, risk: str, key: str, quantile: float = 0.8, k:
 
 
 def fixed_histogram(df: DataFrame, col: str, bins: int = 50, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """Counts in ``bins`` equal-width bins over [lo, hi] (the top edge falls in the last bin)."""
-    span = float(hi - lo)
-    b = F.least(F.floor((q(col) - F.lit(float(lo))) * F.lit(bins) / F.lit(span)), F.lit(bins - 1)).cast("int")
+    """Counts in ``bins`` equal-width bins over [lo, hi]; the top edge falls in the last bin, values outside are left out."""
+    span, x = float(hi - lo), q(col)
+    b = F.least(F.floor((x - F.lit(float(lo))) * F.lit(bins) / F.lit(span)), F.lit(bins - 1)).cast("int")
     start = F.lit(float(lo)) + F.col("bin").cast("double") * F.lit(span) / F.lit(bins)
-    return (df.filter(q(col).isNotNull()).groupBy(b.alias("bin"))
+    return (df.filter(x.between(float(lo), float(hi))).groupBy(b.alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"))
             .select("bin", start.alias("bin_start"), "n"))
 

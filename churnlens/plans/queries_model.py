@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -528,7 +529,16 @@ def q_scored_dataset_with_risk(spark, sf_dir):
     s = with_ranks(s, "y_proba").select(
         FE.ROW_ID, F.lit("all").alias("split"), "y_true", "y_proba", "y_pred", "threshold_used",
         F.col("y_proba").alias("p_churn"), "business_risk_index", "rank_by_p", "rank_by_bri")
-    return with_enriched(spark, sf_dir, s).orderBy("rank_by_bri")  # the risk table is written most-at-risk first
+    return with_enriched(spark, sf_dir, s)  # ``rank_by_bri`` is the order of the risk table; sorting wide rows is left to its writer
+
+
+@register("risk_order", stage2s(f"""
+SELECT row_id, CAST(row_number() OVER (ORDER BY business_risk_index DESC, row_id) AS BIGINT) AS position,
+       round(business_risk_index, 9) AS business_risk_index FROM scr"""))
+def q_risk_order(spark, sf_dir):
+    """The place of every row in the risk table, most at risk first."""
+    s = with_ranks(coef_scored(spark, sf_dir), "p_churn")
+    return s.select(FE.ROW_ID, F.col("rank_by_bri").alias("position"), _r("business_risk_index").alias("business_risk_index"))
 
 
 _SCORED_ID = [("Location Id", "LOCATION_ID"), ("Slug", "SLUG"), ("Starting Mrr", "STARTING_MRR"), ("Lifetime Value", "LIFETIME_VALUE"),
@@ -631,6 +641,53 @@ def q_linear_attributions(spark, sf_dir):
     return out.select(FE.ROW_ID, *[_r(c).alias(c) for c in out.columns if c != FE.ROW_ID])
 
 
+@register("model_attributions", stage2(
+    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS off_margin, CAST(0 AS BIGINT) AS off_mean FROM mdl WHERE split = 'val'"))
+def q_model_attributions(spark, sf_dir):
+    """Contributions to the fitted model's margin on the validation rows: they add up to the margin of every row, and to nothing
+    over the training rows."""
+    m, feats, model = fitted(spark, sf_dir)
+    train, val = m.filter(F.col("split") == "train"), m.filter(F.col("split") == "val")
+    phis = [q(f"phi_{c}") for c in feats]
+    gap = sum(phis, F.col("base_value")) - F.col("margin")
+    out = INF.model_attributions(val, model, train, keep=[FE.ROW_ID])
+    mean = INF.model_attributions(train, model, train).agg(F.greatest(*[F.abs(F.avg(p)) for p in phis], F.abs(F.avg("margin") - F.first("base_value")))).first()[0]
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(gap) > 1e-9).alias("off_margin"), F.lit(int(mean > 1e-9)).cast("long").alias("off_mean"))
+
+
+@register("logit_all_features", stage2(
+    "SELECT count(*) AS n_rows, CAST(14 AS BIGINT) AS n_variables, CAST(0 AS BIGINT) AS unexplained, CAST(0.0 AS DOUBLE) AS max_abs_score FROM mdl"))
+def q_logit_all_features(spark, sf_dir):
+    """The inference table of all 13 features: every variable has statistics or a reason, and the score equations are 0.
+
+    The score (with Jeffreys' term where the table says that the classes are separated) is recomputed by SQL sums from the
+    table's coefficients.
+    """
+    m = model_rows(spark, sf_dir)
+    feats = FE.available_features(m)
+    data = MO.impute(m, MO.fit_medians(m, feats)).withColumn("const", F.lit(1.0))
+    table = INF.logit_inference(m, feats, FE.LABEL, separated="jeffreys").collect()
+    used = [r["variable"] for r in table if r["coefficient"] is not None]
+    x = [q(c).cast("double") for c in used]
+    p = F.lit(1.0) / (1 + F.exp(-sum((F.lit(r["coefficient"]) * c for r, c in zip([r for r in table if r["coefficient"] is not None], x)), F.lit(0.0))))
+    rows = data.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], p.alias("p"), F.col(FE.LABEL).alias("y"))
+    k, w = len(used), F.col("p") * (1 - F.col("p"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = rows.agg(*[F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
+    information = np.zeros((k, k))
+    for (i, j), v in zip(pairs, sums):
+        information[i, j] = information[j, i] = v
+    off = F.col("y") - F.col("p")
+    if any((r["note"] or "").startswith("separates") for r in table):
+        inverse = np.linalg.inv(information)
+        lever = sum((F.lit(float(inverse[i, j] * (1 if i == j else 2))) * F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs), F.lit(0.0))
+        off = off + w * lever * (F.lit(0.5) - F.col("p"))
+    scores = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.greatest(*[F.abs(F.sum(off * F.col(f"x{i}"))) for i in range(k)], F.lit(0.0)).alias("worst"))
+    unexplained = sum(r["coefficient"] is None and r["note"] is None for r in table)
+    return scores.select("n_rows", F.lit(len(table)).cast("long").alias("n_variables"), F.lit(unexplained).cast("long").alias("unexplained"),
+                         F.when(F.col("worst") < 1e-5, F.lit(0.0)).otherwise(F.col("worst")).alias("max_abs_score"))
+
+
 NEW_PERIOD = "1999-01-01"  # on the test tables: rows before it train the model, rows from it on are the new period
 
 
@@ -704,18 +761,18 @@ def q_write_counts(spark, sf_dir):
 
 @register("lifetime_stats_sql", stage1("SELECT * FROM life"))
 def q_lifetime_stats_sql(spark, sf_dir):
-    """Lifetime figures as SQL text through ``spark.sql``: a month counts if no restart comes after it."""
+    """Lifetime figures as SQL text through ``spark.sql``: the months from a customer's last start on."""
     from ..sources.files import run_query
     from .queries_cohort import _src
     src = _src(spark, sf_dir)
     sql = """
-    SELECT customer_id, CAST(sum(m.total_mrr) AS DECIMAL(38,2)) AS lifetime_value,
+    SELECT m.customer_id, CAST(sum(m.total_mrr) AS DECIMAL(38,2)) AS lifetime_value,
            count(*) AS lifetime_months, min(m.month_ending) AS first_month
     FROM mrr_by_location m
-    LEFT ANTI JOIN mrr_by_location later
-      ON later.customer_id = m.customer_id AND later.is_new AND later.month_ending > m.month_ending
-    WHERE m.customer_id IN (SELECT customer_id FROM mrr_by_location WHERE is_new)
-    GROUP BY customer_id"""
+    JOIN (SELECT customer_id, max(month_ending) AS began FROM mrr_by_location WHERE is_new GROUP BY customer_id) s
+      ON s.customer_id = m.customer_id
+    WHERE m.month_ending >= s.began
+    GROUP BY m.customer_id"""
     return run_query(spark, sql, {"mrr_by_location": src["mrr_by_location"]})
 
 

@@ -214,6 +214,14 @@ def q_segment_sizes(spark, sf_dir):
         {"n_segments": F.col("n_segments").cast("long"), "total": F.col("total").cast("long")})
 
 
+@register("segment_order", seg_sql("""
+SELECT CAST(row_number() OVER (ORDER BY reason_segment) AS BIGINT) AS position, reason_segment AS segment FROM (SELECT DISTINCT reason_segment FROM given) t""", GIVEN_CTE))
+def q_segment_order(spark, sf_dir):
+    """The sorted list of segments: one row a segment, with its place."""
+    s = RP.segment_sizes(given_segments(spark, sf_dir), SG.SEGMENT)
+    return RP.with_position(s.select("segment"))
+
+
 @register("segment_totals", seg_sql("""
 SELECT count(DISTINCT reason_segment) AS n_segments, count(*) AS total,
        round(CAST(count(*) AS DOUBLE) / count(DISTINCT reason_segment), 6) AS avg_size FROM given""", GIVEN_CTE))

@@ -578,3 +578,57 @@ def test_hashing_embedding_of_odd_texts(spark):
             counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 7] += 1
         norm = math.sqrt(sum(c * c for c in counts))
         assert got[i] == [c / norm if norm else 0.0 for c in counts]
+
+
+def test_logit_names_constant_and_combined_columns(spark):
+    from churnlens.operators import inference as INF
+    rng = random.Random(1)
+    rows = [(rng.gauss(0, 1), rng.randrange(3)) for _ in range(300)]
+    df = spark.createDataFrame([(a, float(b), 2 * a - b + 1, 7.0, int(rng.random() < 1 / (1 + math.exp(-a)))) for a, b in rows], "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, y INT")
+    t = {r["variable"]: r for r in INF.logit_inference(df, ["a", "b", "c", "d"], "y").collect()}
+    assert list(t) == ["const", "a", "b", "c", "d"]
+    assert t["c"]["note"] == "combination of a, b" and t["d"]["note"] == "constant" and t["c"]["coefficient"] is None
+    both = {r["variable"]: r for r in INF.logit_inference(df, ["a", "b"], "y").collect()}
+    assert all(math.isclose(t[v][f], both[v][f], rel_tol=1e-6) for v in ("const", "a", "b") for f in ("coefficient", "std_err")) and t["a"]["note"] is None
+
+
+def test_logit_agrees_with_mllib(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+    from churnlens.operators import inference as INF
+    rows = _logit_rows(spark).withColumn("b", F.col("b") * 1000 + 5000)
+    got = INF.logit_inference(rows, ["a", "b"], "churn_flag").collect()
+    m = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="churn_flag", tol=1e-12).fit(
+        VectorAssembler(inputCols=["a", "b"], outputCol="_x").transform(rows))
+    se = m.summary.coefficientStandardErrors
+    want = [(m.intercept, se[2]), (m.coefficients[0], se[0]), (m.coefficients[1], se[1])]
+    assert all(math.isclose(r["coefficient"], b, rel_tol=1e-6) and math.isclose(r["std_err"], e, rel_tol=1e-6) for r, (b, e) in zip(got, want))
+
+
+def test_separated_logit_with_jeffreys_prior(spark):
+    """One flag that decides the class: half a row is added to each cell, the closed form of the penalised estimate."""
+    from churnlens.operators import inference as INF
+    rows = [(0.0, 0.3, 0)] * 12 + [(0.0, 0.3, 1)] * 8 + [(1.0, 0.3, 1)] * 15
+    df = spark.createDataFrame(rows, "f DOUBLE, k DOUBLE, y INT")
+    with pytest.raises(ValueError, match="separates the classes .*f"):
+        INF.logit_inference(df, ["f"], "y")
+    t = {r["variable"]: r for r in INF.logit_inference(df, ["f", "k"], "y", separated="jeffreys").collect()}
+    base = math.log(8.5 / 12.5)
+    assert math.isclose(t["const"]["coefficient"], base, abs_tol=1e-6) and math.isclose(t["f"]["coefficient"], math.log(15.5 / 0.5) - base, abs_tol=1e-6)
+    assert t["f"]["note"] == "separates the classes" and t["k"]["note"] == "constant"
+    one = INF.logit_inference(df.where("y = 1"), ["f"], "y", separated="jeffreys").collect()
+    assert all(math.isfinite(r["coefficient"]) for r in one)
+
+
+def test_model_attributions_add_up(spark):
+    from churnlens.operators import inference as INF
+    rng = random.Random(2)
+    df = spark.createDataFrame([(f"r{i}", rng.gauss(3, 2) if i % 9 else None, rng.random(), int(rng.random() < 0.4)) for i in range(300)],
+                               "row_id STRING, a DOUBLE, b DOUBLE, churn_flag INT")
+    rows = MO.stratified_split(df)
+    model = MO.train_churn_model(rows, ["a", "b"])
+    train = rows.where("split = 'train'")
+    out = INF.model_attributions(rows, model, train, keep=["row_id"]).collect()
+    assert len(out) == 300 and all(abs(r["phi_a"] + r["phi_b"] + r["base_value"] - r["margin"]) < 1e-9 for r in out)
+    own = {r["row_id"] for r in train.collect()}
+    assert abs(sum(r["phi_a"] for r in out if r["row_id"] in own)) < 1e-9 * len(own)
