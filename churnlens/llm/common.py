@@ -11,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # fixed values: characters between words (after lower-casing), and alphabets
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+FEW_VALUES = 100_000  # rows of a value and a number that may be broadcast
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -81,7 +85,9 @@ def bounded_share(rows: DataFrame, key: Column, most: int, by: str | None = None
     if by is None:
         n = rows.count()
         return rows if n <= most else rows.where(place < most / n)
-    share = rows.groupBy(F.col(by).alias("__by")).agg(F.least(F.lit(1.0), most / F.count(F.lit(1))).alias("__share"))
+    share = cut_lineage(rows.groupBy(F.col(by).alias("__by")).agg(F.least(F.lit(1.0), most / F.count(F.lit(1))).alias("__share")))
+    if share.count() <= FEW_VALUES:  # beyond that the join is left to Spark
+        share = F.broadcast(share)
     return rows.join(share, rows[by] == share["__by"]).where(place < F.col("__share")).drop("__by", "__share")
 
 
