@@ -3,7 +3,7 @@
 Trusted positives are labelled rows of quality 1 (labels of quality 0 are never
 read), unlabelled text is any document, whatever its label.  Statistics of every
 text are taken once and kept in a narrow table.
-1. Their cuts are quantiles over all rows of the training folds.
+1. Their cuts are quantiles over all rows of the training folds, on a grid of 1 / ``GRID``.
 2. A first model separates positives from unlabelled text; the class prior is the
    best bin estimate: the least ratio of the shares of unlabelled and positive
    documents above a score.  It counts all training rows of the half that the model
@@ -29,11 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.selection import exact_quantiles
 from ..session import cut_lineage
 from .common import bounded_rows, bounded_share, fold, keyed
 
 SAMPLE, BINS, THRESHOLD = 8000, 12, 0.3
+GRID, FAR = 512, 64.0  # values from FAR on count as FAR
 STEPS, L2 = 1000, 1e-5
 NAMES = ("chars", "letters", "upper", "digits", "marks", "spaces", "distinct words", "word length", "same as next",
          "distinct lines", "line length", "bare marks", "shouted words", "marked words")
@@ -130,6 +130,21 @@ def measured(docs: DataFrame) -> DataFrame:
     return cut_lineage(keyed(docs).select("doc_id", "text_key", statistics_of("text").alias("s")))
 
 
+def quantile_cuts(rows: DataFrame) -> tuple[np.ndarray, ...]:
+    """For each statistic the grid values that hold the quantiles of all rows: one aggregate, at most GRID * FAR values each."""
+    place = F.floor(F.least("v", F.lit(FAR)) * GRID).cast("int")
+    found = rows.select(F.posexplode("s").alias("i", "v")).groupBy("i", place.alias("at")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    which, at, n = (found.column(c).to_numpy() for c in ("i", "at", "n"))
+    cuts = []
+    for i in range(len(NAMES)):
+        own = which == i
+        order = np.argsort(at[own])
+        upto = np.cumsum(n[own][order])
+        wanted = np.linspace(0, 1, BINS + 1)[1:-1] * upto[-1]
+        cuts.append(np.unique(at[own][order][np.searchsorted(upto, wanted)]) / GRID)
+    return tuple(cuts)
+
+
 def learn(rows: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int = SAMPLE) -> QualityModel | None:
     """Fit on the measured rows outside the held-out fold; at most 2 * ``sample`` rows of either kind reach the driver."""
     training = rows.where(fold(F.col("doc_id")) != held_out_fold)
@@ -149,9 +164,7 @@ def learn(rows: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: in
     (hp, xp), (hu, xu) = found["p"], found["u"]
     if not len(xp) or not len(xu):
         return None
-    wanted = {str(i): (F.col("s")[i], np.linspace(0, 1, BINS + 1)[1:-1].tolist()) for i in range(len(NAMES))}
-    quantiles = exact_quantiles(training, wanted, bins=128)
-    cuts = tuple(np.unique(quantiles[str(i)]) for i in range(len(NAMES)))
+    cuts = quantile_cuts(training)
     prior = 0.5
     if len(set(hp)) == 2 and (hu == 0).any():
         first = fit_apart(xp[hp == 0], xu[hu == 0], cuts)
