@@ -14,7 +14,8 @@
    then make the components.
 
 No bucket is capped.  A task holds one bucket at a time (16 bytes a member) and
-works through it in steps of bounded size.
+works through it in steps of bounded size.  A bucket of more than ``HOT`` members is
+cut into blocks of its Gray order, and a task holds two blocks that may be linked.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Null
 ids get no say in the smallest id of a component (null if it has only such).
@@ -35,8 +36,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import rank_within_groups
 from ..session import cut_lineage
-from .common import keyed, without
+from .common import FEW_VALUES, keyed, without
 from .components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -45,6 +47,7 @@ SEGMENT = 1 << 20  # bytes of text taken at a time
 FANOUT = 8
 FRONTIER = 1 << 20  # pairs in flight
 FLUSH = 1 << 20  # bucket members read before complete buckets are searched
+HOT, BLOCK = 1 << 20, 1 << 17  # members from which on a bucket is cut, and of its blocks
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -200,11 +203,8 @@ def _forest(keys: np.ndarray, fp: np.ndarray, max_bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(distinct[linked]), pa.array(distinct[labels[linked]])], names=["a", "b"])
 
 
-def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp`` that connect all within ``max_bits`` (3 at most)."""
-    if max_bits > MAX_BITS:
-        raise ValueError("the buckets guarantee links of up to 3 bits")
-    rows = classes.select("fp", gray_rank(F.col("fp")).alias("rank"), F.explode(bucket_keys(F.col("fp"))).alias("key"))
+def _search(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): a forest of the links within each bucket; ``rows`` has key, rank, fp."""
     rows = rows.repartition("key").sortWithinPartitions("key", "rank").select("key", "fp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +225,48 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return rows.mapInArrow(search, "a long, b long")
 
 
+def _hot_keys(classes: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """Buckets of more than ``HOT`` fingerprints; none unless one of the 4 * 65536 bands is as large."""
+    bands = F.array(*[F.shiftrightunsigned("fp", 16 * r).bitwiseAND(0xFFFF).bitwiseOR(F.lit(r << 16)) for r in range(BANDS)])
+    full = classes.select(F.explode(bands).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    if not full.limit(1).count():
+        return None
+    hot = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
+    n = hot.count()
+    return None if not n else F.broadcast(hot) if n <= FEW_VALUES else hot
+
+
+def _block_pairs(rows: DataFrame, max_bits: int) -> DataFrame:
+    """The rows of hot buckets as one small bucket for each two blocks of one that may hold a link.
+
+    A bucket is cut into blocks of the Gray order.  What all fingerprints of a block share is compared first: two blocks
+    that differ in more shared bits than a link may are never brought together.
+    """
+    ranked = rank_within_groups(rows, "key", [F.col("rank")], "pos")
+    placed = cut_lineage(ranked.withColumn("block", F.floor((F.col("pos") - 1) / BLOCK)).drop("pos"))
+    blocks = cut_lineage(placed.groupBy("key", "block").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")))
+    shared = blocks.select("key", "block", "all", F.bitwise_not(F.col("all").bitwiseXOR(F.col("any"))).alias("mask"))
+    other = shared.select(F.col("key").alias("key2"), F.col("block").alias("block2"), F.col("all").alias("all2"), F.col("mask").alias("mask2"))
+    apart = F.bit_count(F.col("all").bitwiseXOR(F.col("all2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2")))
+    pairs = cut_lineage(shared.join(other, (F.col("key") == F.col("key2")) & (F.col("block") <= F.col("block2")) & (apart <= max_bits))
+                        .select("key", F.col("block").alias("i"), F.col("block2").alias("j")))
+    either = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    # equal numbers of different pairs would only compare more
+    return placed.join(either, ["key", "block"]).select(F.xxhash64("key", "i", "j").alias("key"), "rank", "fp")
+
+
+def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b): links between distinct fingerprints ``fp`` that connect all within ``max_bits`` (3 at most)."""
+    if max_bits > MAX_BITS:
+        raise ValueError("the buckets guarantee links of up to 3 bits")
+    rows = classes.select("fp", gray_rank(F.col("fp")).alias("rank"), F.explode(bucket_keys(F.col("fp"))).alias("key"))
+    hot = _hot_keys(classes, rows)
+    if hot is None:
+        return _search(rows, max_bits)
+    return _search(rows.join(hot, "key", "left_anti"), max_bits).unionByName(
+        _search(_block_pairs(rows.join(hot, "key", "left_semi"), max_bits), max_bits))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """Per document: doc_id, text_key, fp, component_id (smallest id linked to it, itself included)."""
     rows = cut_lineage(fingerprints(docs, id_col, text_col))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -106,3 +107,24 @@ def test_near_copies_of_long_texts_meet(spark):
     near[1000] = "changed"
     rows = S.near_duplicates(make_docs(spark, [" ".join(text), " ".join(near), " ".join(r.sample(text, 4000))])).collect()
     assert {x.doc_id: x.component_id for x in rows} == {0: 0, 1: 0, 2: 2}
+
+
+@pytest.mark.parametrize("block", [7, 40, 1000])
+def test_hot_buckets_are_cut_into_blocks(spark, monkeypatch, block):
+    """A family with one band in common fills buckets beyond HOT; links and components are those of all pairs."""
+    r = random.Random(block)
+    base = r.getrandbits(64)
+    fps = {base ^ (r.getrandbits(14) << 20) ^ (1 << r.randrange(40, 64)) for _ in range(400)} | {r.getrandbits(64) for _ in range(100)}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    monkeypatch.setattr(S, "HOT", 60)
+    monkeypatch.setattr(S, "BLOCK", block)
+    frame = spark.createDataFrame([(f,) for f in signed], "fp long")
+    rows = frame.select("fp", S.gray_rank(F.col("fp")).alias("rank"), F.explode(S.bucket_keys(F.col("fp"))).alias("key"))
+    assert rows.groupBy("key").count().where("count > 60").count()
+    truth = {}
+    for i, c in enumerate(plain_components(fps)):
+        truth.setdefault(c, []).append(signed[i])
+    want = {f: min(g) for g in truth.values() if len(g) > 1 for f in g}
+    found = S.links(frame)
+    assert {x.node: x.root for x in connected_components(found).collect()} == want
