@@ -29,7 +29,7 @@ from .common import as_struct_rows, keyed, left_join_on_key, word_count, words_o
 
 @dataclass(frozen=True)
 class Template:
-    """A passage and the phrases in it that must stand; the first phrase begins the passage."""
+    """A passage of one word or more and the phrases in it that must stand; the first phrase begins the passage."""
 
     label: str
     passage: str
@@ -94,7 +94,7 @@ def _postings(templates: tuple[Template, ...], counts: dict[str, int]) -> list[C
     out, most = [], max(len(t.phrases) for t in templates)
     for number, t in enumerate(templates):
         placed = sorted((counts.get(w, 0), w, at + i) for at, words in t.placed() for i, w in enumerate(words))
-        (held, word, at), (_, word2, at2) = placed[0], placed[1]
+        (held, word, at), (_, word2, at2) = (placed * 2)[:2]  # a template of one word has that one posting
         if held == 0:  # no document has the word, so none has the template
             continue
         phrases = t.placed()  # shorter lists repeat their last phrase

@@ -36,3 +36,11 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert sorted((r.doc_id or 0, r.n_base) for r in rows if r.n_base) == [(0, 1), (4, 1), (4, 1), (5, 1)]
     assert L.scan_licences(no_docs).count() == 0
     assert L.scan_licences(make_docs(spark, ["nothing of the kind"])).first().n_base == 0
+
+
+def test_templates_of_one_word_and_of_many(spark):
+    templates = (L._whole("x", "zlib"), L._whole("y", "isc"), L.Template("z", "zlib license of nobody in particular at all", ("zlib license", "at all")))
+    docs = make_docs(spark, ["the zlib and ZLIB words", "nothing", "isc", "a Zlib License of nobody in particular, at all", "zlib license of somebody in general at all"])
+    got = {r.doc_id: r for r in L.scan_licences(docs, templates=templates).collect()}
+    assert [got[i].labels for i in range(5)] == ["x", "", "y", "x,z", "x,z"]
+    assert sorted((r.doc_id, r.start) for r in L.find_licences(docs, templates=templates).where("label = 'x'").collect()) == [(0, 1), (0, 3), (3, 1), (4, 0)]
