@@ -7,6 +7,8 @@ regression, all stated in SQL over the same view.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..operators import inference as INF
 from ..operators import modeling as MO
 from ..operators import reports as RP
 from ..operators.smote import smote
+from ..operators.text_model import fit_text_model
 from ..session import cut_lineage
 from ..sources.testdata import read_table
 from .handoff import write_once
@@ -249,3 +252,39 @@ FROM inf ORDER BY abs(b), variable""", LOGIT_CTE))
 def q_coef_interpretation(spark, sf_dir):
     """All coefficients, ascending by magnitude (the chart order), with interpretation."""
     return _view(RP.coefficient_view(label_inference(spark, sf_dir), False, None))
+
+
+# --------------------------------------------------------------------- text model
+_MODEL_WORDS, _MODEL_DIMS = 2000, 24
+
+
+@register("text_model_invariants", f"""
+WITH d AS (SELECT row_number() OVER () AS row, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^0-9a-z_]+'), lambda w: w <> '')) AS w
+           FROM documents),
+w AS (SELECT row, unnest(w) AS word FROM d),
+top AS (SELECT word FROM w GROUP BY word ORDER BY count(*) DESC, word LIMIT {_MODEL_WORDS})
+SELECT (SELECT count(*) FROM documents) AS n_texts, (SELECT count(*) FROM top) AS n_words,
+  (SELECT count(DISTINCT row) FROM w WHERE word IN (SELECT word FROM top)) AS total_energy, 0::BIGINT AS off_orthonormal, 0::BIGINT AS off_energy""")
+def q_text_model_invariants(spark, sf_dir):
+    """A text model fitted on all documents: its axes are orthonormal, and what they hold and what is left add up to the matrix,
+    whose energy is its number of rows with a known word."""
+    texts = read_table(spark, sf_dir, "documents").select("text")
+    model = remembered(spark, sf_dir, "text_model", lambda: fit_text_model(texts, "text", _MODEL_DIMS, _MODEL_WORDS))
+    off = np.abs(model.axes.T @ model.axes - np.eye(model.axes.shape[1])).max()
+
+    @F.pandas_udf("held double, rest double, known int")
+    def energies(column: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in column:
+            at, value = model.row(text)
+            found = value @ model.axes[at]
+            rest = -model.axes @ found
+            rest[at] += value
+            out.append((float(found @ found), float(rest @ rest), int(len(at) > 0)))
+        return pd.DataFrame(out, columns=["held", "rest", "known"])
+
+    e = texts.select(energies("text").alias("e"))
+    sums = e.agg(F.count(F.lit(1)).alias("n_texts"), F.sum("e.known").alias("total_energy"),
+                 F.count_if(F.abs(F.col("e.held") + F.col("e.rest") - F.col("e.known")) > 1e-9).alias("off_energy"))
+    return sums.select("n_texts", F.lit(len(model.words)).cast("long").alias("n_words"), "total_energy",
+                       F.lit(int(off > 1e-9)).cast("long").alias("off_orthonormal"), "off_energy")
