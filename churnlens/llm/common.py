@@ -94,6 +94,11 @@ def bounded_share(rows: DataFrame, key: Column, most: int, by: str | None = None
 def bounded_rows(rows: DataFrame, most: int) -> DataFrame:
     """At most ``most`` distinct (doc_id, text_key) of ``rows``, the first by a hash of both, with their other columns.
 
-    Rows repeated in full count once, so an id or a text that holds any share of the rows keeps the bound.
+    Rows repeated in full count once, so an id or a text that holds any share of the rows keeps the bound.  The keys are
+    chosen by themselves; other columns, whole texts say, only move for the rows that were chosen.
     """
-    return rows.dropDuplicates(["doc_id", "text_key"]).orderBy(F.xxhash64(F.lit("rows"), "doc_id", "text_key"), "doc_id", "text_key").limit(most)
+    keys = rows.select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key")).distinct()
+    keys = keys.orderBy(F.xxhash64(F.lit("rows"), "__doc_id", "__text_key"), "__doc_id", "__text_key").limit(most)
+    on = rows["doc_id"].eqNullSafe(F.col("__doc_id")) & (rows["text_key"] == F.col("__text_key"))
+    # the broadcast side holds at most ``most`` pairs of numbers
+    return rows.join(F.broadcast(keys), on, "left_semi").dropDuplicates(["doc_id", "text_key"])
