@@ -17,6 +17,7 @@ from ..operators import features as FE
 from ..operators import inference as INF
 from ..operators import modeling as MO
 from ..operators import reports as RP
+from ..operators.exact_sums import exact_sums
 from ..operators.smote import smote
 from ..operators.text_model import fit_text_model
 from ..session import cut_lineage
@@ -254,6 +255,37 @@ def q_coef_interpretation(spark, sf_dir):
     return _view(RP.coefficient_view(label_inference(spark, sf_dir), False, None))
 
 
+# --------------------------------------------------------------------- scoring a later period
+# One flag and no penalty to speak of: the balanced fit has a closed form, so predicted labels can be stated in SQL.
+PERIOD_CTE = """
+per AS (SELECT avg(CAST(row_id AS BIGINT)) AS cut FROM v),
+b0 AS (
+  SELECT row_id, y, lang_fr AS f, row_number() OVER (PARTITION BY y ORDER BY md5(row_id || '|split-42'), row_id) AS rn,
+    count(*) OVER (PARTITION BY y) AS nc FROM v, per WHERE CAST(row_id AS BIGINT) <= cut),
+b AS (
+  SELECT *, CASE WHEN rn <= nt THEN 'test' WHEN rn <= nt + (2 * (nc - nt) + 4) // 8 THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT *, (2 * nc + 5) // 10 AS nt FROM b0) t),
+cell AS (SELECT f, CAST(sum(y) AS DOUBLE) AS n1, CAST(sum(1 - y) AS DOUBLE) AS n0 FROM b WHERE split = 'train' GROUP BY f),
+p AS (SELECT f, (n1 / t1) / (n1 / t1 + n0 / t0) AS p FROM cell, (SELECT sum(n1) AS t1, sum(n0) AS t0 FROM cell) t),
+g AS (SELECT p AS threshold, sum(y) AS pos, sum(1 - y) AS neg FROM b JOIN p ON b.f = p.f WHERE split = 'val' GROUP BY p),
+c AS (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC) AS tp, sum(neg) OVER (ORDER BY threshold DESC) AS fp, sum(pos) OVER () AS np FROM g),
+best AS (SELECT threshold FROM c ORDER BY 2 * (tp / (tp + fp)) * (tp / np) / greatest(tp / (tp + fp) + tp / np, 1e-12) DESC, threshold LIMIT 1)"""
+
+
+@register("new_period_by_predicted_label", sql("""
+SELECT v.y AS y_true, CAST(p.p >= best.threshold AS INTEGER) AS y_pred, count(*) AS n, round(sum(v.n_words), 2) AS n_words
+FROM v JOIN p ON v.lang_fr = p.f, per, best WHERE CAST(v.row_id AS BIGINT) > per.cut GROUP BY 1, 2""", PERIOD_CTE))
+def q_new_period_by_predicted_label(spark, sf_dir):
+    """Train on the earlier half of the rows, score the later half: counts and sums by true and predicted label."""
+    rows = label_rows(spark, sf_dir).select("row_id", "y", "n_words", "lang_fr")
+    number = F.col("row_id").cast("bigint")
+    cut = rows.agg(F.avg(number)).first()[0]
+    model = remembered(spark, sf_dir, "one_flag_model", lambda: MO.train_churn_model(
+        MO.stratified_split(rows.where(number <= cut), label="y"), ["lang_fr"], label="y", C=1e9, calibrate=False))
+    scored = MO.score_rows(rows.where(number > cut), model, "y", keep=["n_words"])
+    return exact_sums(scored, {"n_words": F.col("n_words")}, [F.col("y_true"), F.col("y_pred")], n=F.count(F.lit(1))).withColumn("n_words", F.round("n_words", 2))
+
+
 # --------------------------------------------------------------------- text model
 _MODEL_WORDS, _MODEL_DIMS = 2000, 24
 
