@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..session import cut_lineage
+from ..session import at_once, cut_lineage
 
 CORE_FAMILY = "Core Products"  # fixed value: product family kept for bundles
 CASE_WEEKS = tuple(range(1, 13))
@@ -153,7 +153,7 @@ def first_month_usage(usage: DataFrame, account: DataFrame, m: DataFrame,
     restart = m.select("customer_id", "last_new_month").distinct()
     acct = account.select("location_id", F.col("finance_number").alias("customer_id"))
     stage = cut_lineage(usage.join(acct, "location_id").join(restart, "customer_id"))  # read twice below
-    first = cut_lineage(stage.groupBy("customer_id").agg(F.min("report_month").alias("first_usage_month")))
+    first = stage.groupBy("customer_id").agg(F.min("report_month").alias("first_usage_month"))
     return (
         stage.join(first, "customer_id")
         .filter((F.col("report_month") == F.col("first_usage_month"))
@@ -263,10 +263,16 @@ def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases:
     account = sources["account_v2"]
     spine = sources["location"]
     m = cut_lineage(active_history(sources["mrr_by_location"]))
-    by_customer = cut_lineage(_customer_side(spine, m, sources["churn_by_product"], dedupe_bundles))
-    weeks = support_case_weeks(sources["support_interaction_v3"], account if account_join_for_cases else None)
-    usage = first_month_usage(sources["location_feature_access_and_usage_by_month"], account, m)
-    by_location = cut_lineage(_location_side(spine, weeks, sources["stg_location_integrations"], usage, account))
+
+    def customers() -> DataFrame:
+        return cut_lineage(_customer_side(spine, m, sources["churn_by_product"], dedupe_bundles))
+
+    def locations() -> DataFrame:
+        weeks = support_case_weeks(sources["support_interaction_v3"], account if account_join_for_cases else None)
+        usage = first_month_usage(sources["location_feature_access_and_usage_by_month"], account, m)
+        return cut_lineage(_location_side(spine, weeks, sources["stg_location_integrations"], usage, account))
+
+    by_customer, by_location = at_once(customers, locations)  # neither needs the other
     lost_locations = spine.join(by_customer.filter("churn_is_lost").select("finance_id").distinct(), "finance_id", "left_semi")
     sw = _prefixed(latest_case(sources["swat_case"], lost_locations), {}, "sw_")
     acc = _prefixed(account.drop("location_id", "finance_number"), {"slug": "slug"}, "acc_")

@@ -13,9 +13,15 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "churnlens") -> SparkSession:
@@ -102,3 +108,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def at_once(*builders: Callable[[], T]) -> list[T]:
+    """The results of independent builders, whose jobs run side by side (each in a thread of its own)."""
+    with ThreadPoolExecutor(len(builders)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(b)) for b in builders]]
