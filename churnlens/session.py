@@ -112,5 +112,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def at_once(*builders: Callable[[], T]) -> list[T]:
     """The results of independent builders, whose jobs run side by side (each in a thread of its own)."""
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(len(builders)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(b)) for b in builders]]
+        return [f.result() for f in [pool.submit(inherit(b)) for b in builders]]
