@@ -1,7 +1,7 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Model.  n-grams (one and two tokens) are counted once over all training texts under
-48-bit hashes.  An n-gram of count c enters the filter with its levels
+hashes: a block number and 32 bits within the block.  An n-gram of count c enters the filter with its levels
 0 .. floor(log2 c); a lookup probes level 0, 1, ... until a probe misses, and the
 levels that were there give the quantised count.  Bigram estimates are interpolated
 with add-half unigram estimates.
@@ -47,7 +47,7 @@ from ..session import cut_lineage
 from .common import fold, keyed
 
 END = b"\n"  # no word has white space
-KEY_BITS = 48
+KEY_BITS, LOW_BITS = 56, 32
 BLOCK_TOKENS, LEAST_BLOCKS, MOST_BLOCKS = 1 << 18, 1 << 6, 1 << 24
 FILTER_BYTES = 1 << 26
 PROBES = 3
@@ -75,11 +75,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def unigram_keys(h: np.ndarray) -> np.ndarray:
-    return _mix(h + _U(0x9E3779B97F4A7C15)) >> _U(16)
+    return _mix(h + _U(0x9E3779B97F4A7C15)) >> _U(64 - KEY_BITS)
 
 
 def bigram_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return _mix(before * _U(0xD6E8FEB86659FD93) + h) >> _U(16)
+    return _mix(before * _U(0xD6E8FEB86659FD93) + h) >> _U(64 - KEY_BITS)
 
 
 class Vocabulary(dict):
@@ -135,32 +135,22 @@ def block_number(tokens: int) -> int:
     return min(max(1 << max(0, int(tokens) // BLOCK_TOKENS).bit_length(), LEAST_BLOCKS), MOST_BLOCKS)
 
 
-def _shift(blocks: int) -> int:
-    return KEY_BITS - (blocks.bit_length() - 1)
-
-
-def _width(blocks: int) -> int:
-    """Bytes of a key within its block."""
-    return (_shift(blocks) + 7) // 8
-
-
-def _low_bytes(low: np.ndarray, width: int) -> np.ndarray:
-    return np.ascontiguousarray(low.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
-
-
-def _from_low_bytes(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+def split_keys(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block numbers and the bits within the block, of the same order as the keys."""
+    wide = blocks.bit_length() - 1
+    return (keys >> _U(KEY_BITS - wide)).astype(np.int64), (keys >> _U(KEY_BITS - wide - LOW_BITS)) & _U((1 << LOW_BITS) - 1)
 
 
 def _by_block(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, list[tuple[int, int]], list[bytes]]:
-    """Sorted keys as block numbers, their places among the keys, and their packed keys."""
-    block = (keys >> _U(_shift(blocks))).astype(np.int32)
+    """Sorted keys as block numbers, their places among the keys, and the packed bits within the blocks."""
+    block, low = split_keys(keys, blocks)
     edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-    low = _low_bytes(keys & _U((1 << _shift(blocks)) - 1), _width(blocks))
-    places = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-    return block[edges[:-1]], places, [low[a:b].tobytes() for a, b in places]
+    low, places = low.astype("<u4"), list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    return block[edges[:-1]].astype(np.int32), places, [low[a:b].tobytes() for a, b in places]
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u4").astype(np.uint64)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -202,8 +192,6 @@ def filled_block(low: np.ndarray, n: np.ndarray) -> bytes:
 
 def build_blocks(training: DataFrame, blocks: int) -> DataFrame:
     """The filter: (block, bits) of every block that has n-grams."""
-    width = _width(blocks)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
         for docs in _numbered(_texts(batches), vocabulary, COUNT_CHUNK):
@@ -224,8 +212,8 @@ def build_blocks(training: DataFrame, blocks: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
-            low, where = np.unique(_from_low_bytes(b"".join(r[1] for r in rows), width), return_inverse=True)
-            counts = [np.frombuffer(c, dtype=np.uint8 if len(c) * width == len(k) else np.dtype("<u4")) for _, k, c in rows]
+            low, where = np.unique(_unpacked(b"".join(r[1] for r in rows)), return_inverse=True)
+            counts = [np.frombuffer(c, dtype=np.uint8 if len(c) < len(k) else np.dtype("<u4")) for _, k, c in rows]
             n = np.bincount(where, weights=np.concatenate(counts))
             yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int32()), pa.array([filled_block(low, n)], pa.binary())], names=["block", "bits"])
 
@@ -251,9 +239,11 @@ class LogFrequencyFilter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """How many levels, from the lowest on, probing finds of each key."""
-        shift = _U(_shift(len(self.size)))
-        block, low = (keys >> shift).astype(np.int64), keys & ((_U(1) << shift) - _U(1))
-        found = np.zeros(len(keys), dtype=np.uint8)
+        return self.probe(*split_keys(keys, len(self.size)))
+
+    def probe(self, block: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """``levels`` of keys that are split already."""
+        found = np.zeros(len(low), dtype=np.uint8)
         at = np.flatnonzero(self.size[block])
         for level in range(LEVELS):
             there, b = np.ones(len(at), dtype=bool), block[at]
@@ -366,8 +356,6 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 def filter_levels(chunks: DataFrame, filter_blocks: DataFrame, blocks: int) -> DataFrame:
     """(chunk, block, levels): the filter's levels of each chunk's n-grams, in the order of their keys, compressed."""
-    width = _width(blocks)
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, hashes, numbers, sizes in zip(*(c.to_pylist() for c in batch.columns)):
@@ -385,8 +373,9 @@ def filter_levels(chunks: DataFrame, filter_blocks: DataFrame, blocks: int) -> D
                 if chunk < 0:
                     own = LogFrequencyFilter.of(1, [(0, data)])
                     continue
-                low = _from_low_bytes(data, width)
-                out.append((chunk, block, zlib.compress((own.levels(low) if own else np.zeros(len(low), dtype=np.uint8)).tobytes(), 1)))
+                low = _unpacked(data)
+                levels = own.probe(np.zeros(len(low), dtype=np.int64), low) if own else np.zeros(len(low), dtype=np.uint8)
+                out.append((chunk, block, zlib.compress(levels.tobytes(), 1)))
             cols = zip(*out) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "block", "levels"])
 

@@ -102,25 +102,27 @@ def test_both_ways_probe_the_same_bits(spark, monkeypatch, odd_docs):
 
 def test_rate_of_false_levels_and_growth_of_the_filter():
     r = np.random.default_rng(1)
-    low = np.unique(r.integers(0, 1 << 40, 200_000, dtype=np.uint64))
+    low = np.unique(r.integers(0, 1 << 32, 200_000, dtype=np.uint64))
     n = r.integers(1, 50, len(low))
-    absent = np.setdiff1d(r.integers(0, 1 << 40, 100_000, dtype=np.uint64), low)
+    absent = np.setdiff1d(r.integers(0, 1 << 32, 100_000, dtype=np.uint64), low)
     block = L.filled_block(low, n)
     events = L._levels_of(n).sum()
     assert abs(8 * len(block) - L.BITS_PER_LEVEL * events) < 64
     one = L.LogFrequencyFilter.of(1, [(0, block)])
-    found = one.levels(low)
+    probe = lambda x: one.probe(np.zeros(len(x), dtype=np.int64), x)
+    found = probe(low)
     assert (found >= L._levels_of(n)).all()
-    assert (found > L._levels_of(n)).mean() < 0.04 and (one.levels(absent) > 0).mean() < 0.04  # (1 - e^(-3/8))^3 = 0.031
+    assert (found > L._levels_of(n)).mean() < 0.04 and (probe(absent) > 0).mean() < 0.04  # (1 - e^(-3/8))^3 = 0.031
 
 
 def test_blocks_grow_with_the_tokens():
     assert L.block_number(0) == L.LEAST_BLOCKS and L.block_number(10 ** 9) == 4096 and L.block_number(10 ** 30) == L.MOST_BLOCKS
     for blocks in (64, 4096, L.MOST_BLOCKS):
-        keys = np.sort(np.random.default_rng(2).integers(0, 1 << 48, 5000, dtype=np.uint64))
+        keys = np.sort(np.random.default_rng(2).integers(0, 1 << L.KEY_BITS, 5000, dtype=np.uint64))
         block, places, low = L._by_block(keys, blocks)
-        back = [(int(b) << L._shift(blocks)) | int(x) for b, data in zip(block, low) for x in L._from_low_bytes(data, L._width(blocks))]
-        assert back == keys.tolist() and places[-1][1] == len(keys)
+        back = [(int(b) << L.LOW_BITS) | int(x) for b, data in zip(block, low) for x in L._unpacked(data)]
+        spare = L.KEY_BITS - L.LOW_BITS - (blocks.bit_length() - 1)
+        assert back == (keys >> np.uint64(spare)).tolist() and places[-1][1] == len(keys) and max(block) < blocks
 
 
 def test_head_is_bounded_in_rows_and_bytes(spark):
