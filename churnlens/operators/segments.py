@@ -3,7 +3,7 @@
 Text -> embedding -> k-means -> PCA over DataFrames.  The default embedder is
 JVM-side (tokenise, hash words into buckets, L2 normalise), so no Python runs
 per row; a model-backed embedder can be plugged in and runs in Arrow batches
-through ``mapInPandas`` on the executors.
+on the executors, and so does clustering.
 
 Clustering works on whole numbers.  Coordinates are fixed-point, so sums,
 centres and distances are exact: labels hang on the rows and the seed, not on
@@ -13,10 +13,11 @@ renumbered by size.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expressions as X
+from ..session import cut_lineage
 from .cleaning import q
 from .ranking import rank_within_groups, top_n_per_group
 
@@ -67,11 +69,14 @@ def hashing_embedding(df: DataFrame, text: str, out: str, dim: int) -> DataFrame
     """Lower-cased word tokens hashed into ``dim`` buckets by their md5, L2-normalised (JVM only)."""
     words = F.array_remove(F.split(F.lower(F.coalesce(q(text).cast("string"), F.lit(""))), r"[^0-9A-Za-z_]+"), "")
     bucket = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter("_buckets", lambda b: b == d)))
+    counts = F.aggregate(F.transform(words, bucket), F.array_repeat(F.lit(0), dim),
+                         lambda seen, b: F.transform(seen, lambda n, i: n + (i == b).cast("int")))
     norm = F.sqrt(F.aggregate("_counts", F.lit(0).cast("bigint"), lambda a, n: a + n.cast("bigint") * n).cast("double"))
-    d = df.withColumn("_buckets", F.transform(words, bucket)).withColumn("_counts", counts).withColumn("_norm", norm)
+    # generators, so that the lambdas below do not compute counts and norm again for every coordinate
+    d = df.select("*", F.explode(F.array(counts)).alias("_counts"))
+    d = d.select("*", F.explode(F.array(norm)).alias("_norm"))
     unit = F.transform("_counts", lambda n: F.when(F.col("_norm") > 0, n / F.col("_norm")).otherwise(0.0))
-    return d.withColumn(out, array_to_vector(unit)).drop("_buckets", "_counts", "_norm")
+    return d.withColumn(out, array_to_vector(unit)).drop("_counts", "_norm")
 
 
 def model_embedding(df: DataFrame, text: str, out: str, dim: int, embedder: Embedder,
@@ -115,13 +120,13 @@ def _fixed(features: str) -> Column:
     return F.transform(vector_to_array(F.col(features)), lambda v: F.floor(v * FIXED + 0.5))
 
 
-def _square_distance(x: str, centre: Sequence[int]) -> Column:
-    return sum(((F.col(x)[i] - F.lit(int(c))) * (F.col(x)[i] - F.lit(int(c))) for i, c in enumerate(centre)), F.lit(0).cast("bigint"))
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.int64)
 
 
-def _nearest(x: str, centres: Sequence[Sequence[int]]) -> Column:
-    """Number of the nearest centre, the first of equals."""
-    return F.array_min(F.array(*[F.struct(_square_distance(x, c).alias("d"), F.lit(i).alias("k")) for i, c in enumerate(centres)]))["k"]
+def _square_distances(x: np.ndarray, centres: Sequence[Sequence[int]]) -> np.ndarray:
+    """Rows x centres, in whole numbers."""
+    return np.stack([((x - np.array(c, dtype=np.int64)) ** 2).sum(axis=1) for c in centres], axis=1)
 
 
 def seed_centres(rows: DataFrame, k: int, seed: int, key: str = "row_id", x: str = "_x") -> list[list[int]]:
@@ -129,21 +134,57 @@ def seed_centres(rows: DataFrame, k: int, seed: int, key: str = "row_id", x: str
 
     Every row gets an exponential key: minus the logarithm of a hash in (0, 1],
     over its weight.  The row with the least key is a draw with just these
-    weights, so a draw is one minimum over the rows in any order.
+    weights, so a draw is one minimum over the rows in any order: a task sends
+    its own least row.
     """
     centres: list[list[int]] = []
     for draw in range(k):
         digest = F.md5(F.concat_ws("|", q(key).cast("string"), F.lit(str(seed)), F.lit(str(draw))))
         unit = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") + 1) / F.lit(float(1 << 48))
-        weight = F.least(*[_square_distance(x, c) for c in centres], F.lit((1 << 62))) if centres else F.lit(1)
-        row = rows.select((-F.log(unit) / weight).alias("e"), q(key).alias("id"), F.col(x).alias("x"), weight.alias("w")).where("w > 0").agg(
-            F.min(F.struct("e", "id", "x")).alias("least")).first()["least"]
-        if row is None:  # every row is a centre already
+
+        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                at = _matrix(batch.column(2))
+                weight = _square_distances(at, centres).min(axis=1) if centres else np.ones(len(at), dtype=np.int64)
+                with np.errstate(divide="ignore"):
+                    e = np.where(weight > 0, -np.log(batch.column(1).to_numpy()) / weight, np.inf)
+                for i in np.flatnonzero((e == e.min()) & (weight > 0)):
+                    found = (float(e[i]), batch.column(0)[int(i)].as_py(), at[i].tolist())
+                    best = found if best is None or found < best else best
+            if best is not None:
+                yield pa.record_batch([pa.array([v], t) for v, t in zip(best, (pa.float64(), pa.string(), pa.list_(pa.int64())))], names=["e", "id", "x"])
+
+        # one row a task
+        found = rows.select(q(key).cast("string").alias("id"), unit.alias("u"), F.col(x).alias("x")).mapInArrow(least, "e double, id string, x array<long>").collect()
+        if not found:  # every row is a centre already
             break
-        centres.append([int(v) for v in row["x"]])
+        centres.append(list(min((r["e"], r["id"], r["x"]) for r in found)[2]))
     return centres
 
 
+def _assign(rows: DataFrame, centres: list[list[int]]) -> dict[int, tuple[int, list[int]]]:
+    """Number and sums of the rows nearest to each centre (the first of equals): a task sends a row a centre."""
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = np.zeros(len(centres), dtype=np.int64), np.zeros((len(centres), len(centres[0])), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                own = _square_distances(x, centres).argmin(axis=1)
+                n += np.bincount(own, minlength=len(centres))
+                np.add.at(sums, own, x)
+        used = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(n[used]), pa.array(sums[used].tolist(), pa.list_(pa.int64()))], names=["k", "n", "sums"])
+
+    found: dict[int, tuple[int, list[int]]] = {}
+    for r in rows.select("_x").mapInArrow(part, "k int, n long, sums array<long>").collect():
+        n, sums = found.get(r["k"], (0, [0] * len(r["sums"])))
+        found[r["k"]] = (n + r["n"], [a + b for a, b in zip(sums, r["sums"])])
+    return dict(sorted(found.items()))
+
+
 def cluster(df: DataFrame, k: int = N_SEGMENTS, seed: int = SEED, features: str = "embedding",
             out: str = SEGMENT, key: str = "row_id") -> tuple[DataFrame, list[list[float]]]:
     """k-means with k clamped to the number of distinct rows; labels 1..k ordered by segment size
@@ -151,26 +192,33 @@ def cluster(df: DataFrame, k: int = N_SEGMENTS, seed: int = SEED, features: str
 
     A round assigns rows to the nearest centre and moves every centre to the mean
     of its rows, rounded down to fixed point, until no centre moves.  A centre
-    without rows goes.
+    without rows goes.  Rounds read a narrow written table of fixed-point vectors.
     """
     if k < 1:
         raise ValueError("n_clusters must be >= 1")
-    rows = df.withColumn("_x", _fixed(features))
+    rows = cut_lineage(df.select(q(key), _fixed(features).alias("_x")))
     centres = seed_centres(rows, k, seed, key)
     if not centres:
         raise ValueError("No embeddings available for clustering.")
+    found = _assign(rows, centres)
     for _ in range(MAX_ROUNDS):
-        sums = [F.sum(F.col("_x")[i]).alias(f"s{i}") for i in range(len(centres[0]))]
-        found = rows.groupBy(_nearest("_x", centres).alias("_k")).agg(F.count(F.lit(1)).alias("n"), *sums).orderBy("_k").collect()  # <= k rows
-        before, centres = centres, [[int(r[f"s{i}"]) // int(r["n"]) for i in range(len(sums))] for r in found]
-        if centres == before:
+        moved = [[s // n for s in sums] for n, sums in found.values()]
+        if moved == centres:
             break
-    sizes = {r["_k"]: r["n"] for r in found}
-    if centres != before:  # the rounds ran out: sizes of the last assignment
-        sizes = {r[0]: r[1] for r in rows.groupBy(_nearest("_x", centres).alias("_k")).count().collect()}
-    order = sorted(range(len(centres)), key=lambda i: (-sizes.get(i, 0), centres[i]))
-    label = F.array_position(F.array(*[F.lit(i) for i in order]), _nearest("_x", centres)).cast("int")
-    return rows.withColumn(out, label).drop("_x"), [[c / FIXED for c in centres[i]] for i in order]
+        centres = moved
+        found = _assign(rows, centres)
+    kept = [i for i in range(len(centres)) if i in found]  # a centre may have lost its last row in the last round
+    centres, sizes = [centres[i] for i in kept], [found[i][0] for i in kept]
+    order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i]))
+    place = np.argsort(order) + 1
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = place[_square_distances(_matrix(batch.column(1)), centres).argmin(axis=1)] if batch.num_rows else np.zeros(0)
+            yield pa.record_batch([batch.column(0), pa.array(own.astype(np.int32))], names=["_key", out])
+
+    labels = rows.mapInArrow(label, T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField(out, T.IntegerType())]))
+    return df.join(labels, q(key).eqNullSafe(F.col("_key"))).drop("_key"), [[c / FIXED for c in centres[i]] for i in order]
 
 
 def nearest_centre_violations(df: DataFrame, centres: list[list[float]], features: str = "embedding",
