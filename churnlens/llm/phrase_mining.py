@@ -185,7 +185,8 @@ def _phrases(chunk: tuple[np.ndarray, list[bytes], list[str]], levels: range, fi
             yield k, place, n, prints[np.searchsorted(at, place)]
         if k == levels[-1] or not len(at):
             return
-        old = holds(before, prints) if before is not None else np.zeros(len(at), dtype=bool)
+        # what the old field holds by chance, without one of its parts, was not counted and is not old
+        old = holds(before, prints) & ~fresh if before is not None else np.zeros(len(at), dtype=bool)
         known = holds(field, prints)
         if before is not None:  # an expansion: what is counted now is extended now
             known |= fresh

@@ -97,6 +97,18 @@ def test_border_failures_are_expanded(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == ranked(rows, 25, 40)
 
 
+def test_a_phrase_that_the_field_holds_by_chance_hides_no_longer_one(spark, monkeypatch):
+    """The field has "a b c" but not its part "a b": the first pass misses both, so the expansion must count "a b c d"."""
+    rows = [("en", "a b c d e.")] * 30
+    held = ["a", "b", "c", "d", "e", "b c", "c d", "d e", "b c d", "c d e", "b c d e", "a b c"]
+    field = P.build_field(spark.createDataFrame([("en", x) for x in held], "lang string, phrase string"))
+    monkeypatch.setattr(P, "propose", lambda sample, least, most_words: (field, 16))
+    docs = docs_of(spark, rows)
+    found = {r["phrase"]: r["n"] for r in P.mine_phrases(docs, min_count=25).collect() if r["words"]}
+    assert found == {" ".join("abcde"[i:j]): 30 for i in range(5) for j in range(i + 1, 6)}
+    assert sorted(tuple(r) for r in P.collocations(docs, min_count=25).collect()) == ranked(rows, 25, 2000)
+
+
 def test_slices_cut_between_pieces_only():
     data = b"aaa bbb\nccc\n" * 5 + b"d" * 50
     parts = list(P._slices(data, 10))
