@@ -53,7 +53,7 @@ def best_threshold(pr: DataFrame, rule: str = "f1", min_precision: float = 0.30)
 
 def curve_summary(pr: DataFrame) -> DataFrame:
     """ROC AUC (ties count one half) and average precision from a ``pr_table``."""
-    p, n = F.first("total_pos"), F.first("total_neg")
+    p, n = F.first("total_pos").cast("double"), F.first("total_neg").cast("double")  # their product passes 32 bits
     neg_below = F.col("total_neg") - F.col("fp")
     auc_num = F.sum(F.col("pos") * (neg_below + 0.5 * F.col("neg")))
     ap = F.sum(F.col("pos") * F.col("precision"))

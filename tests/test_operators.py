@@ -173,6 +173,13 @@ def test_pr_table_and_auc_match_brute_force(spark):
     assert math.isclose(s["average_precision"], ap, rel_tol=1e-12)
 
 
+def test_curve_summary_of_more_pairs_than_32_bits_hold(spark):
+    """50 000 rows of each class make 2.5 billion pairs; three in four positives stand above all negatives."""
+    df = spark.range(100_000).select((F.col("id") % 2).cast("int").alias("y"), F.when(F.col("id") % 8 == 1, 0.0).when(F.col("id") % 2 == 1, 2.0).otherwise(1.0).alias("s"))
+    s = EV.curve_summary(EV.pr_table(df, "y", "s")).first()
+    assert math.isclose(s["roc_auc"], 0.75, rel_tol=1e-12) and math.isclose(s["average_precision"], 0.75 + 0.25 * 0.5, rel_tol=1e-12)
+
+
 def test_best_threshold_lowest_on_ties(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.1)], "y INT, s DOUBLE")
     b = EV.best_threshold(EV.pr_table(df, "y", "s")).first()
