@@ -9,9 +9,11 @@ are whole thousandths of a nat, so a score hangs on no order of rows or words.
 The threshold is ``QUANTILE`` of the trusted documents' scores less ``MARGIN``;
 every document is held against it, none is drawn by chance.
 
-``TRUSTED`` bounds the labelled ids (chosen by a hash) that the target is fitted
-on; they reach the tasks by a broadcast of at most twice that number.  Counts of
-the raw corpus cover every row.
+Both sides are counted whole: the raw corpus over every row, the target and the
+threshold over every trusted document.  Up to ``SENT`` labelled ids reach the tasks
+by a broadcast; beyond that the join that marks the texts is left to Spark.  The
+rows are measured once and written narrow; threshold and verdict read them.
+A caller may bound the labelled ids by ``trusted`` (chosen by a hash).
 
 Null texts have no words.  Texts without words fail the base rules and have a null
 score.  Without a trusted document the weights are 0 and nothing but the base
@@ -30,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import bounded_share, keyed
 
-BUCKETS, TRUSTED, QUANTILE, MARGIN = 1 << 16, 20_000, 0.001, 60
+BUCKETS, QUANTILE, MARGIN = 1 << 16, 0.001, 60
+SENT = 2_000_000  # ids in a broadcast
 MIN_WORDS, MAX_REPEATED, WINDOW = 50, 50, 3
 # fixed values: white space between words, and the symbols that are counted
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -154,18 +158,22 @@ def least_score(trusted: DataFrame, quantile: float = QUANTILE, margin: int = MA
     return None
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantile: float = QUANTILE, margin: int = MARGIN,
+def apply_rules(docs: DataFrame, labels: DataFrame, trusted: int | None = None, quantile: float = QUANTILE, margin: int = MARGIN,
                 buckets: int = BUCKETS) -> DataFrame:
     """doc_id, text_key, the five counts, base_failed, kept, llr, least_llr: see the module's text."""
     texts = keyed(docs)
     ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    ids = bounded_share(ids, F.col("__id"), trusted).orderBy(F.xxhash64("__id"), "__id").limit(2 * trusted)
-    flagged = texts.join(F.broadcast(ids), texts["doc_id"] == F.col("__id"), "left")  # at most 2 * ``trusted`` ids
+    if trusted is not None:
+        ids = bounded_share(ids, F.col("__id"), trusted).orderBy(F.xxhash64("__id"), "__id").limit(2 * trusted)
+    ids = cut_lineage(ids)
+    if ids.count() <= SENT:
+        ids = F.broadcast(ids)
+    flagged = texts.join(ids, texts["doc_id"] == F.col("__id"), "left")
     weights = gram_weights(*count_grams(flagged.select("text", F.col("__id").isNotNull().alias("trusted")), buckets))
-    least = least_score(measure(texts.join(F.broadcast(ids), texts["doc_id"] == F.col("__id"), "left_semi"), weights).where(
-        F.col("n_words") >= MIN_WORDS), quantile, margin)
+    measured = cut_lineage(measure(texts, weights))  # a few numbers a document
+    least = least_score(measured.join(ids, measured["doc_id"] == F.col("__id"), "left_semi").where(F.col("n_words") >= MIN_WORDS), quantile, margin)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     verdict = F.lit(True) if least is None else F.coalesce(F.col("llr") >= least, F.lit(False))
-    return measure(texts, weights).select(
+    return measured.select(
         "doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & verdict).alias("kept"), "llr", F.lit(least).cast("long").alias("least_llr"))

@@ -8,7 +8,7 @@ from collections import Counter
 
 from corpus_docs import make_docs
 
-from churnlens.llm.quality_rules import apply_rules, repeated_words
+from churnlens.llm.quality_rules import apply_rules, gram_weights, repeated_words
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -76,6 +76,20 @@ def test_bounded_ids_and_partitions_do_not_matter(spark):
     assert few.count() == len(texts) and few.where("kept").count()
 
 
+def test_every_trusted_document_is_counted(spark, monkeypatch):
+    """More trusted documents than the 20 000 that a fit once took: each one's words weigh, with a broadcast and without."""
+    import churnlens.llm.quality_rules as Q
+    docs = spark.range(50_000).selectExpr("id AS doc_id", "concat(repeat('w ', 50), 'own', id) AS text")
+    labels = spark.range(50_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    found = []
+    monkeypatch.setattr(Q, "gram_weights", lambda raw, target: found.append((raw, target)) or gram_weights(raw, target))
+    rows = [sorted(map(tuple, apply_rules(docs, labels).groupBy("llr", "least_llr", "kept").count().collect()))]
+    monkeypatch.setattr(Q, "SENT", 10)
+    rows.append(sorted(map(tuple, apply_rules(docs, labels).groupBy("llr", "least_llr", "kept").count().collect())))
+    assert len(found) == 2 and all((raw == target).all() and raw.sum() == 50_000 * 101 for raw, target in found)
+    assert rows[0] == rows[1] == [(0, -60, False, 50_000)]  # the base rules drop texts that repeat themselves
+
+
 def test_odd_and_empty(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
     got = apply_rules(odd_docs, labels)
