@@ -10,16 +10,19 @@ aggregate joined directly has no shuffle of its own and could not be split.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..session import at_once, cut_lineage
+from .features import add_row_id
 
 CORE_FAMILY = "Core Products"  # fixed value: product family kept for bundles
 CASE_WEEKS = tuple(range(1, 13))
+ROWS_IN_PLACE = 1_000_000  # wide rows of one location that one task may number
 REASON_WEEKS = (1, 2, 3, 4)
 USAGE_COLUMNS = ("inbound_sms_count", "outbound_sms_count", "inbound_call_count",
                  "outbound_call_count", "missed_call_sms_count", "missed_text_sms_count",
@@ -37,10 +40,13 @@ def keep_extreme(df: DataFrame, keys: Sequence[str], col: str, how: str = "max")
 # --------------------------------------------------------------------------- revenue
 def active_history(mrr: DataFrame, customer: str = "customer_id", month: str = "month_ending",
                    new_flag: str = "is_new") -> DataFrame:
-    """History from each customer's last (re)start month on; never-new customers drop out."""
-    last_new = cut_lineage(mrr.filter(F.col(new_flag)).groupBy(customer)
-                           .agg(F.max(month).alias("last_new_month")))
-    return (mrr.join(last_new, customer)
+    """History from each customer's last (re)start month on; never-new customers drop out.
+
+    A history has a row per customer and month, so the last start is a window
+    over a customer's few rows: the history is built once and shuffled once.
+    """
+    last_new = F.max(F.when(F.col(new_flag), F.col(month))).over(Window.partitionBy(customer))
+    return (mrr.filter(F.col(customer).isNotNull()).withColumn("last_new_month", last_new)
             .filter(F.col(month) >= F.col("last_new_month"))
             .select(customer, month, "total_mrr", "is_lost", "last_new_month"))
 
@@ -148,10 +154,14 @@ def first_month_usage(usage: DataFrame, account: DataFrame, m: DataFrame,
     The original joins usage to every history row and removes the fan-out
     with DISTINCT; ``last_new_month`` is constant per customer, so joining to
     the distinct (customer, last_new_month) pairs gives the same rows without
-    the fan-out.
+    the fan-out.  A kept row is in its customer's first month, so in its own
+    location's first month too: all other months go before any join.
     """
     restart = m.select("customer_id", "last_new_month").distinct()
     acct = account.select("location_id", F.col("finance_number").alias("customer_id"))
+    own_first = F.min("report_month").over(Window.partitionBy("location_id"))  # a row per location and month
+    usage = (usage.filter(F.col("location_id").isNotNull()).withColumn("_own_first", own_first)
+             .filter(F.col("report_month") == F.col("_own_first")).drop("_own_first"))
     stage = cut_lineage(usage.join(acct, "location_id").join(restart, "customer_id"))  # read twice below
     first = stage.groupBy("customer_id").agg(F.min("report_month").alias("first_usage_month"))
     return (
@@ -247,10 +257,21 @@ def _location_side(spine: DataFrame, weeks: DataFrame, integrations: DataFrame,
     return side
 
 
+def _most_rows(*parts: tuple[DataFrame, str]) -> int:
+    """A bound on the rows of one location: the product of the most rows that each part has for a value of its key."""
+    counts = at_once(*[(lambda p=part, k=key: p.groupBy(k).count().agg(F.max("count")).first()[0]) for part, key in parts])
+    return math.prod(max(n or 1, 1) for n in counts)
+
+
 def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases: bool = False,
-                      dedupe_bundles: bool = False, zero_fill_cases: bool = False) -> DataFrame:
+                      dedupe_bundles: bool = False, zero_fill_cases: bool = False,
+                      row_key: Sequence[str] | None = None) -> DataFrame:
     """The 56-column per-location row (left joins onto the location spine).
 
+    With ``row_key``, which begins with LOCATION_ID, the rows get their id
+    (``add_row_id``): where the join on the location left them, unless the parts
+    allow a location more than ``ROWS_IN_PLACE`` rows.
+
     ``zero_fill_cases=True`` gives locations without any support case weekly
     counts of 0 instead of null (the original leaves null, so such locations
     later fail the complete-weeks filter).
@@ -275,9 +296,11 @@ def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases:
     by_customer, by_location = at_once(customers, locations)  # neither needs the other
     lost_locations = spine.join(by_customer.filter("churn_is_lost").select("finance_id").distinct(), "finance_id", "left_semi")
     sw = _prefixed(latest_case(sources["swat_case"], lost_locations), {}, "sw_")
+    sw = cut_lineage(sw) if row_key else sw  # counted and joined
     acc = _prefixed(account.drop("location_id", "finance_number"), {"slug": "slug"}, "acc_")
 
-    row = spine.join(acc, "slug", "left").join(by_customer, "finance_id", "left").join(by_location, "location_id", "left")
+    row = spine.join(acc, "slug", "left").join(by_customer, "finance_id", "left")
+    row = row.join(by_location.hint("merge") if row_key else by_location, "location_id", "left")
     lost = F.coalesce(F.col("churn_is_lost"), F.lit(False))
     row = row.join(sw, (row.location_id == sw.sw_location_id) & lost, "left")
 
@@ -304,7 +327,11 @@ def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases:
         c("sw_case_id"), c("sw_case_status"), c("sw_created_date"), c("sw_cancel_summary"),
         c("sw_cancellation_reason"), c("sw_cancellation_subreason"),
     ]
-    return row.select(*[col.alias(name) for col, name in zip(cols, WIDE_COLUMNS)])
+    wide = row.select(*[col.alias(name) for col, name in zip(cols, WIDE_COLUMNS)])
+    if not row_key:
+        return wide
+    most = _most_rows((spine, "location_id"), (acc, "slug"), (by_customer, "finance_id"), (by_location, "location_id"), (sw, "sw_location_id"))
+    return add_row_id(wide, row_key, placed_by="LOCATION_ID" if most <= ROWS_IN_PLACE else None)
 
 
 # --------------------------------------------------------------------------- cohort (stage-1 cleaning)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import expressions as X
 from ..functions.columns import DROP_COLUMNS, ColumnPlan
@@ -52,19 +53,28 @@ ROW_ID = "row_id"
 ID_CANDIDATES = ["account_id", "customer_id", "location_id", "id", "AccountId", "CustomerId", "Location Id"]
 
 
-def add_row_id(df: DataFrame, keys: Sequence[str] = ROW_KEY, name: str = ROW_ID) -> DataFrame:
+def add_row_id(df: DataFrame, keys: Sequence[str] = ROW_KEY, name: str = ROW_ID, placed_by: str | None = None) -> DataFrame:
     """Unique row identity, carried end to end in place of the original's positional index.
 
     md5 of the business key, an absent or null part counting as empty; the
     second and later rows of one key get ``-2``, ``-3`` ... after it, in the
     order of a hash of the whole row, so equal keys never share an id.  It is
     assigned once, before the cohort is written, and never recomputed.
+
+    ``placed_by`` names the first key if a join on it has just placed the rows:
+    where it is a whole number, equal business keys have it in common, so the
+    rows are numbered where they are instead of being shuffled once more.  All
+    rows of one value are then one task's work.
     """
+    if placed_by is not None and placed_by != keys[0]:
+        raise ValueError("rows can only be numbered in place by the first key")
+    in_place = placed_by is not None and isinstance(df.schema[placed_by].dataType, IntegralType)
     present = set(df.columns)
     parts = [F.coalesce(q(k).cast("string"), F.lit("")) if k in present else F.lit("") for k in keys]
     tagged = df.withColumn("_key", F.md5(F.concat_ws("|", *parts))).withColumn(
         "_order", F.xxhash64(*[q(c) for c in df.columns]))
-    number = F.row_number().over(Window.partitionBy("_key").orderBy("_order"))  # rows of one business key
+    alike = [q(placed_by), F.col("_key")] if in_place else [F.col("_key")]  # the same groups either way
+    number = F.row_number().over(Window.partitionBy(*alike).orderBy("_order"))  # rows of one business key
     return (tagged.withColumn("_n", number)
             .withColumn(name, F.when(F.col("_n") == 1, F.col("_key")).otherwise(F.concat_ws("-", "_key", "_n")))
             .drop("_key", "_order", "_n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import column_catalog
 from ..operators import cleaning, cohort as C
-from ..operators.features import ROW_ID, add_row_id
+from ..operators.features import ROW_ID
 from ..sources.testdata import load_sources
 from ..sources.testdata_sql import with_views
 from . import extract
@@ -39,7 +39,7 @@ def _m(spark, sf_dir):
 
 def wide_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide row with its row id, written once per session and folder."""
-    return materialised(spark, sf_dir, "wide", lambda: add_row_id(C.wide_customer_row(_src(spark, sf_dir)), ROW_KEY))
+    return materialised(spark, sf_dir, "wide", lambda: C.wide_customer_row(_src(spark, sf_dir), row_key=ROW_KEY))
 
 
 def cohort_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

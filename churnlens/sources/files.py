@@ -48,7 +48,7 @@ def write_counted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "e
     if fmt == "csv":
         write_csv(observed, path, mode)
     else:
-        observed.write.mode(mode).format(fmt).save(path)
+        observed.write.mode(mode).format(fmt).options(**({"compression": "zstd"} if fmt == "parquet" else {})).save(path)
     return int(obs.get["rows"])
 
 

@@ -13,7 +13,7 @@ hand (AQE picks broadcast only from measured sizes).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -70,6 +70,16 @@ USAGE_AGGS = {
     "has_missed_text_text": "MAX(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) = 1",
 }
 
+# The same in two steps, per order and then per month: (the order's value, how a month joins its orders' values)
+USAGE_STEPS = {
+    **{n: (text.removeprefix("CAST(").removesuffix(" AS BIGINT)"), "CAST(SUM({}) AS BIGINT)")
+       for n, text in USAGE_AGGS.items() if text.startswith("CAST(SUM(")},
+    "missed_text_sms_count": ("COUNT(*)", "SUM({})"),
+    "has_appointment_reminders": ("MAX(l_discount)", "MAX({}) > 0.05"),
+    "has_missed_call_text": ("MAX(l_tax)", "MAX({}) > 0.04"),
+    "has_missed_text_text": ("MAX(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END)", "MAX({}) = 1"),
+}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -80,17 +90,16 @@ def _x(text: str, alias: str):
 
 
 def mrr_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders")
-    monthly = (
-        orders.groupBy(F.col("o_custkey").alias("customer_id"), F.expr(MONTH_END).alias("month_ending"))
-        .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"),
-             F.max(F.expr("CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END")).alias("urgent"),
-             F.max(F.expr("CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END")).alias("pending"))
-    )
-    bounds = monthly.groupBy("customer_id").agg(F.min("month_ending").alias("first_m"),
-                                                F.max("month_ending").alias("last_m"))
+    """Orders travel once, to their customer: months, their bounds and what readers do per customer stay there."""
+    orders = read_table(spark, sf_dir, "orders").filter("o_custkey IS NOT NULL").select(
+        F.col("o_custkey").alias("customer_id"), _x(MONTH_END, "month_ending"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
+        _x("CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END", "urgent"), _x("CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END", "pending"))
+    monthly = orders.repartition("customer_id").groupBy("customer_id", "month_ending").agg(
+        F.sum("price").alias("total"), F.max("urgent").alias("urgent"), F.max("pending").alias("pending"))
+    months = Window.partitionBy("customer_id")  # a customer has one row a month
     return (
-        monthly.join(bounds, "customer_id")
+        monthly
+        .withColumns({"first_m": F.min("month_ending").over(months), "last_m": F.max("month_ending").over(months)})
         .select("customer_id", "month_ending",
                 F.col("total").cast("decimal(18,2)").alias("total_mrr"),
                 F.expr("urgent = 1 OR month_ending = first_m").alias("is_new"),
@@ -98,16 +107,23 @@ def mrr_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _orders_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", _x(MONTH_END, "month_ending"))
+
+
 def churn_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts come first, so a reader's filter on the family holds before lines meet their orders.
+
+    Duplicates go within (customer, month), which is also how readers join.
+    """
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    orders = _orders_by_month(spark, sf_dir)
+    part = read_table(spark, sf_dir, "part").select("p_partkey", _x(PRODUCT_NAME, "product_name"), _x(PRODUCT_FAMILY, "product_family"))
     return (
-        li.join(orders, li.l_orderkey == orders.o_orderkey)
-        .join(part, li.l_partkey == part.p_partkey)
-        .select(F.col("o_custkey").alias("finance_id"), _x(MONTH_END, "month_ending"),
-                _x(PRODUCT_NAME, "product_name"), _x(PRODUCT_FAMILY, "product_family"))
-        .distinct()
+        li.join(part, li.l_partkey == part.p_partkey).select("l_orderkey", "product_name", "product_family")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(F.col("o_custkey").alias("finance_id"), "month_ending", "product_name", "product_family")
+        .repartition("finance_id", "month_ending").distinct()
     )
 
 
@@ -134,12 +150,13 @@ def account_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def location_usage_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    """Lines are added up per order before they meet it; orders travel once, to their location."""
+    per_order = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[_x(USAGE_STEPS[n][0], n) for n in USAGE_AGGS])
+    orders = _orders_by_month(spark, sf_dir)
     return (
-        li.join(orders, li.l_orderkey == orders.o_orderkey)
-        .groupBy(F.col("o_custkey").alias("location_id"), F.expr(MONTH_END).alias("report_month"))
-        .agg(*[F.expr(e).alias(n) for n, e in USAGE_AGGS.items()])
+        per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
+        .withColumnsRenamed({"o_custkey": "location_id", "month_ending": "report_month"}).repartition("location_id")
+        .groupBy("location_id", "report_month").agg(*[_x(USAGE_STEPS[n][1].format(n), n) for n in USAGE_AGGS])
     )
 
 
