@@ -54,9 +54,11 @@ PROBES = 3
 BITS_PER_LEVEL = 8
 LEVELS = 40
 HEAD, HEAD_BYTES = 1 << 20, 1 << 25
-VOCABULARY = 1 << 18  # tokens a task remembers between documents
-COUNT_CHUNK = 1 << 20  # tokens counted at a time
-SCORE_CHUNK = 1 << 19  # tokens of a chunk
+VOCABULARY = 1 << 18  # tokens a task counts between outputs
+FACTS = 1 << 16  # tokens a task knows the facts of between chunks
+COUNT_CHUNK = 1 << 19  # tokens counted at a time
+SCORE_CHUNK = 1 << 19  # tokens of a chunk that travels
+HERE_CHUNK = 1 << 16  # tokens of a chunk that is scored where it is read
 BIGRAM_SHARE = 0.7
 
 _U = np.uint64
@@ -109,10 +111,18 @@ def _hashes(words: Iterable[bytes]) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
-    for batch in batches:
+    for batch in _let_go(batches):
         yield from (t.as_py() for t in batch.column(0))
 
 
+def _let_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that Arrow keeps of earlier ones goes back, as workers live on after their tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def count_tokens(training: DataFrame) -> DataFrame:
     """(token, n): exact counts, combined in each task before the shuffle."""
 
@@ -313,6 +323,28 @@ class _TokenFacts:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([tokens, pa.array(n.astype(np.int64))], ["token", "n"]))
 
 
+def _read(batches: Iterator[pa.RecordBatch], facts: _TokenFacts, row: int, chunk: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """First row, token hashes, token numbers, sizes and the facts' columns of each chunk of documents; rows count from ``row``."""
+    for batch in _let_go(batches):
+        at = 0
+        for docs in _numbered((t.as_py() for t in batch.column(2)), facts.vocabulary, chunk):
+            facts.learn()
+            flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+            first = np.cumsum(sizes) - sizes
+            there = np.bincount(flat, minlength=len(facts.h)) > 0
+            number = np.cumsum(there) - 1  # within the chunk
+            in_head = facts.there[flat]
+            yield row, facts.h[there], number[flat], sizes, [
+                pa.array(np.arange(row, row + len(docs))), batch.column(0)[at:at + len(docs)], batch.column(1)[at:at + len(docs)],
+                pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat(in_head.astype(np.int64), first)),
+                pa.array(np.add.reduceat(facts.logs[flat], first)),
+                facts.tails(flat[~in_head], np.repeat(np.arange(len(docs)), sizes)[~in_head], len(docs))]
+            at += len(docs)
+            row += len(docs)
+            if len(facts.vocabulary) > FACTS:  # else the next documents reuse what is known
+                facts.forget()
+
+
 class _Chunk:
     """The distinct n-grams of a chunk of documents, in the order of their keys."""
 
@@ -440,39 +472,19 @@ def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD, filte
     id_type = dict(docs.dtypes)["doc_id"]
     facts_type = f"row long, doc_id {id_type}, text_key long, n_tokens long, n_head long, base double, tail array<struct<token: binary, n: long>>"
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list]]:
-        """First row, token hashes, token numbers, sizes and the facts' columns of each chunk of documents."""
+    def read(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list]]:
         check, crc, known, _ = model.value
-        row = TaskContext.get().partitionId() << 40  # a chunk has the number of its first row
-        facts = _TokenFacts(check, crc, known, whole)
-        for batch in batches:
-            at = 0
-            for docs in _numbered((t.as_py() for t in batch.column(2)), facts.vocabulary, SCORE_CHUNK):
-                facts.learn()
-                flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
-                first = np.cumsum(sizes) - sizes
-                there = np.bincount(flat, minlength=len(facts.h)) > 0
-                number = np.cumsum(there) - 1  # within the chunk
-                in_head = facts.there[flat]
-                yield row, facts.h[there], number[flat], sizes, [
-                    pa.array(np.arange(row, row + len(docs))), batch.column(0)[at:at + len(docs)], batch.column(1)[at:at + len(docs)],
-                    pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat(in_head.astype(np.int64), first)),
-                    pa.array(np.add.reduceat(facts.logs[flat], first)),
-                    facts.tails(flat[~in_head], np.repeat(np.arange(len(docs)), sizes)[~in_head], len(docs))]
-                at += len(docs)
-                row += len(docs)
-                if len(facts.vocabulary) > VOCABULARY:  # else the next documents reuse what is known
-                    facts.forget()
+        return _read(batches, _TokenFacts(check, crc, known, whole), TaskContext.get().partitionId() << 40, size)  # a chunk has the number of its first row
 
     names = ["row", "doc_id", "text_key", "n_tokens", "n_head", "base", "tail"]
 
     def score_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, numbers, sizes, facts in read(batches):
+        for _, h, numbers, sizes, facts in read(batches, HERE_CHUNK):
             chunk = _Chunk(h, numbers, sizes)
             yield pa.RecordBatch.from_arrays([*facts, pa.array(chunk.scores(model.value[3].levels(chunk.keys), whole))], names=[*names, "score"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, h, numbers, sizes, facts in read(batches):
+        for row, h, numbers, sizes, facts in read(batches, SCORE_CHUNK):
             yield pa.RecordBatch.from_arrays([
                 pa.array([row]), pa.array([h.tobytes()], pa.binary()), pa.array([_planes(numbers)], pa.binary()),
                 pa.array([sizes.tolist()], pa.list_(pa.int32())),

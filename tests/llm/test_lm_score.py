@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from churnlens.llm import lm_score as L
@@ -137,3 +139,26 @@ def test_no_ngram_is_lost_however_many_there_are(spark):
     h = L._hashes([w for t in texts for w in t.encode().split()]).reshape(60, 200)
     keys = np.concatenate([L.unigram_keys(h.ravel()), L.bigram_keys(h[:, :-1].ravel(), h[:, 1:].ravel())])
     assert (built.levels(keys) >= 1).all()
+
+
+def test_a_task_that_scores_in_place_holds_little(spark, monkeypatch):
+    """Check, op4: what a worker holds follows the small chunk, not all new tokens of a long one; the scores stay the same."""
+    words = [f"w{i}" for i in range(1 << 20)]
+    texts = [" ".join(words[i:i + 1024]) for i in range(0, len(words), 1024)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1024)), pa.array(range(1024)), pa.array(texts)], names=["doc_id", "text_key", "text"])
+    known = L._hashes(w.encode() for w in words[:1])
+    facts = L._TokenFacts(known, np.zeros(1, dtype=np.uint32), np.ones(1), 10.0)
+    tracemalloc.start()
+    most = 0
+    for _, h, numbers, sizes, _ in L._read(iter([batch]), facts, 0, L.HERE_CHUNK):
+        L._Chunk(h, numbers, sizes)
+        most = max(most, len(facts.vocabulary))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= L.FACTS + L.HERE_CHUNK + 1025 and peak < 80 << 20, (most, peak)
+
+    docs = make_docs(spark, texts[:3] + texts[:2] + ["", "w1 w2"], 0)
+    few = [(r.doc_id, r.n_known, r.base_score, r.score) for r in L.score_texts(docs).sort("doc_id").collect()]
+    monkeypatch.setattr(L, "HERE_CHUNK", 100)
+    monkeypatch.setattr(L, "FACTS", 100)
+    assert [(r.doc_id, r.n_known, r.base_score, r.score) for r in L.score_texts(docs).sort("doc_id").collect()] == few
