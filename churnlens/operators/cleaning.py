@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,19 +16,23 @@ def q(name: str):
     return F.col(f"`{name}`")
 
 
+def present_or_null(df: DataFrame, beside: Mapping[str, str] | None = None) -> DataFrame:
+    """True for each value, null where it is missing (null or NaN): the same columns, next to nothing to write.
+
+    ``beside`` names more columns and the columns whose values they have.
+    """
+    fractional = (T.DoubleType, T.FloatType)
+    there = [q(f.name).isNotNull() & ~F.isnan(q(f.name)) if isinstance(f.dataType, fractional) else q(f.name).isNotNull() for f in df.schema.fields]
+    return df.select(*[F.when(t, F.lit(True)).alias(f.name) for t, f in zip(there, df.schema.fields)],
+                     *[q(c).alias(name) for name, c in (beside or {}).items()])
+
+
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
     """Drop columns with no non-null value (NaN counts as missing, like pandas).
 
     One aggregate job returning a single row of per-column counts.
     """
-    fractional = (T.DoubleType, T.FloatType)
-    counts = []
-    for i, f in enumerate(df.schema.fields):
-        c = q(f.name)
-        if isinstance(f.dataType, fractional):
-            c = F.when(~F.isnan(c), c)
-        counts.append(F.count(c).alias(f"n{i}"))
-    row = df.agg(*counts).first()
+    row = present_or_null(df).agg(*[F.count(q(f.name)).alias(f"n{i}") for i, f in enumerate(df.schema.fields)]).first()
     empty = [f.name for i, f in enumerate(df.schema.fields) if row[f"n{i}"] == 0]
     return df.drop(*empty) if empty else df
 

@@ -11,10 +11,11 @@ aggregate joined directly has no shuffle of its own and could not be split.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import expressions as X
 from ..session import at_once, cut_lineage
@@ -263,18 +264,9 @@ def _most_rows(*parts: tuple[DataFrame, str]) -> int:
     return math.prod(max(n or 1, 1) for n in counts)
 
 
-def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases: bool = False,
-                      dedupe_bundles: bool = False, zero_fill_cases: bool = False,
-                      row_key: Sequence[str] | None = None) -> DataFrame:
-    """The 56-column per-location row (left joins onto the location spine).
-
-    With ``row_key``, which begins with LOCATION_ID, the rows get their id
-    (``add_row_id``): where the join on the location left them, unless the parts
-    allow a location more than ``ROWS_IN_PLACE`` rows.
-
-    ``zero_fill_cases=True`` gives locations without any support case weekly
-    counts of 0 instead of null (the original leaves null, so such locations
-    later fail the complete-weeks filter).
+def wide_parts(sources: Mapping[str, DataFrame], account_join_for_cases: bool = False,
+               dedupe_bundles: bool = False, write_cases: bool = False) -> dict[str, DataFrame]:
+    """What the wide row joins: the location spine, accounts by slug, and written tables by customer, location and case.
 
     The revenue history is written once and serves every per-customer part.  The
     parts of a key are first brought together per customer and per location
@@ -296,11 +288,54 @@ def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases:
     by_customer, by_location = at_once(customers, locations)  # neither needs the other
     lost_locations = spine.join(by_customer.filter("churn_is_lost").select("finance_id").distinct(), "finance_id", "left_semi")
     sw = _prefixed(latest_case(sources["swat_case"], lost_locations), {}, "sw_")
-    sw = cut_lineage(sw) if row_key else sw  # counted and joined
+    sw = cut_lineage(sw) if write_cases else sw
     acc = _prefixed(account.drop("location_id", "finance_number"), {"slug": "slug"}, "acc_")
+    return {"spine": spine, "acc": acc, "by_customer": by_customer, "by_location": by_location, "sw": sw}
+
+
+def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases: bool = False,
+                      dedupe_bundles: bool = False, zero_fill_cases: bool = False,
+                      row_key: Sequence[str] | None = None, parts: Mapping[str, DataFrame] | None = None,
+                      chosen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The 56-column per-location row (left joins onto the location spine).
+
+    With ``row_key``, which begins with LOCATION_ID, the rows get their id
+    (``add_row_id``): where the join on the location left them, unless the parts
+    allow a location more than ``ROWS_IN_PLACE`` rows.
 
+    ``zero_fill_cases=True`` gives locations without any support case weekly
+    counts of 0 instead of null (the original leaves null, so such locations
+    later fail the complete-weeks filter).
+
+    ``parts`` are those of ``wide_parts``, if they are there already.
+
+    ``chosen`` names the locations that a reader needs.  It gets the wide rows
+    before a slug's accounts multiply them (one row stands for all accounts, with a
+    value in an account column if any has one; a case text is empty, not its own)
+    and returns their LOCATION_ID column, distinct.  The rows of these locations are
+    then built, all of them, so that the ids are those of the whole wide row.  Only
+    a whole-number location is restricted: others may share a business key.
+    """
+    if parts is None:
+        parts = wide_parts(sources, account_join_for_cases, dedupe_bundles, write_cases=bool(row_key))  # cases: counted and joined
+    if chosen is not None:
+        one = parts["acc"].groupBy("slug").agg(*[F.max(c).alias(c) for c in parts["acc"].columns if c != "slug"])
+        brief = parts["sw"].withColumn("sw_cancel_summary", F.substring("sw_cancel_summary", 1, 0))
+        locations = chosen(_wide_rows({**parts, "acc": one, "sw": brief}, zero_fill_cases)).select(F.col("LOCATION_ID").alias("location_id"))
+        if isinstance(parts["spine"].schema["location_id"].dataType, IntegralType):
+            parts = {**parts, "spine": cut_lineage(parts["spine"].join(locations, "location_id", "left_semi"))}
+    wide = _wide_rows(parts, zero_fill_cases, numbered=bool(row_key))
+    if not row_key:
+        return wide
+    most = _most_rows((parts["spine"], "location_id"), (parts["acc"], "slug"), (parts["by_customer"], "finance_id"),
+                      (parts["by_location"], "location_id"), (parts["sw"], "sw_location_id"))
+    return add_row_id(wide, row_key, placed_by="LOCATION_ID" if most <= ROWS_IN_PLACE else None)
+
+
+def _wide_rows(parts: Mapping[str, DataFrame], zero_fill_cases: bool, numbered: bool = False) -> DataFrame:
+    spine, acc, by_customer, by_location, sw = (parts[k] for k in ("spine", "acc", "by_customer", "by_location", "sw"))
     row = spine.join(acc, "slug", "left").join(by_customer, "finance_id", "left")
-    row = row.join(by_location.hint("merge") if row_key else by_location, "location_id", "left")
+    row = row.join(by_location.hint("merge") if numbered else by_location, "location_id", "left")
     lost = F.coalesce(F.col("churn_is_lost"), F.lit(False))
     row = row.join(sw, (row.location_id == sw.sw_location_id) & lost, "left")
 
@@ -327,11 +362,7 @@ def wide_customer_row(sources: Mapping[str, DataFrame], account_join_for_cases:
         c("sw_case_id"), c("sw_case_status"), c("sw_created_date"), c("sw_cancel_summary"),
         c("sw_cancellation_reason"), c("sw_cancellation_subreason"),
     ]
-    wide = row.select(*[col.alias(name) for col, name in zip(cols, WIDE_COLUMNS)])
-    if not row_key:
-        return wide
-    most = _most_rows((spine, "location_id"), (acc, "slug"), (by_customer, "finance_id"), (by_location, "location_id"), (sw, "sw_location_id"))
-    return add_row_id(wide, row_key, placed_by="LOCATION_ID" if most <= ROWS_IN_PLACE else None)
+    return row.select(*[col.alias(name) for col, name in zip(cols, WIDE_COLUMNS)])
 
 
 # --------------------------------------------------------------------------- cohort (stage-1 cleaning)

@@ -13,7 +13,7 @@ from ..operators.features import ROW_ID
 from ..sources.testdata import load_sources
 from ..sources.testdata_sql import with_views
 from . import extract
-from .stages import materialised
+from .stages import materialised, remembered
 from .oracle_cohort import SOURCE_VIEWS, WIDE_CTE, cohort_clean_cte, cohort_kept_cte, stage1
 from .registry import TESTDATA_PARAMS, register
 
@@ -39,16 +39,30 @@ def _m(spark, sf_dir):
 
 def wide_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide row with its row id, written once per session and folder."""
-    return materialised(spark, sf_dir, "wide", lambda: C.wide_customer_row(_src(spark, sf_dir), row_key=ROW_KEY))
+    return materialised(spark, sf_dir, "wide", lambda: C.wide_customer_row({}, row_key=ROW_KEY, parts=_parts(spark, sf_dir)))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The parts of the wide row, written once per session."""
+    return remembered(spark, sf_dir, "wide_parts", lambda: C.wide_parts(_src(spark, sf_dir), write_cases=True))
 
 
 def cohort_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned stage-1 cohort, row id included (materialised once per session)."""
+    """Cleaned stage-1 cohort, row id included (written once per session and folder).
+
+    It is built from the parts of the wide row, for the locations that keep a row:
+    where slugs repeat, the whole wide row is as large as the square of their rows.
+    """
     def build():
-        return extract.clean_cohort(wide_frame(spark, sf_dir), **P)
-    # clean_cohort writes the filtered rows before its column scan; what
-    # follows is row filters on that table, so no second write
-    return materialised(spark, sf_dir, "cohort", build, write=False)
+        empty: list[str] = []
+
+        def chosen(brief: DataFrame) -> DataFrame:
+            locations, columns = extract.cohort_locations(brief, **P)
+            empty.extend(columns)
+            return locations
+        wide = C.wide_customer_row({}, row_key=ROW_KEY, parts=_parts(spark, sf_dir), chosen=chosen)
+        return extract.clean_cohort(wide, **P, empty_columns=empty)
+    return materialised(spark, sf_dir, "cohort", build)
 
 
 # --------------------------------------------------------------------- scans
