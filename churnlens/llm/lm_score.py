@@ -15,7 +15,11 @@ Scoring takes one of two ways to the same bits, by the filter's size:
   the n-grams of its texts;
 * beyond, chunks of about ``SCORE_CHUNK`` tokens send the hashes of their distinct
   n-grams to the blocks in a shuffle, the blocks are probed where they are, and the
-  levels come back to the chunk.  No task holds more than a block or a chunk.
+  levels come back to the chunk.  No task holds more than a bundle or a chunk.
+Neighbouring blocks travel as one bundle: a chunk sends and gets a row for each
+bundle, and a bundle's blocks are probed for the n-grams of many chunks at once.
+With a row for each block, rows and probes would be chunks times blocks, which
+grows with the square of the input.
 
 Base.  The add-half unigram score uses exact counts: the ``HEAD`` most frequent
 tokens at most (and at most ``HEAD_BYTES`` of them) go to every task, the others
@@ -49,6 +53,7 @@ from .common import fold, keyed
 END = b"\n"  # no word has white space
 KEY_BITS, LOW_BITS = 56, 32
 BLOCK_TOKENS, LEAST_BLOCKS, MOST_BLOCKS = 1 << 18, 1 << 6, 1 << 24
+BUNDLES, BUNDLE_BLOCKS = 1 << 9, 1 << 6  # more blocks than BUNDLES travel in bundles of up to BUNDLE_BLOCKS
 FILTER_BYTES = 1 << 26
 PROBES = 3
 BITS_PER_LEVEL = 8
@@ -56,9 +61,10 @@ LEVELS = 40
 HEAD, HEAD_BYTES = 1 << 20, 1 << 25
 VOCABULARY = 1 << 18  # tokens a task counts between outputs
 FACTS = 1 << 16  # tokens a task knows the facts of between chunks
-COUNT_CHUNK = 1 << 19  # tokens counted at a time
+COUNT_CHUNK = 1 << 20  # tokens counted at a time
 SCORE_CHUNK = 1 << 19  # tokens of a chunk that travels
 HERE_CHUNK = 1 << 16  # tokens of a chunk that is scored where it is read
+ASKED = 1 << 18  # n-grams a bundle is probed for at a time
 BIGRAM_SHARE = 0.7
 
 _U = np.uint64
@@ -151,12 +157,27 @@ def split_keys(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys >> _U(KEY_BITS - wide)).astype(np.int64), (keys >> _U(KEY_BITS - wide - LOW_BITS)) & _U((1 << LOW_BITS) - 1)
 
 
-def _by_block(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, list[tuple[int, int]], list[bytes]]:
-    """Sorted keys as block numbers, their places among the keys, and the packed bits within the blocks."""
+def bundle_width(blocks: int) -> int:
+    """How many neighbouring blocks travel together (a power of two)."""
+    return min(max(blocks // BUNDLES, 1), BUNDLE_BLOCKS)
+
+
+def _by_block(keys: np.ndarray, blocks: int, width: int = 1) -> tuple[np.ndarray, list[tuple[int, int]], list[bytes]]:
+    """Sorted keys as numbers of bundles of ``width`` blocks, their places among the keys, and the packed keys: how many each
+    block but the last has, then the bits within the blocks."""
     block, low = split_keys(keys, blocks)
-    edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+    bundle = block // width
+    edges = np.flatnonzero(np.concatenate(([True], bundle[1:] != bundle[:-1], [True])))
+    index = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    sizes = np.bincount(index * width + block % width, minlength=(len(edges) - 1) * width).reshape(-1, width)[:, :-1].astype("<u4")
     low, places = low.astype("<u4"), list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-    return block[edges[:-1]].astype(np.int32), places, [low[a:b].tobytes() for a, b in places]
+    return bundle[edges[:-1]].astype(np.int32), places, [n.tobytes() + low[a:b].tobytes() for n, (a, b) in zip(sizes, places)]
+
+
+def _ends(data: bytes, width: int) -> np.ndarray:
+    """Where, among a bundle's packed keys, each block's begin and the last one's end."""
+    sizes = np.frombuffer(data, dtype="<u4", count=width - 1).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(sizes), [len(data) // 4 - len(sizes)]))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -202,6 +223,8 @@ def filled_block(low: np.ndarray, n: np.ndarray) -> bytes:
 
 def build_blocks(training: DataFrame, blocks: int) -> DataFrame:
     """The filter: (block, bits) of every block that has n-grams."""
+    width = bundle_width(blocks)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
         for docs in _numbered(_texts(batches), vocabulary, COUNT_CHUNK):
@@ -214,21 +237,27 @@ def build_blocks(training: DataFrame, blocks: int) -> DataFrame:
             double, n2 = np.unique(np.concatenate(found), return_counts=True)
             keys, n = np.concatenate((unigram_keys(h[single]), double)), np.concatenate((n1, n2))
             order = np.argsort(keys, kind="stable")
-            block, places, low = _by_block(keys[order], blocks)
+            bundle, places, low = _by_block(keys[order], blocks, width)
             size = n[order].astype("<u4")
             counts = [(size[a:b].astype(np.uint8) if size[a:b].max() < 256 else size[a:b]).tobytes() for a, b in places]
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(low, pa.binary()), pa.array(counts, pa.binary())], names=["block", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(bundle), pa.array(low, pa.binary()), pa.array(counts, pa.binary())], names=["bundle", "keys", "counts"])
             vocabulary.clear()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
-            low, where = np.unique(_unpacked(b"".join(r[1] for r in rows)), return_inverse=True)
-            counts = [np.frombuffer(c, dtype=np.uint8 if len(c) < len(k) else np.dtype("<u4")) for _, k, c in rows]
-            n = np.bincount(where, weights=np.concatenate(counts))
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int32()), pa.array([filled_block(low, n)], pa.binary())], names=["block", "bits"])
+            parts = []
+            for _, keys, counts in rows:
+                low, ends = memoryview(keys)[4 * (width - 1):], _ends(keys, width).tolist()
+                parts.append((low, np.frombuffer(counts, dtype=np.uint8 if len(counts) == ends[-1] else np.dtype("<u4")), ends))
+            for i in range(width):
+                low, where = np.unique(_unpacked(b"".join(low[4 * e[i]:4 * e[i + 1]] for low, _, e in parts)), return_inverse=True)
+                if len(low):
+                    n = np.bincount(where, weights=np.concatenate([n[e[i]:e[i + 1]] for _, n, e in parts]))
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[0][0] * width + i], pa.int32()), pa.array([filled_block(low, n)], pa.binary())],
+                                                     names=["block", "bits"])
 
-    return (training.select("text").mapInArrow(count, "block int, keys binary, counts binary")
-            .repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary"))
+    return (training.select("text").mapInArrow(count, "bundle int, keys binary, counts binary")
+            .repartition("bundle").sortWithinPartitions("bundle").mapInArrow(merge, "block int, bits binary"))
 
 
 @dataclass(frozen=True)
@@ -387,34 +416,52 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 
 def filter_levels(chunks: DataFrame, filter_blocks: DataFrame, blocks: int) -> DataFrame:
-    """(chunk, block, levels): the filter's levels of each chunk's n-grams, in the order of their keys, compressed."""
+    """(chunk, bundle, levels): the filter's levels of each chunk's n-grams, in the order of their keys, compressed."""
+    width = bundle_width(blocks)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, hashes, numbers, sizes in zip(*(c.to_pylist() for c in batch.columns)):
-                block, _, low = _by_block(_Chunk.read(hashes, numbers, sizes).keys, blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.full(len(block), number)), pa.array(low, pa.binary())],
-                                                 names=["block", "chunk", "data"])
+                bundle, _, low = _by_block(_Chunk.read(hashes, numbers, sizes).keys, blocks, width)
+                yield pa.RecordBatch.from_arrays([pa.array(bundle), pa.array(np.full(len(bundle), number)), pa.array(low, pa.binary())],
+                                                 names=["bundle", "chunk", "data"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
-        for batch in batches:  # the block itself has chunk -1 and so comes before those that ask
-            out = []
-            for block, chunk, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if block != at:
-                    at, own = block, None
+        at, parts, own, asked, size = None, {}, None, [], 0
+
+        def probed() -> pa.RecordBatch:
+            ends = [_ends(data, width) for _, data in asked]
+            block = np.concatenate([np.repeat(np.arange(width), np.diff(e)) for e in ends])
+            levels = own.probe(block, _unpacked(b"".join(data[4 * (width - 1):] for _, data in asked)))
+            found = [zlib.compress(x.tobytes(), 1) for x in np.split(levels, np.cumsum([e[-1] for e in ends])[:-1])]
+            out = [pa.array([c for c, _ in asked], pa.int64()), pa.array(np.full(len(asked), at, dtype=np.int32)), pa.array(found, pa.binary())]
+            asked.clear()
+            return pa.RecordBatch.from_arrays(out, names=["chunk", "bundle", "levels"])
+
+        for batch in batches:  # a bundle's blocks have chunks below 0 and so come before those that ask
+            for bundle, chunk, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if bundle != at:
+                    if asked:
+                        yield probed()
+                    at, parts, own, size = bundle, {}, None, 0
                 if chunk < 0:
-                    own = LogFrequencyFilter.of(1, [(0, data)])
+                    parts[chunk + width] = data
                     continue
-                low = _unpacked(data)
-                levels = own.probe(np.zeros(len(low), dtype=np.int64), low) if own else np.zeros(len(low), dtype=np.uint8)
-                out.append((chunk, block, zlib.compress(levels.tobytes(), 1)))
-            cols = zip(*out) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "block", "levels"])
-
-    asked = chunks.select("chunk", "hashes", "numbers", "sizes").mapInArrow(ask, "block int, chunk long, data binary")
-    held = filter_blocks.select("block", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data"))
-    return (asked.unionByName(held).repartition("block").sortWithinPartitions("block", "chunk")
-            .mapInArrow(answer, "chunk long, block int, levels binary"))
+                if own is None:
+                    own, parts = LogFrequencyFilter.of(width, parts.items()), {}
+                asked.append((chunk, data))
+                size += len(data) // 4
+                if size >= ASKED:
+                    yield probed()
+                    size = 0
+        if asked:
+            yield probed()
+
+    asked = chunks.select("chunk", "hashes", "numbers", "sizes").mapInArrow(ask, "bundle int, chunk long, data binary")
+    held = filter_blocks.select(F.floor(F.col("block") / width).cast("int").alias("bundle"), (F.col("block") % width - width).cast("long").alias("chunk"),
+                                F.col("bits").alias("data"))
+    return (asked.unionByName(held).repartition("bundle").sortWithinPartitions("bundle", "chunk")
+            .mapInArrow(answer, "chunk long, bundle int, levels binary"))
 
 
 def score_chunks(chunks: DataFrame, filter_blocks: DataFrame, blocks: int, whole: float) -> DataFrame:
@@ -427,8 +474,8 @@ def score_chunks(chunks: DataFrame, filter_blocks: DataFrame, blocks: int, whole
 
         chunk, row, levels = None, 0, []
         for batch in batches:
-            for i, (block, part) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                if block >= 0:
+            for i, (bundle, part) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if bundle >= 0:
                     levels.append(part)
                     continue
                 if chunk is not None:
@@ -439,17 +486,17 @@ def score_chunks(chunks: DataFrame, filter_blocks: DataFrame, blocks: int, whole
             yield scored(chunk, row, levels)
 
     none = F.lit(None)
-    own = chunks.select("chunk", F.lit(-1).alias("block"), none.cast("binary").alias("levels"), "hashes", "numbers", "sizes")
-    found = filter_levels(chunks, filter_blocks, blocks).select("chunk", "block", "levels", none.cast("binary").alias("hashes"), none.cast("binary").alias("numbers"),
+    own = chunks.select("chunk", F.lit(-1).alias("bundle"), none.cast("binary").alias("levels"), "hashes", "numbers", "sizes")
+    found = filter_levels(chunks, filter_blocks, blocks).select("chunk", "bundle", "levels", none.cast("binary").alias("hashes"), none.cast("binary").alias("numbers"),
                                          none.cast("array<int>").alias("sizes"))
-    return own.unionByName(found).repartition("chunk").sortWithinPartitions("chunk", "block").mapInArrow(score, "row long, score double")
+    return own.unionByName(found).repartition("chunk").sortWithinPartitions("chunk", "bundle").mapInArrow(score, "row long, score double")
 
 
 def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, text_key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = keyed(docs)
     training = rows.where(fold(F.col("doc_id")) != held_out_fold)
-    counts = cut_lineage(count_tokens(training))
+    counts = cut_lineage(count_tokens(training), let_go=True)
     seen = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = seen["n"] or 0, seen["v"]
     cut = head_cut(counts, head)
@@ -461,7 +508,7 @@ def score_texts(docs: DataFrame, held_out_fold: int = 1, head: int = HEAD, filte
     crc = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))[order]
     del frequent, words
     blocks = block_number(total)
-    filter_blocks = cut_lineage(build_blocks(training, blocks))
+    filter_blocks = cut_lineage(build_blocks(training, blocks), let_go=True)
     size = filter_blocks.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     sent_whole = size <= filter_bytes
     whole_filter = LogFrequencyFilter.of(blocks, ((r["block"], r["bits"]) for r in filter_blocks.toLocalIterator())) if sent_whole else None
